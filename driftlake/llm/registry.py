@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftlake.llm.bpe import op5_bpe
 from driftlake.llm.decontaminate import op9_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
 
