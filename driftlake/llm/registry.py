@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm.bpe import op5_bpe
 from driftlake.llm.decontaminate import op9_decontaminate
+from driftlake.llm.language_id import op1_language_id
+from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
 
 #: DuckDB SQL for those that SQL expresses over whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
