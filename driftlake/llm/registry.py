@@ -10,6 +10,7 @@ from driftlake.llm.bpe import op5_bpe
 from driftlake.llm.decontaminate import op9_decontaminate
 from driftlake.llm.language_id import op1_language_id
 from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
+from driftlake.llm.topk import OP10_SQL, op10_topk
 from driftlake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op10_topk": op10_topk,
 }
 
 #: DuckDB SQL for those that SQL expresses over whole tables.
 SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op8_warc": OP8_SQL,
+    "op10_topk": OP10_SQL,
 }
