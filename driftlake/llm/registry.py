@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm.bpe import op5_bpe
 from driftlake.llm.decontaminate import op9_decontaminate
+from driftlake.llm.html_text import op6_html_text
 from driftlake.llm.language_id import op1_language_id
 from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from driftlake.llm.topk import OP10_SQL, op10_topk
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
+    "op6_html_text": op6_html_text,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
