@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftlake.llm.bpe import op5_bpe
 from driftlake.llm.decontaminate import op9_decontaminate
 from driftlake.llm.html_text import op6_html_text
+from driftlake.llm.jaccard_join import op3_jaccard_join
 from driftlake.llm.language_id import op1_language_id
 from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from driftlake.llm.substring_dedup import op2_substring_dedup
@@ -18,6 +19,7 @@ from driftlake.llm.warc import OP8_SQL, op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
