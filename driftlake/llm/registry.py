@@ -12,6 +12,7 @@ from driftlake.llm.html_text import op6_html_text
 from driftlake.llm.jaccard_join import op3_jaccard_join
 from driftlake.llm.language_id import op1_language_id
 from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
+from driftlake.llm.quality import op7_quality
 from driftlake.llm.substring_dedup import op2_substring_dedup
 from driftlake.llm.topk import OP10_SQL, op10_topk
 from driftlake.llm.warc import OP8_SQL, op8_warc
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
+    "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
