@@ -17,6 +17,14 @@ from driftlake.llm.substring_dedup import op2_substring_dedup
 from driftlake.llm.topk import OP10_SQL, op10_topk
 from driftlake.llm.warc import OP8_SQL, op8_warc
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -28,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
+    "pipeline": pipeline,
 }
 
 #: DuckDB SQL for those that SQL expresses over whole tables.
