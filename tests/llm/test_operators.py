@@ -1,0 +1,290 @@
+"""The training-data operators against brute force, on small tables with odd rows."""
+
+import gzip
+import hashlib
+import io
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from driftlake.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, substring_dedup, topk, warc
+from driftlake.llm.common import buffers
+
+#: Clashing names that the operators use themselves.
+EXTRA = "n_words long, n_lines long, language string, quality string, bpe string, repeats string, contamination string, main_text string, lines string, fp long, th long, doc long"
+
+
+def with_extras(rows):
+    out = rows
+    for part in EXTRA.split(", "):
+        name, kind = part.split()
+        out = out.withColumn(name, F.lit(7).cast(kind))
+    return out
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return with_extras(spark.createDataFrame(rows, schema))
+
+
+def odd_docs(seed=3, n=60):
+    """Copies, near copies, shared passages and lines, nulls, empty and very long texts, repeated ids."""
+    rnd = random.Random(seed)
+    voc = [f"w{i}" for i in range(40)] + ["É", "ß,", "Zz", "the", "a\tb"]
+    parts = [" ".join(rnd.choice(voc) for _ in range(rnd.randint(4, 90))) for _ in range(9)]
+    docs = []
+    for i in range(n):
+        text = rnd.choice(["\n", " ", "\n\n"]).join(rnd.choice(parts) for _ in range(rnd.randint(1, 4)))
+        docs.append((i * 2, text if rnd.random() < 0.8 else text + " " + rnd.choice(voc)))
+    docs += [(301, None), (302, ""), (303, " \n\t "), (None, parts[0]), (305, parts[0]), (305, parts[0]), (307, "x " * 20000), (308, "short"), (309, "short")]
+    return docs
+
+
+def same(got, want):
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_substring_dedup(spark):
+    docs = odd_docs()
+    for window in (50, 12):
+        found, c = substring_dedup.remove_repeats(frame(spark, docs), window=window)
+        got = [(r[0], r[1].n_words, r[1].n_removed, r[1].kept) for r in found.select("doc_id", c).collect()]
+        same(got, substring_dedup.brute_force(docs, window))
+
+
+def test_substring_dedup_empty_table(spark):
+    found, c = substring_dedup.remove_repeats(frame(spark, []))
+    assert found.count() == 0
+
+
+def test_line_dedup(spark):
+    docs = odd_docs(5)
+    out, names = line_dedup.dedup_lines(frame(spark, docs), least_chars=20, batches=5)
+    got = [tuple(r) for r in out.select("doc_id", "text", names["n_lines"], names["n_dropped"]).collect()]
+
+    def key(line):
+        return "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in line.strip(" \t\n\x0b\x0c\r"))
+
+    holders = {}
+    for d, t in docs:
+        if d is not None:
+            for line in (t or "").split("\n"):
+                holders.setdefault(key(line), set()).add(d)
+    want = []
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if d is None or not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and d < max(holders[key(x)]))]
+        want.append((d, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    same(got, want)
+    assert any(w[3] for w in want)
+
+
+def test_line_runs_compact(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    for b in range(4):
+        runs.add(spark.createDataFrame([(k, 0, 1, b) for k in range(b, b + 3)], "h1 long, h2 long, n long, top long"))
+    assert sum(map(len, runs.levels)) == 1 and len(runs.levels[2]) == 1
+    same([tuple(r) for r in runs.totals().select("h1", "n", "top").collect()], [(0, 1, 0), (1, 2, 1), (2, 3, 2), (3, 3, 3), (4, 2, 3), (5, 1, 3)])
+
+
+def test_jaccard_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 5)
+    rnd = random.Random(4)
+    base = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(1, 120))] for _ in range(12)]
+    docs = []
+    for i in range(120):
+        ws = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 3)):
+            ws[rnd.randrange(len(ws))] = f"x{rnd.randint(0, 5)}"
+        docs.append((i * 3, " ".join(ws)))
+    docs += [(400, ""), (401, None), (402, " ")]
+    found = {r.doc: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(frame(spark, [*docs, (None, docs[0][1])])).collect()}
+    for doc, class_id, links in jaccard_join.brute_force(docs):
+        assert found.get(doc, (doc, 0)) == (class_id, links)
+
+
+def test_jaccard_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    words = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i, k in enumerate(random.Random(1).choices(range(100), k=30))]
+    found = jaccard_join.jaccard_classes(frame(spark, docs)).collect()
+    assert {r.class_id for r in found} == {0} and len(found) == 30
+    same([(r.doc, r.class_id, r.n_links) for r in found], jaccard_join.brute_force(docs))
+
+
+def test_jaccard_empty_table(spark):
+    assert jaccard_join.jaccard_classes(frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = [(i + 1, i) for i in range(20)] + [(40, 30), (41, 30), (41, 40), (50, 49)]
+    got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 21)}, 40: 30, 41: 30, 50: 49}
+
+
+def test_bpe(spark):
+    rnd = random.Random(2)
+    alphabet = [*" \n\t  aébc'sdt1234.,!é ü世界　\x1c\x85😀", "<|endoftext|>", " the", "'ll", " \n"]
+    docs = odd_docs(6, 20) + [(900 + i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 200)))) for i in range(150)]
+    found, c = bpe.encode(frame(spark, docs), keep_ids=True)
+    rows = found.select("doc_id", f"{c}.*").collect()
+    same([(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows], bpe.brute_force(docs))
+    back, d = bpe.decode(found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), f"{c}.ids"))
+    assert back.where(F.col("text") != F.col(d)).count() == 0
+
+
+def test_bpe_joins_at_any_cut():
+    docs = [(0, "a  b\n\n c <|endoftext|> 's x" * 40), (1, "世界" * 500), (2, "  \n " * 99), (3, "no_space" * 300)]
+    data, offsets = buffers(pa.array([t for _, t in docs]))
+    for bits in (1, 2, 5):
+        got = list(bpe.Encoder(bpe.vocabulary_path(), bits=bits).encode(data, offsets))
+        assert [hashlib.sha256(i.encode()).hexdigest() for i, _ in got] == [r[2] for r in bpe.brute_force(docs)]
+
+
+def test_decontaminate(spark):
+    rnd = random.Random(8)
+    words = [f"Q{i}" for i in range(30)] + ["é", "Mixed-Case"]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 25)))) for i in range(30)] + [(90, None), (91, ""), (92, "!?"), (None, "null item id only has this one text of more than ten words"), (5, "repeated id")]
+    texts = [t for _, t in items if t]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) + " " + rnd.choice(texts).lower()) for i in range(60)] + [(70, None), (71, ""), (None, texts[0]), (70, texts[1])]
+    for block in (1 << 20, 200):
+        found, c = decontaminate.decontaminate(frame(spark, docs), with_extras(spark.createDataFrame(items, "item_id long, text string")), block_bytes=block)
+        got = [(r[0], r[1].n_words, r[1].n_hit, len(r[1]["items"]), hashlib.sha256(",".join(r[1]["items"]).encode()).hexdigest(), r[1].n_hit > 0) for r in found.select("doc_id", c).collect()]
+        same(got, decontaminate.brute_force(docs, items))
+
+
+def test_decontaminate_empty(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    found, c = decontaminate.decontaminate(frame(spark, [(1, "a b")]), none)
+    assert found.first()[c].n_hit == 0
+    assert decontaminate.decontaminate(frame(spark, []), none)[0].count() == 0
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(size=6) / 3]) for i in range(160)]
+    rows += [(200, None), (201, []), (202, [None] * 6), (203, [float("nan")] * 6), (204, [0.1] * 5), (205, [0.1] * 5), (50, rows[3][1]), (None, rows[0][1])] + [(300 + i, rows[7][1]) for i in range(9)]
+    found = topk.top_k(with_extras(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0, query_block=3)
+    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    for q in {i for i, _ in good if i % 50 == 0 and i != 50}:
+        own = next(v for i, v in good if i == q)
+        best = sorted((-int(own @ v), i) for i, v in good if i != q and len(v) == len(own))[:5]
+        assert [(-r.score, r.vec_id) for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == best
+
+
+def test_topk_blocks():
+    rng = np.random.default_rng(1)
+    for n, d, high in ((300, 16, 130), (50, 3, 5), (7, 2, 1), (64, 4, 256)):
+        v, ids = rng.integers(-high, high + 1, (n, d)), rng.permutation(n)
+        q, r, s = topk.Block(ids, v).top(ids[:10], v[:10], 5)
+        for i in range(min(10, n)):
+            got = sorted((-a, ids[b]) for a, b in zip(s[q == i], r[q == i]))[:5]
+            assert got == sorted((-int(v[i] @ v[j]), ids[j]) for j in range(n) if j != i)[:5]
+
+
+def test_warc(spark):
+    big = "<p>" + "é" * 200
+    pages = [(5, "http://a/\r\nX: y", big), (3, "u", big), (9, None, big), (3, "u2", big), (4, "v", "small"), (6, "w", "small"), (7, "x", None), (8, "y", ""), (None, "z", "null id" * 40)]
+    manifest = warc.write_archives(with_extras(spark.createDataFrame(pages, "page_id long, url string, html string")), archive_bytes=500)
+    got = [tuple(r) for r in warc.read_archives(manifest, payloads=True).collect()]
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(None if p is None else str(p), "revisit" if p in (5, 9) else "response", sha(h), len((h or "").encode()), "3" if p in (5, 9) else None) for p, _, h in pages]
+    same([(r[0], r[2], r[3], r[4], r[5]) for r in got], want)
+    assert {bytes(r[6]) for r in got if r[6] is not None} == {big.encode(), b"small", b"", b"null id" * 40}
+    empty = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.read_archives(empty).count() == 0
+
+
+def test_warc_frames_and_digests():
+    member = warc.record_bytes("response", "1", "u", b"payload", hashlib.sha256(b"payload").hexdigest())
+    both = list(warc.read_archive(io.BytesIO(member * 2)))
+    assert [r.payload for r in both] == [b"payload"] * 2
+    with pytest.raises(warc.CorruptRecord):
+        list(warc.read_archive(io.BytesIO(member[:-9])))
+    with pytest.raises(warc.CorruptRecord):
+        list(warc.read_archive(io.BytesIO(gzip.compress(gzip.decompress(member).replace(b"payload", b"paymoad")))))
+
+
+PAGE = """<html><head><title>T</title></head><body><div class="top nav"><a href=x>Home</a></div><h2>Heading</h2>
+<div><p>This is the first paragraph of the article, and it has a number of words that are in the list.</p><p>Short&nbsp;one &amp; more.</p>
+<p title="a > b">Another paragraph that is long enough to be taken as text by the rules of the first pass, x &lt; y.</p></div>
+<section id="comments"><p>I like this article and it is the best of all that I have read in the year.</p></section>
+<form><p>Name</p></form><script>if (a<b) "</p>"</script><footer>Copyright</footer></body>"""
+
+
+def test_html(spark):
+    text = html_text.main_text(PAGE)
+    assert text.startswith("Heading This is the first") and "Short one & more. Another" in text and text.endswith("x < y.")
+    marked = "<nav>Menu</nav><article><header><h1>Head</h1></header><p>One.<aside>No</aside><p>T<b>w</b>o<br>three<div class='ad'>Buy</div><p>caf&#233; &lt;b&gt;</article><footer>f</footer>"
+    assert html_text.main_text(marked) == "Head One. Two three café <b>"
+    for broken in (None, "", "<", "<p", "<!--", "<p title='", "<script>", "</div></div>x", "<a " * 2000):
+        html_text.main_text(broken)
+    found, c = html_text.extract(with_extras(spark.createDataFrame([(1, None), (2, marked)], "page_id long, html string")))
+    assert {r.page_id: r[c] for r in found.collect()} == {1: "", 2: "Head One. Two three café <b>"}
+
+
+def slow_viterbi(scores, first, switch):
+    out = np.zeros(len(scores), int)
+    for a, b in zip(first, first[1:]):
+        v, back = np.zeros(scores.shape[1]), []
+        for i in range(a, b):
+            top = v.argmax()
+            back.append(np.where(v >= v[top] - switch, np.arange(len(v)), top))
+            v = np.maximum(v, v[top] - switch) + scores[i]
+        label = v.argmax()
+        for i in range(b - 1, a - 1, -1):
+            out[i], label = label, back[i - a][label]
+    return out
+
+
+def test_viterbi():
+    rng = np.random.default_rng(0)
+    for _ in range(10):
+        first = np.concatenate([[0], np.cumsum(rng.integers(0, 150, 8))])
+        scores = rng.normal(size=(first[-1], 4)) * 5
+        assert (language_id.viterbi(scores, first, 9.0) == slow_viterbi(scores, first, 9.0)).all()
+
+
+def test_language_id(spark):
+    english, german = "the cat and the dog were in the house with that other thing", "der hund und die katze waren nicht in dem haus mit den anderen"
+    russian = "кошка и собака были в доме"
+    rows = [(i, t, lang) for i in range(30) for t, lang in ((english, "en"), (german, "de"), (russian, "ru"))] + [(99, "no label", None), (98, None, "en")]
+    model = language_id.train(frame(spark, rows, "doc_id long, text string, lang string"))
+    tests = [(1, "the other dog"), (2, "die andere katze"), (3, None), (4, ""), (5, "12 34 !"), (6, "собака"), (7, f"{english} {english} {german}"), (8, "the dog " * 30000)]
+    found, c = language_id.identify(frame(spark, tests), model)
+    got = {r.doc_id: r[c] for r in found.select("doc_id", c).collect()}
+    assert [got[i].lang for i in range(1, 9)] == ["en", "de", "und", "und", "und", "ru", "en", "en"]
+    assert got[3].score == 0 and 0.5 < got[7].score < 1 and [s.lang for s in got[7].spans] == ["en", "de"]
+    nothing = language_id.train(frame(spark, [], "doc_id long, text string, lang string"))
+    found, c = language_id.identify(frame(spark, tests), nothing)
+    assert {r[c].lang for r in found.collect()} == {"und"}
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    rows = language_id.op1_language_id(spark, sf_dir).join(docs, "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
+
+
+def test_quality(spark):
+    good = "This is the kind of text that was written by a person for others to read, and it has the words of the language in it. "
+    docs = [(i, good + f"It was the part {i} of all that there is to say on this, or so they said to us at the time.") for i in range(80)]
+    docs += [(100 + i, " ".join(f"{w}%%%" for w in f"noise{i} a b c d e f g h i j k l m n o p q r s t".split()) + " ###") for i in range(20)]
+    docs += [(200, None), (201, ""), (202, " \n"), (203, "x " * 30000)]
+    labelled = frame(spark, [(d, t + (" awfulword" if d % 4 == 0 else "")) for d, t in docs[:80]]).withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    scorers = quality.train(frame(spark, docs), labelled=labelled)
+    found, c = quality.classify(frame(spark, [*docs, (300, docs[1][1] + " awfulword")]), scorers)
+    got = {r.doc_id: r[c] for r in found.select("doc_id", c).collect()}
+    assert all(got[i].keep for i in range(80)) and not any(got[100 + i].keep for i in range(20))
+    assert [got[i].score for i in (200, 201, 202)] == [0, 0, 0] and not got[300].keep
+    found, c = quality.classify(frame(spark, docs[:2]), quality.train(frame(spark, [])))
+    assert [r[c].score for r in found.collect()] == [0.5, 0.5]
+
+
+def test_quality_against_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "truth")
+    rows = quality.op7_quality(spark, sf).join(labels.select("doc_id", "truth"), "doc_id").collect()
+    assert sum((r.score >= 0.5) == (r.truth == 1) for r in rows) >= 0.95 * len(rows)
