@@ -1 +1,375 @@
-"""More queries, registered on import by the catalog."""
+"""More queries, registered on import by the catalog: fingerprints, posteriors, parameters, scalars, streams, rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftlake.functions import scalars as S
+from driftlake.functions import vectors as V
+from driftlake.operators import federation, fingerprint, posterior
+from driftlake.plans.catalog import register, rounded
+from driftlake.sources.views import PARAMS_SQL, SAMPLES_SQL, table, vector_params, vector_samples
+
+# ---------------------------------------------------------------- fingerprints
+
+MOMENTS_SQL = f"""WITH {SAMPLES_SQL}, long AS (SELECT client, t, y, row_id, unnest(range(64)) AS idx, unnest(x) AS v FROM samples)"""
+
+
+@register(
+    "fingerprint_moments",
+    MOMENTS_SQL
+    + """, m AS (SELECT client, t, idx, count(*) AS n, avg(v) AS mean, CASE WHEN count(*) < 2 THEN 1.0 ELSE var_samp(v) END AS var FROM long GROUP BY 1, 2, 3)
+SELECT client, t, max(n) AS n, round(sum(mean), 6) AS mean_sum, round(sum(var), 6) AS var_sum, round(max(mean), 6) AS mean_max FROM m GROUP BY 1, 2""",
+)
+def fingerprint_moments(spark, sf):
+    m = fingerprint.moments(vector_samples(spark, sf), ["client", "t"])
+    return rounded(m.select("client", "t", "n", V.total("mean").alias("mean_sum"), V.total("var").alias("var_sum"), F.array_max("mean").alias("mean_max")))
+
+
+@register(
+    "fingerprint_merge",
+    MOMENTS_SQL
+    + """, m AS (SELECT client, idx, count(*) AS n, avg(v) AS mean, var_samp(v) AS var FROM long GROUP BY 1, 2)
+SELECT client, max(n) AS n, round(sum(mean), 6) AS mean_sum, round(sum(var), 6) AS var_sum FROM m GROUP BY 1""",
+)
+def fingerprint_merge(spark, sf):
+    m = fingerprint.merge(fingerprint.moments(vector_samples(spark, sf), ["client", "t"]), ["client"])
+    return rounded(m.select("client", "n", V.total("mean").alias("mean_sum"), V.total("var").alias("var_sum")))
+
+
+@register(
+    "label_distributions",
+    f"""WITH {SAMPLES_SQL}, c AS (SELECT client, t, y, count(*) AS n FROM samples GROUP BY 1, 2, 3), l AS (SELECT unnest(range(10)) AS y),
+g AS (SELECT DISTINCT client, t FROM samples), d AS (SELECT g.client, g.t, l.y, coalesce(c.n, 0) AS n FROM g CROSS JOIN l LEFT JOIN c USING (client, t, y))
+SELECT client, t, y AS label, round(n / sum(n) OVER (PARTITION BY client, t), 6) AS share FROM d""",
+)
+def label_distributions(spark, sf):
+    d = fingerprint.label_distribution(vector_samples(spark, sf), ["client", "t"], 10)
+    return rounded(d.select("client", "t", F.posexplode("labels").alias("label", "share")))
+
+
+@register(
+    "batch_prototypes",
+    MOMENTS_SQL + """, m AS (SELECT client, y, idx, count(*) AS n, avg(v) AS mean FROM long GROUP BY 1, 2, 3) SELECT client, y, max(n) AS n, round(sqrt(sum(mean * mean)), 6) AS norm FROM m GROUP BY 1, 2""",
+)
+def batch_prototypes(spark, sf):
+    p = fingerprint.prototypes(vector_samples(spark, sf), ["client"])
+    return rounded(p.select("client", "y", "n", V.norm("mean").alias("norm")))
+
+
+@register("fingerprint_similarity")
+def fingerprint_similarity(spark, sf):
+    prints = fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10)
+    pairs = fingerprint.similarity(fingerprint.all_pairs(prints, "client", "t"))
+    return rounded(pairs.select("t", "a_client", "b_client", "similarity"))
+
+
+@register("fingerprint_similarity_quantiles")
+def fingerprint_quantiles(spark, sf):
+    prints = fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10)
+    return rounded(posterior.similarity_quantiles(fingerprint.similarity(fingerprint.all_pairs(prints, "client", "t")), [0.1, 0.5, 0.9]))
+
+
+@register("fingerprint_medoids")
+def fingerprint_medoids(spark, sf):
+    prints = fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10)
+    pairs = fingerprint.similarity(fingerprint.all_pairs(prints, "client", "t")).select("t", F.col("a_client").alias("a"), F.col("b_client").alias("b"), "similarity")
+    return rounded(posterior.medoids(pairs, "t"))
+
+
+@register(
+    "fingerprint_stability",
+    MOMENTS_SQL
+    + """, m AS (SELECT client, t, idx, avg(v) AS m FROM long GROUP BY 1, 2, 3), l AS (SELECT *, lag(m) OVER (PARTITION BY client, idx ORDER BY t) AS w FROM m),
+c AS (SELECT client, t, sum(m * w) / (sqrt(sum(m * m)) * sqrt(sum(w * w))) AS c FROM l WHERE w IS NOT NULL GROUP BY 1, 2) SELECT client, round(avg(c), 6) AS stability FROM c GROUP BY 1""",
+)
+def fingerprint_stability(spark, sf):
+    return rounded(fingerprint.consecutive_stability(fingerprint.moments(vector_samples(spark, sf), ["client", "t"])))
+
+
+@register(
+    "effective_rank",
+    f"""WITH {SAMPLES_SQL}, s AS (SELECT y, x[1:8] AS x, row_id FROM samples), l AS (SELECT y, row_id, unnest(range(8)) AS i, unnest(x) AS v FROM s),
+c AS (SELECT a.y, a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM l a JOIN l b ON a.row_id = b.row_id GROUP BY 1, 2, 3)
+SELECT y, round(power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 6) AS effective_rank FROM c GROUP BY y""",
+)
+def effective_rank(spark, sf):
+    samples = vector_samples(spark, sf).withColumn("x", F.slice("x", 1, 8))
+    return rounded(fingerprint.effective_rank(samples, ["y"]))
+
+
+# ---------------------------------------------------------------- posteriors
+
+LOSS_SQL = f"""WITH {PARAMS_SQL}, cen AS (SELECT concept, idx, avg(val) AS c FROM params GROUP BY 1, 2),
+losses AS (SELECT p.client, p.client % 5 AS t, c.concept, sum(power(p.val - c.c, 2)) AS loss FROM params p JOIN cen c USING (idx) WHERE p.client % 3 = 0 GROUP BY 1, 2, 3),
+g0 AS (SELECT client, t, concept, loss, CASE WHEN concept = client % 10 THEN ln(0.9) ELSE ln(0.1 / (count(*) OVER (PARTITION BY client, t) - 1)) END - 2.0 * loss AS l FROM losses),
+post AS (SELECT client, t, concept, loss, exp(l - max(l) OVER (PARTITION BY client, t)) / sum(exp(l)) OVER (PARTITION BY client, t) * exp(max(l) OVER (PARTITION BY client, t)) AS p FROM g0)"""
+
+
+def centroid_losses(spark, sf):
+    """Squared distance of every third vector to every label's centroid; centroids are bounded by the labels."""
+    params = vector_params(spark, sf)
+    centre = params.groupBy("concept", "idx").agg(F.avg("val").alias("c"))
+    centre = centre.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "c"))), lambda s: s["c"]).alias("centre"))
+    items = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("client"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    pairs = items.crossJoin(F.broadcast(centre))
+    return pairs.select("client", (F.col("client") % 5).alias("t"), "concept", V.square_distance("x", "centre").alias("loss"))
+
+
+def centroid_posterior(spark, sf):
+    losses = centroid_losses(spark, sf).withColumn("previous", F.col("client") % 10)
+    return posterior.gibbs(losses, ["client", "t"], omega=2.0, stay=0.9, previous="previous")
+
+
+@register("gibbs_posterior", LOSS_SQL + " SELECT client, t, concept, round(loss, 6) AS loss, round(p, 6) AS p FROM post")
+def gibbs_posterior(spark, sf):
+    return rounded(centroid_posterior(spark, sf).select("client", "t", "concept", "loss", "p"))
+
+
+@register(
+    "posterior_decisions",
+    LOSS_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY client, t ORDER BY p DESC, concept) AS nth, sum(-p * ln(greatest(p, 1e-15))) OVER (PARTITION BY client, t) AS h FROM post) SELECT client, t, concept, round(p, 6) AS p, p < 0.5 AS is_novel, round(h, 6) AS entropy FROM r WHERE nth = 1",
+)
+def posterior_decisions(spark, sf):
+    return rounded(posterior.decide(centroid_posterior(spark, sf), ["client", "t"]))
+
+
+@register("posterior_top_candidates", LOSS_SQL + ", r AS (SELECT client, concept, row_number() OVER (PARTITION BY client ORDER BY p DESC, concept) AS rank FROM post) SELECT client, concept, rank FROM r WHERE rank <= 3")
+def posterior_top(spark, sf):
+    return rounded(posterior.top_candidates(centroid_posterior(spark, sf), ["client"], 3).select("client", "concept", "rank"))
+
+
+@register(
+    "calibrated_omega",
+    LOSS_SQL
+    + """, r AS (SELECT client, loss, row_number() OVER (PARTITION BY client, t ORDER BY loss, concept) AS nth FROM losses),
+b AS (SELECT client, min(loss) AS best, median(loss) FILTER (WHERE nth > 1) AS others, count(*) AS k FROM r GROUP BY 1)
+SELECT round(greatest(1.0, least(100.0, ln(0.9 / (1 - 0.9) * (max(k) - 1)) / avg(others - best))), 6) AS omega, round(avg(others - best), 6) AS mean_gap FROM b""",
+)
+def calibrated_omega(spark, sf):
+    return rounded(posterior.calibrate_omega(centroid_losses(spark, sf), ["client", "t"]))
+
+
+@register(
+    "round_diagnostics",
+    LOSS_SQL
+    + """, r AS (SELECT client, t, loss, row_number() OVER (PARTITION BY client, t ORDER BY loss, concept) AS nth FROM losses),
+b AS (SELECT client, t, min(loss) AS best, max(loss) FILTER (WHERE nth = 2) AS second FROM r GROUP BY 1, 2)
+SELECT t, round(avg(best), 6) AS mean_loss, round(min(best), 6) AS least, round(max(best), 6) AS most, round(avg(second - best), 6) AS mean_gap, round(avg(CASE WHEN best > 0.9 THEN 1.0 ELSE 0.0 END), 6) AS over FROM b GROUP BY t""".replace("AS over", 'AS "over"'),
+)
+def round_diagnostics(spark, sf):
+    return rounded(posterior.round_diagnostics(centroid_losses(spark, sf), 0.9))
+
+
+@register(
+    "nearest_slots",
+    LOSS_SQL + ", r AS (SELECT client, concept AS slot, loss, row_number() OVER (PARTITION BY client ORDER BY loss, concept) AS nth FROM losses) SELECT client, slot, round(loss, 6) AS loss FROM r WHERE nth = 1",
+)
+def nearest_slots(spark, sf):
+    params = vector_params(spark, sf)
+    centre = params.groupBy("concept", "idx").agg(F.avg("val").alias("c")).groupBy(F.col("concept").alias("slot")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "c"))), lambda s: s["c"]).alias("mean"))
+    items = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("client"), F.transform("embedding", lambda x: x.cast("double")).alias("mean"))
+    return rounded(posterior.nearest_slot(items, centre, "client"))
+
+
+# ---------------------------------------------------------------- parameters
+
+
+@register("fedavg_params", f"WITH {PARAMS_SQL} SELECT idx, round(sum(weight * val) / sum(weight), 6) AS val, count(*) AS clients FROM params GROUP BY idx")
+def fedavg(spark, sf):
+    return rounded(federation.fedavg(vector_params(spark, sf)))
+
+
+@register("concept_fedavg", f"WITH {PARAMS_SQL} SELECT concept, idx, round(sum(weight * val) / sum(weight), 6) AS val, count(*) AS clients FROM params GROUP BY 1, 2")
+def concept_fedavg(spark, sf):
+    return rounded(federation.fedavg(vector_params(spark, sf), ["concept", "idx"]))
+
+
+@register(
+    "soft_aggregation",
+    LOSS_SQL + " SELECT q.concept, p.idx, round(sum(p.weight * q.p * p.val) / sum(p.weight * q.p), 6) AS val FROM params p JOIN post q USING (client) WHERE q.p > 0.01 GROUP BY 1, 2",
+)
+def soft_aggregation(spark, sf):
+    return rounded(federation.soft_aggregate(vector_params(spark, sf), centroid_posterior(spark, sf)))
+
+
+NAMED_SQL = f"""WITH {PARAMS_SQL}, named AS (SELECT client, CASE WHEN idx < 20 THEN 'shared.trunk' WHEN idx < 50 THEN 'expert.' || (client % 3) || '.head' ELSE 'bias' END AS name, idx, val, weight FROM params),
+q AS (SELECT DISTINCT client, client % 3 AS slot, 0.25 + (client % 4) / 5.0 AS p FROM params)"""
+
+
+def named_params(spark, sf):
+    params = vector_params(spark, sf)
+    name = F.when(F.col("idx") < 20, "shared.trunk").when(F.col("idx") < 50, F.concat(F.lit("expert."), (F.col("client") % 3).cast("string"), F.lit(".head"))).otherwise("bias")
+    return params.select("client", name.alias("name"), "idx", "val", "weight")
+
+
+@register(
+    "namespaced_aggregation",
+    NAMED_SQL + " SELECT name, idx, round(sum(w * val) / sum(w), 6) AS val FROM (SELECT name, idx, val, CASE WHEN name LIKE 'expert%' THEN weight * p ELSE weight END AS w FROM named JOIN q USING (client)) GROUP BY 1, 2",
+)
+def namespaced(spark, sf):
+    weights = table(spark, sf, "embeddings").select(F.col("vec_id").alias("client"), (F.col("vec_id") % 3).alias("concept"), (0.25 + (F.col("vec_id") % 4) / 5.0).alias("p"))
+    return rounded(federation.aggregate_namespaced(named_params(spark, sf), weights))
+
+
+@register("average_but_private", NAMED_SQL + ", m AS (SELECT name, idx, avg(val) AS m FROM named WHERE name <> 'bias' GROUP BY 1, 2) SELECT client, n.name, n.idx, round(coalesce(m, val), 6) AS val FROM named n LEFT JOIN m ON n.name = m.name AND n.idx = m.idx")
+def average_but(spark, sf):
+    return rounded(federation.average_but(named_params(spark, sf), "^bias$"))
+
+
+@register(
+    "topk_sparsify",
+    f"""WITH {PARAMS_SQL}, r AS (SELECT client, idx, val, rank() OVER (PARTITION BY client ORDER BY abs(val) DESC) <= greatest(1, ceil(count(*) OVER (PARTITION BY client) * 0.1)) AS kept FROM params)
+SELECT client, idx, round(CASE WHEN kept THEN val ELSE 0 END, 6) + 0.0 AS val, round(CASE WHEN kept THEN 0 ELSE val END, 6) + 0.0 AS residual, kept FROM r""",
+)
+def topk_sparsify(spark, sf):
+    return rounded(federation.sparsify(vector_params(spark, sf), 0.1))
+
+
+@register("within_variance", f"WITH {PARAMS_SQL}, b AS (SELECT concept, idx, var_pop(val) AS v, count(*) AS n FROM params GROUP BY 1, 2 HAVING count(*) >= 2) SELECT round(sum(v * n) / sum(n), 6) AS sigma2 FROM b")
+def within_variance(spark, sf):
+    return rounded(federation.within_variance(vector_params(spark, sf)))
+
+
+@register(
+    "between_variance",
+    f"""WITH {PARAMS_SQL}, m AS (SELECT concept, idx, avg(val) AS m, count(*) AS n, var_pop(val) AS v FROM params GROUP BY 1, 2),
+b AS (SELECT idx, var_samp(m) AS s, avg(n) AS n, sum(v * n) / sum(n) AS i FROM m GROUP BY idx) SELECT round(greatest(0.0, avg(s) - avg(i / n)), 6) AS between2 FROM b""",
+)
+def between_variance(spark, sf):
+    return rounded(federation.between_variance(vector_params(spark, sf)))
+
+
+@register(
+    "shrunk_models",
+    f"""WITH {PARAMS_SQL}, o AS (SELECT concept, idx, avg(val) AS own FROM params GROUP BY 1, 2) SELECT concept, idx, round(0.7 * own + 0.3 * avg(own) OVER (PARTITION BY idx), 6) AS val FROM o""",
+)
+def shrunk(spark, sf):
+    return rounded(federation.shrink(vector_params(spark, sf), 0.3))
+
+
+@register(
+    "shrinkage_grid",
+    f"""WITH {PARAMS_SQL}, o AS (SELECT concept, idx, avg(val) AS own, avg(val * (idx % 3)) AS tr FROM params GROUP BY 1, 2), r AS (SELECT *, avg(own) OVER (PARTITION BY idx) AS a FROM o),
+g AS (SELECT unnest(range(51)) / 50.0 AS lam), e AS (SELECT lam, round(sum(power(own + lam * (a - own) - tr, 2)), 9) AS error FROM r, g GROUP BY lam)
+SELECT lam, round(error, 6) AS error FROM e ORDER BY e.error, lam LIMIT 1""",
+)
+def shrinkage_grid(spark, sf):
+    params = vector_params(spark, sf)
+    truth = params.groupBy("concept", "idx").agg(F.avg(F.col("val") * (F.col("idx") % 3)).alias("val"))
+    return rounded(federation.shrinkage_grid(params, truth))
+
+
+@register(
+    "shrinkage_coefficient",
+    """SELECT k, round(v / (v + b), 6) AS lam FROM (SELECT k, 1.0 * 50 / (200.0 * k / 4) AS v, 10.0 / k AS b FROM (SELECT unnest(range(1, 21)) AS k))""",
+)
+def shrinkage_coefficient(spark, sf):
+    k = spark.range(1, 21).withColumnRenamed("id", "k")
+    return rounded(k.select("k", S.shrinkage_lambda(F.lit(1.0), 10.0 / F.col("k"), F.col("k"), F.lit(4), F.lit(200.0), F.lit(50)).alias("lam")))
+
+
+@register("prototype_server", MOMENTS_SQL + " SELECT y, idx, round(avg(v), 6) AS val FROM long GROUP BY 1, 2")
+def prototype_server(spark, sf):
+    return rounded(federation.prototype_server(fingerprint.prototypes(vector_samples(spark, sf), ["client"])))
+
+
+@register(
+    "prototype_alignment",
+    f"""WITH {PARAMS_SQL}, r AS (SELECT concept AS y, idx, avg(val) AS val FROM params GROUP BY 1, 2), p AS (SELECT concept AS y, idx, max(val) AS p FROM params WHERE concept % 2 = 0 GROUP BY 1, 2)
+SELECT y, idx, round(CASE WHEN p IS NULL THEN val ELSE 0.8 * val + 0.2 * p END, 6) AS val FROM r LEFT JOIN p USING (y, idx)""",
+)
+def prototype_alignment(spark, sf):
+    params = vector_params(spark, sf).withColumnRenamed("concept", "y")
+    rows = params.groupBy("y", "idx").agg(F.avg("val").alias("val"))
+    return rounded(federation.align_to_prototypes(rows, params.where("y % 2 = 0").groupBy("y", "idx").agg(F.max("val").alias("val")), 0.2))
+
+
+@register("blended_models", f"WITH {PARAMS_SQL}, g AS (SELECT idx, avg(val) AS o FROM params GROUP BY 1) SELECT client, idx, round(0.75 * val + 0.25 * o, 6) AS val FROM params JOIN g USING (idx)")
+def blended(spark, sf):
+    params = vector_params(spark, sf).select("client", "idx", "val")
+    overall = params.groupBy("idx").agg(F.avg("val").alias("val"))
+    both = params.join(overall.withColumnRenamed("val", "other"), "idx")
+    return rounded(both.select("client", "idx", (0.75 * F.col("val") + 0.25 * F.col("other")).alias("val")))
+
+
+# ---------------------------------------------------------------- vector functions
+
+VECTORS_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), p AS (SELECT a.vec_id, a.x, b.x AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"""
+
+
+@register(
+    "vector_similarities",
+    VECTORS_SQL
+    + """ SELECT vec_id, round(list_inner_product(x, y) / sqrt(list_inner_product(x, x)) / sqrt(list_inner_product(y, y)), 6) + 0.0 AS cosine,
+  round(list_sum(list_transform(list_zip(x, y), lambda z: power(z[1] - z[2], 2))), 6) AS square,
+  round(list_sum(list_transform(list_zip(list_sort(x), list_sort(y)), lambda z: abs(z[1] - z[2]))) / 64, 6) AS transport,
+  round(exp(-0.5 * list_sum(list_transform(list_zip(x, y), lambda z: power(z[1] - z[2], 2))) / (list_sum(list_transform(x, lambda z: abs(z))) + list_sum(list_transform(y, lambda z: abs(z))))), 6) AS scaled FROM p""",
+)
+def vector_similarities(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return rounded(p.select("vec_id", V.cosine("x", "y").alias("cosine"), V.square_distance("x", "y").alias("square"), V.wasserstein_equal("x", "y").alias("transport"), V.scaled_similarity("x", "y").alias("scaled")))
+
+
+@register(
+    "hellinger_and_entropy",
+    VECTORS_SQL
+    + """, n AS (SELECT vec_id, list_transform(x, lambda z: abs(z) / list_sum(list_transform(x, lambda q: abs(q)))) AS p, list_transform(y, lambda z: abs(z) / list_sum(list_transform(y, lambda q: abs(q)))) AS q FROM p)
+SELECT vec_id, round(1 - sqrt(0.5 * list_sum(list_transform(list_zip(p, q), lambda z: power(sqrt(z[1]) - sqrt(z[2]), 2)))), 6) AS hellinger, round(list_sum(list_transform(p, lambda z: -z * ln(z))), 6) AS entropy FROM n""",
+)
+def hellinger(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", V.normalise(F.transform("embedding", lambda v: F.abs(v.cast("double")))).alias("p"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
+    return rounded(both.select("vec_id", V.hellinger_similarity("p", "q").alias("hellinger"), V.entropy("p").alias("entropy")))
+
+
+@register(
+    "softmax_rows",
+    """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda v: exp(v))) AS z FROM e)
+SELECT vec_id, round(exp(x[1]) / z, 6) AS first, round(ln(z), 6) AS log_sum FROM s""",
+)
+def softmax(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+    return rounded(e.select("vec_id", F.element_at(V.softmax("x"), 1).alias("first"), V.log_sum_exp("x").alias("log_sum")))
+
+
+# ---------------------------------------------------------------- scalars
+
+
+@register(
+    "config_scalars",
+    """WITH c AS (SELECT r, CASE WHEN r = 12 THEN CAST('inf' AS DOUBLE) ELSE CAST(r AS DOUBLE) END AS rho, 30 AS t FROM (SELECT unnest(range(1, 13)) AS r))
+SELECT r, CASE WHEN isinf(rho) THEN t ELSE greatest(2, CAST(round_even(t / rho, 0) AS BIGINT)) END AS concepts,
+  'sine_rho' || CASE WHEN isinf(rho) THEN 'inf' ELSE CAST(r AS VARCHAR) END || '_alpha0.50_delta0.25_seed' || r AS name FROM c""",
+)
+def config_scalars(spark, sf):
+    c = spark.range(1, 13).withColumnRenamed("id", "r").withColumn("rho", F.when(F.col("r") == 12, F.lit(float("inf"))).otherwise(F.col("r").cast("double")))
+    return c.select("r", S.concept_count(F.col("rho"), F.lit(30)).alias("concepts"), S.run_name(F.lit("sine"), F.col("rho"), F.lit(0.5), F.lit(0.25), F.col("r")).alias("name"))
+
+
+@register("slugs", r"SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM supplier")
+def slugs(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", S.slugify(F.col("s_name")).alias("slug"))
+
+
+@register(
+    "parameter_namespaces",
+    NAMED_SQL + """ SELECT name, CASE WHEN name LIKE 'shared.%' THEN 'shared' WHEN name LIKE 'expert.%' THEN 'expert' ELSE 'other' END AS space, CASE WHEN name LIKE 'expert.%' THEN CAST(split_part(name, '.', 2) AS BIGINT) END AS slot,
+  CASE WHEN name LIKE 'expert.%' THEN 'expert.7.head' ELSE name END AS moved, count(*) AS n FROM named GROUP BY ALL""",
+)
+def namespaces(spark, sf):
+    rows = named_params(spark, sf).groupBy("name").agg(F.count("*").alias("n"))
+    return rows.select("name", S.namespace(F.col("name")).alias("space"), S.expert_slot(F.col("name")).cast("long").alias("slot"), S.remap_expert(F.col("name"), F.lit(7)).alias("moved"), "n")
+
+
+@register("year_bins", "SELECT o_orderkey, greatest(0, least(3, CAST(floor((year(o_orderdate) - 1992) * 4 / 7.0) AS BIGINT))) AS bin FROM orders")
+def year_bins(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", S.year_bin(F.year("o_orderdate"), 1992, 1998, 4).alias("bin"))
+
+
+@register("formatted_cells", "SELECT s_suppkey, printf('%.3f', s_acctbal) AS text, CASE WHEN s_acctbal >= 1e3 THEN printf('%.1fK', s_acctbal / 1e3) ELSE printf('%.0f', s_acctbal) END AS size FROM supplier")
+def formatted(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", S.shown(F.col("s_acctbal")).alias("text"), S.shown_bytes(F.col("s_acctbal")).alias("size"))
+
+
