@@ -8,10 +8,10 @@ also starts in a document with a smaller id.
    Consecutive windows with one anchor form a piece: about one for 22 words.
    Pieces are reduced by anchor, with partial aggregation: an anchor recurs if it
    stands in two documents at least.
-2. Confirmed passages. Where all pieces of an anchor are the same, word for word,
-   the piece goes from all documents but the first.
-3. Automata. Other recurring phrases stand in differing surroundings. Documents
-   that hold one are dealt out by id; every task is a shard, compiles its
+2. Confirmed passages. Of pieces that are the same, word for word, all go but the
+   first document's.
+3. Automata. Anchors that also stand in differing surroundings are left with one
+   document for each different piece. Those documents are dealt out by id; every task is a shard, compiles its
    documents' recurring phrases into Aho-Corasick automata (one for each slice of
    bounded size) and streams the documents through to locate every occurrence.
    The windows around located anchors are confirmed by their own hash, reduced
@@ -148,26 +148,36 @@ def window_rows(held: DataFrame, window: int) -> DataFrame:
     return held.mapInArrow(run, "fp long, wh long, doc long, th long, at long")
 
 
-def anchor_rows(pieces_: DataFrame, window: int) -> DataFrame:
-    """The recurring pieces, joined to what is known of their anchor."""
+def anchor_rows(pieces_: DataFrame) -> DataFrame:
+    """The recurring pieces, with ``whole``: an earlier document has the same piece.
+
+    Of equal pieces only the first is not whole. What is reduced is written before it
+    is joined, so that both sides of the join have a shuffle of their own, which AQE
+    can split for a hot anchor."""
     known = pieces_.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("ph").alias("p0"), F.max("ph").alias("p1")).where("lo < hi")
-    return pieces_.join(known.select("fp", "lo", (F.col("p0") == F.col("p1")).alias("same")), "fp")
+    known = materialize(known.select("fp", "lo", (F.col("p0") == F.col("p1")).alias("same")), "anchors")
+    recurring = materialize(pieces_.join(known, "fp").where("not same or doc > lo"), "recurring-pieces")
+    mixed = recurring.where("not same").select("doc", "th", "fp", "ph", "at")
+    first = materialize(mixed.groupBy("fp", "ph").agg(F.min("doc").alias("first")), "first-pieces")
+    mixed = mixed.join(first, ["fp", "ph"]).select("doc", "th", "at", (F.col("doc") > F.col("first")).alias("whole"))
+    return recurring.where("same").select("doc", "th", "at", F.lit(True).alias("whole")).unionByName(mixed)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
     """``docs`` with one more column, a struct whose name is returned too: ``n_words``,
     ``n_removed``, ``kept`` (words joined by one space) and ``spans`` (removed ranges of words)."""
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("th"), F.coalesce(text_col, F.lit("")).alias("text"))
-    recurring = materialize(anchor_rows(piece_rows(ids, window), window).where("not same or doc > lo").select("doc", "th", "at", "same"), "recurring-pieces")
+    recurring = materialize(anchor_rows(piece_rows(ids, window)), "repeated-pieces")
 
     # phrases are found again by the automata, so a document's list only names where they were chosen
-    mixed = recurring.where("not same").groupBy("doc", "th").agg(F.collect_set("at").alias("at"))
+    mixed = recurring.where("not whole").groupBy("doc", "th").agg(F.collect_set("at").alias("at"))
     held = ids.join(mixed, ["doc", "th"]).select("doc", "th", "text", "at")
     around = materialize(window_rows(_anchors(held, window), window), "passage-windows")
     first = around.groupBy("fp", "wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp", "wh", "lo")
+    first = materialize(first, "first-windows")
     late = around.join(first, ["fp", "wh"]).where("doc > lo").select("doc", "th", (F.col("at") * 64 + 1).alias("at"))
 
-    whole = recurring.where("same").select("doc", "th", "at")
+    whole = recurring.where("whole").select("doc", "th", "at")
     gone = whole.unionByName(late).groupBy("doc", "th").agg(F.collect_set("at").alias("at"))
     names = [fresh_name(docs, x) for x in ("repeat_doc", "repeat_hash", "repeat_at", "repeats")]
     gone = gone.select(F.col("doc").alias(names[0]), F.col("th").alias(names[1]), F.col("at").alias(names[2]))
