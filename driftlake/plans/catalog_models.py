@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from driftlake.functions import scalars as S
 from driftlake.functions import vectors as V
 from driftlake.operators import federation, fingerprint, posterior
+from driftlake.plans import rounds
 from driftlake.plans.catalog import register, rounded
+from driftlake.sources import generators
 from driftlake.sources.views import PARAMS_SQL, SAMPLES_SQL, table, vector_params, vector_samples
+from driftlake.streaming import detectors, tracking
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -373,3 +376,154 @@ def formatted(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", S.shown(F.col("s_acctbal")).alias("text"), S.shown_bytes(F.col("s_acctbal")).alias("size"))
 
 
+
+
+# ---------------------------------------------------------------- streams
+
+
+def event_values(spark, sf):
+    """Each user's events in order, as an error indicator."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    return rows.select(F.col("user_id").alias("client"), (F.row_number().over(w) - 1).cast("long").alias("seq"), "value", "event_type")
+
+
+VALUES_SQL = """WITH v AS (SELECT user_id AS client, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, value, event_type FROM events)"""
+
+
+@register("adwin_detections")
+def adwin(spark, sf):
+    return detectors.detect(event_values(spark, sf), "adwin", delta=0.2)
+
+
+@register("page_hinkley_detections")
+def page_hinkley(spark, sf):
+    return detectors.detect(event_values(spark, sf), "page_hinkley", threshold=20.0)
+
+
+@register("kswin_detections")
+def kswin(spark, sf):
+    return detectors.detect(event_values(spark, sf), "kswin", window=40, latest=15, alpha=0.05)
+
+
+@register(
+    "page_hinkley_statistic",
+    VALUES_SQL
+    + """, g AS (SELECT client, seq, value - avg(value) OVER (PARTITION BY client ORDER BY seq) - 0.005 AS gap FROM v),
+u AS (SELECT client, seq, sum(gap) OVER (PARTITION BY client ORDER BY seq) AS up FROM g)
+SELECT client, seq, round(up - least(0.0, min(up) OVER (PARTITION BY client ORDER BY seq)), 6) + 0.0 AS statistic FROM u""",
+)
+def page_hinkley_statistic(spark, sf):
+    return rounded(detectors.page_hinkley_statistic(event_values(spark, sf)))
+
+
+@register("hourly_counts", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def hourly_counts(spark, sf):
+    events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return rounded(tracking.windowed_counts(events).select(F.unix_timestamp("window.start").alias("hour"), "event_type", "n", "mean"))
+
+
+@register("tracked_concepts")
+def tracked(spark, sf):
+    rows = event_values(spark, sf)
+    kinds = [F.avg((F.col("event_type") == k).cast("double")) for k in ("click", "view", "purchase", "signup", "error")]
+    batches = rows.groupBy("client", F.floor(F.col("seq") / 10).alias("t")).agg(F.array(F.avg("value"), *kinds).alias("vector"), (F.max("value") > 100).alias("drifted"))
+    return tracking.track(batches)
+
+
+# ---------------------------------------------------------------- generators and rounds
+
+
+@register("generated_grid")
+def generated_grid(spark, sf):
+    return generators.concept_grid(spark, generators.GeneratorConfig(clients=20, steps=40, rho=8))
+
+
+@register("generated_samples")
+def generated_samples(spark, sf):
+    c = generators.GeneratorConfig(clients=4, steps=5, n_samples=20)
+    return generators.samples(generators.concept_grid(spark, c), c)
+
+
+@register("concept_specs", "SELECT id AS concept, 'sine' AS kind, id % 4 AS variant, CAST(0.5 AS DOUBLE) AS noise FROM (SELECT unnest(range(10)) AS id)")
+def concept_specs(spark, sf):
+    return generators.concept_specs(spark, 10, "sine", 0.5)
+
+
+@register("balanced_groups")
+def balanced_groups(spark, sf):
+    return generators.balance_groups(generators.concept_grid(spark, generators.GeneratorConfig(clients=12, steps=20, rho=5, alpha=1.0)), 2)
+
+
+@register(
+    "stratified_split",
+    """SELECT label, CAST(least(count(*), greatest(1, round_even(count(*) * 0.2, 0))) AS BIGINT) AS test, count(*) AS n FROM embeddings GROUP BY label""",
+)
+def stratified_split(spark, sf):
+    pool = generators.stratified_split(table(spark, sf, "embeddings").select("vec_id", "label"), ["label"], "vec_id", 0.2)
+    return pool.groupBy("label").agg(F.count(F.when(F.col("split") == "test", 1)).alias("test"), F.count("*").alias("n"))
+
+
+@register("half_split", f"WITH {SAMPLES_SQL}, n AS (SELECT client, t, row_id, row_number() OVER (PARTITION BY client, t ORDER BY row_id) AS i, count(*) OVER (PARTITION BY client, t) AS c FROM samples) SELECT client, t, row_id, CASE WHEN i <= c // 2 THEN 'test' ELSE 'train' END AS split FROM n")
+def half_split(spark, sf):
+    return generators.half_split(vector_samples(spark, sf)).select("client", "t", "row_id", "split")
+
+
+@register("rows_per_class", "SELECT label, least(count(*), 20) AS n FROM embeddings GROUP BY label")
+def rows_per_class(spark, sf):
+    return generators.per_class(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id", 20).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@register(
+    "largest_remainder",
+    """WITH s AS (SELECT c_nationkey AS client, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 1, 2), p AS (SELECT client, label, n / sum(n) OVER (PARTITION BY client) * 37 AS e FROM s),
+r AS (SELECT client, label, CAST(floor(e) AS BIGINT) AS f, 37 - sum(CAST(floor(e) AS BIGINT)) OVER (PARTITION BY client) AS rest, row_number() OVER (PARTITION BY client ORDER BY round(e - floor(e), 9) DESC, label) AS nth FROM p)
+SELECT client, label, CAST(f + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM r""",
+)
+def largest_remainder(spark, sf):
+    from pyspark.sql import Window
+
+    s = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("client"), F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("c"))
+    shares = s.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("client")))
+    return generators.largest_remainder(shares, ["client"], "share", 37, "label").select("client", "label", "n")
+
+
+@register("balanced_draw", "SELECT client, t, label, 5 + CASE WHEN label < 4 THEN 1 ELSE 0 END AS n FROM (SELECT DISTINCT vec_id % 3 AS client, vec_id % 2 AS t, label FROM embeddings CROSS JOIN (SELECT 1)) GROUP BY ALL")
+def balanced_draw(spark, sf):
+    pool = table(spark, sf, "embeddings").select("vec_id", "label")
+    cells = spark.range(6).select((F.col("id") % 3).alias("client"), (F.col("id") % 2).alias("t")).distinct()
+    drawn = generators.balanced_draw(pool, "label", "vec_id", 54, 10, cells)
+    return drawn.groupBy("client", "t", "label").agg(F.count("*").alias("n")).select("client", "t", "label", F.col("n").cast("int").alias("n"))
+
+
+@register("participants", "WITH g AS (SELECT vec_id % 20 AS client, vec_id // 20 AS t FROM embeddings) SELECT t, CAST(greatest(1, ceil(count(*) * 0.3)) AS BIGINT) AS n FROM g GROUP BY t")
+def participants(spark, sf):
+    cells = table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("client"), F.floor(F.col("vec_id") / 20).alias("t"))
+    return generators.participants(cells, 0.3).groupBy("t").agg(F.count("*").alias("n"))
+
+
+@register("least_squares")
+def least_squares(spark, sf):
+    rows = vector_samples(spark, sf).withColumn("x", F.slice("x", 1, 4)).withColumn("y", V.total("x") * 2 + 1)
+    return rounded(generators.ordinary_least_squares(rows, ["client"]).select("client", F.posexplode("coef").alias("i", "coef")))
+
+
+def small_settings(spark, methods):
+    rows = [(f"run{s}", m, s, 4, 6, 40, 3.0, 0.5, 0.5, "sine", 1) for m in methods for s in (42, 43)]
+    return spark.createDataFrame(rows, "run string, method string, seed long, K long, T long, n long, rho double, alpha double, delta double, kind string, every long")
+
+
+@register("simulated_methods")
+def simulated_methods(spark, sf):
+    """Every method on two small settings: final mean accuracy and bytes."""
+    grid = rounds.simulate(small_settings(spark, list(rounds.METHODS)))
+    return rounded(grid.groupBy("method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes"), F.count("*").alias("cells")))
+
+
+@register("simulated_on_samples")
+def simulated_on_samples(spark, sf):
+    samples = vector_samples(spark, sf).withColumn("run", F.lit("vectors"))
+    grid = samples.select("run", "client", "t").distinct().withColumn("gt", F.col("client") % 2)
+    return rounded(rounds.simulate_on(samples, grid, "FedAvg").groupBy("method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes")))
