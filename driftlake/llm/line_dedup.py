@@ -20,12 +20,10 @@ repeated in the document that keeps it stays as often as it stands there.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import fresh_name, fresh_path, table, text_key
+from driftlake.llm.common import fresh_name, fresh_path, materialize, table, text_key
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +104,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         part = ids.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
         keys = line_rows(part, "doc", "text", least_chars)
         runs.add(keys.groupBy(*KEY).agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("top")))
-    common = runs.totals().where(F.col("n") >= least_docs).select(*KEY, "top")
+    # written first, so that both sides of the join have a shuffle of their own, which AQE can split for a hot line
+    common = materialize(runs.totals().where(F.col("n") >= least_docs).select(*KEY, "top"), "common-lines")
     drops = line_rows(ids, "doc", "text", least_chars).join(common, KEY).where(F.col("doc") < F.col("top"))
     drops = drops.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
 
