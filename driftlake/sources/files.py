@@ -39,8 +39,8 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of a results folder: each subfolder's config.json joined to its metrics.json; malformed files are left out."""
 
     def read(name: str, schema: str) -> DataFrame:
-        rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
-        return rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)).where("_corrupt is null").drop("_corrupt")
+        rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
+        return rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
 
     both = read("config.json", CONFIG_SCHEMA).join(read("metrics.json", METRICS_SCHEMA), "run")
     return both.withColumn("rho", F.when(F.lower("rho") == "inf", F.lit(float("inf"))).otherwise(F.col("rho").try_cast("double")))
