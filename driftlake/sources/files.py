@@ -52,7 +52,8 @@ def read_sweep_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     """Doubles with fixed digits, empty for null."""
-    shown = [F.when(F.col(c).isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    at = lambda c: F.col(f"`{c}`")
+    shown = [F.when(at(c).isNull(), "").otherwise(F.format_string(f"%.{digits}f", at(c))).alias(c) if t in ("double", "float") else at(c) for c, t in df.dtypes]
     df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
 
 
