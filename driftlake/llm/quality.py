@@ -86,8 +86,11 @@ class Texts:
         letters = self._count((self.data >= 65) & (self.data < 91)), self._count((self.low >= 97) & (self.low < 123))
         symbols = self._count(_SYMBOL[self.data])
         stop = _STOP[np.minimum(np.searchsorted(_STOP, self.hash), len(_STOP) - 1)] == self.hash
-        pairs = np.unique(np.stack([self.of.astype(np.uint64), self.hash]), axis=1)[0].astype(np.int64) if len(self.of) else np.zeros(0, np.int64)
-        variety = np.bincount(pairs, minlength=len(self.n)) / np.maximum(self.n, 1)
+        order = np.lexsort((self.hash, self.of))
+        value, text = self.hash[order], self.of[order]
+        fresh = np.ones(len(value), bool)
+        fresh[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+        variety = np.bincount(text[fresh], minlength=len(self.n)) / np.maximum(self.n, 1)
         marks = _SYMBOL[self.data[self.ends - 1]] & (size > 1) if len(size) else np.zeros(0, bool)
         pipe = (size == 1) & (self.data[self.starts] == 124) if len(size) else np.zeros(0, bool)
         share = lambda a, b: self.mean(a) / np.maximum(self.mean(b), 1e-9)
@@ -290,9 +293,17 @@ def classify(docs: DataFrame, scorers: tuple[Scorer, Scorer | None], text_col: s
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)])), name
 
 
+def label_sample(labels: DataFrame, id_col: str, toxic_col: str, most: int = SAMPLE) -> DataFrame:
+    """About ``most`` labelled ids, chosen by a hash of the id: a frame of bounded size."""
+    labels = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).select(id_col, toxic_col)
+    n = labels.count()
+    return labels.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20)))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, toxicity and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    # the sample is bounded, so it is broadcast and no text is shuffled
+    labelled = docs.join(F.broadcast(label_sample(table(spark, sf_dir, "labels"), "doc_id", "toxic")), "doc_id")
     found, c = classify(docs, train(docs, labelled=labelled))
     return found.select("doc_id", *[F.col(f"{c}.{x}").alias(x) for x in ("score", "toxic", "keep")])
