@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions import scalars as S
 from driftlake.functions import vectors as V
-from driftlake.operators import federation, fingerprint, posterior
+from driftlake.operators import federation, fingerprint, posterior, routing
 from driftlake.plans import rounds
 from driftlake.plans.catalog import register, rounded
 from driftlake.sources import generators
@@ -527,3 +527,138 @@ def simulated_on_samples(spark, sf):
     samples = vector_samples(spark, sf).withColumn("run", F.lit("vectors"))
     grid = samples.select("run", "client", "t").distinct().withColumn("gt", F.col("client") % 2)
     return rounded(rounds.simulate_on(samples, grid, "FedAvg").groupBy("method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes")))
+
+
+# ---------------------------------------------------------------- routing
+
+
+def unit_vectors(spark, sf):
+    return table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("round"), F.col("vec_id").alias("client"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"), "label")
+
+
+@register("projected_signatures")
+def projected_signatures(spark, sf):
+    matrix = routing.projection(64, 8, 7)
+    s = unit_vectors(spark, sf).select("client", routing.signature("vector", matrix).alias("s"))
+    return rounded(s.select("client", V.norm("s").alias("norm"), F.element_at("s", 1).alias("first")))
+
+
+@register(
+    "routing_losses",
+    VECTORS_SQL
+    + """, s AS (SELECT vec_id, list_inner_product(x, y) / sqrt(list_inner_product(x, x)) / sqrt(list_inner_product(y, y)) AS c, CASE WHEN vec_id % 3 > 0 THEN exp(-list_sum(list_transform(list_zip(x, y), lambda z: power(z[1] - z[2], 2)))) END AS g FROM p)
+SELECT vec_id, round(CASE WHEN g IS NULL THEN 1 - c ELSE (0.7 * (1 - c) + 0.3 * (1 - g)) END, 6) AS loss FROM s""",
+)
+def routing_losses(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    kernel = F.when(F.col("vec_id") % 3 > 0, F.exp(-V.square_distance("x", "y")))
+    return rounded(p.select("vec_id", routing.routing_loss({"cosine": (V.cosine("x", "y"), 0.7), "kernel": (kernel, 0.3)}).alias("loss")))
+
+
+@register("two_way_splits")
+def two_way_splits(spark, sf):
+    return routing.two_way_split(unit_vectors(spark, sf), "round", "client")
+
+
+@register("novel_clusters")
+def novel_clusters(spark, sf):
+    return routing.novel_clusters(unit_vectors(spark, sf), "round", "client", 0.2)
+
+
+@register("spectral_clusters")
+def spectral_clusters(spark, sf):
+    return routing.spectral_clusters(unit_vectors(spark, sf), "round", "client")
+
+
+@register(
+    "largest_clusters",
+    """WITH c AS (SELECT vec_id % 20 AS round, CAST(label AS BIGINT) AS cluster, vec_id AS member, CAST(vec_id % 7 AS DOUBLE) AS gap FROM embeddings),
+s AS (SELECT round, cluster, count(*) AS size, avg(gap) AS mean_gap, min(member) AS first FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY size DESC, mean_gap DESC, first) AS nth FROM s)
+SELECT round, cluster, size, round(mean_gap, 6) AS mean_gap, first FROM r WHERE nth <= 3""",
+)
+def largest_clusters(spark, sf):
+    c = unit_vectors(spark, sf).select("round", F.col("label").cast("long").alias("cluster"), F.col("client").alias("member"), (F.col("client") % 7).cast("double").alias("gap"))
+    sizes = routing.largest_clusters(c, "round", 3)
+    return rounded(sizes)
+
+
+@register("transport_similarities")
+def transport_similarities(spark, sf):
+    proto = fingerprint.prototypes(vector_samples(spark, sf), ["client"])
+    own = proto.groupBy("client").agg(F.collect_list("mean").alias("points"), F.collect_list(F.col("n").cast("double")).alias("mass"))
+    both = own.select("client", F.col("points").alias("a_points"), F.col("mass").alias("a_mass")).join(own.select((F.col("client") - 1).alias("client"), F.col("points").alias("b_points"), F.col("mass").alias("b_mass")), "client")
+    return rounded(routing.transport_similarity(both, "client"))
+
+
+@register(
+    "composed_downloads",
+    NAMED_SQL
+    + """, sl AS (SELECT client AS slot, name, idx, val FROM named WHERE client < 6), w AS (SELECT c AS client, s AS slot, (1 + (c * 3 + s) % 5) / 10.0 AS w FROM (SELECT unnest(range(4)) AS c), (SELECT unnest(range(6)) AS s)),
+r AS (SELECT w.client, sl.*, w FROM w JOIN sl USING (slot))
+SELECT client, name, idx, round(CASE WHEN name LIKE 'shared.%' THEN sum(w * val) / sum(w) ELSE arg_min(val, (-w, slot)) END, 6) AS val FROM r GROUP BY client, name, idx""",
+)
+def composed_downloads(spark, sf):
+    slots = named_params(spark, sf).where("client < 6").select(F.col("client").alias("slot"), "name", "idx", "val")
+    w = spark.range(24).select((F.col("id") / 6).cast("long").alias("client"), (F.col("id") % 6).alias("slot")).withColumn("w", (1 + (F.col("client") * 3 + F.col("slot")) % 5) / 10.0)
+    return rounded(routing.composed_download(w, slots))
+
+
+@register(
+    "anchor_buffers",
+    """WITH v AS (SELECT user_id AS slot, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, value FROM events)
+SELECT a.slot, a.seq, round(sum(b.value * power(0.8, a.seq - b.seq)) / sum(power(0.8, a.seq - b.seq)), 6) AS anchor FROM v a JOIN v b ON a.slot = b.slot AND b.seq BETWEEN a.seq - 4 AND a.seq GROUP BY 1, 2""",
+)
+def anchor_buffers(spark, sf):
+    return rounded(routing.anchor_buffer(event_values(spark, sf).select(F.col("client").alias("slot"), "seq", "value"), 5, 0.8))
+
+
+@register(
+    "cached_values",
+    VALUES_SQL
+    + """, k AS (SELECT client, seq, CASE WHEN event_type = 'purchase' THEN value END AS value FROM v),
+f AS (SELECT client, seq, last_value(value IGNORE NULLS) OVER w AS value, last_value(CASE WHEN value IS NOT NULL THEN seq END IGNORE NULLS) OVER w AS at_seq FROM k WINDOW w AS (PARTITION BY client ORDER BY seq))
+SELECT client AS key, seq AS round, CASE WHEN seq - at_seq <= 3 THEN value END AS value FROM f""",
+)
+def cached_values(spark, sf):
+    rows = event_values(spark, sf).select(F.col("client").alias("key"), F.col("seq").alias("round"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("value"))
+    return routing.cached_value(rows, 3)
+
+
+@register("frozen_rounds", VALUES_SQL + " SELECT seq AS round, round(avg(value), 6) AS mean_drift, seq > 0 AND avg(value) <= 48 AS frozen FROM v GROUP BY seq")
+def frozen_rounds(spark, sf):
+    return rounded(routing.frozen_rounds(event_values(spark, sf).select(F.col("seq").alias("round"), F.col("value").alias("drift")), 48.0))
+
+
+@register(
+    "recalled_models",
+    VALUES_SQL + """, s AS (SELECT client, seq, value FROM v WHERE event_type = 'view'), a AS (SELECT client, seq FROM v WHERE event_type = 'purchase')
+SELECT a.client AS slot, a.seq AS round, (SELECT arg_max(s.value, s.seq) FROM s WHERE s.client = a.client AND s.seq <= a.seq) AS val FROM a""",
+)
+def recalled_models(spark, sf):
+    v = event_values(spark, sf)
+    stored = v.where("event_type = 'view'").select(F.col("client").alias("slot"), F.col("seq").alias("round"), F.col("value").alias("val"))
+    return routing.recall_model(stored, v.where("event_type = 'purchase'").select(F.col("client").alias("slot"), F.col("seq").alias("round")))
+
+
+@register("sample_dimensions", f"WITH {SAMPLES_SQL} SELECT count(DISTINCT client) AS clients, max(t) + 1 AS steps, CAST(max(len(x)) AS BIGINT) AS features, max(y) + 1 AS classes FROM samples")
+def sample_dimensions(spark, sf):
+    return rounded(routing.dimensions(vector_samples(spark, sf)))
+
+
+@register("federation_steps", "WITH g AS (SELECT DISTINCT vec_id // 20 AS t FROM embeddings) SELECT t FROM g WHERE (t + 1) % 5 = 0 AND t < (SELECT max(t) FROM g)")
+def federation_steps(spark, sf):
+    return routing.ensure_round_trip(table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("t")), 5)
+
+
+@register("method_names", "SELECT 'IFCA' AS method, 0 AS nth UNION ALL SELECT 'TwoPhase', 1 UNION ALL SELECT 'FedAvg', 3")
+def method_names(spark, sf):
+    names = spark.createDataFrame([("IFCA", 0), ("TwoPhase-spectral", 1), ("FeSEM", 2), ("FedAvg", 3), ("TwoPhase", 4)], "method string, nth int")
+    named = names.select(S.canonical_method(F.col("method"), {"FeSEM": "IFCA"}, ("TwoPhase",)).alias("method"), "nth")
+    return S.first_of_each(named, "method", "nth")
+
+
+@register("parsed_lists", "SELECT 0 AS id, 3 AS n, CAST('inf' AS DOUBLE) AS last UNION ALL SELECT 1, 1, CAST(2.5 AS DOUBLE)")
+def parsed_lists(spark, sf):
+    rows = spark.createDataFrame([(0, "2, 5, inf"), (1, "2.5")], "id int, text string")
+    return rows.select("id", F.size(S.parse_floats(F.col("text"))).alias("n"), F.element_at(S.parse_floats(F.col("text")), -1).alias("last"))
