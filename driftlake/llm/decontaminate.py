@@ -193,6 +193,34 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), t AS (
+  SELECT item, m, array_to_string(ws[i : i + m - 1], ' ') AS key
+  FROM (SELECT item, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), s AS (
+  SELECT doc, m, i, array_to_string(ws[i : i + m - 1], ' ') AS key
+  FROM (SELECT doc, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM t) WHERE len(ws) >= m)
+), h AS (
+  SELECT doc, s.i, s.m, item FROM s JOIN t ON s.m = t.m AND s.key = t.key
+), c AS (
+  SELECT doc, count(DISTINCT p) AS n FROM (SELECT doc, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc
+), n AS (
+  SELECT doc, count(DISTINCT item) AS items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h GROUP BY doc
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc = c.doc LEFT JOIN n ON d.doc = n.doc
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
     """Plain reference for tests: rows of (doc_id, text) and (item_id, text)."""
     import re

@@ -279,6 +279,32 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "class_id", "n_links", "n_copies").unionByName(rest)
 
 
+#: All pairs that share a shingle, for tables with distinct ids; for checking only.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y, c = a.n AND c = b.n AS copy FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 9 * c >= 4 * (a.n + b.n)
+), e AS (
+  SELECT x, y, copy FROM l UNION ALL SELECT y, x, copy FROM l
+), r AS (
+  SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.node = e.x
+), c AS (
+  SELECT doc_id, min(node) AS class_id FROM r GROUP BY doc_id
+), k AS (
+  SELECT x AS doc_id, count(*) AS links, count(*) FILTER (WHERE copy) AS copies FROM e GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(links, 0) AS n_links, 1 + coalesce(copies, 0) AS n_copies FROM c LEFT JOIN k USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], threshold: float = 0.8, k: int = SHINGLE) -> list[tuple]:
     """Plain reference for tests: (doc_id, class_id, n_links) of rows with distinct ids."""
     import re

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm.bpe import op5_bpe
-from driftlake.llm.decontaminate import op9_decontaminate
+from driftlake.llm.decontaminate import OP9_SQL, op9_decontaminate
 from driftlake.llm.html_text import op6_html_text
-from driftlake.llm.jaccard_join import op3_jaccard_join
+from driftlake.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from driftlake.llm.language_id import op1_language_id
 from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from driftlake.llm.quality import op7_quality
-from driftlake.llm.substring_dedup import op2_substring_dedup
+from driftlake.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from driftlake.llm.topk import OP10_SQL, op10_topk
 from driftlake.llm.warc import OP8_SQL, op8_warc
 
@@ -41,7 +41,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for those that SQL expresses over whole tables.
 SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op8_warc": OP8_SQL,
+    "op9_decontaminate": OP9_SQL,
     "op10_topk": OP10_SQL,
 }

@@ -241,6 +241,26 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col(f"{c}.n_words").alias("n_words"), F.col(f"{c}.n_removed").alias("n_removed"), F.sha2(F.col(f"{c}.kept"), 256).alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, doc, i, md5(array_to_string(ws[i : i + 49], ' ')) AS key
+  FROM (SELECT doc_id, doc, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE doc_id IS NOT NULL AND len(ws) >= 50)
+), f AS (
+  SELECT key, min(doc_id) AS first FROM w GROUP BY key
+), g AS (
+  SELECT DISTINCT doc, unnest(range(i, i + 50)) AS i FROM w JOIN f USING (key) WHERE first < doc_id
+), k AS (
+  SELECT a.doc, string_agg(w, ' ' ORDER BY a.i) AS kept, count(*) AS n
+  FROM (SELECT doc, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d) a LEFT JOIN g ON a.doc = g.doc AND a.i = g.i
+  WHERE g.doc IS NULL GROUP BY a.doc
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc = k.doc
+"""
+
+
 def brute_force(docs: list[tuple], window: int = WINDOW) -> list[tuple]:
     """Plain reference for tests: (doc_id, n_words, n_removed, kept words)."""
     import re
