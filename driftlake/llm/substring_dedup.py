@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlake.llm.common import SPACE_WORDS, buffers, fresh_name, gram_hashes, gram_prefix, materialize, mix, powers, slices, table, text_key, word_hashes, words
-from driftlake.llm.common import _GRAM_INV
+from driftlake.llm.common import _GRAM_INV, SPACE_WORDS, buffers, fresh_name, gram_hashes, gram_prefix, materialize, mix, powers, slices, table, text_key, word_hashes, words
 
 WINDOW = 50
 PHRASE = 8
+PACK = 1 << 20
 
 
 @dataclass
@@ -79,13 +79,14 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int, hashes: bool = Fa
     lo, where = at[begin], own[begin]
     total = gram_prefix(h)
     run = (total[lo + count + window - 1] - total[lo]) * powers(_GRAM_INV, len(total))[lo]
-    ph = mix(mix(run) ^ ((where - lo) * 64 + count).astype(np.uint64))
+    ph = mix(mix(run) ^ _pack(where - lo, count).astype(np.uint64))
     base = first[text[lo]]
     return Pieces(text[lo], lo - base, count, where - base, grams[where].view(np.int64), ph.view(np.int64), first, gram_hashes(h, window).view(np.int64) if hashes else none)
 
 
 def _pack(start, count):
-    return start * 64 + count
+    """A piece's first word and number of windows in one whole number."""
+    return start * PACK + count
 
 
 def piece_rows(ids: DataFrame, window: int) -> DataFrame:
@@ -103,14 +104,14 @@ def piece_rows(ids: DataFrame, window: int) -> DataFrame:
     return ids.mapInArrow(run, "doc long, th long, fp long, ph long, at long")
 
 
-def located(texts: list[bytes], anchors: list[list[int]]) -> Iterator[np.ndarray]:
-    """Compiles the phrases that stand at the given words into an automaton, streams the
+def located(texts: list[bytes], anchors: list[list[int]], k: int = PHRASE) -> Iterator[np.ndarray]:
+    """Compiles the phrases of k words that stand at the given words into an automaton, streams the
     texts through it and gives, for each text, the words at which a phrase begins."""
     automaton = ahocorasick.Automaton()
     split = [t.split() for t in texts]
     for ws, at in zip(split, anchors, strict=True):
         for a in at:
-            phrase = " " + b" ".join(ws[a : a + PHRASE]).decode("latin-1") + " "
+            phrase = " " + b" ".join(ws[a : a + k]).decode("latin-1") + " "
             automaton.add_word(phrase, len(phrase))
     if not len(automaton):
         yield from (np.zeros(0, np.int64) for _ in texts)
@@ -136,7 +137,7 @@ def window_rows(held: DataFrame, window: int) -> DataFrame:
                 part = data[offsets[lo] : offsets[hi]]
                 raw = part.tobytes()
                 p = pieces(part, own, window, hashes=True)
-                where = located([raw[a:b] for a, b in zip(own, own[1:], strict=False)], anchors.slice(lo, hi - lo).to_pylist())
+                where = located([raw[a:b] for a, b in zip(own, own[1:], strict=False)], anchors.slice(lo, hi - lo).to_pylist(), min(PHRASE, window))
                 phrase = np.concatenate([np.zeros(0, np.int64), *(w + p.first[d] for d, w in enumerate(where))])
                 use = np.flatnonzero(np.isin(p.anchor + p.first[p.text], phrase))
                 count = p.count[use]
@@ -175,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = materialize(window_rows(_anchors(held, window), window), "passage-windows")
     first = around.groupBy("fp", "wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp", "wh", "lo")
     first = materialize(first, "first-windows")
-    late = around.join(first, ["fp", "wh"]).where("doc > lo").select("doc", "th", (F.col("at") * 64 + 1).alias("at"))
+    late = around.join(first, ["fp", "wh"]).where("doc > lo").select("doc", "th", _pack(F.col("at"), 1).alias("at"))
 
     whole = recurring.where("whole").select("doc", "th", "at")
     gone = whole.unionByName(late).groupBy("doc", "th").agg(F.collect_set("at").alias("at"))
@@ -220,8 +221,8 @@ def _apply(both: DataFrame, docs: DataFrame, text_col: str, name: str, window: i
                 if ranges:
                     change = np.zeros(len(ws) + 1, np.int32)
                     packed = np.array(ranges, np.int64)
-                    np.add.at(change, packed // 64, 1)
-                    np.add.at(change, packed // 64 + packed % 64 + window - 1, -1)
+                    np.add.at(change, packed // PACK, 1)
+                    np.add.at(change, packed // PACK + packed % PACK + window - 1, -1)
                     out = np.cumsum(change[:-1]) > 0
                     cut = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8))).tolist()
                     edges = [0, *cut, len(ws)]

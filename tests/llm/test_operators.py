@@ -48,7 +48,7 @@ def same(got, want):
 
 def test_substring_dedup(spark):
     docs = odd_docs()
-    for window in (50, 12):
+    for window in (90, 50, 12, 4):
         found, c = substring_dedup.remove_repeats(frame(spark, docs), window=window)
         got = [(r[0], r[1].n_words, r[1].n_removed, r[1].kept) for r in found.select("doc_id", c).collect()]
         same(got, substring_dedup.brute_force(docs, window))
