@@ -35,7 +35,9 @@ from driftlake.llm.html_text import STOP_WORDS
 
 #: Hash bits of shape features and of word features.
 SHAPE_BITS, WORD_BITS = 16, 22
-SAMPLE = 6000
+SAMPLE = 5000
+#: Least log-likelihood ratio of a word feature of toxic documents.
+SIGNIFICANT = 16.0
 GOOD, BAD, ABSTAIN = 1, 0, 2
 LABELLERS = ("symbols", "capitals", "repeats", "pipes", "stop_words", "word_length", "variety", "trailing_marks")
 
@@ -172,19 +174,10 @@ class Scorer:
     def __init__(self, bits: int):
         self.bits, self.weights, self.bias = bits, np.zeros(1 << bits, np.float32), 0.0
 
-    def fit(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, significant: float | None = None, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
-        """AdaGrad on the whole sample; classes weigh alike.
-
-        With ``significant``, only features count that are more frequent in the second
-        class with at least that log-likelihood ratio, so chance words are left out."""
+    def fit(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
+        """AdaGrad on the whole sample; classes weigh alike."""
         n, share = len(target), float(np.clip(target.mean() if len(target) else 0.5, 1e-3, 1 - 1e-3))
         own, feature = np.unique(feature, return_inverse=True)
-        if significant is not None and n:
-            yes, all_ = np.bincount(feature, target[row], len(own)), np.bincount(feature, minlength=len(own))
-            part = np.clip(yes / all_, 1e-9, 1 - 1e-9)
-            gain = yes * np.log(part / share) + (all_ - yes) * np.log((1 - part) / (1 - share))
-            use = ((part > 0.8) & (gain >= significant))[feature]
-            row, feature, value = row[use], feature[use], value[use]
         weight = np.where(target >= 0.5, 0.5 / share, 0.5 / (1 - share))
         w, seen, seen_bias = np.zeros(len(own)), np.full(len(own), 1e-8), 1e-8
         for _ in range(rounds if n else 0):
@@ -223,8 +216,35 @@ def vote_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]
     return (codes[:, None] // 3 ** np.arange(len(LABELLERS))) % 3, got["n"].to_numpy().astype(float)
 
 
-def _sample(rows: DataFrame, text_col: str, kind: str, target: str | None, most: int) -> tuple:
-    """(row, feature, value, code or target) of about ``most`` rows, chosen by a hash of their text."""
+def significant_features(rows: DataFrame, text_col: str, target: str, least: float) -> np.ndarray:
+    """Word features that are more frequent in the second class with at least that log-likelihood
+    ratio, so that chance words are left out. Counts are made in Spark; few features pass."""
+    rows = rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(target).cast("double").alias("target"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            wanted = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(offsets):
+                text, feature, _ = Texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).word_features()
+                own, back = np.unique(feature, return_inverse=True)
+                yes, every = np.bincount(back, wanted[lo:hi][text], len(own)), np.bincount(back, minlength=len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(yes), pa.array(every.astype(float))], ["feature", "yes", "every"])
+
+    share = rows.agg(F.avg("target")).first()[0]
+    if share is None or not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    counts = rows.mapInArrow(run, "feature long, yes double, every double").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("every").alias("every"))
+    part = F.least(F.col("yes") / F.col("every"), F.lit(1 - 1e-9))
+    gain = F.col("yes") * F.log(part / share) + (F.col("every") - F.col("yes")) * F.log((1 - part) / (1 - share))
+    found = counts.where((F.col("yes") > 0.8 * F.col("every")) & (gain >= least)).select("feature").toPandas()
+    return np.sort(found["feature"].to_numpy().astype(np.int64))
+
+
+def _sample(rows: DataFrame, text_col: str, kind: str, target: str | None, most: int, only: np.ndarray | None = None) -> tuple:
+    """(row, feature, value, code or target) of about ``most`` rows, chosen by a hash of their text.
+
+    With ``only``, other features are left out."""
     rows = rows.where(F.col(text_col).isNotNull())
     n = rows.count()
     chosen = rows.where(F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20)))
@@ -236,6 +256,9 @@ def _sample(rows: DataFrame, text_col: str, kind: str, target: str | None, most:
             for lo, hi in slices(offsets):
                 t = Texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 text, feature, value = getattr(t, f"{kind}_features")()
+                if only is not None:
+                    use = np.isin(feature, only)
+                    text, feature, value = text[use], feature[use], value[use]
                 wanted = batch.column(1).slice(lo, hi - lo).to_numpy() if target else _code(t.votes())
                 edge = np.searchsorted(text, np.arange(hi - lo + 1))
                 use = np.flatnonzero(t.n)
@@ -259,8 +282,9 @@ def train(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None =
     quality = Scorer(SHAPE_BITS).fit(row, feature, value, np.array([post.get(c, 0.5) for c in code.tolist()]))
     toxic = None
     if labelled is not None:
-        row, feature, value, target = _sample(labelled.where(F.col(toxic_col).isNotNull()), text_col, "word", toxic_col, sample)
-        toxic = Scorer(WORD_BITS).fit(row, feature, value, target.astype(float), significant=16.0)
+        labelled = labelled.where(F.col(toxic_col).isNotNull())
+        row, feature, value, target = _sample(labelled, text_col, "word", toxic_col, sample, significant_features(labelled, text_col, toxic_col, SIGNIFICANT))
+        toxic = Scorer(WORD_BITS).fit(row, feature, value, target.astype(float))
     return quality, toxic
 
 
