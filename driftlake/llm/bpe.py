@@ -38,7 +38,7 @@ from driftlake.llm.common import _BYTE, buffers, fresh_name, mix, powers, slices
 ROLL = 16
 CHUNK_BITS = 9
 STORED_WORDS = 300_000
-STORED_CHUNKS = 40_000
+STORED_CHUNKS = 8_000
 _ROLL_BASE = 0xA0761D6478BD642F
 _ROLL_INV = pow(_ROLL_BASE, -1, 1 << 64)
 _SAFE = re.compile(r" (?=\S)")
@@ -185,8 +185,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, kee
         encoder = Encoder.get(path)
         for batch in batches:
             data, offsets = buffers(batch.column(at))
-            count, ids_hash, text_hash, lists = [], [], [], []
+            # results leave slice by slice, so a batch's ids are never held together
             for lo, hi in slices(offsets):
+                count, ids_hash, text_hash, lists = [], [], [], []
                 own = offsets[lo : hi + 1] - offsets[lo]
                 part = data[offsets[lo] : offsets[hi]]
                 raw = part.tobytes()
@@ -196,11 +197,11 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, kee
                     text_hash.append(hashlib.sha256(raw[own[d] : own[d + 1]] if back is None else back.encode()).hexdigest())
                     if keep_ids:
                         lists.append(np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32))
-            arrays = [pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            if keep_ids:
-                arrays.append(pa.array(lists, pa.list_(pa.int32())))
-            found = pa.StructArray.from_arrays(arrays, [f.name for f in fields])
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+                arrays = [pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                if keep_ids:
+                    arrays.append(pa.array(lists, pa.list_(pa.int32())))
+                found = pa.StructArray.from_arrays(arrays, [f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StructType(fields))])), name
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlake.llm.common import buffers, fresh_name, mix, slices, table
+from driftlake.llm.common import SLICE_BYTES, buffers, fresh_name, mix, slices, table
 
 BITS = 16
 PER_LANG = 3000
@@ -246,14 +246,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            column = batch.column(at)
-            _, offsets = buffers(column)
-            found = []
-            for lo, hi in slices(offsets, 1 << 20):
-                found += m.label([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
-            spans = [[{"lang": a, "first": b, "end": c} for a, b, c in s] for _, _, s in found]
-            made = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, arrow_span)], ["lang", "score", "spans"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+            _, offsets = buffers(batch.column(at))
+            for lo, hi in slices(offsets, SLICE_BYTES // 2):
+                part = batch.slice(lo, hi - lo)
+                found = list(m.label([t or "" for t in part.column(at).to_pylist()]))
+                spans = [[{"lang": a, "first": b, "end": c} for a, b, c in s] for _, _, s in found]
+                made = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, arrow_span)], ["lang", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)])), name
 
