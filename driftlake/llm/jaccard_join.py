@@ -145,7 +145,8 @@ def candidate_edges(classes: DataFrame, depth: int, part: int = PART) -> DataFra
     while True:
         sizes = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
         dealt = keys.join(sizes, ["tree", "key"]).withColumn("parts", F.ceil(F.col("n") / part)).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-        found = dealt.join(sig, "rep").groupBy("tree", "key", "part").applyInArrow(_leaders, "tree int, key long, a long, b long")
+        # dealt out by all three keys: by the first two alone a hot bucket's parts would share a task
+        found = dealt.join(sig, "rep").repartition("tree", "key", "part").groupBy("tree", "key", "part").applyInArrow(_leaders, "tree int, key long, a long, b long")
         found = materialize(found, "leader-edges")
         edges.append(found.where("a > b").select("a", "b"))
         large = sizes.where(F.col("n") > part).select("tree", "key")
@@ -239,7 +240,8 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     own = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = other.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "block", "text")
-    return pairs.groupBy("group", "i", "j").applyInArrow(verify_block(threshold), "rep long, links long, classes long, root long")
+    # dealt out by all three keys: by the group alone a hot group's pairs of blocks would share a task
+    return pairs.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(verify_block(threshold), "rep long, links long, classes long, root long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
