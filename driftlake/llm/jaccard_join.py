@@ -163,7 +163,12 @@ def candidate_edges(classes: DataFrame, depth: int, part: int = PART) -> DataFra
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return out.distinct()
+    # a class met a leader in up to every tree: its leaders are tied to their smallest, and it to that one,
+    # so the members of a large group bring about one edge each, not one for each tree
+    least = F.array_min("bs")
+    ties = out.groupBy("a").agg(F.collect_set("b").alias("bs"))
+    ties = ties.select(F.explode(F.concat(F.array(F.struct("a", least.alias("b"))), F.transform("bs", lambda b: F.struct(b.alias("a"), least.alias("b"))))).alias("e"))
+    return ties.select("e.a", "e.b").where("a > b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
