@@ -110,11 +110,11 @@ post AS (SELECT client, t, concept, loss, exp(l - max(l) OVER (PARTITION BY clie
 
 
 def centroid_losses(spark, sf):
-    """Squared distance of every third vector to every label's centroid; centroids are bounded by the labels."""
+    """Squared distance of every vector to every label's centroid; centroids are bounded by the labels."""
     params = vector_params(spark, sf)
     centre = params.groupBy("concept", "idx").agg(F.avg("val").alias("c"))
     centre = centre.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "c"))), lambda s: s["c"]).alias("centre"))
-    items = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("client"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    items = table(spark, sf, "embeddings").select(F.col("vec_id").alias("client"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     pairs = items.crossJoin(F.broadcast(centre))
     return pairs.select("client", (F.col("client") % 5).alias("t"), "concept", V.square_distance("x", "centre").alias("loss"))
 
@@ -171,7 +171,7 @@ def round_diagnostics(spark, sf):
 def nearest_slots(spark, sf):
     params = vector_params(spark, sf)
     centre = params.groupBy("concept", "idx").agg(F.avg("val").alias("c")).groupBy(F.col("concept").alias("slot")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "c"))), lambda s: s["c"]).alias("mean"))
-    items = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("client"), F.transform("embedding", lambda x: x.cast("double")).alias("mean"))
+    items = table(spark, sf, "embeddings").select(F.col("vec_id").alias("client"), F.transform("embedding", lambda x: x.cast("double")).alias("mean"))
     return rounded(posterior.nearest_slot(items, centre, "client"))
 
 
