@@ -72,15 +72,18 @@ def l2_normalise(a: Column | str) -> Column:
     return F.transform(col(a), lambda x: F.when(size > 1e-12, x / size).otherwise(x))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, not once an element of a lambda in it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(a: Column | str) -> Column:
-    top = F.array_max(col(a))
-    e = F.transform(col(a), lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = _bound(F.array_max(col(a)), lambda top: F.transform(col(a), lambda x: F.exp(x - top)))
+    return _bound(e, lambda v: _bound(total(v), lambda z: F.transform(v, lambda x: x / z)))
 
 
 def log_sum_exp(a: Column | str) -> Column:
-    top = F.array_max(col(a))
-    return top + F.log(total(F.transform(col(a), lambda x: F.exp(x - top))))
+    return _bound(F.array_max(col(a)), lambda top: top + F.log(total(F.transform(col(a), lambda x: F.exp(x - top)))))
 
 
 def entropy(p: Column | str, floor: float = 1e-12) -> Column:

@@ -97,8 +97,7 @@ c AS (SELECT a.y, a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM l a JOIN l b ON
 SELECT y, round(power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 6) AS effective_rank FROM c GROUP BY y""",
 )
 def effective_rank(spark, sf):
-    samples = vector_samples(spark, sf).withColumn("x", F.slice("x", 1, 8))
-    return rounded(fingerprint.effective_rank(samples, ["y"]))
+    return rounded(fingerprint.effective_rank(vector_samples(spark, sf), ["y"]))
 
 
 # ---------------------------------------------------------------- posteriors
@@ -333,7 +332,7 @@ def hellinger(spark, sf):
 SELECT vec_id, round(exp(x[1]) / z, 6) AS first, round(ln(z), 6) AS log_sum FROM s""",
 )
 def softmax(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return rounded(e.select("vec_id", F.element_at(V.softmax("x"), 1).alias("first"), V.log_sum_exp("x").alias("log_sum")))
 
 
@@ -506,7 +505,7 @@ def participants(spark, sf):
 
 @register("least_squares")
 def least_squares(spark, sf):
-    rows = vector_samples(spark, sf).withColumn("x", F.slice("x", 1, 4)).withColumn("y", V.total("x") * 2 + 1)
+    rows = vector_samples(spark, sf).withColumn("y", V.total("x") * 2 + 1)
     return rounded(generators.ordinary_least_squares(rows, ["client"]).select("client", F.posexplode("coef").alias("i", "coef")))
 
 
@@ -599,8 +598,9 @@ r AS (SELECT w.client, sl.*, w FROM w JOIN sl USING (slot))
 SELECT client, name, idx, round(CASE WHEN name LIKE 'shared.%' THEN sum(w * val) / sum(w) ELSE arg_min(val, (-w, slot)) END, 6) AS val FROM r GROUP BY client, name, idx""",
 )
 def composed_downloads(spark, sf):
-    slots = named_params(spark, sf).where("client < 6").select(F.col("client").alias("slot"), "name", "idx", "val")
-    w = spark.range(24).select((F.col("id") / 6).cast("long").alias("client"), (F.col("id") % 6).alias("slot")).withColumn("w", (1 + (F.col("client") * 3 + F.col("slot")) % 5) / 10.0)
+    slots = named_params(spark, sf).select(F.col("client").alias("slot"), "name", "idx", "val")
+    clients = spark.range(4).select(F.col("id").alias("client"))
+    w = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot")).crossJoin(F.broadcast(clients)).withColumn("w", (1 + (F.col("client") * 3 + F.col("slot")) % 5) / 10.0)
     return rounded(routing.composed_download(w, slots))
 
 
