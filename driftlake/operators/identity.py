@@ -247,15 +247,22 @@ def round_summary(grid: DataFrame, every: int) -> DataFrame:
     return rows.groupBy("round").agg(F.count("*").alias("cells"), F.coalesce(F.sum("switch"), F.lit(0)).alias("switches"), F.sum("novel").alias("novel"), F.avg("acc").alias("accuracy"))
 
 
-def resolve_merges(pairs: DataFrame, ids: DataFrame, most: int = 20) -> DataFrame:
-    """Follows (old, new) renamings to their end for each id; stops when nothing moves."""
-    now = ids.select("id", F.col("id").alias("root"))
-    for _ in range(most):
-        step = now.join(pairs, now["root"] == pairs["old"], "left").select("id", "root", "new")
-        if not step.where("new is not null").limit(1).count():
+def resolve_merges(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Follows (old, new) renamings to their end for each id, however long the chain; a cycle is an error.
+
+    Each round doubles the way a renaming spans, so rounds are the logarithm of the longest chain.
+    Rounds are stored in the folder in ``spark.checkpoint.dir``."""
+    links = pairs.where("old <> new").select("old", "new").checkpoint()
+    most = links.count().bit_length()
+    for done in range(most + 1):
+        after = links.select(F.col("old").alias("new"), F.col("new").alias("end"))
+        step = links.join(after, "new", "left")
+        if not step.where("end is not null").limit(1).count():
             break
-        now = step.select("id", F.coalesce("new", "root").alias("root"))
-    return now
+        if done == most:
+            raise ValueError("the renamings hold a cycle")
+        links = step.select("old", F.coalesce("end", "new").alias("new")).checkpoint()
+    return ids.join(links, ids["id"] == links["old"], "left").select("id", F.coalesce("new", "id").alias("root"))
 
 
 def accuracy_matrix(grid: DataFrame) -> np.ndarray:

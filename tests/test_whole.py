@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from driftlake.operators import identity
 from driftlake.plans import catalog
 
 EVERY_THIRD = "p.client % 3 = 0"
@@ -61,3 +62,12 @@ def test_least_squares_on_whole_vectors(spark, duck, sf_dir):
         a = np.vstack([np.column_stack([x, np.ones(len(x))]), np.sqrt(1e-6) * np.eye(65)])
         want = np.linalg.lstsq(a, np.concatenate([x.sum(1) * 2 + 1, np.zeros(65)]), rcond=None)[0]
         assert [got[client, i] for i in range(65)] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_long_chains_of_merges(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(60, 60), (70, 71)], "old long, new long")
+    ids = spark.createDataFrame([(0,), (29,), (50,), (60,), (70,), (80,)], "id long")
+    assert {r.id: r.root for r in identity.resolve_merges(pairs, ids).collect()} == {0: 50, 29: 50, 50: 50, 60: 60, 70: 71, 80: 80}
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "old long, new long")
+    with pytest.raises(ValueError, match="cycle"):
+        identity.resolve_merges(ring, ids)
