@@ -1,12 +1,12 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard self-join: fixed MinHash LSH banding, then exact verification.
 
 1. Each document gives its set of five-word shingles (hashed; a text of fewer
    words is one shingle), a hash of the whole set and a MinHash signature.
    Documents with equal sets form one class, so copies are never compared.
-2. Forest. A signature is cut into ``TREES`` labels of depth ``DEPTH``. The prefix
-   by which classes meet is shortened from the full depth until the chance that a
-   pair at the threshold meets in some tree reaches the target recall; classes
-   are sorted by label, and those that share the prefix form a bucket of the trie.
+2. Banding. A signature is cut into ``TREES`` labels of depth ``DEPTH``. The prefix
+   by which classes meet is the longest for which, by formula, the chance that a
+   pair at the threshold meets in some tree reaches the target recall; it does not
+   depend on the data. Classes with equal hashes of the prefix form a bucket.
 3. In a bucket, leaders are taken in order; a class is linked to each leader whose
    estimated similarity is at least ``LINK`` and leaves at ``LEAVE``. By the
    triangle inequality of Jaccard distance two similar classes are then linked to
