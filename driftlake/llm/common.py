@@ -83,6 +83,31 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Cuts rows that are sorted by their first ``keys`` columns (whole numbers) where one of these changes."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+            yield joined()
+            held = []
+        change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield joined()
+                held = []
+    if held:
+        yield joined()
+
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)

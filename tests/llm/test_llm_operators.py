@@ -105,15 +105,65 @@ def test_jaccard_join(spark, monkeypatch):
         assert found.get(doc, (doc, 0)) == (class_id, links)
 
 
-def test_jaccard_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PART", 4)
+def test_jaccard_large_bucket(spark):
     words = [f"w{i}" for i in range(100)]
     docs = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i, k in enumerate(random.Random(1).choices(range(100), k=30))]
-    found = jaccard_join.jaccard_classes(frame(spark, docs)).collect()
+    found = jaccard_join.jaccard_classes(frame(spark, docs), part=4).collect()
     assert {r.class_id for r in found} == {0} and len(found) == 30
     same([(r.doc, r.class_id, r.n_links) for r in found], jaccard_join.brute_force(docs))
 
 
+def test_jaccard_recall_in_large_buckets(spark):
+    """Families of more than PART near copies, whose pairs lie on both sides of the threshold, with production constants."""
+    rnd = random.Random(11)
+    docs, sets = [], []
+    for f, n in enumerate((2600, 500)):
+        base = [f"f{f}w{i}" for i in range(160)]
+        for _ in range(n):
+            ws = list(base)
+            for k in rnd.sample(range(160), rnd.randint(1, 4)):
+                ws[k] = f"x{rnd.randint(0, 10**9)}"
+            docs.append((len(docs), " ".join(ws)))
+            sets.append({tuple(ws[i : i + 5]) for i in range(156)})
+    number = {g: i for i, g in enumerate({g for s in sets for g in s})}
+    m = np.zeros((len(docs), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[g] for g in s]] = 1
+    both = (m @ m.T).astype(int)
+    links = 9 * both >= 4 * (156 + 156)
+    np.fill_diagonal(links, False)
+    share = links.sum() / sum(n * (n - 1) for n in (2600, 500))
+    assert 0.2 < share < 0.8
+    found = {r.doc: r.n_links for r in jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    want = links.sum(1)
+    assert sum(found[i] for i in range(len(docs))) >= 0.999 * want.sum()
+    assert all(found[i] <= want[i] for i in range(len(docs)))
+
+
+def test_jaccard_shortens_as_far_as_the_links_need(spark):
+    """Close copies are found by whole prefixes; pairs near the threshold need shorter ones; nothing matched, the shortest."""
+    def matched(rows):
+        return spark.createDataFrame(rows, "a long, b long, depth int, alike double")
+
+    least = jaccard_join.prefix_depth(0.8, 0.999)
+    assert least < jaccard_join.DEPTH
+    assert jaccard_join.reached_depth(matched([(2, 1, 6, 0.89)] * 5), 0.8, 0.999, least) == 6
+    assert jaccard_join.reached_depth(matched([(2, 1, 6, 0.83)] * 5), 0.8, 0.999, least) == 5
+    assert jaccard_join.reached_depth(matched([(2, 1, 6, 0.80)] * 5), 0.8, 0.999, least) == least
+    assert jaccard_join.reached_depth(matched([(2, 1, 6, 0.99)] * 5), 0.8, 0.999, least) == least
+    assert jaccard_join.reached_depth(matched([]), 0.8, 0.999, least) == least
+
+
+def test_jaccard_repeated_ids_and_long_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    long = " ".join(f"w{i}" for i in range(40000))
+    docs = [(9, a), (9, b), (10, c), (9, a), (11, a + " z"), (12, long), (13, long + " z"), (14, "x " * 20000), (15, "x x x x x")]
+    found = jaccard_join.jaccard_classes(frame(spark, docs)).collect()
+    same([(r.doc, r.class_id, r.n_links) for r in found], [(9, 9, 2), (9, 9, 2), (9, 9, 0), (10, 10, 0), (11, 9, 2), (12, 12, 1), (13, 12, 1), (14, 14, 1), (15, 14, 1)])
+    keys = {(r.doc, r.th): r.class_key for r in found}
+    assert len({k for (d, _), k in keys.items() if d == 9}) == 2 and sum(r.is_first for r in found) == 6
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_classes(frame(spark, [])).count() == 0
 
