@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.llm.bpe import encode
-from driftlake.llm.common import materialize, table, text_key
+from driftlake.llm.common import fresh_name, materialize, table, text_key
 from driftlake.llm.decontaminate import decontaminate
 from driftlake.llm.jaccard_join import jaccard_classes
 from driftlake.llm.language_id import UNKNOWN, held_out, identify, train
@@ -36,15 +36,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of similar documents the one with the smallest id.
 
-    Rows without an id or without words have no group and stay."""
-    classes = jaccard_classes(docs)
-    gone = classes.where("doc <> class_id").select(F.col("doc").alias("gone_doc"), F.col("th").alias("gone_hash")).distinct()
-    left = docs.join(gone, (F.col("doc_id") == F.col("gone_doc")) & (text_key("text") == F.col("gone_hash")), "left_anti")
-    # rows that share the kept id are one group as well if they are copies; a rare case, found by its count
-    if classes.where("doc = class_id").groupBy("doc", "class_id").count().where("count > 1").limit(1).count():
-        twice = left.where(F.col("doc_id").isNotNull() & (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) > 0))
-        rest = left.where(~(F.col("doc_id").isNotNull() & (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) > 0)))
-        left = twice.dropDuplicates(["doc_id"]).unionByName(rest)
+    Rows without an id or without words have no group and stay. Rows that share an id are told
+    apart by their text; of rows that share both, one stays."""
+    classes = materialize(jaccard_classes(docs).select("doc", "th", "is_first"), "near-duplicates")
+    doc, key, mark = (fresh_name(docs, x) for x in ("class_doc", "class_text", "class_mark"))
+    # a row of the table below is either gone or, being a class's first, there more than once
+    marks = classes.groupBy("doc", "th").agg(F.count("*").alias("n"), F.max("is_first").alias("stays")).where("n > 1 or not stays")
+    marks = materialize(marks.select(F.col("doc").alias(doc), F.col("th").alias(key), F.col("stays").alias(mark)), "near-duplicate-marks")
+    same = (F.col("doc_id") == F.col(doc)) & (text_key("text") == F.col(key))
+    left = docs.join(marks, same, "left_anti")
+    twice = marks.where(mark)
+    if twice.limit(1).count():
+        left = left.unionByName(docs.join(twice, same).dropDuplicates([doc, key]).select(*docs.columns))
     return left
 
 
