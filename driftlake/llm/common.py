@@ -14,24 +14,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Hadoop's names of stores and pyarrow's.
+STORES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "abfs": "abfss"}
 #: Texts of one Arrow batch are processed in slices of about this many bytes.
 SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, as a URI; sets one only where none is set."""
+    """The folder that all machines share, as a URI.
+
+    One is set only where none is and all runs on this machine; on a cluster a local
+    folder would lose rows, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: What this process wrote to the shared folder and has not removed.
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all that was written to the shared folder so far; call it when results are stored elsewhere.
+
+    Returns the number of folders that were there."""
+    jvm, n = spark._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    """The pyarrow file system and path of a URI; names that Hadoop gives to stores are understood."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri(f"file://{uri}")
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(STORES.get(scheme, scheme) + ":" + rest)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +88,26 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def different_texts(rows: DataFrame, text_col: str, most: int, by: list[str], counts: dict[tuple, int] | None = None) -> DataFrame:
+    """About ``most`` different texts for each value of ``by``, one row each: (*by, text).
+
+    Texts are chosen by their hash, and a text that stands in many rows counts once, so the
+    size is bounded whatever is copied. ``counts`` gives the number of different texts by value."""
+    hashed = rows.where(F.col(text_col).isNotNull()).select(*by, F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(11)).alias("hash"))
+    if counts is None:
+        counts = {tuple(r[:-1]): r[-1] for r in hashed.groupBy(*by).agg(F.approx_count_distinct("hash")).collect()}
+    if not counts:
+        return hashed.select(*by, "text").limit(0)
+    rate = F.lit(0)
+    for value, n in counts.items():
+        here = F.lit(True)
+        for c, v in zip(by, value, strict=True):
+            here = here & (F.col(c) == F.lit(v))
+        rate = F.when(here, F.lit(int(min(1.0, most / max(n, 1)) * (1 << 20)))).otherwise(rate)
+    chosen = hashed.where(F.pmod("hash", F.lit(1 << 20)) < rate)
+    return chosen.groupBy(*by, "hash").agg(F.first("text").alias("text")).select(*by, "text")
+
+
 def text_key(text: str | Column) -> Column:
     """Hash that, beside the id, tells rows apart which share an id."""
     return F.xxhash64(text)

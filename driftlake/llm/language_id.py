@@ -11,17 +11,22 @@ whole text, with a penalty for each change of language, labels spans, so texts
 of mixed languages are cut into spans. The text's language is the one with most
 letters, its score that language's share of all letters.
 
-Training uses a bounded sample: about ``per_lang`` labelled rows for each
-language, chosen by a hash (all rows where there are fewer); the collected model
-is at most 2**``BITS`` counts for each language. Everything else covers all rows.
-
-Defined cases: null text, or text without a letter: ``und`` with score 0; if no
-row can be learned from, all texts are ``und``; ties go to the language that
-comes first by name; repeated rows count as they stand.
+Training uses a bounded sample: about ``per_lang`` different labelled texts for each
+language, chosen by a hash (all where there are fewer; a text that is copied many
+times counts once), for at most ``most_langs`` languages; the collected model is at
+most 2**``BITS`` counts for each. Everything else covers all rows.
+
+Defined cases: null text, or text without a letter (marks are none): ``und`` with
+score 0; if no row can be learned from (an empty table), all texts are ``und``, and
+an empty table to label gives an empty frame; ties go to the language that comes
+first by name; repeated rows get equal results; a very long text is scored in pieces
+cut at white space and labelled whole; the result's column takes a name that the
+table doesn't have.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -32,12 +37,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlake.llm.common import SLICE_BYTES, buffers, fresh_name, mix, slices, table
+from driftlake.llm.common import SLICE_BYTES, buffers, different_texts, fresh_name, mix, slices, table
 
 BITS = 16
 PER_LANG = 3000
 SWITCH = 12.0
 SEGMENT = 32
+#: At most so many languages are learned, those with most different texts (ties by name).
+MOST_LANGS = 128
+#: Texts of more code points are taken in pieces of about this many.
+PIECE = 1 << 18
+_SPACE = re.compile(r"\s")
 UNKNOWN = "und"
 
 # Unicode ranges of the scripts told apart; other letters form one more group.
@@ -61,17 +71,27 @@ SCRIPTS = {
 N_SCRIPTS = len(SCRIPTS) + 1
 
 
+#: Set in ``letter_scripts`` for marks, which belong to words but are no letters.
+MARK = 128
+
+
 @cache
 def letter_scripts() -> np.ndarray:
-    """Script of each code point, from 1 (the last: any other); 0 if it isn't a letter or mark."""
+    """Script of each code point, from 1 (the last: any other), plus MARK for marks; 0 if it is neither letter nor mark."""
     out = np.zeros(0x110000, np.uint8)
+    mark = np.zeros(0x110000, bool)
     for c in range(0x33480):
-        if unicodedata.category(chr(c))[0] in "LM":
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
             out[c] = N_SCRIPTS
+            mark[c] = kind == "M"
     for i, ranges in enumerate(SCRIPTS.values()):
         for lo, hi in ranges:
             part = out[lo : hi + 1]
             part[part > 0] = i + 1
+    out[0xE0100:0xE01F0] = N_SCRIPTS  # variation selectors
+    mark[0xE0100:0xE01F0] = True
+    out[mark] |= MARK
     return out
 
 
@@ -82,6 +102,8 @@ class Words:
         low = [t.lower() for t in texts]
         code = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         script = letter_scripts()[code]
+        real = (script > 0) & (script < MARK)
+        script = script & (MARK - 1)
         inside = script > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
@@ -99,6 +121,9 @@ class Words:
         self.features = np.stack([(mix(x[self.at]) >> shift).astype(np.int64) for x in (three, four)])
         self.script = script[self.starts] if len(self.starts) else np.zeros(0, np.uint8)
         self.letters = self.ends - self.starts
+        total = np.concatenate([[0], np.cumsum(real)])
+        #: for each text whether it has a letter that isn't a mark
+        self.has_letter = np.diff(total[np.minimum(np.concatenate([[0], ends]), len(real)).astype(np.int64)]) > 0
 
     def scores(self, table_: np.ndarray) -> np.ndarray:
         """Sum of a (features x languages) table over each word."""
@@ -172,6 +197,18 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, segment: int =
     return out
 
 
+def _pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """Cuts a text after white space, into pieces of about ``size`` code points."""
+    at = 0
+    while len(text) - at > size:
+        space = _SPACE.search(text, at + size)
+        if space is None:
+            break
+        yield text[at : space.end()]
+        at = space.end()
+    yield text[at:]
+
+
 class Model:
     """``langs`` in order of name; a log table of features; allowed scripts."""
 
@@ -184,20 +221,40 @@ class Model:
         allowed[~allowed.any(1)] = True
         self.bar = np.where(allowed, 0, -1e4).astype(np.float32)
 
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of each text, scores and letters of each word, whether a text has a letter).
+
+        Very long texts are taken in pieces, so that only their words are held together, not
+        the arrays by code point."""
+        pieces = [list(_pieces(t)) for t in texts]
+        if all(len(p) == 1 for p in pieces):
+            w = Words(texts)
+            return w.first, w.scores(self.table) + self.bar[w.script], w.letters, w.has_letter
+        counts, scores, letters, has_letter = [], [], [], []
+        for own in pieces:
+            n, found = 0, False
+            for p in own:
+                w = Words([p])
+                n, found = n + len(w.letters), found or bool(w.has_letter[0])
+                scores.append(w.scores(self.table) + self.bar[w.script])
+                letters.append(w.letters)
+            counts.append(n)
+            has_letter.append(found)
+        return np.concatenate([[0], np.cumsum(counts)]), np.concatenate(scores), np.concatenate(letters), np.array(has_letter)
+
     def label(self, texts: list[str]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
         """(language, score, spans) of each text; spans are (language, first word, end)."""
-        w = Words(texts)
         if not self.langs:
             yield from ((UNKNOWN, 0.0, []) for _ in texts)
             return
-        scores = w.scores(self.table) + self.bar[w.script]
-        best = viterbi(scores, w.first, self.switch)
+        first, scores, letters_, has_letter = self.words(texts)
+        best = viterbi(scores, first, self.switch)
         for d in range(len(texts)):
-            lo, hi = w.first[d], w.first[d + 1]
-            if lo == hi:
+            lo, hi = first[d], first[d + 1]
+            if not has_letter[d]:
                 yield UNKNOWN, 0.0, []
                 continue
-            own, letters = best[lo:hi], w.letters[lo:hi]
+            own, letters = best[lo:hi], letters_[lo:hi]
             share = np.bincount(own, letters, len(self.langs)) / letters.sum()
             edge = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [hi - lo]])
             spans = [(self.langs[own[a]], int(a), int(b)) for a, b in zip(edge, edge[1:], strict=False)]
@@ -205,27 +262,31 @@ class Model:
             yield self.langs[top], float(share[top]), spans
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Fits a model on about ``per_lang`` rows of each language."""
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
+    """Fits a model on about ``per_lang`` different texts of each of the ``most_langs`` most frequent languages."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(11))).alias("n"))
+    n = {r["lang"]: r["n"] for r in found.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(n)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros((N_SCRIPTS + 1, 0)))
-    rate = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / n[x]))) for x in langs])
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < rate * F.lit(1 << 20))
+    chosen = different_texts(rows, "text", per_lang, ["lang"], {(x,): n[x] for x in langs})
+    number = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # features first, scripts after them
-        got = np.zeros((len(langs), (1 << BITS) + N_SCRIPTS + 1), np.int64)
+        # features first, scripts after them; only languages that occur are held
+        got: dict[int, np.ndarray] = {}
         for batch in batches:
-            of, text = np.array([langs.index(x) for x in batch.column(0).to_pylist()]), batch.column(1)
-            for i in range(len(of)):
-                w = Words([text[i].as_py()])
-                np.add.at(got[of[i]], w.features.ravel(), 1)
-                np.add.at(got[of[i]], (1 << BITS) + w.script.astype(np.int64), w.letters)
-        lang, key = np.nonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(key, pa.int32()), pa.array(got[lang, key], pa.int64())], ["lang", "key", "n"])
+            text = batch.column(1)
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                own = got.setdefault(number[lang], np.zeros((1 << BITS) + N_SCRIPTS + 1, np.int64))
+                for piece in _pieces(text[i].as_py()):
+                    w = Words([piece])
+                    np.add.at(own, w.features.ravel(), 1)
+                    np.add.at(own, (1 << BITS) + w.script.astype(np.int64), w.letters)
+        for lang, own in got.items():
+            key = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang), pa.int32()), pa.array(key, pa.int32()), pa.array(own[key], pa.int64())], ["lang", "key", "n"])
 
     found = chosen.mapInArrow(count, "lang int, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(((1 << BITS) + N_SCRIPTS + 1, len(langs)))

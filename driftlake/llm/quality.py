@@ -7,8 +7,8 @@
    share of good ones, without any true label.
 3. The posterior of a document's pattern is its label; a linear scorer over hashed
    features (word shapes and their repetition) is trained with it on a bounded
-   sample of documents (``SAMPLE``, chosen by a hash of the text), then scores
-   every document.
+   sample of about ``SAMPLE`` different texts, chosen by a hash (a text that is
+   copied many times counts once), then scores every document.
 
 Where a table of human labels is given, a second scorer of the same kind (hashed
 words and word beginnings) learns ``toxic`` from at most about ``SAMPLE`` labelled
@@ -16,8 +16,12 @@ rows. A document is kept if its quality score is at least 0.5 and, where known,
 its toxicity below 0.5.
 
 Defined cases: null or empty text, or one with no word, has score 0 and isn't kept;
-with no documents to learn from every score is 0.5; repeated rows count as they
-stand; labels that are null or whose document is missing are not used.
+with no documents to learn from (an empty table) every score is 0.5, and an empty
+table to classify gives an empty frame; repeated rows count as they stand in vote
+counts, once in samples, and get equal results; a score of exactly 0.5 is kept, a
+toxicity of exactly 0.5 is not; a very long text is scored whole, by arrays of its
+words; labels other than 0 and 1 or whose document is missing are not used; the result's
+column takes a name that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlake.llm.common import LOWER, PLAIN_WORDS, SPACE_WORDS, buffers, fresh_name, mix, slices, table, word_hashes, words
+from driftlake.llm.common import LOWER, PLAIN_WORDS, SPACE_WORDS, buffers, different_texts, fresh_name, mix, slices, table, word_hashes, words
 from driftlake.llm.html_text import STOP_WORDS
 
 #: Hash bits of shape features and of word features.
@@ -39,6 +43,8 @@ SAMPLE = 5000
 #: Least log-likelihood ratio of a word feature of toxic documents.
 SIGNIFICANT = 16.0
 GOOD, BAD, ABSTAIN = 1, 0, 2
+#: Weight of the starting rates, in documents.
+PSEUDO = 10.0
 LABELLERS = ("symbols", "capitals", "repeats", "pipes", "stop_words", "word_length", "variety", "trailing_marks")
 
 # byte classes of word shapes: capitals, small letters and all beyond ASCII, digits; marks keep their own code
@@ -148,11 +154,12 @@ class Texts:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """The posterior of ``good`` for each pattern of votes (patterns x labellers).
 
-    Rates have a prior as strong as the data: labellers rarely vote bad on good
-    documents, while each sees only some kinds of bad ones."""
+    A labeller that abstains tells nothing. Rates start from, and are smoothed by,
+    ``PSEUDO`` documents whatever the size of the data: labellers rarely vote bad on
+    good documents, while each sees only some kinds of bad ones."""
     n = patterns.shape[1]
-    one_hot = np.stack([patterns == v for v in (BAD, GOOD, ABSTAIN)], -1).astype(float)
-    start = np.array([[0.35, 0.5, 0.15], [0.01, 0.89, 0.1]])  # class x (bad, good, abstain)
+    one_hot = np.stack([patterns == v for v in (BAD, GOOD)], -1).astype(float)
+    start = np.array([[0.4, 0.6], [0.01, 0.99]])  # class x (bad, good)
     rates, prior = np.repeat(start[:, None], n, 1), np.array([0.3, 0.7])
     post = np.full(len(patterns), 0.5)
     for _ in range(rounds):
@@ -160,7 +167,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         weight = np.stack([(1 - new) * counts, new * counts])
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        rates = np.einsum("cp,pnv->cnv", weight, one_hot) + (weight.sum(1)[:, None, None] + 1) * start[:, None]
+        rates = np.einsum("cp,pnv->cnv", weight, one_hot) + PSEUDO * start[:, None]
         rates /= rates.sum(-1, keepdims=True)
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
@@ -242,13 +249,12 @@ def significant_features(rows: DataFrame, text_col: str, target: str, least: flo
 
 
 def _sample(rows: DataFrame, text_col: str, kind: str, target: str | None, most: int, only: np.ndarray | None = None) -> tuple:
-    """(row, feature, value, code or target) of about ``most`` rows, chosen by a hash of their text.
+    """(row, feature, value, code or target) of about ``most`` different texts, chosen by a hash.
 
     With ``only``, other features are left out."""
-    rows = rows.where(F.col(text_col).isNotNull())
-    n = rows.count()
-    chosen = rows.where(F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20)))
-    chosen = chosen.select(F.col(text_col).alias("text"), *([F.col(target).cast("long").alias("target")] if target else []))
+    rows = rows.select(F.col(text_col).alias("text"), (F.col(target) if target else F.lit(0)).cast("long").alias("target"))
+    n = rows.agg(F.approx_count_distinct(F.xxhash64("text", F.lit(11)))).first()[0]
+    chosen = different_texts(rows, "text", most, ["target"], {(v,): n for v in ((0, 1) if target else (0,))}).select("text", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +288,7 @@ def train(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None =
     quality = Scorer(SHAPE_BITS).fit(row, feature, value, np.array([post.get(c, 0.5) for c in code.tolist()]))
     toxic = None
     if labelled is not None:
-        labelled = labelled.where(F.col(toxic_col).isNotNull())
+        labelled = labelled.where(F.col(toxic_col).cast("long").isin(0, 1))
         row, feature, value, target = _sample(labelled, text_col, "word", toxic_col, sample, significant_features(labelled, text_col, toxic_col, SIGNIFICANT))
         toxic = Scorer(WORD_BITS).fit(row, feature, value, target.astype(float))
     return quality, toxic

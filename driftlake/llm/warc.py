@@ -28,11 +28,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import fresh_path, materialize, table
+from driftlake.llm.common import fresh_path, materialize, open_uri, table
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -125,10 +124,6 @@ def read_archive(stream) -> Iterator[Record]:
         yield parse(member)
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
-
-
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes one record for each row; returns the manifest (path, records)."""
     spark = pages.sparkSession
@@ -143,7 +138,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = fresh_path(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, at = _open(folder)
+        system, at = open_uri(folder)
         system.create_dir(at, recursive=True)
         done: list[tuple[str, int]] = []
         out, name, n, size = None, "", 0, 0
@@ -182,7 +177,7 @@ def read_archives(manifest: DataFrame, path_col: str = "path", payloads: bool =
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, at = _open(path)
+                system, at = open_uri(path)
                 with system.open_input_stream(at, compression=None) as stream:
                     rows, size = [], 0
                     for r in read_archive(stream):
