@@ -2,9 +2,9 @@
 
 A text is cut where a rolling hash of the last bytes meets a mask, so equal
 passages are cut alike wherever they stand. Each different chunk is encoded once
-in a worker and kept in a bounded store that outlives the task; inside a chunk,
-words are looked up in a second bounded store, and only unknown words reach the
-tokenizer, in batches.
+while it is in a worker's store, which outlives the task; inside a chunk, words are
+looked up in a second store, and only unknown words reach the tokenizer, in batches.
+Both stores are bounded by bytes, and the oldest half gives way when one is full.
 
 Joins. The tokenizer's pattern can join a space only to what follows it, so a
 space before a non-space begins a new pre-token in every context: encodings on
@@ -13,11 +13,14 @@ both sides of such a *safe* place are independent. A chunk is therefore kept as
 Where two chunks meet, the left tail and the right head are joined and encoded
 anew; if a chunk has no safe place, the repair goes on over the next chunk, until
 both ends of the re-encoded text are safe and hence agree with their neighbours.
-No text is shuffled; memory is bounded by the stores, a slice and the longest text.
-
-Defined cases: null is encoded as empty text (0 tokens); repeated rows give
-repeated results; special strings in a text become special tokens, as the
-library does by default.
+Decoding takes the final ids of the whole text. No text is shuffled; memory is
+bounded by the stores, a slice and the longest text.
+
+Defined cases: null is encoded as empty text (0 tokens); ties do not occur;
+repeated rows give repeated results; special strings in a text become special
+tokens, as the library does by default; a very long text stands alone in its
+slice; an empty table gives an empty frame; the result's column takes a name that
+the table doesn't have.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from driftlake.llm.common import _BYTE, buffers, fresh_name, mix, powers, slices
 
 ROLL = 16
 CHUNK_BITS = 9
-STORED_WORDS = 300_000
-STORED_CHUNKS = 8_000
+#: Bytes that the stores of a worker process hold.
+WORD_BYTES, CHUNK_BYTES = 96 << 20, 24 << 20
 _ROLL_BASE = 0xA0761D6478BD642F
 _ROLL_INV = pow(_ROLL_BASE, -1, 1 << 64)
 _SAFE = re.compile(r" (?=\S)")
@@ -75,100 +78,110 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, bits: int = CHUNK_BITS, words: int = STORED_WORDS, chunks: int = STORED_CHUNKS):
+    def __init__(self, path: str, bits: int = CHUNK_BITS, words: int = WORD_BYTES, chunks: int = CHUNK_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bits, self.most_words, self.most_chunks = bits, words, chunks
-        self.words: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
-        self.chunks: dict[str, tuple] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode those pieces that are not stored yet."""
-        if len(self.words) > self.most_words:
-            self.words.clear()
-            self.odd.clear()
-        new = [p for p in pieces if p not in self.words]
+        self.bits = bits
+        self.words, self.chunks = Store(words), Store(chunks)
+
+    def _learn(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of those pieces that are not stored, which are then stored."""
+        new = [p for p in pieces if p not in self.words.held]
+        ids = {}
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            for p, got, back in zip(part, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True):
-                self.words[p] = ",".join(map(str, got))
-                if back != p:
-                    self.odd[p] = back
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids[p] = ",".join(map(str, e.ids))
+        return ids
 
     @staticmethod
     def _split(chunk: str) -> list[str]:
         """Pieces between safe places; each but the first begins with its space."""
         return [p if i == 0 else " " + p for i, p in enumerate(_SAFE.split(chunk))]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, str | None]]:
-        """(ids joined by commas, decoded text or None if it equals the text) of each text."""
-        if len(self.chunks) > self.most_chunks:
-            self.chunks.clear()
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[str]:
+        """The ids of each text, joined by commas."""
         cuts = chunk_cuts(data, self.bits)
         raw = data.tobytes()
-        texts: list[list[str]] = []
-        split: dict[str, list[str]] = {}
+        texts: list[list[tuple]] = []
+        split: dict[str, tuple] = {}
         need: set[str] = set()
+        held = self.chunks.held
         for d in range(len(offsets) - 1):
             lo, hi = int(offsets[d]), int(offsets[d + 1])
             # a cut that depends on bytes before the text is not the text's own
             own = cuts[np.searchsorted(cuts, lo + ROLL) : np.searchsorted(cuts, hi)].tolist()
             edges = [lo, *own, hi]
             parts = [raw[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)]
-            pending = ""
+            known, pending = [], ""
             for c in parts:
-                known = self.chunks.get(c)
-                if known is None:
-                    if (pieces := split.get(c)) is None:
-                        pieces = split[c] = self._split(c)
-                        need.update(pieces[1:-1])
-                    head, tail, lone = pieces[0], pieces[-1], len(pieces) == 1
+                chunk = held.get(c) or split.get(c)
+                if chunk is None:
+                    pieces = self._split(c)
+                    need.update(pieces[1:-1])
+                    # head, middle (pieces, or ids where it is stored), tail, whether there is no safe place
+                    chunk = split[c] = [pieces[0], pieces[1:-1], pieces[-1], len(pieces) == 1]
+                known.append(chunk)
+                if chunk[3]:
+                    pending += chunk[0]
                 else:
-                    head, _, _, tail, lone = known
-                if lone:
-                    pending += head
-                else:
-                    need.add(pending + head)
-                    pending = tail
+                    need.add(pending + chunk[0])
+                    pending = chunk[2]
             need.add(pending)
-            texts.append(parts)
-        self._learn(need)
-        words, odd = self.words, self.odd
-        for c, pieces in split.items():
-            middle = pieces[1:-1]
-            ids = ",".join([words[p] for p in middle])
-            back = "".join(odd.get(p, p) for p in middle) if odd and not odd.keys().isdisjoint(middle) else None
-            self.chunks[c] = pieces[0], ids, back, pieces[-1], len(pieces) == 1
-        for parts in texts:
+            texts.append(known)
+        fresh, words = self._learn(need), self.words.held
+        for chunk in split.values():
+            chunk[1] = ",".join([fresh[p] if p in fresh else words[p] for p in chunk[1]])
+        for known in texts:
             ids, pending = [], ""
-            for c in parts:
-                head, middle, _, tail, lone = self.chunks[c]
+            for head, middle, tail, lone in known:
                 if lone:
                     pending += head
                     continue
-                ids += [words[pending + head]] if pending or head else []
+                joint = pending + head
+                ids += [fresh[joint] if joint in fresh else words[joint]] if joint else []
                 ids += [middle] if middle else []
                 pending = tail
-            ids += [words[pending]] if pending else []
-            yield ",".join(ids), self._decoded(parts) if odd or any(self.chunks[c][2] is not None for c in parts) else None
-
-    def _decoded(self, parts: list[str]) -> str:
-        """The decoded text where some piece doesn't decode to itself."""
-        back, pending = [], ""
-        for c in parts:
-            head, _, other, tail, lone = self.chunks[c]
-            if lone:
-                pending += head
-                continue
-            back += [self.odd.get(pending + head, pending + head), other if other is not None else c[len(head) : len(c) - len(tail)]]
-            pending = tail
-        return "".join([*back, self.odd.get(pending, pending)])
+            ids += [fresh[pending] if pending in fresh else words[pending]] if pending else []
+            yield ",".join(ids)
+        # stored last, so that nothing that is still needed gives way
+        for p, i in fresh.items():
+            self.words.add(p, i, len(p) + len(i))
+        for c, chunk in split.items():
+            self.chunks.add(c, chunk, 3 * len(c) + len(chunk[1]))
+
+    def decode(self, ids: list[str]) -> list[str]:
+        """The texts that lists of ids, joined by commas, stand for."""
+        return self.tokenizer.decode_batch([np.fromstring(i, np.int64, sep=",").tolist() if i else [] for i in ids], skip_special_tokens=False)
+
+
+class Store:
+    """A dictionary bounded by its bytes; the oldest half gives way when it is full.
+
+    An entry of more than a hundredth of the bound isn't kept."""
+
+    #: What Python needs for an entry besides its strings' characters, about.
+    ENTRY = 250
+
+    def __init__(self, most: int):
+        self.most, self.size, self.held = most, 0, {}
+        self._sizes: dict[str, int] = {}
+
+    def add(self, key: str, value, size: int) -> None:
+        size += self.ENTRY
+        if size > self.most // 100 or key in self.held:
+            return
+        while self.held and self.size + size > self.most:
+            for old in [k for k, _ in zip(self.held, range(len(self.held) // 2 + 1), strict=False)]:
+                del self.held[old]
+                self.size -= self._sizes.pop(old)
+        self.held[key] = value
+        self._sizes[key] = size
+        self.size += size
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> tuple[DataFrame, str]:
@@ -190,13 +203,13 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, kee
                 count, ids_hash, text_hash, lists = [], [], [], []
                 own = offsets[lo : hi + 1] - offsets[lo]
                 part = data[offsets[lo] : offsets[hi]]
-                raw = part.tobytes()
-                for d, (ids, back) in enumerate(encoder.encode(part, own)):
+                coded = list(encoder.encode(part, own))
+                for ids, back in zip(coded, encoder.decode(coded), strict=True):
                     count.append(ids.count(",") + 1 if ids else 0)
                     ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(raw[own[d] : own[d + 1]] if back is None else back.encode()).hexdigest())
+                    text_hash.append(hashlib.sha256(back.encode()).hexdigest())
                     if keep_ids:
-                        lists.append(np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32))
+                        lists.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
                 arrays = [pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 if keep_ids:
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))
