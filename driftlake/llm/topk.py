@@ -15,12 +15,16 @@ exact integer arithmetic. Results are exact, ties included.
 
 Queries are a stated set; they are taken in blocks of at most ``query_block``,
 and each block, of bounded size, is broadcast and applied to all rows in one
-pass. The best of each row block are merged by a partially limited window.
+pass, whose results are written before the next block is read. The best of each
+row block are merged by a partially limited window.
 
 Defined cases: a vector that is null or empty, holds a null or a non-finite
 component, or differs in length from the query's, takes no part; a row with
 null id neither; rows that share a query's id are all its own; ties go to the
-smaller id; of rows with one id, each is a candidate (listed again if it scores).
+smaller id; of rows with one id, each is a candidate (listed again if it scores);
+components so large that length x (256 x)^2 reaches 2^62 raise an OverflowError, as
+their scores may not fit a long; very long vectors are exact within that bound; an
+empty table gives an empty frame; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import table
+from driftlake.llm.common import materialize, table
 
 QUERY_BLOCK = 4096
 ROW_BLOCK = 16384
@@ -163,21 +167,37 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     """For each row that ``is_query`` holds for, its k best other rows: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     rows = rows.where(F.col(id_col).isNotNull() & usable(vector_col))
+    check_range(rows, vector_col, scale)
     index = rows.select(F.col(id_col).cast("long").alias("id"), quantise(vector_col, scale).alias("v"))
     stated = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), quantise(vector_col, scale).alias("v"))
     n = stated.count()
     blocks = max(1, -(-n // query_block))
-    parts = []
+    found = []
     for b in range(blocks):
         got = (stated.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else stated).toArrow()
         ids = got.column("id").to_numpy()
         vectors = [np.asarray(v, np.int64) for v in got.column("v").to_pylist()]
-        parts.append(index.mapInArrow(_search(spark.sparkContext.broadcast((ids, vectors)), k, row_block), "query_id long, vec_id long, score long"))
-    found = reduce(DataFrame.unionByName, parts)
+        shared = spark.sparkContext.broadcast((ids, vectors))
+        # a block's results are written before the next one's queries are read, so the plan doesn't grow with the queries
+        part = index.mapInArrow(_search(shared, k, row_block), "query_id long, vec_id long, score long")
+        found.append(materialize(_best(part, k), "top-of-queries"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def check_range(rows: DataFrame, vector_col: str, scale: int) -> None:
+    """Scores must fit a long: raises if length times the largest product could not."""
+    size = F.aggregate(vector_col, F.lit(0.0), lambda top, x: F.greatest(top, F.abs(x.cast("double"))))
+    row = rows.agg(F.max(F.size(vector_col)).alias("n"), F.max(size).alias("top")).first()
+    if row["n"] and row["n"] * (scale * row["top"] + 1) ** 2 >= 2.0**62:
+        raise OverflowError(f"components up to {row['top']:.4g} in vectors of {row['n']}: inner products of {scale} times these may not fit 64 bits")
+
+
 def _search(shared, k: int, row_block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
