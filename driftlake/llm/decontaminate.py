@@ -15,12 +15,15 @@ own inside the same stage; documents are neither shuffled nor cut.
 
 Defined cases: null or empty text has no words, no hits and is clean; an item
 with null id marks words but is not named; repeated items and rows count as
-they stand (an item id is named once); an empty benchmark leaves all clean.
+they stand (an item id is named once); an empty benchmark leaves all clean, an
+empty table gives an empty frame; a very long text is searched whole, by arrays of
+its words; the result's column takes a name that the table doesn't have.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,49 +37,64 @@ from driftlake.llm.common import LOWER, PLAIN_WORDS, buffers, fresh_name, gram_h
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-_TABLE_BITS = 18
 
 
-def _blocks(hashes: np.ndarray) -> np.ndarray:
+def _blocks(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Table index of the block that ends at each word; the first word has none (0)."""
     out = np.zeros(len(hashes), np.int64)
     if len(hashes) > 1:
-        out[1:] = (mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        out[1:] = (mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - bits)).astype(np.int64)
     return out
 
 
-def _plain(raw: bytes) -> list[bytes]:
-    return raw.translate(_TO_SPACE).split(b" ")
+def _plain(raw: bytes) -> bytes:
+    """Lower-cased, with a space in place of each byte that is in no word."""
+    return raw.translate(_TO_SPACE)
 
 
 _TO_SPACE = bytes(int(LOWER[i]) if PLAIN_WORDS[LOWER[i]] else 32 for i in range(256))
 
 
 class Matcher:
-    """Shift tables and buckets of one block of items."""
+    """Shift tables and buckets of one block of items; ``get`` keeps the last one in a worker process."""
+
+    _kept: tuple[tuple[str, int], Matcher] | None = None
+
+    @classmethod
+    def get(cls, name: str, block, window: int) -> Matcher:
+        key = name, window
+        if cls._kept is None or cls._kept[0] != key:
+            cls._kept = None
+            cls._kept = key, cls(block.value, window)
+        return cls._kept[1]
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.sets: dict[int, tuple[np.ndarray, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]]] = {}
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ws = [w for w in _plain((text or "").encode()) if w]
-            m = min(window, len(ws))
-            for i in range(len(ws) - m + 1 if ws else 0):
-                found[m][tuple(ws[i : i + m])].update([] if item is None else [item])
-        for m, windows in found.items():
-            span = m - 1 if m > 1 else 1
-            shift = np.full(1 << _TABLE_BITS, span, np.uint8)
-            bucket: dict[int, list[tuple[tuple[bytes, ...], set[str]]]] = defaultdict(list)
-            for ws, ids in windows.items():
+        #: by window length: table bits, shifts, and for each suffix the windows as bytes with the places of their items
+        self.sets: dict[int, tuple[int, np.ndarray, dict[int, dict[bytes, tuple[int, ...]]]]] = {}
+        self.names = [item for item, _ in items]
+        found: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
+        for place, (_, text) in enumerate(items):
+            ws = _plain((text or "").encode()).split()
+            if ws:
+                found[min(window, len(ws))].append((place, ws))
+        for m, texts in found.items():
+            n = sum(len(ws) - m + 1 for _, ws in texts)
+            # so large that most pairs of words are in no window
+            bits = min(24, max(12, (16 * n).bit_length()))
+            shift = np.full(1 << bits, max(1, m - 1), np.uint8)
+            bucket: dict[int, dict[bytes, tuple[int, ...]]] = defaultdict(dict)
+            for place, ws in texts:
                 data = np.frombuffer(b" ".join(ws), np.uint8)
                 s, e, _ = words(data, np.array([0, len(data)]), PLAIN_WORDS)
                 h = word_hashes(data, s, e)
-                if m > 1:
-                    at = _blocks(h)[1:]
-                    for j, b in enumerate(at):
-                        shift[b] = min(shift[b], m - 2 - j)
-                bucket[int(_suffix(h, m)[-1])].append((ws, ids))
-            self.sets[m] = shift, dict(bucket)
+                block, suffix = _blocks(h, bits), _suffix(h, m)
+                for j in range(1, m):  # the j-th pair of words of every window
+                    np.minimum.at(shift, block[j : len(ws) - m + 1 + j], m - 1 - j)
+                for i in range(len(ws) - m + 1):
+                    own, key = bucket[int(suffix[i + m - 1])], b" ".join(ws[i : i + m])
+                    if place not in own.get(key, ()):
+                        own[key] = (*own.get(key, ()), place)
+            self.sets[m] = bits, shift, dict(bucket)
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(number of words, number of hit words, item ids) of each text."""
@@ -86,9 +104,8 @@ class Matcher:
         n = len(h)
         hit = np.zeros(n + 1, np.int32)
         ids: dict[int, set[str]] = defaultdict(set)
-        block = _blocks(h)
-        for m, (shift, bucket) in self.sets.items():
-            step = shift[block].tobytes() if m > 1 else bytes(n)
+        for m, (bits, shift, bucket) in self.sets.items():
+            step = shift[_blocks(h, bits)].tobytes() if m > 1 else bytes(n)
             suffix = _suffix(h, m)
             for d in range(len(first) - 1):
                 p, end = int(first[d]) + m - 1, int(first[d + 1])
@@ -97,12 +114,13 @@ class Matcher:
                     if ahead:
                         p += ahead
                         continue
-                    for ws, named in bucket.get(int(suffix[p]), ()):
+                    if (windows := bucket.get(int(suffix[p]))) is not None:
                         lo = p - m + 1
-                        if tuple(w for w in _plain(low[starts[lo] : ends[p]].tobytes()) if w) == ws:
+                        named = windows.get(b" ".join(_plain(low[starts[lo] : ends[p]].tobytes()).split()))
+                        if named is not None:
                             hit[lo] += 1
                             hit[p + 1] -= 1
-                            ids[d] |= named
+                            ids[d].update(self.names[i] for i in named if self.names[i] is not None)
                     p += 1
         covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:n]) > 0)])
         self.covered = np.cumsum(hit[:n]) > 0
@@ -147,10 +165,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
 
 def _pass(block, at: int, window: int, name: str, later: bool):
+    kept_as = uuid.uuid4().hex
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block.value, window)
+        matcher = Matcher.get(kept_as, block, window)
         for batch in batches:
             data, offsets = buffers(batch.column(at))
             before = batch.column(batch.num_columns - 1).to_pylist() if later else None
