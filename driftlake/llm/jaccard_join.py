@@ -370,7 +370,8 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 
     A group of many rows is dealt out by bands of set sizes, of which only neighbours can hold
     similar sets, and each band in blocks; a row goes to the pairs of blocks it takes part in."""
-    rows = members.groupBy("group").agg(F.count("*").alias("rows"))
+    # what is reduced is written first, so that both sides of a join have a shuffle of their own, which AQE can split for a hot group
+    rows = materialize(members.groupBy("group").agg(F.count("*").alias("rows")), "group-sizes")
     step = -math.log(threshold) * 1.000001
     band = F.when(F.col("rows") <= BLOCK_ROWS, F.lit(0)).otherwise(F.floor(F.log("size") / step)).cast("long")
     members = members.join(rows, "group").withColumn("band", band).drop("rows")
@@ -378,7 +379,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     beside = Window.partitionBy("group").orderBy("band")
     near = lambda f, d: F.when(f("band").over(beside) == F.col("band") + d, f("blocks").over(beside)).otherwise(0)
     counts = counts.select("group", "band", "blocks", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
-    own = members.join(counts, ["group", "band"])
+    own = members.join(materialize(counts, "band-sizes"), ["group", "band"])
     label = lambda d, n: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>")), lambda i: (F.col("band") + d) * MOST_BLOCKS + i)
     own = own.withColumn("block", F.col("band") * MOST_BLOCKS + F.pmod(F.xxhash64("rep"), F.col("blocks")))
     own = own.withColumn("other", F.explode(F.concat(label(0, "blocks"), label(-1, "below"), label(1, "above"))))
@@ -408,7 +409,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = named.join(groups.withColumnRenamed("node", "rep").withColumnRenamed("root", "group"), "rep").select("group", "rep", "n", "doc", "th")
     texts = materialize(ids.join(members, ["doc", "th"]).select("group", "rep", "n", "text"), "member-texts")
     # of a group's first class any row will do
-    first = texts.where("rep = group").groupBy("group").agg(F.first("text").alias("first"))
+    first = materialize(texts.where("rep = group").groupBy("group").agg(F.first("text").alias("first")), "first-texts")
     diffs = materialize(differences(texts.join(first, "group")), "member-differences")
     links = materialize(verified(diffs, threshold), "links")
     count = links.groupBy("rep").agg(F.sum("links").alias("links"))

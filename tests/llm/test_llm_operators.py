@@ -190,7 +190,30 @@ def test_bpe_joins_at_any_cut():
     data, offsets = buffers(pa.array([t for _, t in docs]))
     for bits in (1, 2, 5):
         got = list(bpe.Encoder(bpe.vocabulary_path(), bits=bits).encode(data, offsets))
-        assert [hashlib.sha256(i.encode()).hexdigest() for i, _ in got] == [r[2] for r in bpe.brute_force(docs)]
+        assert [hashlib.sha256(i.encode()).hexdigest() for i in got] == [r[2] for r in bpe.brute_force(docs)]
+
+
+def test_bpe_store_is_bounded_by_bytes():
+    store = bpe.Store(100_000)
+    for i in range(5000):
+        store.add(f"k{i}", "v", 3)
+    assert store.size <= 100_000 and "k4999" in store.held and "k0" not in store.held
+    store.add("long", "v", 50_000)
+    assert "long" not in store.held
+    # texts without spaces, through an encoder whose stores hold next to nothing
+    rnd = random.Random(0)
+    docs = [(i, "".join(rnd.choice("世界你好abc019+/") for _ in range(3000))) for i in range(20)] * 2
+    data, offsets = buffers(pa.array([t for _, t in docs]))
+    coder = bpe.Encoder(bpe.vocabulary_path(), words=60_000, chunks=60_000)
+    got = list(coder.encode(data, offsets))
+    assert [hashlib.sha256(i.encode()).hexdigest() for i in got] == [r[2] for r in bpe.brute_force(docs)]
+    assert coder.words.size <= 60_000 and coder.chunks.size <= 60_000
+    assert coder.decode(got) == [t for _, t in docs]
+
+
+def test_bpe_empty_table(spark):
+    found, c = bpe.encode(frame(spark, []))
+    assert found.count() == 0
 
 
 def test_decontaminate(spark):
@@ -224,6 +247,16 @@ def test_topk(spark):
         assert [(-r.score, r.vec_id) for r in found.where(f"query_id = {q}").orderBy("rank").collect()] == best
 
 
+def test_topk_odd_tables(spark):
+    kind = "vec_id long, embedding array<float>"
+    assert topk.top_k(spark.createDataFrame([], kind), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(spark.createDataFrame([(50, None), (1, [1.0])], kind), F.col("vec_id") % 50 == 0).count() == 0
+    with pytest.raises(OverflowError):
+        topk.top_k(spark.createDataFrame([(50, [1e9] * 4), (1, [2e9] * 4)], kind), F.col("vec_id") % 50 == 0)
+    large = topk.top_k(spark.createDataFrame([(50, [1e5, -3e5]), (1, [2e5, 1e5]), (2, [2e5, 1e5])], kind), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in large] == [(i, 256 * 256 * (2 * 10**10 - 3 * 10**10)) for i in (1, 2)]
+
+
 def test_topk_blocks():
     rng = np.random.default_rng(1)
     for n, d, high in ((300, 16, 130), (50, 3, 5), (7, 2, 1), (64, 4, 256)):
@@ -307,11 +340,71 @@ def test_language_id(spark):
     got = {r.doc_id: r[c] for r in found.select("doc_id", c).collect()}
     assert [got[i].lang for i in range(1, 9)] == ["en", "de", "und", "und", "und", "ru", "en", "en"]
     assert got[3].score == 0 and 0.5 < got[7].score < 1 and [s.lang for s in got[7].spans] == ["en", "de"]
+    marks, c = language_id.identify(frame(spark, [(1, "\u0301 \u0308"), (2, "e\u0301 the dog"), (2, "e\u0301 the dog")]), model)
+    assert [(r[c].lang, r[c].score > 0) for r in marks.orderBy("doc_id").collect()] == [("und", False), ("en", True), ("en", True)]
+    assert language_id.identify(frame(spark, []), model)[0].count() == 0
     nothing = language_id.train(frame(spark, [], "doc_id long, text string, lang string"))
     found, c = language_id.identify(frame(spark, tests), nothing)
     assert {r[c].lang for r in found.collect()} == {"und"}
 
 
+def test_language_id_against_brute_force(spark):
+    """Labels and scores of whole texts from plain dictionaries and a plain Viterbi pass over words."""
+    import math
+    import re
+    import unicodedata
+
+    rnd = random.Random(5)
+    words = {"xa": "lo ra mi ta bela sorin kadu".split(), "xb": "zug wert kamp lo drin holz fex".split(), "xc": "лом рас кот да нет".split()}
+    rows = [(i, " ".join(rnd.choice(words[x]) for _ in range(rnd.randint(2, 30))), x) for i, x in enumerate(rnd.choices(list(words), k=60))]
+    tests = [(i, " ".join(rnd.choice(words[x]) for x in rnd.choices(list(words), k=2) for _ in range(rnd.randint(1, 12)))) for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+
+    def grams(w):
+        p = ["", "", *w, ""]
+        return [g for i in range(2, len(p) - 1) for g in (("3", p[i - 1], p[i], p[i + 1]), ("4", p[i - 2] if p[i - 1] else "", p[i - 1], p[i], p[i + 1]))]
+
+    counts = {x: {} for x in words}
+    scripts = {x: {} for x in words}
+    script = lambda w: unicodedata.name(w[0]).split()[0]
+    for _, t, x in dict.fromkeys((0, t, x) for _, t, x in rows):
+        for w in split(t):
+            scripts[x][script(w)] = scripts[x].get(script(w), 0) + len(w)
+            for g in grams(w):
+                counts[x][g] = counts[x].get(g, 0) + 1
+    langs = sorted(words)
+    size = 1 << language_id.BITS
+    score = lambda w, x: sum(math.log((counts[x].get(g, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * size)) for g in grams(w)) + (0 if script(w) in scripts[x] else -1e4)
+    found, c = language_id.identify(spark.createDataFrame(tests, "doc_id long, text string"), model)
+    got = {r.doc_id: r[c] for r in found.collect()}
+    alike = 0
+    for i, t in tests:
+        ws = split(t)
+        table = np.array([[score(w, x) for x in langs] for w in ws])
+        label = slow_viterbi(table, [0, len(ws)], language_id.SWITCH)
+        share = [sum(len(w) for w, b in zip(ws, label) if b == k) / sum(map(len, ws)) for k in range(3)]
+        top = max(range(3), key=lambda k: (share[k], -k))
+        alike += got[i].lang == langs[top] and abs(got[i].score - share[top]) < 1e-9
+    # features are hashed into 2**BITS places, so a few may share one
+    assert alike >= len(tests) - 1
+
+
+def test_language_id_pieces_and_labels(spark):
+    text = "the cat and the dog were in the house with that other thing " * 60
+    rows = [(i, text[: 50 + i], "en") for i in range(9)] + [(i, "der hund und die katze waren nicht da", "de") for i in range(9)]
+    rows += [(i, "stray words", f"x{i}") for i in range(5000)] + [(i, text, "en") for i in range(100)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=2, per_lang=50)
+    assert len(model.langs) == 2 and "en" in model.langs
+    assert "".join(language_id._pieces(text, 100)) == text and len(list(language_id._pieces(text, 100))) > 10
+    whole = list(model.label([text, "x"]))
+    old, language_id.PIECE = language_id.PIECE, 100
+    language_id._pieces.__defaults__ = (100,)
+    assert list(model.label([text, "x"])) == whole
+    language_id.PIECE = old
+    language_id._pieces.__defaults__ = (old,)
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = language_id.op1_language_id(spark, sf_dir).join(docs, "doc_id").where("held_out").collect()
@@ -333,6 +426,55 @@ def test_quality(spark):
     assert [r[c].score for r in found.collect()] == [0.5, 0.5]
 
 
+def test_expectation_maximisation_moves_far_from_its_start():
+    """Planted rates far from the starting ones are found again, at any size: the start weighs PSEUDO documents."""
+    rng = np.random.default_rng(3)
+    n, labellers = 40000, 8
+    truth = rng.random(n) < 0.6
+    yes = np.where(truth[:, None], 0.95 - 0.02 * np.arange(labellers), 0.1 + 0.02 * np.arange(labellers))
+    votes = np.where(rng.random((n, labellers)) < yes, quality.GOOD, quality.BAD)
+    votes[rng.random((n, labellers)) < 0.2] = quality.ABSTAIN
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post = quality.expectation_maximisation(patterns, counts.astype(float))
+    # the exact posterior under the planted rates
+    log = np.where(patterns == quality.GOOD, 1, 0), np.where(patterns == quality.BAD, 1, 0)
+    good, bad = 0.95 - 0.02 * np.arange(labellers), 0.1 + 0.02 * np.arange(labellers)
+    odds = np.log(0.6 / 0.4) + (log[0] * np.log(good / bad) + log[1] * np.log((1 - good) / (1 - bad))).sum(1)
+    assert np.average(np.abs(post - 1 / (1 + np.exp(-odds))), weights=counts) < 0.01
+    assert ((post[which.ravel()] >= 0.5) == truth).mean() > 0.97
+
+
+def test_quality_scores_against_brute_force(spark):
+    """The hashed linear scorer's result from its weights, by plain loops over words."""
+    import re
+
+    texts = ["Some Words here, and some 12 words", "### |", "aa aa bb", "x" * 50]
+    rng = np.random.default_rng(0)
+    scorer = quality.Scorer(quality.SHAPE_BITS)
+    scorer.weights[:] = rng.normal(size=len(scorer.weights))
+    scorer.bias = 0.3
+    data, offsets = buffers(pa.array(texts))
+    row, feature, value = quality.Texts(data, offsets).shape_features()
+    got = scorer.predict(row, feature, value, len(texts))
+    hashes = lambda w: quality.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+    for i, t in enumerate(texts):
+        ws, z = t.split(), 0.3
+        for j, w in enumerate(ws):
+            kinds = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in w))
+            z += scorer.weights[int(hashes(kinds.encode())) >> 64 - quality.SHAPE_BITS] / len(ws)
+            z += scorer.weights[1] * (j > 0 and w.lower() == ws[j - 1].lower()) / len(ws)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_quality_hot_text_counts_once(spark):
+    good = "This is the kind of text that was written by a person for others to read, and it has the words of the language in it. "
+    docs = [(i, good + f"part {i}") for i in range(30)] + [(100 + i, good) for i in range(20000)]
+    row, feature, value, code = quality._sample(spark.createDataFrame(docs, "doc_id long, text string"), "text", "shape", None, 5000)
+    assert len(code) == 31
+    found, c = quality.classify(frame(spark, []), quality.train(frame(spark, docs[:3])))
+    assert found.count() == 0
+
+
 def test_quality_against_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "truth")
