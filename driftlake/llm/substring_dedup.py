@@ -3,20 +3,22 @@
 A window is ``window`` consecutive words. A word goes if a window that covers it
 also starts in a document with a smaller id.
 
-1. Anchors. In each window the phrase of ``PHRASE`` words with the smallest hash
+1. Candidates. In each window the phrase of ``PHRASE`` words with the smallest hash
    is its anchor (the first of equal ones), so equal windows have equal anchors.
    Consecutive windows with one anchor form a piece: about one for 22 words.
-   Pieces are reduced by anchor, with partial aggregation: an anchor recurs if it
-   stands in two documents at least.
-2. Confirmed passages. Of pieces that are the same, word for word, all go but the
-   first document's.
-3. Automata. Anchors that also stand in differing surroundings are left with one
-   document for each different piece. Those documents are dealt out by id; every task is a shard, compiles its
-   documents' recurring phrases into Aho-Corasick automata (one for each slice of
-   bounded size) and streams the documents through to locate every occurrence.
-   The windows around located anchors are confirmed by their own hash, reduced
-   with partial aggregation to the smallest id, and joined back.
-4. Ranges of windows to remove are gathered by document and applied to its words.
+2. Recurring phrases. Anchors are counted by hash, with partial aggregation; a
+   phrase recurs if it is an anchor in two documents at least. With it go the smallest
+   document that holds it and whether all its pieces are the same.
+3. Automata. The recurring phrases of the whole corpus are dealt out in shards of at
+   most about ``SHARD`` phrases; each is compiled once, by a task of its own, into an
+   Aho-Corasick automaton over two symbols a word and kept in the shared folder. All
+   documents are streamed through every shard, which locates every occurrence; an
+   occurrence that is a piece's anchor tells that the piece may recur. The passes over
+   the words therefore grow with the number of recurring phrases over ``SHARD``.
+4. Confirmed passages. Of pieces that are the same, word for word, all go but the
+   first document's. Around occurrences in differing surroundings, each window is
+   confirmed by its own hash, reduced with partial aggregation to the smallest id.
+5. Ranges of windows to remove are gathered by document and applied to its words.
 
 Only hashes and positions are shuffled, besides two shuffles of the texts by id;
 hot phrases, windows and copies are one row for each map task after partial
@@ -24,11 +26,16 @@ aggregation, and the joins that follow can be split by AQE. Windows are told
 apart by 128 bits (the anchor's hash and the window's).
 
 Defined cases: null or empty text has no words; rows with null id keep all words
-and count for no one; rows that share an id don't remove words from each other.
+and count for no one; rows that share an id, and repeated rows, don't remove words
+from each other; of equal passages the smallest id keeps its own; a very long text is
+held whole, by arrays of its words; an empty table gives an empty frame; the result's
+column takes a name that the table doesn't have.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +46,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlake.llm.common import _GRAM_INV, SPACE_WORDS, buffers, fresh_name, gram_hashes, gram_prefix, materialize, mix, powers, slices, table, text_key, word_hashes, words
+from driftlake.llm.common import _GRAM_INV, SPACE_WORDS, buffers, fresh_name, fresh_path, gram_hashes, gram_prefix, materialize, mix, open_uri, powers, slices, table, text_key, word_hashes, words
 
 WINDOW = 50
 PHRASE = 8
 PACK = 1 << 20
+#: Phrases of one automaton, and words that are streamed through a shard at once.
+SHARD = 200_000
+BUFFER_WORDS = 8_000_000
 
 
 @dataclass
@@ -58,6 +68,7 @@ class Pieces:
     ph: np.ndarray  # hash of all words of the piece and of the anchor's place
     first: np.ndarray  # for each text its first word
     windows: np.ndarray  # hash of each window, by its first word over all texts
+    stream: bytes = b""  # two symbols for each word over all texts
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, window: int, hashes: bool = False) -> Pieces:
@@ -65,6 +76,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int, hashes: bool = Fa
     h = word_hashes(data, starts, ends)
     k = min(PHRASE, window)
     none = np.zeros(0, np.int64)
+    stream = np.stack([(h >> np.uint64(58)).astype(np.uint8), (h >> np.uint64(52)).astype(np.uint8) & 63 | 64], 1).tobytes()
     if len(h) < window:
         return Pieces(none, none, none, none, none, none, first, none)
     grams = gram_hashes(h, k)
@@ -81,7 +93,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int, hashes: bool = Fa
     run = (total[lo + count + window - 1] - total[lo]) * powers(_GRAM_INV, len(total))[lo]
     ph = mix(mix(run) ^ _pack(where - lo, count).astype(np.uint64))
     base = first[text[lo]]
-    return Pieces(text[lo], lo - base, count, where - base, grams[where].view(np.int64), ph.view(np.int64), first, gram_hashes(h, window).view(np.int64) if hashes else none)
+    return Pieces(text[lo], lo - base, count, where - base, grams[where].view(np.int64), ph.view(np.int64), first, gram_hashes(h, window).view(np.int64) if hashes else none, stream)
 
 
 def _pack(start, count):
@@ -89,57 +101,128 @@ def _pack(start, count):
     return start * PACK + count
 
 
-def piece_rows(ids: DataFrame, window: int) -> DataFrame:
-    """(doc, th, fp, ph, at) for rows (doc, th, text); ``at`` packs a piece's start and its number of windows."""
+def phrase_rows(ids: DataFrame, window: int) -> DataFrame:
+    """(doc, fp, ph, phrase) of each piece, for rows (doc, th, text); ``phrase`` is the anchor in symbols."""
+    wide = 2 * min(PHRASE, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(batch.column(2))
+            for lo, hi in slices(offsets):
+                p = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window)
+                at = (2 * (p.anchor + p.first[p.text])).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p.text + lo]), pa.array(p.fp), pa.array(p.ph), pa.array([p.stream[i : i + wide] for i in at], pa.binary())], ["doc", "fp", "ph", "phrase"])
+
+    return ids.mapInArrow(run, "doc long, fp long, ph long, phrase binary")
+
+
+class Shard:
+    """An automaton of recurring phrases; by a phrase's number: its hash, its smallest document, whether all pieces are the same."""
+
+    _kept: tuple[str, Shard] | None = None
+
+    def __init__(self, phrases: list[bytes], fp: np.ndarray, lo: np.ndarray, same: np.ndarray):
+        self.fp, self.lo, self.same = fp, lo, same
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, phrase in enumerate(phrases):
+            self.automaton.add_word(phrase.decode("latin-1"), i)
+        self.wide = len(phrases[0]) if phrases else 0
+        self.automaton.make_automaton()
+
+    def locate(self, stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of each occurrence in a stream of symbols."""
+        found = np.array(list(self.automaton.iter(stream.decode("latin-1"))), np.int64).reshape(-1, 2)
+        return (found[:, 0] + 1 - self.wide) // 2, found[:, 1]
+
+    @classmethod
+    def load(cls, path: str) -> Shard:
+        """Reads a shard from the shared folder; a worker process keeps the last one."""
+        if cls._kept is None or cls._kept[0] != path:
+            cls._kept = None
+            system, at = open_uri(path)
+            with system.open_input_stream(at, compression=None) as f:
+                cls._kept = path, pickle.loads(f.readall())
+        return cls._kept[1]
+
+
+def compile_shards(known: DataFrame, most: int) -> list[str]:
+    """Compiles the phrases of rows (fp, lo, same, phrase); returns the paths of the shards."""
+    spark = known.sparkSession
+    folder = fresh_path(spark, "phrase-automata")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        table_ = pa.Table.from_batches(rows) if rows else None
+        paths = []
+        if table_ is not None and table_.num_rows:
+            fp, lo, same = (table_.column(i).to_numpy() for i in range(3))
+            system, at = open_uri(folder)
+            system.create_dir(at, recursive=True)
+            name = f"{uuid.uuid4().hex}.automaton"  # a task that is run again writes under a new name
+            with system.open_output_stream(f"{at}/{name}", compression=None) as f:
+                f.write(pickle.dumps(Shard(table_.column(3).to_pylist(), fp, lo, same)))
+            paths.append(f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    n = known.count()
+    dealt = known.select("fp", "lo", "same", "phrase").repartition(max(1, -(-n // most)))
+    return sorted(r.path for r in materialize(dealt.mapInArrow(run, "path string"), "phrase-shards").collect())
+
+
+def located_pieces(ids: DataFrame, shards: list[str], window: int, most_words: int) -> DataFrame:
+    """(doc, th, fp, ph, at, same): pieces whose anchor a shard locates, but those that are surely the first of their kind.
+
+    ``at`` packs a piece's first word and its number of windows."""
+
+    def stream(held: list[tuple[np.ndarray, np.ndarray, Pieces]]) -> Iterator[pa.RecordBatch]:
+        for path in shards:
+            shard = Shard.load(path)
+            for doc, th, p in held:
+                word, phrase = shard.locate(p.stream)
+                # a phrase ends at one word at most, as all are of one length
+                of = np.full(len(p.stream) // 2, -1, np.int64)
+                of[word] = phrase
+                number = of[p.anchor + p.first[p.text]]
+                use = np.flatnonzero(number >= 0)
+                number = number[use]
+                right = (shard.fp[number] == p.fp[use]) & (~shard.same[number] | (doc[p.text[use]] > shard.lo[number]))
+                use, number = use[right], number[right]
+                text = p.text[use]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text], th[text], p.fp[use], p.ph[use], _pack(p.start[use], p.count[use]), shard.same[number])], ["doc", "th", "fp", "ph", "at", "same"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = buffers(batch.column(2))
             for lo, hi in slices(offsets):
                 p = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window)
-                of = p.text + lo
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[of], th[of], p.fp, p.ph, _pack(p.start, p.count))], ["doc", "th", "fp", "ph", "at"])
-
-    return ids.mapInArrow(run, "doc long, th long, fp long, ph long, at long")
-
-
-def located(texts: list[bytes], anchors: list[list[int]], k: int = PHRASE) -> Iterator[np.ndarray]:
-    """Compiles the phrases of k words that stand at the given words into an automaton, streams the
-    texts through it and gives, for each text, the words at which a phrase begins."""
-    automaton = ahocorasick.Automaton()
-    split = [t.split() for t in texts]
-    for ws, at in zip(split, anchors, strict=True):
-        for a in at:
-            phrase = " " + b" ".join(ws[a : a + k]).decode("latin-1") + " "
-            automaton.add_word(phrase, len(phrase))
-    if not len(automaton):
-        yield from (np.zeros(0, np.int64) for _ in texts)
-        return
-    automaton.make_automaton()
-    for ws in split:
-        stream = " " + b" ".join(ws).decode("latin-1") + " "
-        begin = np.cumsum([1, *(len(w) + 1 for w in ws)])
-        found = np.array([end - size + 2 for end, size in automaton.iter(stream)], np.int64)
-        yield np.unique(np.searchsorted(begin, found))
+                held.append((doc[lo:hi], th[lo:hi], p))
+                n += len(p.stream) // 2
+                if n > most_words or len(shards) == 1:
+                    yield from stream(held)
+                    held, n = [], 0
+        yield from stream(held)
+
+    return ids.mapInArrow(run, "doc long, th long, fp long, ph long, at long, same boolean")
 
 
 def window_rows(held: DataFrame, window: int) -> DataFrame:
-    """(fp, wh, doc, th, at) of the windows around located phrases, for rows (doc, th, text, anchors)."""
+    """(fp, wh, doc, th, at) of the windows of located pieces, for rows (doc, th, text, packed pieces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = buffers(batch.column(2))
-            anchors = batch.column(3)
+            lists = batch.column(3)
             for lo, hi in slices(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
-                part = data[offsets[lo] : offsets[hi]]
-                raw = part.tobytes()
-                p = pieces(part, own, window, hashes=True)
-                where = located([raw[a:b] for a, b in zip(own, own[1:], strict=False)], anchors.slice(lo, hi - lo).to_pylist(), min(PHRASE, window))
-                phrase = np.concatenate([np.zeros(0, np.int64), *(w + p.first[d] for d, w in enumerate(where))])
-                use = np.flatnonzero(np.isin(p.anchor + p.first[p.text], phrase))
+                p = pieces(data[offsets[lo] : offsets[hi]], own, window, hashes=True)
+                packed, edge = _pack(p.start, p.count), np.searchsorted(p.text, np.arange(hi - lo + 1))
+                wanted = lists.slice(lo, hi - lo)
+                use = [edge[d] + np.flatnonzero(np.isin(packed[edge[d] : edge[d + 1]], wanted[d].values.to_numpy())) for d in range(hi - lo)]
+                use = np.concatenate([np.zeros(0, np.int64), *use])
                 count = p.count[use]
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(p.start[use], count) + step
@@ -149,31 +232,35 @@ def window_rows(held: DataFrame, window: int) -> DataFrame:
     return held.mapInArrow(run, "fp long, wh long, doc long, th long, at long")
 
 
-def anchor_rows(pieces_: DataFrame) -> DataFrame:
-    """The recurring pieces, with ``whole``: an earlier document has the same piece.
+def recurring_phrases(ids: DataFrame, window: int) -> DataFrame:
+    """(fp, lo, same, phrase): anchors of two documents or more, of the whole corpus."""
+    known = phrase_rows(ids, window).groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("ph").alias("p0"), F.max("ph").alias("p1"), F.min("phrase").alias("phrase"))
+    return known.where("lo < hi").select("fp", "lo", (F.col("p0") == F.col("p1")).alias("same"), "phrase")
+
+
+def recurring_pieces(ids: DataFrame, window: int, shard: int, buffer_words: int) -> DataFrame:
+    """(doc, th, at, whole): the recurring pieces; ``whole`` if an earlier document has the same piece.
 
     Of equal pieces only the first is not whole. What is reduced is written before it
     is joined, so that both sides of the join have a shuffle of their own, which AQE
     can split for a hot anchor."""
-    known = pieces_.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("ph").alias("p0"), F.max("ph").alias("p1")).where("lo < hi")
-    known = materialize(known.select("fp", "lo", (F.col("p0") == F.col("p1")).alias("same")), "anchors")
-    recurring = materialize(pieces_.join(known, "fp").where("not same or doc > lo"), "recurring-pieces")
+    shards = compile_shards(materialize(recurring_phrases(ids, window), "recurring-phrases"), shard)
+    recurring = materialize(located_pieces(ids, shards, window, buffer_words), "recurring-pieces")
     mixed = recurring.where("not same").select("doc", "th", "fp", "ph", "at")
     first = materialize(mixed.groupBy("fp", "ph").agg(F.min("doc").alias("first")), "first-pieces")
     mixed = mixed.join(first, ["fp", "ph"]).select("doc", "th", "at", (F.col("doc") > F.col("first")).alias("whole"))
     return recurring.where("same").select("doc", "th", "at", F.lit(True).alias("whole")).unionByName(mixed)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD, buffer_words: int = BUFFER_WORDS) -> tuple[DataFrame, str]:
     """``docs`` with one more column, a struct whose name is returned too: ``n_words``,
     ``n_removed``, ``kept`` (words joined by one space) and ``spans`` (removed ranges of words)."""
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("th"), F.coalesce(text_col, F.lit("")).alias("text"))
-    recurring = materialize(anchor_rows(piece_rows(ids, window)), "repeated-pieces")
+    recurring = materialize(recurring_pieces(ids, window, shard, buffer_words), "repeated-pieces")
 
-    # phrases are found again by the automata, so a document's list only names where they were chosen
     mixed = recurring.where("not whole").groupBy("doc", "th").agg(F.collect_set("at").alias("at"))
     held = ids.join(mixed, ["doc", "th"]).select("doc", "th", "text", "at")
-    around = materialize(window_rows(_anchors(held, window), window), "passage-windows")
+    around = materialize(window_rows(held, window), "passage-windows")
     first = around.groupBy("fp", "wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp", "wh", "lo")
     first = materialize(first, "first-windows")
     late = around.join(first, ["fp", "wh"]).where("doc > lo").select("doc", "th", _pack(F.col("at"), 1).alias("at"))
@@ -186,25 +273,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _apply(both, docs, text_col, names[3], window), names[3]
 
 
-def _anchors(held: DataFrame, window: int) -> DataFrame:
-    """Turns packed pieces into the word at which each piece's anchor begins."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column(2))
-            lists = batch.column(3).to_pylist()
-            out: list[list[int]] = []
-            for lo, hi in slices(offsets):
-                p = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window)
-                edge = np.searchsorted(p.text, np.arange(hi - lo + 1))
-                for d in range(hi - lo):
-                    s = slice(edge[d], edge[d + 1])
-                    out.append(p.anchor[s][np.isin(_pack(p.start[s], p.count[s]), lists[lo + d])].tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["doc", "th", "text", "anchors"])
-
-    return held.mapInArrow(run, "doc long, th long, text string, anchors array<long>")
-
-
 def _apply(both: DataFrame, docs: DataFrame, text_col: str, name: str, window: int) -> DataFrame:
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType()))])
     at = docs.columns.index(text_col)

@@ -48,12 +48,36 @@ def same(got, want):
 
 def test_substring_dedup(spark):
     docs = odd_docs()
-    for window in (90, 50, 12, 4):
-        found, c = substring_dedup.remove_repeats(frame(spark, docs), window=window)
+    for window, shard, buffer_words in ((90, 1 << 20, 1 << 20), (50, 1 << 20, 1 << 20), (50, 7, 300), (12, 50, 10), (4, 1 << 20, 1 << 20)):
+        found, c = substring_dedup.remove_repeats(frame(spark, docs), window=window, shard=shard, buffer_words=buffer_words)
         got = [(r[0], r[1].n_words, r[1].n_removed, r[1].kept) for r in found.select("doc_id", c).collect()]
         same(got, substring_dedup.brute_force(docs, window))
 
 
+def test_substring_automata_decide(spark, monkeypatch):
+    """What no automaton locates stays: without a shard nothing is removed."""
+    docs = odd_docs()
+    monkeypatch.setattr(substring_dedup, "compile_shards", lambda known, most: [])
+    found, c = substring_dedup.remove_repeats(frame(spark, docs))
+    assert not found.where(f"{c}.n_removed > 0").count()
+
+
+def test_substring_shards_hold_every_phrase(spark):
+    words = [f"w{i}" for i in range(90)]
+    docs = [(d, " ".join([f"own{d}", *words[d : d + 70]])) for d in range(12)]
+    ids = spark.createDataFrame([(d, 0, t) for d, t in docs], "doc long, th long, text string")
+    known = substring_dedup.recurring_phrases(ids, 50)
+    shards = [substring_dedup.Shard.load(p) for p in substring_dedup.compile_shards(known, 1)]
+    assert len(shards) > 1
+    same(np.concatenate([s.fp for s in shards]).tolist(), [r.fp for r in known.collect()])
+    data, offsets = buffers(pa.array([t for _, t in docs]))
+    p = substring_dedup.pieces(data, offsets, 50)
+    for s in shards:
+        word, phrase = s.locate(p.stream)
+        grams = substring_dedup.gram_hashes(substring_dedup.word_hashes(data, *substring_dedup.words(data, offsets, substring_dedup.SPACE_WORDS)[:2]), 8).view(np.int64)
+        same(zip(word.tolist(), s.fp[phrase].tolist()), [(i, g) for i, g in enumerate(grams.tolist()) if g in set(s.fp.tolist())])
+
+
 def test_substring_dedup_empty_table(spark):
     found, c = substring_dedup.remove_repeats(frame(spark, []))
     assert found.count() == 0
