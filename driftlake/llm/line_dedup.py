@@ -1,25 +1,37 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
-A run is a Parquet folder in the shared directory with one row per line key: two
-64-bit hashes, the number of documents that hold the key and the largest id among
-them; rows are placed by the hashes and sorted by them within each file. A new
-batch of documents is reduced to such rows and merge-anti-joined with the live
-runs: keys that none of them has begin a run of level 0, keys that are known go
-beside it as an update. When a level holds ``fanout`` runs, they are merged into
-one run of the next level, so a row is rewritten once a level at most. A key
-is decided from the sum of its rows over all runs.
+Texts are split once: the hashes of all lines whose keys are long enough are written
+with the document and the place of the line.
+
+A run is a table in the shared directory with one row per line key: two 64-bit
+hashes, the number of documents that hold the key and the largest id among them;
+rows are bucketed by the hashes and sorted by them in each bucket, so that a run is
+read in place and in order. A new batch of documents is reduced to such rows, dealt
+out in the same buckets, and merge-anti-joined with the live runs one after another:
+keys that none of them has are fresh, the others update a known key. The batch is
+added as a run of level 0; when a level holds ``fanout`` runs, they are merged bucket
+by bucket into one run of the next level, so a row is rewritten once a level at most.
+A key is decided from the sum of its rows over all runs.
 
 A line's key is the line with white space ``[\\x20\\x09-\\x0D]`` stripped at both
-ends and A-Z lower-cased. The key of a hot line is one row per map task after
-partial aggregation, and the join that finds its lines can be split by AQE.
+ends and A-Z lower-cased. The key of a hot line is one row per map task after partial
+aggregation. Keys with a ``HOT``-th of all lines or more, of which there can be
+``HOT`` at most, are broadcast to their lines; the others meet theirs in a shuffle, in
+which no key holds more than a ``HOT``-th.
 
 Defined cases: null or empty text is one empty line; a row with null id takes no
-part and keeps its lines; rows that share an id count as one document; a key
-repeated in the document that keeps it stays as often as it stands there.
+part and keeps its lines; rows that share an id, and repeated rows, count as one
+document; on a tie of the largest id all its rows keep the line; a key repeated in the
+document that keeps it stays as often as it stands there; a very long text is one
+array of lines; an empty table gives an empty frame; added columns take names that
+the table doesn't have.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +42,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
 BATCHES = 4
 FANOUT = 3
+HOT = 10_000
 
 
 def split_lines(text: str | Column) -> Column:
@@ -51,43 +64,62 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
 
 
 class LineRuns:
-    """The levelled runs; ``levels[i]`` lists the paths of level i."""
+    """The levelled runs; ``levels[i]`` lists the tables of level i."""
+
+    #: Lets a bucketed scan say that its buckets are sorted, so that merge joins don't sort them again.
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(self) -> list[DataFrame]:
+        return [self._rows(name) for level in self.levels for name in level]
 
-    def rows(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+    def _rows(self, name: str) -> DataFrame:
+        # the filter keeps all rows; a union of plain scans hands on batches of columns, and such a union doesn't put the
+        # same bucket of several tables into one partition, though it says so (Spark 4.1.2)
+        return self.spark.table(name).where("n > 0")
 
     def add(self, keys: DataFrame) -> str:
         """Adds a batch of key rows (h1, h2, n, top); ids of batches must not overlap.
 
-        Returns the path of the run; its column ``fresh`` marks keys that no earlier run has."""
-        held = self.rows()
-        if held is None:
-            run = keys.withColumn("fresh", F.lit(True)).repartition(*KEY).sortWithinPartitions(*KEY)
-        else:
-            known = held.where("fresh").select(*KEY)
-            new = keys.join(known.hint("merge"), KEY, "left_anti").withColumn("fresh", F.lit(True))
-            update = keys.join(known.hint("merge"), KEY, "left_semi").withColumn("fresh", F.lit(False))
-            run = new.unionByName(update).sortWithinPartitions(*KEY)
-        return self._store(run, 0)
+        Returns the name of the run; its column ``fresh`` marks keys that no earlier run has."""
+        fresh = F.lit(True)
+        for i, held in enumerate(self.runs()):
+            mark = f"known{i}"
+            keys = keys.join(held.where("fresh").select(*KEY, F.lit(True).alias(mark)).hint("merge"), KEY, "left")
+            fresh = fresh & F.col(mark).isNull()
+        return self._store(keys.select(*KEY, "n", "top", fresh.alias("fresh")), 0)
 
     def _store(self, run: DataFrame, level: int) -> str:
-        path = fresh_path(self.spark, f"line-run-l{level}")
-        run.write.parquet(path)
+        name = f"line_run_l{level}_{uuid.uuid4().hex}"
+        before = self.spark.conf.get(self.ORDERED)
+        self.spark.conf.set(self.ORDERED, "true")
+        try:
+            run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", fresh_path(self.spark, name)).saveAsTable(name)
+        finally:
+            self.spark.conf.set(self.ORDERED, before)
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = _summed(self.spark.read.parquet(*self.levels[level])).withColumn("fresh", F.lit(True))
-            self.levels[level] = []
-            self._store(merged.sortWithinPartitions(*KEY), level + 1)
-        return path
+            merged = _summed(reduce(DataFrame.unionByName, [self._rows(x) for x in self.levels[level]])).withColumn("fresh", F.lit(True))
+            old, self.levels[level] = self.levels[level], []
+            self._store(merged, level + 1)
+            self._forget(old)
+        return name
 
     def totals(self) -> DataFrame:
-        return _summed(self.rows())
+        return _summed(reduce(DataFrame.unionByName, self.runs()))
+
+    def _forget(self, names: list[str]) -> None:
+        """Takes runs out of the catalogue; their files stay in the shared folder."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self._forget([name for level in self.levels for name in level])
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -99,23 +131,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number of lines before and of those dropped. Returns their names too."""
     spark = docs.sparkSession
     runs = LineRuns(spark)
-    ids = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    held = materialize(line_rows(docs, id_col, text_col, least_chars), "line-hashes")
     for b in range(batches):
-        part = ids.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
-        keys = line_rows(part, "doc", "text", least_chars)
+        keys = held.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
         runs.add(keys.groupBy(*KEY).agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("top")))
-    # written first, so that both sides of the join have a shuffle of their own, which AQE can split for a hot line
-    common = materialize(runs.totals().where(F.col("n") >= least_docs).select(*KEY, "top"), "common-lines")
-    drops = line_rows(ids, "doc", "text", least_chars).join(common, KEY).where(F.col("doc") < F.col("top"))
+    common = materialize(runs.totals().where(F.col("n") >= least_docs), "common-lines")
+    runs.close()
+    # at most HOT keys have a HOT-th of all lines: the size of what is broadcast is bounded
+    is_hot = F.col("n") * HOT >= held.count()
+    hot, rest = common.where(is_hot).select(*KEY, "top"), common.where(~is_hot).select(*KEY, "top")
+    of_hot = held.join(F.broadcast(hot), KEY)
+    of_rest = held.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti").join(rest, KEY)
+    drops = of_hot.unionByName(of_rest).where(F.col("doc") < F.col("top"))
     drops = drops.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
 
-    names = {x: fresh_name(docs, x) for x in ("n_lines", "n_dropped", "lines", "line_doc", "line_hash", "line_gone")}
-    lines, doc, th, gone = (names[x] for x in ("lines", "line_doc", "line_hash", "line_gone"))
+    names = {x: fresh_name(docs, x) for x in ("n_lines", "n_dropped", "lines", "line_doc", "line_hash", "line_gone", "line_text")}
+    lines, doc, th, gone, own = (names[x] for x in ("lines", "line_doc", "line_hash", "line_gone", "line_text"))
     drops = drops.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("gone").alias(gone))
     others = [c for c in docs.columns if c != text_col]
     # lines travel as an array, so that the kept ones are picked in linear time
-    left = docs.select(*others, split_lines(text_col).alias(lines), text_key(text_col).alias(th + "_"))
-    both = left.join(drops, (F.col(id_col) == F.col(doc)) & (F.col(th + "_") == F.col(th)), "left")
+    left = docs.select(*others, split_lines(text_col).alias(lines), text_key(text_col).alias(own))
+    both = left.join(drops, (F.col(id_col) == F.col(doc)) & (F.col(own) == F.col(th)), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(F.col(gone), F.array().cast("array<int>")))
     kept = F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.transform(stay, lambda i: F.get(F.col(lines), i)))
     out = both.select(

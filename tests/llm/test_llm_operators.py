@@ -113,6 +113,34 @@ def test_line_runs_compact(spark):
     same([tuple(r) for r in runs.totals().select("h1", "n", "top").collect()], [(0, 1, 0), (1, 2, 1), (2, 3, 2), (3, 3, 3), (4, 2, 3), (5, 1, 3)])
 
 
+def test_line_runs_are_read_in_place(spark):
+    """A batch is dealt out once; the runs it meets are neither shuffled nor sorted."""
+    runs = line_dedup.LineRuns(spark)
+    for b in range(2):
+        runs.add(spark.createDataFrame([(k, 0, 1, b) for k in range(b, b + 30)], "h1 long, h2 long, n long, top long").repartition("h1", "h2"))
+    spark.conf.set(runs.ORDERED, "true")
+    keys = spark.createDataFrame([(k, 0, 1, 9) for k in range(9)], "h1 long, h2 long, n long, top long")
+    for held in runs.runs():
+        keys = keys.join(held.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    merged = runs.totals()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(runs.ORDERED, "false")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2 and plan.count(" Sort ") == 1
+    assert "Exchange" not in merged
+    runs.close()
+
+
+def test_line_dedup_odd_tables(spark):
+    line = "the same long line in every document"
+    clash = spark.createDataFrame([(i, f"{line}\nown line number {i} of this text", 1, "x") for i in range(4)], "doc_id long, text string, line_hash_ long, line_text string")
+    out, names = line_dedup.dedup_lines(clash)
+    assert {r.doc_id: r[names["n_dropped"]] for r in out.collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    out, names = line_dedup.dedup_lines(frame(spark, []))
+    assert out.count() == 0
+    out, names = line_dedup.dedup_lines(frame(spark, [(1, (line + "\n") * 50000), (2, line), (3, line)]))
+    assert {r.doc_id: (r[names["n_lines"]], r[names["n_dropped"]]) for r in out.collect()} == {1: (50001, 50000), 2: (1, 1), 3: (1, 0)}
+
+
 def test_jaccard_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 5)
     rnd = random.Random(4)
