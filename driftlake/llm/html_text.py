@@ -1,19 +1,24 @@
 """Main text of HTML pages by two passes of block rules.
 
 The page is cut into blocks at block-level tags; character references are decoded
-and white space inside a block becomes one space. First pass: blocks inside
-containers that never hold the article (menus, headers, footers, sidebars, forms,
-adverts, notices, comments, by tag or by class and id words) are out; where the
-page marks its article, blocks inside it are in and blocks outside are out;
-otherwise a block is judged by its length, its density of stop words and its
-density of links, and may stay undecided. Second pass: undecided short blocks take
-the label of the nearest decided neighbour (the closer one, measured in
-characters between them; on a tie the one before).
+and white space inside a block becomes one space. Containers that never hold the
+article (menus, headers, footers, sidebars, forms, adverts, notices, comments) are
+known by tag or by the head words of class, id and role; if nothing else would be
+left of a page, the latter are not believed.
+
+First pass: a block is judged by its length, its density of stop words and its density
+of links, and may stay undecided. Where the page marks its article, what stands
+outside is out, and the bars are lower inside. Stop words tell only on pages that
+have known ones; elsewhere length and links do. Characters of scripts that don't
+part words count half a word. Second pass: undecided short blocks take the label of
+the nearest decided neighbour in the same region (the closer one, measured in
+characters between them; on a tie the one before; a heading belongs to what follows).
 
 Each page is handled alone; memory is bounded by an Arrow batch and the longest
 page. Defined cases: null or empty html, or a page with no article: empty text;
 unclosed tags, quotes and comments end at the next container or at the end of the
-page; repeated rows count as they stand.
+page; repeated rows get equal texts; a very long page is held whole; an empty table
+gives an empty frame; the result's column takes a name that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -50,7 +55,11 @@ STOP_WORDS = frozenset(
     " le la les de et un une des que est pas pour dans ce il sur qui au par plus avec se son sont ne elle aux du en"
     " el los las que y en un una por con no se su para es al lo como más o pero sus le ya este sí porque".split()
 )
-_HINT = re.compile(r"[a-z]+")
+#: Words after which the word before them says what a container is for, and those that deny what follows.
+HOLDERS = frozenset("list box bar wrap wrapper container section area block links items item panel group inner outer content".split())
+DENIALS = frozenset("has with no without is".split())
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_CJK = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
@@ -63,6 +72,7 @@ class Block:
     link_chars: int
     out: bool
     inside: bool
+    hinted: bool = False  # out only by the words of a class, id or role
     label: int = 0  # 1 in, -1 out, 0 undecided
     heading: bool = False
 
@@ -74,9 +84,14 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def _hinted(attributes: str) -> bool:
+    """Whether a class, id or role names what isn't the article, by the head word of one of its values."""
     for _, value in _ATTRIBUTE.findall(attributes):
-        if not HINTS.isdisjoint(_HINT.findall(value.lower())):
-            return True
+        for token in value.strip("\"'").split():
+            parts = [p.lower() for p in _PART.findall(token)]
+            while len(parts) > 1 and parts[-1] in HOLDERS:
+                parts.pop()
+            if parts and parts[-1] in HINTS and not (len(parts) > 1 and parts[0] in DENIALS):
+                return True
     return False
 
 
@@ -84,16 +99,16 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what is known of where they stand."""
     found: list[Block] = []
     text: list[str] = []
-    # (name, out, inside an article) of each open container
-    stack: list[tuple[str, bool, bool]] = []
+    # (name, out, inside an article, out by a hint) of each open container
+    stack: list[tuple[str, bool, bool, bool]] = []
     linked, link_chars, heading = False, 0, False
 
     def flush() -> None:
         nonlocal link_chars
         joined = " ".join("".join(text).split())
         if joined:
-            _, out, inside = stack[-1] if stack else ("", False, False)
-            found.append(Block(joined, link_chars, out, inside, heading=heading))
+            _, out, inside, hinted = stack[-1] if stack else ("", False, False, False)
+            found.append(Block(joined, link_chars, out, inside, hinted, heading=heading))
         text.clear()
         link_chars = 0
 
@@ -154,62 +169,79 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
         elif not attributes.endswith("/"):
-            _, out, inside = stack[-1] if stack else ("", False, False)
-            own = element in OUT or (element == "header" and not inside) or (element not in ("html", "body") and _hinted(attributes))
-            stack.append((element, out or own, inside or element in ARTICLE))
+            _, out, inside, hinted = stack[-1] if stack else ("", False, False, False)
+            own = element in OUT or (element == "header" and not inside)
+            named = element not in ("html", "body") and element not in ARTICLE and _hinted(attributes)
+            stack.append((element, out or own, inside or element in ARTICLE, hinted or named))
     flush()
     return found
 
 
-def classify(found: list[Block]) -> list[Block]:
-    """Both passes; returns the same blocks, all labelled 1 or -1."""
-    marked = any(b.inside and not b.out for b in found)
-    for b in found:
-        links = b.link_chars / len(b.text)
-        if b.out:
-            b.label = -1
-        elif marked:
-            b.label = 1 if b.inside else -1
-        elif links > 0.4:
+def _judge(b: Block, known: bool) -> int:
+    """First pass: 1 in, -1 out, 0 undecided; ``known``: the page has stop words that are known."""
+    words = _WORD.findall(b.text.lower())
+    length = len(words) + len(_CJK.findall(b.text)) / 2
+    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    links = b.link_chars / len(b.text)
+    # bars inside a marked article, and where nothing is marked
+    most_links, enough, dense, long = (0.7, 6, 0.08, 20) if b.inside else (0.4, 12, 0.15, 40)
+    if links > most_links:
+        return -1
+    if length >= enough and links <= most_links / 2 and (density >= dense if known else length >= 1.5 * enough):
+        return 1
+    if length >= long and links <= most_links / 4:
+        return 1
+    if known and not b.inside and length >= 12 and density < 0.05:
+        return -1
+    return 0
+
+
+def _passes(found: list[Block], out: list[bool]) -> None:
+    """Labels all blocks 1 or -1 by both passes."""
+    words = [w for b in found for w in _WORD.findall(b.text.lower())]
+    known = sum(w in STOP_WORDS for w in words) >= 0.03 * len(words)
+    marked = any(b.inside and not o for b, o in zip(found, out, strict=True))
+    region = []
+    for b, o in zip(found, out, strict=True):
+        if o or (marked and not b.inside):
             b.label = -1
+            if not marked:  # inside a marked article an advert says nothing of what stands beside it
+                region.append(b)
         else:
-            ws = _WORD.findall(b.text.lower())
-            density = sum(w in STOP_WORDS for w in ws) / len(ws) if ws else 0.0
-            if len(ws) >= 12 and density >= 0.15 and links <= 0.2:
-                b.label = 1
-            elif len(ws) >= 40 and links <= 0.1:
-                b.label = 1
-            elif len(ws) >= 12 and density < 0.05:
-                b.label = -1
-    decided = [i for i, b in enumerate(found) if b.label]
+            b.label = _judge(b, known)
+            region.append(b)
+    labels = [b.label for b in region]
+    if not any(labels) or (marked and 1 not in labels):  # nothing to go by: a marked article's short blocks are in, others out
+        for b in region:
+            b.label = b.label or (1 if marked else -1)
+        return
     ends = [0]
-    for b in found:
+    for b in region:
         ends.append(ends[-1] + len(b.text))
-    before = [-1] * len(found)
-    after = [-1] * len(found)
-    last = -1
-    for i, b in enumerate(found):
-        before[i] = last
-        last = i if b.label else last
-    last = -1
-    for i in range(len(found) - 1, -1, -1):
+    after, last = [-1] * len(region), -1
+    for i in range(len(region) - 1, -1, -1):
         after[i] = last
-        last = i if found[i].label else last
-    labels = [b.label for b in found]
-    for i, b in enumerate(found):
+        last = i if labels[i] else last
+    before = -1
+    for i, b in enumerate(region):
         if labels[i]:
+            before = i
             continue
-        if not decided:
-            b.label = -1
-            continue
-        p, q = before[i], after[i]
+        q = after[i]
         # a heading belongs to what follows it
         if b.heading and q >= 0 and labels[q] == 1:
             b.label = 1
-        elif p < 0 or (q >= 0 and ends[q] - ends[i + 1] < ends[i] - ends[p + 1]):
+        elif before < 0 or (q >= 0 and ends[q] - ends[i + 1] < ends[i] - ends[before + 1]):
             b.label = labels[q]
         else:
-            b.label = labels[p]
+            b.label = labels[before]
+
+
+def classify(found: list[Block]) -> list[Block]:
+    """Both passes; returns the same blocks, all labelled 1 or -1."""
+    _passes(found, [b.out or b.hinted for b in found])
+    if any(b.hinted for b in found) and not any(b.label == 1 for b in found):
+        _passes(found, [b.out for b in found])
     return found
 
 

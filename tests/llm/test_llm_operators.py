@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftlake.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, substring_dedup, topk, warc
+from driftlake.llm import bpe, common, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, substring_dedup, topk, warc
 from driftlake.llm.common import buffers
 
 #: Clashing names that the operators use themselves.
@@ -332,6 +332,36 @@ def test_warc(spark):
     assert warc.read_archives(empty).count() == 0
 
 
+def test_warc_payload_longer_than_a_read(spark):
+    rnd = random.Random(1)
+    big = "".join(rnd.choice("abcdefgh <>") for _ in range(3 * warc.READ_BYTES))
+    pages = spark.createDataFrame([(1, "u", big), (2, "v", big), (3, "w", "x" * 200)], "page_id long, url string, html string")
+    got = {r.id: (r.record_type, r.payload_bytes, r.refers_to, r.payload) for r in warc.read_archives(warc.write_archives(pages), payloads=True).collect()}
+    assert got["1"] == ("response", len(big), None, bytearray(big.encode())) and got["2"] == ("revisit", len(big), "1", None) and got["3"][0] == "response"
+
+
+def test_decontaminate_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    found, c = decontaminate.decontaminate(spark.createDataFrame([(1, "word " * 300_000 + item + " word" * 10)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    row = found.first()[c]
+    assert (row.n_words, row.n_hit, row["items"], row.spans) == (300_024, 14, ["1"], [300_000, 300_014])
+
+
+def test_open_uri_understands_hadoop_names(tmp_path):
+    assert common.open_uri(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+    assert common.open_uri("dbfs:/a/b")[1] == "/dbfs/a/b" and common.STORES["s3a"] == "s3"
+
+
+def test_release_removes_what_was_written(spark):
+    df = common.materialize(spark.range(3), "some-rows")
+    path = common._WRITTEN[-1]
+    system, at = common.open_uri(path)
+    assert df.count() == 3 and system.get_file_info(at).type.name == "Directory"
+    kept, common._WRITTEN[:] = common._WRITTEN[:-1], [path]
+    assert common.release(spark) == 1 and system.get_file_info(at).type.name == "NotFound"
+    common._WRITTEN[:] = kept
+
+
 def test_warc_frames_and_digests():
     member = warc.record_bytes("response", "1", "u", b"payload", hashlib.sha256(b"payload").hexdigest())
     both = list(warc.read_archive(io.BytesIO(member * 2)))
@@ -360,6 +390,53 @@ def test_html(spark):
     assert {r.page_id: r[c] for r in found.collect()} == {1: "", 2: "Head One. Two three café <b>"}
 
 
+PROSE = "This is a paragraph of the article that is long enough to be judged by the words that it has in it, and it was written for the test."
+
+
+def test_html_rules_decide_inside_and_outside():
+    links = "<ul>" + "".join(f"<li><a href=x>Another page {i} to read</a></li>" for i in range(4)) + "</ul>"
+    # inside a marked article a block of links goes by its density
+    assert html_text.main_text(f"<article><h2>Head</h2><p>{PROSE}</p>{links}<p>{PROSE}</p></article>") == f"Head {PROSE} {PROSE}"
+    # without a mark: heading and short block by their neighbours, links and foreign list out
+    page = f"<div>{links}</div><h2>Head</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p><div>{links}</div>"
+    assert html_text.main_text(page) == f"Head {PROSE} Short one. {PROSE}"
+    # class words count by their head
+    for name in ("post entry ad-free", "social-history", "has-sidebar", "no-comments"):
+        assert html_text.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == PROSE
+    for name in ("site-header", "mainNav", "comment-list", "ad", "user_comments", "cookie-banner-wrapper"):
+        assert html_text.main_text(f"<div class='{name}'><p>{PROSE}</p></div><div><p>{PROSE} Here.</p></div>") == PROSE + " Here."
+    # hints are not believed where nothing would be left
+    assert html_text.main_text(f"<div class='notice'><p>{PROSE}</p></div>") == PROSE
+    # scripts without spaces and languages whose stop words are not known
+    chinese = "这是一个足够长的段落因为它有很多汉字所以应该被当作正文的一部分而不是菜单或者页脚的文字"
+    assert html_text.main_text(f"<div><p>{chinese}</p></div>") == chinese
+    other = "lorusta mekin dola satuvi perkele honta misku veta lomari jutta keko silma ranta talvo merka sunto vesila kotima joki lampi metsa kivi saari tuuli ilma"
+    assert html_text.main_text(f"<nav><a href=x>a</a></nav><p>{other}</p>") == other
+
+
+def plain_html(blocks):
+    return "".join(f"<{k} class='{c}'>{t}</{k}>" if c else f"<{k}>{t}</{k}>" for k, c, t in blocks)
+
+
+def test_html_against_generated_pages(spark):
+    """Pages put together from parts whose label is known; the whole result against the parts that are text."""
+    rnd = random.Random(9)
+    pages, want = [], {}
+    for i in range(60):
+        main = [("h2", "", f"Head {i}")] + [("p", "", f"{PROSE} Number {i} {j} of it.") for j in range(rnd.randint(1, 6))]
+        around = [("nav", "", "<a href=x>Home</a> <a href=y>More</a>"), ("div", "ad", PROSE), ("footer", "", f"Copyright {PROSE}"), ("div", "sidebar", PROSE), ("script", "", "var a = '<p>no</p>';"), ("div", "comments", f"I like it. {PROSE}")]
+        before = rnd.sample(around, rnd.randint(0, 6))
+        body = f"<article>{plain_html(main)}</article>" if rnd.random() < 0.5 else plain_html(main)
+        pages.append((i, plain_html(before) + body + plain_html([x for x in around if x not in before])))
+        want[i] = " ".join(t for _, _, t in main)
+    pages += [(7, pages[7][1]), (100, None), (101, ""), (102, f"<p>{PROSE}</p>" * 3000)]
+    want |= {100: "", 101: "", 102: " ".join([PROSE] * 3000)}
+    found, c = html_text.extract(with_extras(spark.createDataFrame(pages, "page_id long, html string")))
+    rows = found.select("page_id", c).collect()
+    assert len(rows) == 64 and all(r[c] == want[r.page_id] for r in rows)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string"))[0].count() == 0
+
+
 def slow_viterbi(scores, first, switch):
     out = np.zeros(len(scores), int)
     for a, b in zip(first, first[1:]):

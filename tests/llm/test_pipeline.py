@@ -61,6 +61,22 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_near_duplicates_with_odd_rows(spark, tmp_path):
+    """Repeated and null ids, repeated rows and clashing names: every unrelated row stays, of a group one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(9, a), (9, b), (10, c), (11, a + " z"), (9, a), (None, a), (None, a), (12, None), (12, ""), (12, ""), (13, b + " y"), (10, c)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, class_doc long, class_text string")
+    got = sorted(map(repr, ((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())))
+    assert got == sorted(map(repr, [(9, a), (9, b), (10, c), (None, a), (None, a), (12, None), (12, ""), (12, "")]))
+    assert corpus_pipeline.near_duplicates(spark, docs, "").columns == docs.columns
+
+
+def test_last_stage_on_an_empty_table(spark, tmp_path):
+    build(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.bpe(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registry():
     assert list(registry.QUERIES) == [*(f"op{n}_{x}" for n, x in enumerate("language_id substring_dedup jaccard_join line_dedup bpe html_text quality warc decontaminate topk".split(), 1)), "pipeline"]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
