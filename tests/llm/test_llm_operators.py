@@ -241,26 +241,43 @@ def test_bpe_joins_at_any_cut():
     docs = [(0, "a  b\n\n c <|endoftext|> 's x" * 40), (1, "世界" * 500), (2, "  \n " * 99), (3, "no_space" * 300)]
     data, offsets = buffers(pa.array([t for _, t in docs]))
     for bits in (1, 2, 5):
-        got = list(bpe.Encoder(bpe.vocabulary_path(), bits=bits).encode(data, offsets))
+        got = bpe.joined(list(bpe.Encoder(bpe.vocabulary_path(), bits=bits).encode(data, offsets)))
         assert [hashlib.sha256(i.encode()).hexdigest() for i in got] == [r[2] for r in bpe.brute_force(docs)]
 
 
 def test_bpe_store_is_bounded_by_bytes():
     store = bpe.Store(100_000)
     for i in range(5000):
-        store.add(f"k{i}", "v", 3)
-    assert store.size <= 100_000 and "k4999" in store.held and "k0" not in store.held
-    store.add("long", "v", 50_000)
-    assert "long" not in store.held
+        store.held[f"k{i}"] = b"1234"
+        store.added([f"k{i}"])
+        store.trim()
+        assert store.size <= 100_000
+    assert "k4999" in store.held and "k0" not in store.held
+    store.held["long"] = "v" * 50_000, b"", "v", True
+    store.added(["long"])
+    store.trim()
+    assert "long" not in store.held and store.size == sum(map(store._size, store.held))
     # texts without spaces, through an encoder whose stores hold next to nothing
     rnd = random.Random(0)
     docs = [(i, "".join(rnd.choice("世界你好abc019+/") for _ in range(3000))) for i in range(20)] * 2
     data, offsets = buffers(pa.array([t for _, t in docs]))
     coder = bpe.Encoder(bpe.vocabulary_path(), words=60_000, chunks=60_000)
     got = list(coder.encode(data, offsets))
-    assert [hashlib.sha256(i.encode()).hexdigest() for i in got] == [r[2] for r in bpe.brute_force(docs)]
+    assert [hashlib.sha256(i.encode()).hexdigest() for i in bpe.joined(got)] == [r[2] for r in bpe.brute_force(docs)]
+    coder.words.trim()
+    coder.chunks.trim()
     assert coder.words.size <= 60_000 and coder.chunks.size <= 60_000
-    assert coder.decode(got) == [t for _, t in docs]
+    assert coder.decode(got) == [t.encode() for _, t in docs]
+
+
+def test_bpe_decodes_any_ids_as_the_library():
+    """Ids in any order, which need not be UTF-8 when put together."""
+    coder = bpe.Encoder(bpe.vocabulary_path())
+    rng = np.random.default_rng(4)
+    size = coder.tokenizer.get_vocab_size(with_added_tokens=True)
+    lists = [[i] for i in range(size)] + [rng.integers(0, size, n).tolist() for n in (0, 1, 50, 3000)] + [rng.integers(0, 400, 200).tolist() for _ in range(300)]
+    want = coder.tokenizer.decode_batch(lists, skip_special_tokens=False)
+    assert coder.decode([np.array(x, np.int32).tobytes() for x in lists]) == [w.encode() for w in want]
 
 
 def test_bpe_empty_table(spark):
