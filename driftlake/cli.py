@@ -27,7 +27,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def phase(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = files.read_results(spark, a.folder).withColumn("value", F.col(a.metric)).withColumn("nth", F.col("run"))
-    values = [r[0] for r in rows.select(a.column).distinct().orderBy(a.column).limit(1000).collect()]
+    # the values become columns; Spark sorts infinity last
+    values = [r[0] for r in rows.select(a.column).distinct().orderBy(a.column).collect()]
     files.write_csv(sweep.phase_diagram(rows, a.row, a.column, values, "nth").orderBy(a.row), a.out)
 
 

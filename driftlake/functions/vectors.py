@@ -38,10 +38,17 @@ def cosine01(a: Column | str, b: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine(a, b) + 1) / 2))
 
 
-def gaussian_similarity(a: Column | str, b: Column | str, variance: Column | str) -> Column:
-    """exp(-1/2 sum (a - b)^2 / variance), with one variance for each component."""
-    gap = F.zip_with(F.zip_with(col(a), col(b), lambda x, y: (x - y) * (x - y)), col(variance), lambda d, v: d / F.greatest(v, F.lit(1e-12)))
-    return F.exp(-0.5 * total(gap))
+def gaussian_similarity(a: Column | str, b: Column | str, variance: Column | str, groups: list[tuple[int, int, float]] | None = None) -> Column:
+    """exp(-1/2 sum (a - b)^2 / variance), with one variance for each component, 1e-8 at least.
+
+    With groups (start, end, weight) of components, the weighted mean of the groups' similarities."""
+    gap = F.zip_with(F.zip_with(col(a), col(b), lambda x, y: (x - y) * (x - y)), col(variance), lambda d, v: d / F.greatest(v, F.lit(1e-8)))
+    if not groups:
+        return F.exp(-0.5 * total(gap))
+    if any(start < 0 or end <= start or weight < 0 for start, end, weight in groups) or sum(g[2] for g in groups) <= 0:
+        raise ValueError("groups must be spans with weights of at least 0, one above 0")
+    mass = sum(g[2] for g in groups)
+    return sum((F.lit(weight / mass) * F.exp(-0.5 * total(F.slice(gap, start + 1, end - start))) for start, end, weight in groups if weight > 0), F.lit(0.0))
 
 
 def normalise(a: Column | str) -> Column:
@@ -63,6 +70,40 @@ def scaled_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(scale > 1e-12, F.exp(-0.5 * square_distance(x, y) / n / scale)).otherwise(F.when(square_distance(x, y) > 0, 0.0).otherwise(1.0))
 
 
+def mean_scaled_similarity(a: Column | str, b: Column | str) -> Column:
+    """exp(-1/2 mean squared gap / scale), the scale being the sum of both mean absolute values, 1e-8 at least; over the shorter's length, 1 for empty vectors."""
+    n = F.least(F.size(col(a)), F.size(col(b)))
+    x, y = F.slice(col(a), 1, n), F.slice(col(b), 1, n)
+    scale = F.greatest((total(F.transform(x, F.abs)) + total(F.transform(y, F.abs))) / n, F.lit(1e-8))
+    return F.when(n == 0, 1.0).otherwise(F.exp(-0.5 * square_distance(x, y) / n / scale))
+
+
+def classifier_rows(coef: Column | str, intercept: Column | str, features: int, classes: int) -> Column:
+    """A linear classifier's parameters as rows by class: coefficients, then the bias.
+
+    A binary classifier with one row stands for both classes, with opposite signs. Other sizes are an error."""
+    coef, intercept = col(coef), col(intercept)
+    row = lambda c: F.concat(F.slice(coef, c * features + 1, features), F.array(F.element_at(intercept, c + 1)))
+    whole = F.array(*[row(c) for c in range(classes)])
+    fits = (F.size(coef) == classes * features) & (F.size(intercept) == classes)
+    wrong = F.raise_error(F.lit(f"parameters don't fit {features} features and {classes} classes")).cast("array<array<double>>")
+    if classes != 2:
+        return F.when(fits, whole).otherwise(wrong)
+    one = F.concat(coef, intercept)
+    single = (F.size(coef) == features) & (F.size(intercept) == 1)
+    return F.when(single, F.array(F.transform(one, lambda v: -v), one)).when(fits, whole).otherwise(wrong)
+
+
+def classifier_params(rows: Column | str, features: int, classes: int) -> Column:
+    """(coef, intercept) of rows by class; of a binary classifier the second row alone."""
+    rows = col(rows)
+    kept = F.slice(rows, 2, 1) if classes == 2 else rows
+    bad = (F.size(rows) != classes) | F.exists(rows, lambda r: F.size(r) != features + 1)
+    wrong = F.raise_error(F.lit(f"rows don't fit {features} features and {classes} classes")).cast("array<double>")
+    coef = F.when(bad, wrong).otherwise(F.flatten(F.transform(kept, lambda r: F.slice(r, 1, features))))
+    return F.named_struct(F.lit("coef"), coef, F.lit("intercept"), F.transform(kept, lambda r: F.element_at(r, features + 1)))
+
+
 def prototype_similarity(a: Column | str, b: Column | str) -> Column:
     return 0.5 * cosine01(a, b) + 0.5 * F.exp(-square_distance(a, b) / F.size(col(a)))
 

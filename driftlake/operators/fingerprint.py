@@ -6,7 +6,7 @@ batch is never gathered in a task; dense vectors are assembled at the end."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.functions import vectors as V
@@ -47,11 +47,15 @@ def build(samples: DataFrame, keys: list[str], classes: int) -> DataFrame:
 
 
 def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges fingerprints (keys, n, mean, var) by the parallel formula, as sums in long form."""
+    """Merges fingerprints (keys, n, mean, var) by the parallel formula, as sums in long form.
+
+    Squares are taken around a first mean of each group, so large means don't cancel."""
     long = parts.select(*keys, "n", F.posexplode(F.arrays_zip("mean", "var")).alias("idx", "z")).select(*keys, "n", "idx", F.col("z.mean").alias("m"), F.col("z.var").alias("v"))
+    near = long.groupBy(*keys, "idx").agg(F.min("m").alias("near"))
+    long = long.join(near, [*keys, "idx"]).withColumn("m", F.col("m") - F.col("near"))
     n, s = F.sum("n"), F.sum(F.col("n") * F.col("m"))
     square = F.sum(F.when(F.col("n") > 1, F.col("v") * (F.col("n") - 1)).otherwise(0.0) + F.col("n") * F.col("m") * F.col("m"))
-    by = long.groupBy(*keys, "idx").agg(n.alias("n"), (s / n).alias("mean"), F.when(n > 1, (square - s * s / n) / (n - 1)).otherwise(1.0).alias("var"))
+    by = long.groupBy(*keys, "idx").agg(n.alias("n"), (F.min("near") + s / n).alias("mean"), F.when(n > 1, (square - s * s / n) / (n - 1)).otherwise(1.0).alias("var"))
     at = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("idx", c))), lambda x: x[c])
     return by.groupBy(*keys).agg(F.max("n").alias("n"), at("mean").alias("mean"), at("var").alias("var"))
 
@@ -72,22 +76,82 @@ def effective_rank(samples: DataFrame, keys: list[str]) -> DataFrame:
     return c.groupBy(*keys).agg(F.when(frob > 0, trace * trace / frob).otherwise(0.0).alias("effective_rank"))
 
 
-def similarity(pairs: DataFrame, least: int = 3) -> DataFrame:
+def similarity(pairs: DataFrame, least: int = 3, groups: list[tuple[int, int, float]] | None = None, weights: tuple[float, float, float] = (0.25, 0.30, 0.45)) -> DataFrame:
     """Adds ``similarity`` to pairs of fingerprints with columns a_* and b_*.
 
     .25 of the features' Gaussian similarity under the mean variance, .30 of the labels'
-    Hellinger similarity, .45 of the class means', over classes that both hold ``least`` times;
-    0 where a fingerprint has fewer than two rows."""
-    variance = F.transform(F.zip_with("a_var", "b_var", lambda x, y: (x + y) / 2), lambda v: v * F.size("a_var"))
-    feature = V.gaussian_similarity("a_mean", "b_mean", variance)
+    Hellinger similarity, .45 of the class means', over classes that both hold ``least`` times
+    (other weights can be given, and groups of features); 0 where a fingerprint has fewer than two rows."""
+    variance = F.zip_with("a_var", "b_var", lambda x, y: (x + y) / 2)
+    feature = V.gaussian_similarity("a_mean", "b_mean", variance, groups)
     label = V.hellinger_similarity("a_labels", "b_labels")
     both = F.filter(F.map_keys("a_class_n"), lambda k: (F.element_at("a_class_n", k) >= least) & (F.coalesce(F.try_element_at("b_class_n", k), F.lit(0)) >= least))
-    each = F.transform(both, lambda k: V.gaussian_similarity(F.element_at("a_class_mean", k), F.element_at("b_class_mean", k), variance))
+    each = F.transform(both, lambda k: V.gaussian_similarity(F.element_at("a_class_mean", k), F.element_at("b_class_mean", k), variance, groups))
     conditional = F.when(F.size(both) > 0, V.total(each) / F.size(both)).otherwise(0.0)
-    s = 0.25 * feature + 0.30 * label + 0.45 * conditional
+    s = weights[0] * feature + weights[1] * label + weights[2] * conditional
     return pairs.withColumn("similarity", F.when((F.col("a_n") < 2) | (F.col("b_n") < 2), 0.0).otherwise(s))
 
 
+def key_vector(prints: DataFrame, classes: int) -> DataFrame:
+    """Fingerprints with ``key``: mean, label shares and all class means (zeros where a class is absent) in one vector."""
+    zeros = F.transform("mean", lambda _: F.lit(0.0))
+    means = F.flatten(F.array(*[F.coalesce(F.try_element_at("class_mean", F.lit(c).cast("long")), zeros) for c in range(classes)]))
+    return prints.withColumn("key", F.concat("mean", "labels", means))
+
+
+def retrieval_keys(prints: DataFrame, classes: int, decay: float = 0.0, order: str = "t", by: str = "client") -> DataFrame:
+    """(by, order, style, semantic, prototype): a client's keys, each faded into the one before by ``decay``.
+
+    The faded mean of a history is a weighted sum over it: decay^0 (1 - decay) of the latest, and so
+    on, with decay^(n - 1) of the first; it is a fold of a client's fingerprints in their order."""
+    zeros = F.transform("mean", lambda _: F.lit(0.0))
+    means = F.flatten(F.array(*[F.coalesce(F.try_element_at("class_mean", F.lit(c).cast("long")), zeros) for c in range(classes)]))
+    rows = prints.select(by, order, F.concat("mean", "labels", means).alias("v"), F.size("mean").alias("d"))
+    w = Window.partitionBy(by).orderBy(order)
+    rows = rows.withColumn("nth", F.row_number().over(w)).select(by, order, "d", "nth", F.posexplode("v").alias("i", "x"))
+    if decay:
+        step = F.when(F.col("nth") == 1, F.col("x")).otherwise((1 - decay) * F.col("x"))
+        seen = F.collect_list(step).over(Window.partitionBy(by, "i").orderBy(order))
+        rows = rows.withColumn("x", F.aggregate(seen, F.lit(0.0), lambda a, v: a * decay + v))
+    back = rows.groupBy(by, order, "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    part = lambda lo, n: F.slice("v", lo, n)
+    d, k = F.col("d"), F.lit(classes)
+    return back.select(by, order, part(F.lit(1), d).alias("style"), part(d + 1, k).alias("semantic"), part(d + k + 1, d * k).alias("prototype"))
+
+
+def retrieval_similarity(style: tuple, semantic: tuple, prototype: tuple, weights: tuple[float, float, float] = (0.25, 0.30, 0.45)) -> Column:
+    """Of two keys' parts: scaled similarities of style and prototypes and the Hellinger similarity of label shares, weighted."""
+    if min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("weights must be at least 0, one above 0")
+    s, l, p = (x / sum(weights) for x in weights)
+    return s * V.mean_scaled_similarity(*style) + l * V.hellinger_similarity(*semantic) + p * V.mean_scaled_similarity(*prototype)
+
+
+def subgroup_stats(prints: DataFrame, group: str) -> DataFrame:
+    """(group, y, mass, mean): class means of a group's fingerprints, weighted by their label mass (share times rows).
+
+    A class without mass in the whole group is left out."""
+    each = prints.select(group, F.greatest(F.col("n").cast("double"), F.lit(1.0)).alias("n"), F.posexplode("labels").alias("y", "share"), "class_mean").where("share > 0")
+    each = each.select(group, F.col("y").cast("long").alias("y"), (F.col("share") * F.col("n")).alias("mass"), F.try_element_at("class_mean", F.col("y").cast("long")).alias("mean"))
+    long = each.select(group, "y", "mass", F.posexplode("mean").alias("idx", "v"))
+    by = long.groupBy(group, "y", "idx").agg(F.sum("mass").alias("mass"), (F.sum(F.col("mass") * F.col("v")) / F.sum("mass")).alias("v")).where("mass > 1e-8")
+    return by.groupBy(group, "y").agg(F.max("mass").alias("mass"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda s: s["v"]).alias("mean"))
+
+
+def participation_ratio(samples: DataFrame, keys: list[str], center: bool = True) -> DataFrame:
+    """(keys, ratio): squared trace over squared Frobenius norm of the features' second moments, about the mean or about 0.
+
+    Null where all are 0. Products of a row are summed where the row is, d (d + 1) / 2 sums a group."""
+    x = F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    pairs = F.flatten(F.transform(x, lambda a: F.transform(F.filter(x, lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["v"].alias("a"), b["v"].alias("b")))))
+    long = samples.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.i", "p.j", "p.a", "p.b")
+    moment = F.covar_pop("a", "b") if center else F.avg(F.col("a") * F.col("b"))
+    by = long.groupBy(*keys, "i", "j").agg(moment.alias("m"))
+    same = F.col("i") == F.col("j")
+    trace, square = F.sum(F.when(same, F.col("m"))), F.sum(F.when(same, 1.0).otherwise(2.0) * F.col("m") * F.col("m"))
+    return by.groupBy(*keys).agg(F.when(square > 0, trace * trace / square).alias("ratio"))
+
+
 def all_pairs(prints: DataFrame, key: str, within: str) -> DataFrame:
     """Pairs a < b of fingerprints of the same group ``within`` (a step, say), with a_* and b_* columns."""
     side = lambda p: prints.select(*[F.col(c).alias(c if c == within else f"{p}_{c}") for c in prints.columns])
@@ -96,8 +160,6 @@ def all_pairs(prints: DataFrame, key: str, within: str) -> DataFrame:
 
 def consecutive_stability(prints: DataFrame) -> DataFrame:
     """Mean cosine of a client's means at consecutive steps; steps without norm are left out."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("client").orderBy("t")
     rows = prints.select("client", "mean", F.lag("mean").over(w).alias("was")).where("was is not null")
     rows = rows.where((V.norm("mean") > 1e-12) & (V.norm("was") > 1e-12))

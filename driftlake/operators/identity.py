@@ -200,10 +200,44 @@ def running_accuracy(grid: DataFrame, fading: float = 1.0) -> DataFrame:
     hit = (F.col("pred") == F.col("gt")).cast("double")
     if fading == 1.0:
         return grid.select("client", "t", F.avg(hit).over(so_far).alias("accuracy"))
-    # the faded sum is a fold over the client's steps in order
-    seen = F.collect_list(hit).over(so_far)
-    fold = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a * fading + v)
-    return grid.select("client", "t", (fold(seen) / fold(F.transform(seen, lambda _: F.lit(1.0)))).alias("accuracy"))
+    if not 0 < fading < 1:
+        raise ValueError("fading must be in (0, 1]")
+    # the faded sum at step i is fading^i times a running sum of hit / fading^i, made in blocks in which the powers stay
+    # in range; the blocks before, of which one row each is kept, fade on as a whole
+    size = max(1, min(1024, int(-200 / math.log10(fading))))
+    nth = F.row_number().over(by_client()) - 1
+    rows = grid.select("client", "t", hit.alias("hit"), nth.alias("i")).withColumn("block", F.floor(F.col("i") / size)).withColumn("k", F.col("i") % size)
+    inside = Window.partitionBy("client", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda c: F.pow(F.lit(fading), c)
+    rows = rows.withColumn("own", F.sum(F.col("hit") / power(F.col("k"))).over(inside) * power(F.col("k")))
+    last = rows.groupBy("client", "block").agg(F.max_by("own", "i").alias("end"))
+    earlier = Window.partitionBy("client").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.aggregate(F.collect_list("end").over(earlier), F.lit(0.0), lambda a, v: a * fading**size + v)
+    rows = rows.join(last.select("client", "block", carried.alias("before")), ["client", "block"])
+    faded = F.col("own") + F.col("before") * power(F.col("k") + 1)
+    return rows.select("client", "t", (faded * (1 - fading) / (1 - power(F.col("i") + 1))).alias("accuracy"))
+
+
+def all_metrics(grid: DataFrame, total_bytes: float | None = None, identity_capable: bool = True) -> DataFrame:
+    """All metrics of a run in one row; a method that infers no identities has null for those that need them."""
+    from driftlake.operators import budget
+
+    names = ("re_id", "assignment_entropy", "switch_rate", "clients_per_concept", "singleton_groups", "reuse_rate", "routing_consistency", "wrong_reuse")
+    last = grid.agg(F.max("t").alias("last"))
+    final = grid.join(F.broadcast(last), F.col("t") == F.col("last")).agg(F.avg("acc").alias("final_accuracy"))  # one row
+    rows = budget.accuracy_auc(grid).select("auc").crossJoin(budget.worst_dip(grid)).crossJoin(final)  # one row each, as below
+    score = budget.budget_score(F.col("auc"), F.lit(total_bytes)) if total_bytes is not None else F.lit(None).cast("double")
+    rows = rows.select("final_accuracy", F.col("auc").alias("accuracy_auc"), "worst_dip", "worst_recovery", score.alias("budget_score"))
+    if not identity_capable:
+        return rows.select(*[F.lit(None).cast("double").alias(n) for n in names], *rows.columns)
+    hard = grid.select("client", "t", F.col("pred").alias("concept"), F.lit(1.0).alias("p"))
+    parts = [
+        overall(grid).select("re_id", "wrong_reuse"), hard_entropy(grid).agg(F.avg("entropy").alias("assignment_entropy")), switch_rate(grid).select("switch_rate"),
+        group_metrics(grid).select("clients_per_concept", "singleton_groups"), memory_reuse(grid).select("reuse_rate"), routing_consistency(hard),
+    ]
+    for part in parts:
+        rows = rows.crossJoin(part)
+    return rows.select(*names, "final_accuracy", "accuracy_auc", "worst_dip", "worst_recovery", "budget_score")
 
 
 def novelty_streaks(grid: DataFrame, is_novel: Column) -> DataFrame:
@@ -225,15 +259,25 @@ def forgetting(grid: DataFrame) -> DataFrame:
 
 
 def detection_metrics(drifts: DataFrame, fired: DataFrame) -> DataFrame:
-    """Detection rate and false alarms from true (client, t) and fired (client, t) points.
+    """Detection metrics from true (client, t) and fired (client, t) points.
 
-    Without true drifts the rate is 1; without detections the false-alarm share is 0."""
+    ``detection_rate`` and ``false_alarm_rate`` compare the numbers of fired and true points (1 without
+    true ones; the excess of fired ones, 0 without any); ``hit_rate`` and ``miss_share`` compare the
+    points themselves. ``identification_accuracy`` is the share of fired points that are true,
+    ``mean_delay`` the mean steps from a true point to the client's next fired one (0 without any)."""
     both = drifts.select("client", "t", F.lit(1).alias("is_true"), F.lit(0).alias("is_fired")).unionByName(fired.select("client", "t", F.lit(0).alias("is_true"), F.lit(1).alias("is_fired")))
     cells = both.groupBy("client", "t").agg(F.max("is_true").alias("d"), F.max("is_fired").alias("f"))
-    true, found, hit = F.sum("d"), F.sum("f"), F.sum(F.col("d") * F.col("f"))
+    ahead = Window.partitionBy("client").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    delay = F.min(F.when(F.col("f") == 1, F.col("t"))).over(ahead) - F.col("t")
+    cells = cells.withColumn("delay", F.when(F.col("d") == 1, delay))
+    true, found, hit = F.coalesce(F.sum("d"), F.lit(0)), F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum(F.col("d") * F.col("f")), F.lit(0))
     return cells.agg(
-        F.when(true > 0, hit / true).otherwise(1.0).alias("detection_rate"),
-        F.when(found > 0, (found - hit) / found).otherwise(0.0).alias("false_alarm_rate"),
+        F.when(true > 0, found / true).otherwise(1.0).alias("detection_rate"),
+        F.when(found > 0, F.greatest(found - true, F.lit(0)) / found).otherwise(0.0).alias("false_alarm_rate"),
+        F.when(true > 0, hit / true).otherwise(1.0).alias("hit_rate"),
+        F.when(found > 0, (found - hit) / found).otherwise(0.0).alias("miss_share"),
+        F.when(found > 0, hit / found).otherwise(0.0).alias("identification_accuracy"),
+        F.coalesce(F.avg("delay"), F.lit(0.0)).alias("mean_delay"),
         true.alias("true_drifts"),
         found.alias("detections"),
     )

@@ -61,12 +61,15 @@ def nearest_slot(items: DataFrame, slots: DataFrame, key: str, vector: str = "me
 
 
 def calibrate_omega(losses: DataFrame, keys: list[str], confidence: float = 0.9) -> DataFrame:
-    """The sharpness at which a typical gap (median of the others less the best) gives ``confidence``; within 1 to 100."""
+    """The sharpness at which a typical gap (median of the others less the best) gives ``confidence``; within 1 to 100.
+
+    Gaps of 1e-8 or less are left out; the number of concepts is the whole part of its median over the others."""
     w = Window.partitionBy(*keys).orderBy("loss", "concept")
     ranked = losses.withColumn("rank", F.row_number().over(w))
     by = ranked.groupBy(*keys).agg(F.min("loss").alias("best"), F.median(F.when(F.col("rank") > 1, F.col("loss"))).alias("others"), F.count("*").alias("k")).where("k > 1")
+    by = by.where("others - best > 1e-8")
     gap = F.avg(F.col("others") - F.col("best"))
-    raw = F.log(F.lit(confidence / (1 - confidence)) * (F.max("k") - 1)) / F.when(gap > 0, gap)
+    raw = F.log(F.lit(confidence / (1 - confidence)) * F.greatest(F.floor(F.median("k")) - 1, F.lit(1))) / gap
     return by.agg(F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(100.0), raw)), F.lit(1.0)).alias("omega"), gap.alias("mean_gap"))
 
 

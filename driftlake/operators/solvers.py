@@ -201,20 +201,19 @@ def _merge_heights(distance: np.ndarray) -> list[float]:
 
 
 def greedy_clusters(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """In order, each vector joins the most similar running mean (cosine) or begins its own."""
-    centres: list[np.ndarray] = []
-    sizes: list[int] = []
-    labels = np.empty(len(vectors), int)
-    for i, v in enumerate(vectors):
-        sims = [cosine(v, c) for c in centres]
-        j = int(np.argmax(sims)) if sims else -1
-        if j >= 0 and sims[j] >= threshold:
-            centres[j] = (centres[j] * sizes[j] + v) / (sizes[j] + 1)
-            sizes[j] += 1
-        else:
-            j = len(centres)
-            centres.append(v.astype(float))
-            sizes.append(1)
+    """In order, each vector joins the cluster to whose members it is most similar on average (cosine), if by the threshold, or begins its own.
+
+    The mean cosine to a cluster is that of the unit vectors' sum, so members aren't compared one by one."""
+    size = np.linalg.norm(vectors, axis=1)
+    unit = np.where(size[:, None] > 1e-12, vectors / np.maximum(size, 1e-12)[:, None], 0.0)
+    sums, counts, labels = np.zeros((0, vectors.shape[1])), np.zeros(0), np.empty(len(vectors), int)
+    for i, v in enumerate(unit):
+        sims = sums @ v / counts
+        j = int(np.argmax(sims)) if len(sims) else -1
+        if j < 0 or sims[j] < threshold:
+            j, sums, counts = len(counts), np.vstack([sums, np.zeros_like(v)]), np.append(counts, 0.0)
+        sums[j] += v
+        counts[j] += 1
         labels[i] = j
     return labels
 
@@ -244,14 +243,20 @@ def bandwidth(square: np.ndarray, how: str = "local", neighbours: int = 4) -> fl
     return float({"p25": np.percentile(off, 25), "median": np.median(off), "mean": off.mean()}[how]) + 1e-10
 
 
-def eigengap(values: np.ndarray, most: int) -> int:
-    """Number of clusters from ascending Laplacian eigenvalues: the last gap well above the plateau's noise."""
-    gaps = np.diff(values[: most + 1])
-    if not len(gaps):
-        return 1
-    noise = float(np.median(np.abs(gaps[len(gaps) // 2 :]))) + 1e-6
-    large = np.flatnonzero(gaps >= max(5 * noise, 0.02))
-    return int(large[-1]) + 1 if len(large) else 1
+def eigengap(values: np.ndarray, most: int, least: int = 1) -> int:
+    """Number of clusters from ascending Laplacian eigenvalues: up to the last gap, the first left aside, that
+    stands out from the noise of the plateau; without one, how many eigenvalues lie well below 1."""
+    n = len(values)
+    seen = min(most + 3, n)
+    if seen < 2:
+        return max(least, 1)
+    # Five times the median gap of the plateau (1e-3 where there is none), 0.02 at least; 0.95
+    plateau = max(most + 1, min(seen - 1, int(0.6 * n)))
+    noise = float(np.median(np.abs(np.diff(values[plateau:])))) + 1e-6 if plateau < n - 1 else 1e-3
+    gaps = np.diff(values[:seen])
+    large = np.flatnonzero(gaps[1:] >= max(5 * noise, 0.02))
+    found = int(large[-1]) + 2 if len(large) else max(1, int((values[:seen] < 0.95).sum()))
+    return max(least, min(found, most))
 
 
 def spectral(x: np.ndarray, most: int = 10, clusters: int | None = None, how: str = "local", seed: int = 42) -> np.ndarray:

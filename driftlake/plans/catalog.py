@@ -286,9 +286,12 @@ def forgetting(spark, sf):
 @register(
     "detection_metrics",
     f"""WITH {GRID_SQL}, l AS (SELECT client, t, gt, pred, lag(gt) OVER w AS wg, lag(pred) OVER w AS wp FROM grid WINDOW w AS (PARTITION BY client ORDER BY t)),
-c AS (SELECT coalesce(gt <> wg, false) AS d, coalesce(pred <> wp, false) AS f FROM l)
-SELECT round(count(*) FILTER (WHERE d AND f) / count(*) FILTER (WHERE d), 6) AS detection_rate, round(count(*) FILTER (WHERE f AND NOT d) / count(*) FILTER (WHERE f), 6) AS false_alarm_rate,
-       count(*) FILTER (WHERE d) AS true_drifts, count(*) FILTER (WHERE f) AS detections FROM c""",
+c AS (SELECT client, t, coalesce(gt <> wg, false) AS d, coalesce(pred <> wp, false) AS f FROM l),
+w AS (SELECT avg(later) AS delay FROM (SELECT (SELECT min(x.t) FROM c x WHERE x.client = c.client AND x.f AND x.t >= c.t) - c.t AS later FROM c WHERE d))
+SELECT round(count(*) FILTER (WHERE f) / count(*) FILTER (WHERE d), 6) AS detection_rate, round(greatest(count(*) FILTER (WHERE f) - count(*) FILTER (WHERE d), 0) / count(*) FILTER (WHERE f), 6) AS false_alarm_rate,
+       round(count(*) FILTER (WHERE d AND f) / count(*) FILTER (WHERE d), 6) AS hit_rate, round(count(*) FILTER (WHERE f AND NOT d) / count(*) FILTER (WHERE f), 6) AS miss_share,
+       round(count(*) FILTER (WHERE d AND f) / count(*) FILTER (WHERE f), 6) AS identification_accuracy, round(coalesce(max(delay), 0.0), 6) AS mean_delay,
+       count(*) FILTER (WHERE d) AS true_drifts, count(*) FILTER (WHERE f) AS detections FROM c, w""",
 )
 def detection_metrics(spark, sf):
     grid = event_grid(spark, sf)
@@ -325,9 +328,9 @@ def mean_curve(spark, sf):
 
 DIPS_SQL = f"""WITH {GRID_SQL}, l AS (SELECT client, t, gt, lag(gt) OVER (PARTITION BY client ORDER BY t) AS was FROM grid),
 c AS (SELECT t, avg(acc) AS a FROM grid GROUP BY t), last AS (SELECT max(t) AS last FROM c),
-s AS (SELECT c.t, p.a AS pre, (SELECT min(x.a) FROM c x WHERE x.t BETWEEN c.t AND c.t + 4) AS low,
-  (SELECT min(x.t) FROM c x WHERE x.t BETWEEN c.t AND c.t + 9 AND x.a >= 0.95 * p.a) AS hit FROM c JOIN c p ON p.t = c.t - 1),
-d AS (SELECT l.client, l.t, round(pre - low, 6) + 0.0 AS dip, coalesce(hit - l.t, 10) AS recovery FROM l JOIN s USING (t), last WHERE gt <> was AND l.t < last)"""
+s AS (SELECT c.t, p.a AS pre, (SELECT min(x.a) FROM c x WHERE x.t BETWEEN c.t AND c.t + 2) AS low,
+  (SELECT min(x.t) FROM c x WHERE x.t BETWEEN c.t AND c.t + 5 AND x.a >= 0.95 * p.a) AS hit FROM c JOIN c p ON p.t = c.t - 1),
+d AS (SELECT l.client, l.t, round(greatest(pre - low, 0.0), 6) + 0.0 AS dip, coalesce(hit - l.t, 6) AS recovery FROM l JOIN s USING (t), last WHERE gt <> was AND l.t < last)"""
 
 
 @register("drift_dips", DIPS_SQL + " SELECT client, t, dip, recovery FROM d")
@@ -358,9 +361,66 @@ def pareto(spark, sf):
     return budget.pareto(order_budget(spark, sf)).select("method", "federation_every", "total_bytes", "accuracy_auc")
 
 
-@register("budget_crossovers")
+@register(
+    "budget_crossovers",
+    f"""WITH {BUDGET_SQL}, two AS (SELECT method, total_bytes AS x, accuracy_auc AS y FROM budget WHERE method IN ('1-URGENT', '5-LOW')),
+e AS (SELECT max(lo) AS lo, min(hi) AS hi, max(n) * 10 AS steps FROM (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM two GROUP BY method HAVING count(*) > 1) HAVING count(*) = 2),
+p AS (SELECT method, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM two WINDOW w AS (PARTITION BY method ORDER BY x)),
+i AS (SELECT lo, hi, steps, unnest(range(steps)) AS i FROM e WHERE lo < hi), g AS (SELECT i, CASE WHEN i = steps - 1 THEN hi ELSE lo + i * ((hi - lo) / (steps - 1)) END AS g FROM i),
+v AS (SELECT i, g, max(CASE WHEN method = '1-URGENT' THEN y + (y2 - y) / (x2 - x) * (g - x) END) AS a, max(CASE WHEN method = '5-LOW' THEN y + (y2 - y) / (x2 - x) * (g - x) END) AS b FROM g JOIN p ON x2 > x AND g BETWEEN x AND x2 GROUP BY 1, 2),
+d AS (SELECT g, a, a - b AS d, lead(g) OVER w AS g2, lead(a) OVER w AS a2, lead(a - b) OVER w AS d2 FROM v WINDOW w AS (ORDER BY i)),
+t AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN d * d2 < 0 THEN d / (d - d2) END AS t FROM d WHERE d2 IS NOT NULL)
+SELECT round(g + t * (g2 - g), 4) AS total_bytes, round(a + t * (a2 - a), 4) AS accuracy_auc FROM t WHERE t IS NOT NULL""",
+)
 def crossovers(spark, sf):
-    return rounded(budget.crossovers(order_budget(spark, sf), "1-URGENT", "5-LOW"))
+    return rounded(budget.crossovers(order_budget(spark, sf), "1-URGENT", "5-LOW"), 4)
+
+
+@register(
+    "frontier_gate",
+    f"""WITH {BUDGET_SQL}, a AS (SELECT * FROM budget WHERE method <> '5-LOW'),
+k AS (SELECT count(*) AS n FROM a p WHERE method = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM a q WHERE q.accuracy_auc >= p.accuracy_auc AND q.total_bytes <= p.total_bytes AND (q.accuracy_auc > p.accuracy_auc OR q.total_bytes < p.total_bytes))),
+b AS (SELECT method FROM budget ORDER BY accuracy_auc / total_bytes DESC, method DESC LIMIT 1)
+SELECT n AS not_beaten, method AS best_method, n > 0 OR method = '1-URGENT' AS passed FROM k, b""",
+)
+def frontier_gate(spark, sf):
+    return budget.frontier_gate(order_budget(spark, sf), ["1-URGENT"], ["5-LOW"])
+
+
+@register("identity_gate", f"WITH {SWEEP_SQL}, m AS (SELECT avg(value) FILTER (WHERE method = 'NO') AS a, avg(value) FILTER (WHERE method = 'AF') AS b FROM sweep) SELECT round(a, 6) AS ours, round(b, 6) AS other, round(a - b, 6) AS gap, a >= b AS passed FROM m")
+def identity_gate(spark, sf):
+    return rounded(budget.identity_gate(order_sweep(spark, sf), "NO", "AF", "value"))
+
+
+@register(
+    "all_metrics",
+    MAPPED_SQL
+    + """
+, lagged AS (SELECT *, lag(pred) OVER (PARTITION BY client ORDER BY t) AS was_pred, lag(gt) OVER (PARTITION BY client ORDER BY t) AS was_gt, row_number() OVER (PARTITION BY client, aligned ORDER BY t) > 1 AS again FROM aligned),
+sizes AS (SELECT t, pred, count(*) AS size FROM grid GROUP BY 1, 2), n AS (SELECT max(gt) + 1 AS n FROM grid),
+p AS (SELECT t, size / sum(size) OVER (PARTITION BY t) AS p, n FROM sizes, n WHERE pred >= 0 AND pred < n),
+h AS (SELECT t, sum(-p * ln(p)) + (max(n) - count(*)) * -1e-12 * ln(1e-12) AS h FROM p GROUP BY t),
+c AS (SELECT t, avg(acc) AS a FROM grid GROUP BY t), last AS (SELECT max(t) AS last FROM c),
+auc AS (SELECT sum((a + b) / 2) AS auc FROM (SELECT a, lead(a) OVER (ORDER BY t) AS b FROM c)),
+s AS (SELECT c.t, p.a AS pre, (SELECT min(x.a) FROM c x WHERE x.t BETWEEN c.t AND c.t + 2) AS low, (SELECT min(x.t) FROM c x WHERE x.t BETWEEN c.t AND c.t + 5 AND x.a >= 0.95 * p.a) AS hit FROM c JOIN c p ON p.t = c.t - 1),
+d AS (SELECT greatest(pre - low, 0.0) AS dip, coalesce(hit - l.t, 6) AS recovery FROM lagged l JOIN s USING (t), last WHERE gt <> was_gt AND l.t < last)
+SELECT round(avg(CASE WHEN aligned = gt THEN 1.0 ELSE 0.0 END), 6) AS re_id, round((SELECT avg(h) FROM h), 6) AS assignment_entropy,
+  round(avg(CASE WHEN was_pred IS NULL THEN NULL WHEN pred <> was_pred THEN 1.0 ELSE 0.0 END), 6) AS switch_rate, round((SELECT avg(size) FROM sizes), 6) AS clients_per_concept,
+  round((SELECT avg(CASE WHEN size = 1 THEN 1.0 ELSE 0.0 END) FROM sizes), 6) AS singleton_groups, round(sum(CASE WHEN again THEN 1.0 ELSE 0.0 END) / (count(*) - count(DISTINCT client)), 6) AS reuse_rate,
+  round(1 - avg(CASE WHEN was_pred IS NULL THEN NULL WHEN pred <> was_pred THEN 1.0 ELSE 0.0 END), 6) AS routing_consistency, round(1 - avg(CASE WHEN aligned = gt THEN 1.0 ELSE 0.0 END), 6) AS wrong_reuse,
+  round((SELECT a FROM c, last WHERE t = last), 6) AS final_accuracy, round((SELECT auc FROM auc), 6) AS accuracy_auc, round((SELECT max(dip) FROM d), 6) AS worst_dip, (SELECT max(recovery) FROM d) AS worst_recovery,
+  round((SELECT auc FROM auc) / 5000.0, 6) AS budget_score FROM lagged""",
+)
+def all_metrics(spark, sf):
+    return rounded(identity.all_metrics(event_grid(spark, sf), 5000.0))
+
+
+@register(
+    "metrics_without_identity",
+    f"""WITH {GRID_SQL}, c AS (SELECT t, avg(acc) AS a FROM grid GROUP BY t) SELECT CAST(NULL AS DOUBLE) AS re_id, CAST(NULL AS DOUBLE) AS switch_rate, CAST(NULL AS DOUBLE) AS wrong_reuse, CAST(NULL AS DOUBLE) AS budget_score, round(max_by(a, t), 6) AS final_accuracy FROM c""",
+)
+def metrics_without_identity(spark, sf):
+    return rounded(identity.all_metrics(event_grid(spark, sf), identity_capable=False).select("re_id", "switch_rate", "wrong_reuse", "budget_score", "final_accuracy"))
 
 
 @register(
@@ -405,7 +465,7 @@ def phase_diagram(spark, sf):
     return sweep.phase_diagram(order_sweep(spark, sf).where("method = 'NO'"), "setting", "axis", list(range(6)), "seed")
 
 
-@register("fixed_columns", f"WITH {SWEEP_SQL}, s AS (SELECT * FROM sweep WHERE method = 'NO' AND seed = 1) SELECT 'method' AS name, 'NO' AS value UNION ALL SELECT 'seed', '1'")
+@register("fixed_columns", f"WITH {SWEEP_SQL}, s AS (SELECT * FROM sweep WHERE method = 'NO' AND seed = 1) " + " UNION ALL ".join(f"SELECT '{c}' AS name, min(CAST({c} AS VARCHAR)) AS value FROM s HAVING count(DISTINCT {c}) = 1" for c in ("method", "axis", "setting", "seed")))
 def fixed_columns(spark, sf):
     return sweep.fixed_columns(order_sweep(spark, sf).where("method = 'NO' AND seed = 1"), ["method", "axis", "setting", "seed"])
 

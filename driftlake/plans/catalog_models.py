@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions import scalars as S
 from driftlake.functions import vectors as V
-from driftlake.operators import federation, fingerprint, posterior, routing
+from driftlake.operators import budget, federation, fingerprint, posterior, routing
 from driftlake.plans import rounds
 from driftlake.plans.catalog import register, rounded
 from driftlake.sources import generators
@@ -60,20 +60,40 @@ def batch_prototypes(spark, sf):
     return rounded(p.select("client", "y", "n", V.norm("mean").alias("norm")))
 
 
-@register("fingerprint_similarity")
+#: Similarity of all pairs of clients at a step, from the definition in long form.
+SIMILARITY_SQL = (
+    MOMENTS_SQL
+    + """, n AS (SELECT client, t, count(*) AS n FROM samples GROUP BY 1, 2),
+m AS (SELECT client, t, idx, avg(v) AS m, CASE WHEN count(*) < 2 THEN 1.0 ELSE var_samp(v) END AS v FROM long GROUP BY 1, 2, 3),
+c AS (SELECT client, t, y, idx, avg(v) AS m, count(*) AS n FROM long WHERE y BETWEEN 0 AND 9 GROUP BY 1, 2, 3, 4),
+l AS (SELECT client, t, y, count(*) / sum(count(*)) OVER (PARTITION BY client, t) AS s FROM samples WHERE y BETWEEN 0 AND 9 GROUP BY 1, 2, 3),
+pairs AS (SELECT a.t, a.client AS ac, b.client AS bc, a.n AS an, b.n AS bn FROM n a JOIN n b ON a.t = b.t AND a.client < b.client),
+f AS (SELECT p.t, ac, bc, exp(-0.5 * sum(power(a.m - b.m, 2) / greatest((a.v + b.v) / 2, 1e-8))) AS f FROM pairs p JOIN m a ON a.client = ac AND a.t = p.t JOIN m b ON b.client = bc AND b.t = p.t AND b.idx = a.idx GROUP BY 1, 2, 3),
+h AS (SELECT p.t, ac, bc, 1 - sqrt(0.5 * sum(power(sqrt(coalesce(a.s, 0)) - sqrt(coalesce(b.s, 0)), 2))) AS h FROM pairs p CROSS JOIN (SELECT unnest(range(10)) AS y) k LEFT JOIN l a ON a.client = ac AND a.t = p.t AND a.y = k.y LEFT JOIN l b ON b.client = bc AND b.t = p.t AND b.y = k.y GROUP BY 1, 2, 3),
+e AS (SELECT t, ac, bc, avg(e) AS e FROM (SELECT p.t, ac, bc, a.y, exp(-0.5 * sum(power(a.m - b.m, 2) / greatest((va.v + vb.v) / 2, 1e-8))) AS e FROM pairs p JOIN c a ON a.client = ac AND a.t = p.t AND a.n >= 3 JOIN c b ON b.client = bc AND b.t = p.t AND b.y = a.y AND b.idx = a.idx AND b.n >= 3
+  JOIN m va ON va.client = ac AND va.t = p.t AND va.idx = a.idx JOIN m vb ON vb.client = bc AND vb.t = p.t AND vb.idx = a.idx GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+sims AS (SELECT t, ac, bc, CASE WHEN an < 2 OR bn < 2 THEN 0.0 ELSE 0.25 * f + 0.30 * h + 0.45 * coalesce(e, 0.0) END AS s FROM pairs JOIN f USING (t, ac, bc) JOIN h USING (t, ac, bc) LEFT JOIN e USING (t, ac, bc))"""
+)
+
+
+@register("fingerprint_similarity", SIMILARITY_SQL + " SELECT t, ac AS a_client, bc AS b_client, round(s, 6) AS similarity FROM sims")
 def fingerprint_similarity(spark, sf):
     prints = fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10)
     pairs = fingerprint.similarity(fingerprint.all_pairs(prints, "client", "t"))
     return rounded(pairs.select("t", "a_client", "b_client", "similarity"))
 
 
-@register("fingerprint_similarity_quantiles")
+@register("fingerprint_similarity_quantiles", SIMILARITY_SQL + " SELECT round(quantile_cont(s, 0.1), 6) AS q10, round(quantile_cont(s, 0.5), 6) AS q50, round(quantile_cont(s, 0.9), 6) AS q90 FROM sims")
 def fingerprint_quantiles(spark, sf):
     prints = fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10)
     return rounded(posterior.similarity_quantiles(fingerprint.similarity(fingerprint.all_pairs(prints, "client", "t")), [0.1, 0.5, 0.9]))
 
 
-@register("fingerprint_medoids")
+@register(
+    "fingerprint_medoids",
+    SIMILARITY_SQL + """, b AS (SELECT t, ac AS who, s FROM sims UNION ALL SELECT t, bc, s FROM sims), a AS (SELECT t, who, avg(s) AS s FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, who) AS nth FROM a)
+SELECT t, who AS medoid, round(s, 6) AS mean_similarity FROM r WHERE nth = 1""",
+)
 def fingerprint_medoids(spark, sf):
     prints = fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10)
     pairs = fingerprint.similarity(fingerprint.all_pairs(prints, "client", "t")).select("t", F.col("a_client").alias("a"), F.col("b_client").alias("b"), "similarity")
@@ -92,7 +112,7 @@ def fingerprint_stability(spark, sf):
 
 @register(
     "effective_rank",
-    f"""WITH {SAMPLES_SQL}, s AS (SELECT y, x[1:8] AS x, row_id FROM samples), l AS (SELECT y, row_id, unnest(range(8)) AS i, unnest(x) AS v FROM s),
+    f"""WITH {SAMPLES_SQL}, s AS (SELECT y, x, row_id FROM samples), l AS (SELECT y, row_id, unnest(range(64)) AS i, unnest(x) AS v FROM s),
 c AS (SELECT a.y, a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM l a JOIN l b ON a.row_id = b.row_id GROUP BY 1, 2, 3)
 SELECT y, round(power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 6) AS effective_rank FROM c GROUP BY y""",
 )
@@ -100,10 +120,87 @@ def effective_rank(spark, sf):
     return rounded(fingerprint.effective_rank(vector_samples(spark, sf), ["y"]))
 
 
+KEYS_SQL = (
+    MOMENTS_SQL
+    + """, m AS (SELECT client, t, idx, avg(v) AS m FROM long GROUP BY 1, 2, 3), c AS (SELECT client, t, y, idx, avg(v) AS m FROM long GROUP BY 1, 2, 3, 4),
+l AS (SELECT client, t, y, count(*) / sum(count(*)) OVER (PARTITION BY client, t) AS s FROM samples GROUP BY 1, 2, 3),
+cells AS (SELECT client, t, row_number() OVER (PARTITION BY client ORDER BY t) AS nth FROM (SELECT DISTINCT client, t FROM samples)),
+parts AS (SELECT client, t, 's' AS part, idx AS i, m AS x FROM m
+  UNION ALL SELECT k.client, k.t, 'l', y, coalesce(s, 0) FROM cells k CROSS JOIN (SELECT unnest(range(10)) AS y) q LEFT JOIN l USING (client, t, y)
+  UNION ALL SELECT k.client, k.t, 'p', y * 64 + idx, coalesce(m, 0) FROM cells k CROSS JOIN (SELECT unnest(range(10)) AS y) q CROSS JOIN (SELECT unnest(range(64)) AS idx) r LEFT JOIN c USING (client, t, y, idx))"""
+)
+
+
+@register("key_vectors", KEYS_SQL + " SELECT client, t, count(*) AS n, round(sum(x), 6) AS total, round(sqrt(sum(x * x)), 6) AS norm FROM parts GROUP BY 1, 2")
+def key_vectors(spark, sf):
+    keys = fingerprint.key_vector(fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10), 10)
+    return rounded(keys.select("client", "t", F.size("key").cast("long").alias("n"), V.total("key").alias("total"), V.norm("key").alias("norm")))
+
+
+@register(
+    "retrieval_similarities",
+    KEYS_SQL
+    + """, q AS (SELECT p.*, nth FROM parts p JOIN cells USING (client, t)),
+k AS (SELECT a.client, a.nth, a.part, a.i, sum(b.x * CASE WHEN b.nth = 1 THEN power(0.6, a.nth - 1) ELSE 0.4 * power(0.6, a.nth - b.nth) END) AS x FROM q a JOIN q b ON a.client = b.client AND a.part = b.part AND a.i = b.i AND b.nth <= a.nth GROUP BY 1, 2, 3, 4),
+s AS (SELECT a.client, a.nth, a.part, CASE WHEN a.part = 'l' THEN 1 - sqrt(0.5 * sum(power(sqrt(a.x) - sqrt(b.x), 2))) END AS h,
+  exp(-0.5 * avg(power(a.x - b.x, 2)) / greatest(avg(abs(a.x)) + avg(abs(b.x)), 1e-8)) AS g FROM (SELECT *, CASE WHEN part = 'l' THEN x ELSE NULL END AS y FROM k) a JOIN k b ON a.client = b.client AND a.part = b.part AND a.i = b.i AND b.nth = a.nth - 1
+  GROUP BY 1, 2, 3)
+SELECT client, nth, round(sum(CASE part WHEN 's' THEN 0.25 * g WHEN 'l' THEN 0.30 * h ELSE 0.45 * g END), 6) AS similarity FROM s GROUP BY 1, 2""".replace("sqrt(a.x) - sqrt(b.x)", "sqrt(abs(a.x)) - sqrt(abs(b.x))"),
+)
+def retrieval_similarities(spark, sf):
+    from pyspark.sql import Window
+
+    keys = fingerprint.retrieval_keys(fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10), 10, 0.6)
+    w = Window.partitionBy("client").orderBy("t")
+    parts = ("style", "semantic", "prototype")
+    rows = keys.select("client", F.row_number().over(w).cast("long").alias("nth"), *parts, *[F.lag(p).over(w).alias(f"{p}_before") for p in parts]).where("style_before is not null")
+    return rounded(rows.select("client", "nth", fingerprint.retrieval_similarity(*[(p, f"{p}_before") for p in parts]).alias("similarity")))
+
+
+@register("subgroup_stats", MOMENTS_SQL + ", c AS (SELECT client, y, idx, avg(v) AS m, count(*) AS n FROM long GROUP BY 1, 2, 3) SELECT client, y, round(CAST(max(n) AS DOUBLE), 6) AS mass, round(sqrt(sum(m * m)), 6) AS norm FROM c GROUP BY 1, 2")
+def subgroup_stats(spark, sf):
+    stats = fingerprint.subgroup_stats(fingerprint.build(vector_samples(spark, sf), ["client", "t"], 10), "client")
+    return rounded(stats.select("client", "y", "mass", V.norm("mean").alias("norm")))
+
+
+@register(
+    "participation_ratio",
+    f"""WITH {SAMPLES_SQL}, l AS (SELECT y, row_id, unnest(range(64)) AS i, unnest(x) AS v FROM samples), c AS (SELECT a.y, a.i, b.i AS j, avg(a.v * b.v) AS c FROM l a JOIN l b ON a.row_id = b.row_id GROUP BY 1, 2, 3)
+SELECT y, round(power(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 6) AS ratio FROM c GROUP BY y""",
+)
+def participation_ratio(spark, sf):
+    return rounded(fingerprint.participation_ratio(vector_samples(spark, sf), ["y"], center=False))
+
+
+@register("prototype_bytes", f"WITH {SAMPLES_SQL} SELECT client, count(DISTINCT y) * 64 * 16 / 8.0 AS bytes FROM samples GROUP BY client")
+def prototype_bytes(spark, sf):
+    return budget.prototype_bytes(fingerprint.prototypes(vector_samples(spark, sf), ["client"]), ["client"], 16)
+
+
+@register(
+    "classifier_rows",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), k AS (SELECT vec_id, x, unnest(range(4)) AS c FROM e)
+SELECT vec_id, c AS class, round(list_sum(x[c * 15 + 1 : c * 15 + 15]), 6) AS total, round(x[61 + c], 6) AS bias, true AS same FROM k
+UNION ALL SELECT vec_id, c + 10, round((2 * c - 1) * list_sum(x[1:15]), 6) + 0.0, round((2 * c - 1) * x[16], 6) + 0.0, true FROM k WHERE c < 2""",
+)
+def classifier_rows(spark, sf):
+    """Four classes of 15 features, and a binary classifier of one row; ``same``: rows give the parameters back."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    out = None
+    for classes, size, offset in ((4, 60, 0), (2, 15, 10)):
+        coef, intercept = F.slice("x", 1, size), F.slice("x", size + 1, 4 if classes == 4 else 1)
+        rows = e.select("vec_id", coef.alias("coef"), intercept.alias("intercept"), V.classifier_rows(coef, intercept, 15, classes).alias("rows"))
+        back = V.classifier_params("rows", 15, classes)
+        own = rows.select("vec_id", ((back["coef"] == F.col("coef")) & (back["intercept"] == F.col("intercept"))).alias("same"), F.posexplode("rows").alias("class", "row"))
+        own = own.select("vec_id", (F.col("class") + offset).alias("class"), V.total(F.slice("row", 1, 15)).alias("total"), F.element_at("row", 16).alias("bias"), "same")
+        out = own if out is None else out.unionByName(own)
+    return rounded(out)
+
+
 # ---------------------------------------------------------------- posteriors
 
 LOSS_SQL = f"""WITH {PARAMS_SQL}, cen AS (SELECT concept, idx, avg(val) AS c FROM params GROUP BY 1, 2),
-losses AS (SELECT p.client, p.client % 5 AS t, c.concept, sum(power(p.val - c.c, 2)) AS loss FROM params p JOIN cen c USING (idx) WHERE p.client % 3 = 0 GROUP BY 1, 2, 3),
+losses AS (SELECT p.client, p.client % 5 AS t, c.concept, sum(power(p.val - c.c, 2)) AS loss FROM params p JOIN cen c USING (idx) GROUP BY 1, 2, 3),
 g0 AS (SELECT client, t, concept, loss, CASE WHEN concept = client % 10 THEN ln(0.9) ELSE ln(0.1 / (count(*) OVER (PARTITION BY client, t) - 1)) END - 2.0 * loss AS l FROM losses),
 post AS (SELECT client, t, concept, loss, exp(l - max(l) OVER (PARTITION BY client, t)) / sum(exp(l)) OVER (PARTITION BY client, t) * exp(max(l) OVER (PARTITION BY client, t)) AS p FROM g0)"""
 
@@ -146,7 +243,7 @@ def posterior_top(spark, sf):
     LOSS_SQL
     + """, r AS (SELECT client, loss, row_number() OVER (PARTITION BY client, t ORDER BY loss, concept) AS nth FROM losses),
 b AS (SELECT client, min(loss) AS best, median(loss) FILTER (WHERE nth > 1) AS others, count(*) AS k FROM r GROUP BY 1)
-SELECT round(greatest(1.0, least(100.0, ln(0.9 / (1 - 0.9) * (max(k) - 1)) / avg(others - best))), 6) AS omega, round(avg(others - best), 6) AS mean_gap FROM b""",
+SELECT round(greatest(1.0, least(100.0, ln(0.9 / (1 - 0.9) * greatest(floor(median(k)) - 1, 1)) / avg(others - best))), 6) AS omega, round(avg(others - best), 6) AS mean_gap FROM b WHERE k > 1 AND others - best > 1e-8""",
 )
 def calibrated_omega(spark, sf):
     return rounded(posterior.calibrate_omega(centroid_losses(spark, sf), ["client", "t"]))
@@ -328,7 +425,7 @@ def hellinger(spark, sf):
 
 @register(
     "softmax_rows",
-    """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda v: exp(v))) AS z FROM e)
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda v: exp(v))) AS z FROM e)
 SELECT vec_id, round(exp(x[1]) / z, 6) AS first, round(ln(z), 6) AS log_sum FROM s""",
 )
 def softmax(spark, sf):
@@ -375,8 +472,6 @@ def formatted(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", S.shown(F.col("s_acctbal")).alias("text"), S.shown_bytes(F.col("s_acctbal")).alias("size"))
 
 
-
-
 # ---------------------------------------------------------------- streams
 
 
@@ -446,9 +541,15 @@ def generated_samples(spark, sf):
     return generators.samples(generators.concept_grid(spark, c), c)
 
 
-@register("concept_specs", "SELECT id AS concept, 'sine' AS kind, id % 4 AS variant, CAST(0.5 AS DOUBLE) AS noise FROM (SELECT unnest(range(10)) AS id)")
+@register(
+    "concept_specs",
+    """WITH c AS (SELECT DISTINCT CAST(label AS BIGINT) AS concept FROM embeddings)
+SELECT concept, 'sine' AS kind, concept % 4 AS variant, 0.75 AS noise FROM c UNION ALL SELECT concept, 'circle', concept, CAST(1 - 0.9 AS DOUBLE) FROM c""".replace("0.75 AS", "CAST(0.75 AS DOUBLE) AS"),
+)
 def concept_specs(spark, sf):
-    return generators.concept_specs(spark, 10, "sine", 0.5)
+    """One concept for each label; the noise is 1 - delta."""
+    n = table(spark, sf, "embeddings").agg(F.max("label") + 1).first()[0]
+    return rounded(generators.concept_specs(spark, n, "sine", 0.25).unionByName(generators.concept_specs(spark, n, "circle", 0.9)))
 
 
 @register("balanced_groups")
@@ -593,7 +694,7 @@ def transport_similarities(spark, sf):
 @register(
     "composed_downloads",
     NAMED_SQL
-    + """, sl AS (SELECT client AS slot, name, idx, val FROM named WHERE client < 6), w AS (SELECT c AS client, s AS slot, (1 + (c * 3 + s) % 5) / 10.0 AS w FROM (SELECT unnest(range(4)) AS c), (SELECT unnest(range(6)) AS s)),
+    + """, sl AS (SELECT client AS slot, name, idx, val FROM named), w AS (SELECT c AS client, s AS slot, (1 + (c * 3 + s) % 5) / 10.0 AS w FROM (SELECT unnest(range(4)) AS c), (SELECT vec_id AS s FROM embeddings)),
 r AS (SELECT w.client, sl.*, w FROM w JOIN sl USING (slot))
 SELECT client, name, idx, round(CASE WHEN name LIKE 'shared.%' THEN sum(w * val) / sum(w) ELSE arg_min(val, (-w, slot)) END, 6) AS val FROM r GROUP BY client, name, idx""",
 )
@@ -651,14 +752,24 @@ def federation_steps(spark, sf):
     return routing.ensure_round_trip(table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("t")), 5)
 
 
-@register("method_names", "SELECT 'IFCA' AS method, 0 AS nth UNION ALL SELECT 'TwoPhase', 1 UNION ALL SELECT 'FedAvg', 3")
+@register(
+    "method_names",
+    """WITH n AS (SELECT p_partkey AS nth, p_brand || '-' || p_size AS name FROM part),
+c AS (SELECT nth, CASE WHEN name = 'Brand#31-7' THEN 'Brand#11' WHEN starts_with(name, 'Brand#11-') THEN 'Brand#11' WHEN starts_with(name, 'Brand#22-') THEN 'Brand#22' ELSE name END AS method FROM n)
+SELECT method, min(nth) AS nth FROM c GROUP BY method""",
+)
 def method_names(spark, sf):
-    names = spark.createDataFrame([("IFCA", 0), ("TwoPhase-spectral", 1), ("FeSEM", 2), ("FedAvg", 3), ("TwoPhase", 4)], "method string, nth int")
-    named = names.select(S.canonical_method(F.col("method"), {"FeSEM": "IFCA"}, ("TwoPhase",)).alias("method"), "nth")
+    """Variants of two methods under one name, an alias, and the first row of each name."""
+    names = table(spark, sf, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("method"), F.col("p_partkey").alias("nth"))
+    named = names.select(S.canonical_method(F.col("method"), {"Brand#31-7": "Brand#11"}, ("Brand#11", "Brand#22")).alias("method"), "nth")
     return S.first_of_each(named, "method", "nth")
 
 
-@register("parsed_lists", "SELECT 0 AS id, 3 AS n, CAST('inf' AS DOUBLE) AS last UNION ALL SELECT 1, 1, CAST(2.5 AS DOUBLE)")
+@register(
+    "parsed_lists",
+    """SELECT s_suppkey AS id, CAST(2 + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n, CAST(s_nationkey AS DOUBLE) AS first, CASE WHEN s_suppkey % 3 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(s_acctbal, 6) END AS last FROM supplier""",
+)
 def parsed_lists(spark, sf):
-    rows = spark.createDataFrame([(0, "2, 5, inf"), (1, "2.5")], "id int, text string")
-    return rows.select("id", F.size(S.parse_floats(F.col("text"))).alias("n"), F.element_at(S.parse_floats(F.col("text")), -1).alias("last"))
+    text = F.concat_ws(", ", F.col("s_nationkey").cast("string"), F.format_string("%.2f", "s_acctbal"), F.when(F.col("s_suppkey") % 3 == 0, "inf"))
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), S.parse_floats(text).alias("v"))
+    return rows.select("id", F.size("v").cast("long").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))

@@ -62,10 +62,40 @@ def write_json(df: DataFrame, path: str) -> None:
     text = lambda c: F.when(F.col(c) == float("inf"), F.lit("inf")).when(F.col(c) == float("-inf"), F.lit("-inf")).otherwise(F.col(c).cast("string"))
     has = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) == float("inf"))
     doubles = [c for c, t in df.dtypes if t == "double"]
-    odd = {c for c in doubles if df.where(has(c)).limit(1).count()}
+    found = df.agg(*[F.max(has(c)).alias(c) for c in doubles]).first() if doubles else None
+    odd = {c for c in doubles if found[c]}
     df.select(*[text(c).alias(c) if c in odd else F.col(c) for c in df.columns]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_log(grid: DataFrame, path: str, about: dict) -> None:
+    """A run's log: its cells as Parquet and what is known of it (method, bytes and so on) as one JSON row."""
+    grid.write.mode("overwrite").parquet(f"{path}/cells")
+    write_json(grid.sparkSession.createDataFrame([about]), f"{path}/about")
+
+
+def write_phase_diagram(diagram: DataFrame, path: str, about: dict) -> None:
+    """A phase diagram as Parquet beside one JSON row of what its axes and metric are."""
+    diagram.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    write_json(diagram.sparkSession.createDataFrame([about]), f"{path}/about")
+
+
+def read_phase_diagram(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/cells"), spark.read.json(f"{path}/about").first().asDict()
+
+
+def write_conditions(rows: DataFrame, path: str, condition: list[str]) -> None:
+    """CSV files, a folder for each condition; all rows of a condition are in one file."""
+    rows.repartition(*condition).sortWithinPartitions(*condition).write.mode("overwrite").option("header", True).partitionBy(*condition).csv(path)
+
+
+def promote_findings(rows: DataFrame, path: str, ids: list[str]) -> int:
+    """Writes findings as one markdown file each below ``path``; returns how many."""
+    text = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    chosen = rows.where(F.col("id").isin(*ids)).select(F.regexp_replace("id", "[^A-Za-z0-9_-]", "-").alias("name"), text.alias("value"))
+    chosen.write.mode("overwrite").partitionBy("name").text(path)
+    return chosen.count()
+
+
 def write_dataset(samples: DataFrame, path: str) -> None:
     """Samples placed and partitioned by client and step, one file each."""
     samples.repartition("client", "t").write.mode("overwrite").partitionBy("client", "t").parquet(path)
@@ -109,7 +139,7 @@ def audit_findings(rows: DataFrame, known_files: DataFrame, references: DataFram
 
 def latex_table(df: DataFrame, row: str, column: str, mean: str = "mean", std: str = "std", digits: int = 3) -> str:
     """A small result as LaTeX, the best of each column bold. The table is bounded by its methods and settings."""
-    cells = df.select(row, column, mean, std).limit(10_000).toPandas()
+    cells = df.select(row, column, mean, std).toPandas()
     rows, columns = sorted(cells[row].unique()), sorted(cells[column].unique())
     best = cells.groupby(column)[mean].max()
     lines = ["\\begin{tabular}{l" + "c" * len(columns) + "}", " & ".join(["", *map(str, columns)]) + " \\\\"]

@@ -128,7 +128,7 @@ def draw(kind: str, concept: int, n: int, delta: float, seed: list[int], d: int
             x[:, : min(5, d)] *= math.sqrt(10)
         z = x @ axis + rng.normal(size=n)
         return x, z if kind == "regression" else (z > 0).astype(np.int64)
-    x = x + (1 - delta) * 0.1 * np.random.default_rng([*seed, 99999]).normal(size=x.shape)
+    x = x + (1 - delta) * np.random.default_rng([*seed, 99999]).normal(size=x.shape)
     return x, y.astype(np.int64)
 
 
@@ -239,9 +239,14 @@ def permute_labels(rows: DataFrame, label: str, concept: str, classes: int, full
             out[[a, b]] = out[[b, a]]
         return out.tolist()
 
-    concepts = [r[0] for r in rows.select(concept).distinct().limit(10_000).collect()]
-    tables = F.create_map(*[x for c in concepts for x in (F.lit(c), F.array(*[F.lit(v) for v in table(int(c))]))])
-    return rows.withColumn(label, F.element_at(F.element_at(tables, F.col(concept)), F.col(label).cast("int") + 1).cast("long"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"_concept": part["_concept"], "_table": [table(int(c)) for c in part["_concept"]]})
+
+    # one row a concept, however many there are
+    tables = rows.where(F.col(concept).isNotNull()).select(F.col(concept).cast("long").alias("_concept")).distinct().mapInPandas(run, "_concept long, _table array<long>")
+    both = rows.join(tables, F.col(concept).cast("long") == F.col("_concept"), "left")
+    return both.select(*[F.get("_table", F.col(label).cast("int")).alias(label) if c == label else F.col(c) for c in rows.columns])
 
 
 def class_subsets(concepts: int, classes: int, how: str = "disjoint", overlap: float = 0.5) -> list[list[int]]:

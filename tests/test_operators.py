@@ -64,7 +64,11 @@ def test_auc_and_score(spark):
     assert one(budget.accuracy_auc(grid_of(spark, np.zeros((3, 5)))))["auc"] == 4.0
     assert one(budget.accuracy_auc(grid_of(spark, np.zeros((2, 5)), acc=np.tile(np.linspace(0, 1, 5), (2, 1)))))["auc"] == 2.0
     rows = spark.createDataFrame([(4.0, 8.0), (4.0, 0.0), (4.0, -1.0)], "a double, b double")
-    assert [r[0] for r in rows.select(budget.budget_score(F.col("a"), F.col("b"))).collect()] == [0.5, None, None]
+    score = budget.budget_score(F.col("a"), F.col("b"))
+    assert rows.where("b > 0").select(score).first()[0] == 0.5
+    for least in (0.0, -1.0):
+        with pytest.raises(Exception, match="above 0"):
+            rows.where(F.col("b") == least).select(score).collect()
     with pytest.raises(ValueError):
         budget.model_bytes(rows, ["a"], bits=0)
 
@@ -250,3 +254,140 @@ def test_vector_functions(spark):
     assert got["t"] == {1: pytest.approx(0.625), 2: pytest.approx(0.375)} and sum(got["s"].values()) == pytest.approx(1.0)
     with pytest.raises(Exception, match="mass must be finite"):
         spark.createDataFrame([([0.0, 0.0],)], "a array<double>").select(vectors.checked_mass("a")).collect()
+
+
+def points(spark, **curves):
+    return spark.createDataFrame([(m, float(x), float(y)) for m, c in curves.items() for x, y in c], "method string, total_bytes double, accuracy_auc double")
+
+
+def test_crossovers(spark):
+    found = budget.crossovers(points(spark, a=[(0, 0), (10, 10)], b=[(0, 6), (10, 4)]), "a", "b").collect()
+    assert len(found) == 1 and found[0].total_bytes == pytest.approx(5.0) and found[0].accuracy_auc == pytest.approx(5.0)
+    # a grid point at which both are equal is a crossing of its own; the last one is none
+    touching = points(spark, a=[(0, 1), (19, 20)], b=[(0, 1), (19, 20)])
+    assert sorted(r.total_bytes for r in budget.crossovers(touching, "a", "b").collect()) == pytest.approx(list(range(19)))
+    assert budget.crossovers(points(spark, a=[(0, 0), (10, 10)], b=[(20, 6), (30, 4)]), "a", "b").count() == 0
+    assert budget.crossovers(points(spark, a=[(0, 0), (10, 10)], b=[(5, 6)]), "a", "b").count() == 0
+    rng = np.random.default_rng(2)
+    a, b = ([(x, y) for x, y in zip(np.sort(rng.random(9) * 100), rng.random(9))] for _ in range(2))
+    grid = np.linspace(max(a[0][0], b[0][0]), min(a[-1][0], b[-1][0]), 90)
+    va, vb = (np.interp(grid, *zip(*c)) for c in (a, b))
+    d = va - vb
+    cells = [i for i in range(89) if d[i] * d[i + 1] < 0]
+    want = sorted(grid[i] + d[i] / (d[i] - d[i + 1]) * (grid[i + 1] - grid[i]) for i in cells)
+    assert sorted(r.total_bytes for r in budget.crossovers(points(spark, a=a, b=b), "a", "b").collect()) == pytest.approx(want)
+
+
+def test_pareto_in_ranges(spark):
+    rng = np.random.default_rng(7)
+    rows = [(float(x), float(y)) for x, y in zip(rng.integers(0, 300, 2000), rng.integers(0, 50, 2000))]
+    found = {(r.total_bytes, r.accuracy_auc) for r in budget.pareto(spark.createDataFrame(rows, "total_bytes double, accuracy_auc double")).collect()}
+    assert found == {p for p in rows if not any(q[0] <= p[0] and q[1] >= p[1] and q != p for q in rows)}
+
+
+def test_gates(spark):
+    among = points(spark, ours=[(10, 5), (20, 9)], other=[(5, 6)], leader=[(1, 10)])
+    assert one(budget.frontier_gate(among, ["ours"], ["leader"])) == {"not_beaten": 1, "best_method": "leader", "passed": True}
+    assert one(budget.frontier_gate(among.where("total_bytes <> 20"), ["ours"], ["leader"]))["passed"] is False
+    summary = spark.createDataFrame([("ours", 0.6), ("ours", 0.8), ("other", 0.7)], "method string, re_id double")
+    assert one(budget.identity_gate(summary, "ours", "other", "re_id"))["passed"]
+    assert one(budget.identity_gate(summary, "ours", "missing", "re_id"))["passed"] is False
+
+
+def test_detection_metrics_by_both_definitions(spark):
+    drifts = spark.createDataFrame([(0, 3), (0, 8), (1, 2)], "client long, t long")
+    fired = spark.createDataFrame([(0, 4), (0, 8), (1, 2), (1, 5), (1, 6)], "client long, t long")
+    got = one(identity.detection_metrics(drifts, fired))
+    assert got["detection_rate"] == pytest.approx(5 / 3) and got["false_alarm_rate"] == pytest.approx(2 / 5)
+    assert got["hit_rate"] == pytest.approx(2 / 3) and got["miss_share"] == pytest.approx(3 / 5)
+    assert got["identification_accuracy"] == pytest.approx(2 / 5) and got["mean_delay"] == pytest.approx(1 / 3)
+    none = one(identity.detection_metrics(drifts.limit(0), fired.limit(0)))
+    assert none["detection_rate"] == 1.0 and none["false_alarm_rate"] == 0.0 and none["mean_delay"] == 0.0
+
+
+def test_similarity_of_a_fingerprint_to_itself(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, 0, i, [float(v) for v in rng.normal(size=3)], i % 2) for k in range(2) for i in range(12)]
+    rows += [(2, 0, r[2], r[3], r[4]) for r in rows if r[0] == 0]
+    prints = fingerprint.build(spark.createDataFrame(rows, "client long, t long, row_id long, x array<double>, y long"), ["client", "t"], 2)
+    pairs = fingerprint.all_pairs(prints, "client", "t")
+    got = {(r.a_client, r.b_client): r.similarity for r in fingerprint.similarity(pairs).collect()}
+    assert got[0, 2] == pytest.approx(1.0) and got[0, 1] < 1 and got[0, 1] == pytest.approx(got[1, 2])
+    x = {k: np.array([r[3] for r in rows if r[0] == k]) for k in (0, 1)}
+    var = np.maximum((x[0].var(0, ddof=1) + x[1].var(0, ddof=1)) / 2, 1e-8)
+    feature = np.exp(-0.5 * ((x[0].mean(0) - x[1].mean(0)) ** 2 / var).sum())
+    byclass = np.mean([np.exp(-0.5 * ((x[0][c::2].mean(0) - x[1][c::2].mean(0)) ** 2 / var).sum()) for c in (0, 1)])
+    assert got[0, 1] == pytest.approx(0.25 * feature + 0.30 + 0.45 * byclass)
+    grouped = {(r.a_client, r.b_client): r.similarity for r in fingerprint.similarity(pairs, groups=[(0, 2, 1.0), (2, 3, 3.0)]).collect()}
+    part = lambda s: np.exp(-0.5 * ((x[0].mean(0)[s] - x[1].mean(0)[s]) ** 2 / var[s]).sum())
+    both = [[np.exp(-0.5 * ((x[0][c::2].mean(0)[s] - x[1][c::2].mean(0)[s]) ** 2 / var[s]).sum()) for s in (slice(0, 2), slice(2, 3))] for c in (0, 1)]
+    assert grouped[0, 1] == pytest.approx(0.25 * (0.25 * part(slice(0, 2)) + 0.75 * part(slice(2, 3))) + 0.30 + 0.45 * np.mean([0.25 * a + 0.75 * b for a, b in both]))
+    with pytest.raises(ValueError):
+        fingerprint.similarity(pairs, groups=[(0, 2, -1.0)])
+
+
+def test_merge_of_large_means(spark):
+    rows = [(0, t, i, [1e9 + (t * 7 + i) % 5], 0) for t in range(4) for i in range(5)]
+    samples = spark.createDataFrame(rows, "client long, t long, row_id long, x array<double>, y long")
+    merged = fingerprint.merge(fingerprint.moments(samples, ["client", "t"]), ["client"]).first()
+    values = np.array([r[3][0] for r in rows])
+    assert merged["var"][0] == pytest.approx(np.var(values - 1e9, ddof=1)) and merged["mean"][0] == values.mean()
+
+
+def test_faded_accuracy_of_long_histories(spark):
+    rng = np.random.default_rng(3)
+    hits = rng.integers(0, 2, 5000)
+    found = identity.running_accuracy(grid_of(spark, np.zeros(5000, int), 1 - hits), 0.9).orderBy("t").collect()
+    top = mass = 0.0
+    for r, h in zip(found, hits):
+        top, mass = top * 0.9 + h, mass * 0.9 + 1
+        assert r.accuracy == pytest.approx(top / mass, abs=1e-9)
+    with pytest.raises(ValueError):
+        identity.running_accuracy(grid_of(spark, [[0]]), 1.5)
+
+
+def test_eigengap():
+    # three near 0, one gap, then a plateau
+    assert solvers.eigengap(np.array([0.0, 0.01, 0.02, 0.8, 0.9, 0.95, 0.97, 0.98, 0.985, 0.99]), 4) == 4
+    assert solvers.eigengap(np.array([0.0, 0.01, 0.02, 0.9, 0.901, 0.902, 0.903, 0.904, 0.905, 0.906]), 5) == 3
+    # only the first gap stands out, which is left aside: how many lie below 0.95
+    assert solvers.eigengap(np.array([0.0, 0.96, 0.961, 0.962, 0.963, 0.964, 0.965, 0.966]), 4) == 1
+    assert solvers.eigengap(np.array([0.0]), 4) == 1 and solvers.eigengap(np.array([0.0, 0.5, 0.9]), 3, least=2) >= 2
+
+
+def test_average_link_clusters():
+    x = np.array([[1.0, 0], [0.9, 0.1], [0, 1], [0.1, 0.9], [1, 1]])
+    assert solvers.greedy_clusters(x, 0.8).tolist() == [0, 0, 1, 1, 2]
+    # the mean similarity to all members decides, not that to their mean
+    spread = np.array([[1.0, 0], [0.6, 0.8], [0.8, 0.6]])
+    sims = [[solvers.cosine(a, b) for b in spread] for a in spread]
+    assert solvers.greedy_clusters(spread, 0.59).tolist() == [0, 0, 0] and np.mean([sims[2][0], sims[2][1]]) == pytest.approx(0.88)
+
+
+def test_permuted_labels_of_many_concepts(spark):
+    rows = spark.range(12_000).select(F.col("id").alias("concept"), (F.col("id") % 4).alias("y"))
+    found = generators.permute_labels(rows, "y", "concept", 4).collect()
+    assert len(found) == 12_000 and all(r.y is not None and 0 <= r.y < 4 for r in found)
+    assert found[0].y == 0 or min(r.y for r in found if r.concept == 0) == 0
+
+
+def test_all_metrics_without_identities(spark):
+    grid = grid_of(spark, [[0, 0, 1, 1], [1, 1, 0, 0]], acc=[[0.9, 0.9, 0.3, 0.9]] * 2)
+    whole, bare = one(identity.all_metrics(grid, 8.0)), one(identity.all_metrics(grid, identity_capable=False))
+    assert whole["re_id"] == 1.0 and whole["worst_dip"] == pytest.approx(0.6) and whole["budget_score"] == pytest.approx(whole["accuracy_auc"] / 8)
+    assert bare["re_id"] is None and bare["assignment_entropy"] is None and bare["budget_score"] is None and bare["final_accuracy"] == pytest.approx(0.9)
+
+
+def test_logs_diagrams_and_conditions(spark, tmp_path):
+    grid = grid_of(spark, [[0, 1], [1, 0]])
+    files.write_log(grid, f"{tmp_path}/log", {"method": "m", "total_bytes": 8.0, "rho": math.inf})
+    assert spark.read.parquet(f"{tmp_path}/log/cells").count() == 4 and spark.read.json(f"{tmp_path}/log/about").first().rho == "inf"
+    diagram = spark.createDataFrame([(1, 0.5, None)], "setting long, c0 double, c1 double")
+    files.write_phase_diagram(diagram, f"{tmp_path}/phase", {"metric": "re_id", "axis": "rho"})
+    cells, about = files.read_phase_diagram(spark, f"{tmp_path}/phase")
+    assert cells.collect() == diagram.collect() and about == {"metric": "re_id", "axis": "rho"}
+    files.write_conditions(grid, f"{tmp_path}/conditions", ["client"])
+    assert sorted(p.name for p in tmp_path.joinpath("conditions").glob("client=*")) == ["client=0", "client=1"]
+    rows = spark.createDataFrame([("f/1", "Title", "Body"), ("f2", "Other", "Text")], "id string, title string, body string")
+    assert files.promote_findings(rows, f"{tmp_path}/notes", ["f/1"]) == 1
+    assert "# Title" in next(tmp_path.joinpath("notes", "name=f-1").glob("*.txt")).read_text()
