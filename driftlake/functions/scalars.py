@@ -30,7 +30,25 @@ def slugify(text: Column) -> Column:
 
 
 def normal_status(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text)), "[ -]+", "_")
+    """Small letters, with an underscore for each space and hyphen; empty for null."""
+    bare = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return F.translate(F.lower(bare), "- ", "__")
+
+
+def has_evidence(texts: list[Column], lists: list[Column] = ()) -> Column:
+    """Whether some text is not blank, or some list has an item that is not."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    found = [~blank(t) for t in texts] + [F.coalesce(F.exists(x, lambda v: ~blank(v.cast("string"))), F.lit(False)) for x in lists]
+    out = F.lit(False)
+    for f in found:
+        out = out | f
+    return out
+
+
+def crossover_snr(clients: Column, n: Column, concepts: Column, delta: Column, sigma: Column, d: Column) -> Column:
+    """Signal-to-noise ratio at which sharing and separate models break even; NaN without noise or features."""
+    between = (concepts - 1) / (concepts * concepts) * delta * delta
+    return F.when((sigma == 0) | (d == 0), F.lit(math.nan)).otherwise(clients * F.floor(n / 2) * between / (sigma * sigma * d))
 
 
 def shown(value: Column, digits: int = 3) -> Column:

@@ -277,28 +277,29 @@ def spectral(x: np.ndarray, most: int = 10, clusters: int | None = None, how: st
     return kmeans(rows, k, seed)
 
 
-def wilcoxon(d: np.ndarray) -> tuple[float, float]:
-    """(smaller rank sum, two-sided p) of paired differences; exact for up to 25 without ties."""
-    d = d[d != 0]
-    n = len(d)
+def wilcoxon_p(n: int, w: float, ties: float) -> float:
+    """Two-sided p of the smaller signed-rank sum of n differences; exact for up to 25 without ties.
+
+    ``ties`` is the sum of k^3 - k over groups of k equal sizes."""
     if not n:
-        return 0.0, 1.0
-    size = np.abs(d)
-    order = np.argsort(size, kind="stable")
-    rank = np.empty(n)
-    rank[order] = np.arange(1, n + 1)
-    value, back, times = np.unique(size, return_inverse=True, return_counts=True)
-    rank = (np.bincount(back, rank) / times)[back]
-    up, down = rank[d > 0].sum(), rank[d < 0].sum()
-    w = min(up, down)
-    if n <= 25 and (times == 1).all():
+        return 1.0
+    if n <= 25 and not ties:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for r in range(1, n + 1):
             ways[r:] = ways[r:] + ways[:-r].copy()
-        return float(w), float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2**n))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (times**3 - times).sum() / 48
-    return float(w), float(math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2))) if var > 0 else 1.0
+        return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2**n))
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return float(math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2))) if var > 0 else 1.0
+
+
+def wilcoxon(d: np.ndarray) -> tuple[float, float]:
+    """(smaller rank sum, two-sided p) of paired differences."""
+    d = d[d != 0]
+    value, back, times = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[back]
+    w = float(min(rank[d > 0].sum(), rank[d < 0].sum()))
+    return w, wilcoxon_p(len(d), w, float((times**3 - times).sum()))
 
 
 def ks_distance(a: np.ndarray, b: np.ndarray) -> float:

@@ -4,13 +4,15 @@ A sweep is a long table (method, axes…, setting, seed, value)."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlake.operators.solvers import wilcoxon
+from driftlake.operators.budget import in_ranges
+from driftlake.operators.solvers import wilcoxon_p
 
 
 def axis_stats(sweep: DataFrame, axes: list[str]) -> DataFrame:
@@ -89,27 +91,42 @@ def paired_summary(sweep: DataFrame, a: str, b: str, keys: list[str], least: int
     return base.select("n", "mean", "std", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), F.when(F.col("std") > 0, F.col("mean") / F.col("std")).otherwise(0.0).alias("effect"), "win_rate")
 
 
+def rank_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, plus, minus, ties) of rows (keys, d): signed-rank sums of the differences that are not 0.
+
+    Ranks come from counts by size: those of the smaller ranges of sizes, which are one row a range and
+    key, and a running count within a range. ``ties`` is the sum of k^3 - k over groups of k equal sizes."""
+    sizes = rows.where("d <> 0").groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    sizes = in_ranges(sizes, "size")
+    smaller = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = sizes.groupBy(*keys, "_range").agg(F.sum("n").alias("n")).select(*keys, "_range", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(below, [*keys, "_range"])
+    rank = F.col("below") + F.col("before") + (F.col("n") + 1) / 2
+    ranked = ranked.select(*keys, "n", "up", rank.alias("rank"))
+    n = F.col("n").cast("double")
+    return ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("minus"), F.sum(n * n * n - n).alias("ties"))
+
+
 def signed_ranks(sweep: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """The signed-rank sums, ties at their mean rank, without a window over all pairs: ranks come from counts by value."""
-    d = pairs(sweep, a, b, keys).select(F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0")
-    sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    w = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
-    return sizes.select(rank.alias("rank"), "n", "up").agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("minus"))
+    """Sums of the signed ranks of paired differences (a less b), zeros left out and ties sharing their mean rank."""
+    rows = pairs(sweep, a, b, keys).select(F.lit(1).alias("_one"), F.round(F.col("a") - F.col("b"), 9).alias("d"))
+    return rank_sums(rows, ["_one"]).select("plus", "minus")
 
 
 def paired_test(sweep: DataFrame, comparisons: list[tuple[str, str]], keys: list[str]) -> DataFrame:
-    """Signed-rank statistic and p for each pair of methods; one group a comparison."""
+    """Signed-rank statistic and p for each pair of methods, from rank sums of one row a comparison."""
     frames = [pairs(sweep, a, b, keys).select(F.lit(a).alias("a_method"), F.lit(b).alias("b_method"), (F.col("a") - F.col("b")).alias("d")) for a, b in comparisons]
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
+    rows = reduce(DataFrame.unionByName, frames)
+    names = ["a_method", "b_method"]
+    sums = rows.groupBy(*names).agg(F.count("*").alias("pairs")).join(rank_sums(rows, names), names, "left")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        w, p = wilcoxon(part["d"].to_numpy())
-        return pd.DataFrame({"a_method": [part["a_method"].iloc[0]], "b_method": [part["b_method"].iloc[0]], "n": [len(part)], "w": [w], "p": [p]})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n, w, ties = part["n"].fillna(0).astype(int), part[["plus", "minus"]].min(axis=1).fillna(0.0), part["ties"].fillna(0.0)
+            yield pd.DataFrame({**{k: part[k] for k in names}, "n": part["pairs"], "w": w, "p": [wilcoxon_p(*x) for x in zip(n, w, ties, strict=True)]})
 
-    return rows.groupBy("a_method", "b_method").applyInPandas(run, "a_method string, b_method string, n long, w double, p double")
+    return sums.mapInPandas(run, "a_method string, b_method string, n long, w double, p double")
 
 
 def advantage(sweep: DataFrame, a: str, b: str, row: str, column: str, digits: int = 6) -> DataFrame:
@@ -130,9 +147,3 @@ def accept_candidate(auc: Column, cost: Column, base_auc: Column, base_cost: Col
     weak = (auc >= base_auc - 1e-6) & (cost <= base_cost + 1e-6)
     gain = (auc >= base_auc + 0.01) & (cost <= 1.1 * base_cost)
     return (cost <= 2.5 * base_cost) & (weak | gain)
-
-
-def crossover_snr(clients: int, n: int, concepts: int, delta: float, sigma: float, d: int) -> float:
-    """Signal-to-noise ratio at which sharing and separate models break even."""
-    between = (concepts - 1) / concepts**2 * delta**2
-    return math.nan if sigma == 0 or d == 0 else clients * (n // 2) * between / (sigma**2 * d)

@@ -95,7 +95,16 @@ def clustering_error(spark, sf):
     return rounded(identity.overall(event_grid(spark, sf)))
 
 
-@register("greedy_tracking_accuracy")
+@register(
+    "greedy_tracking_accuracy",
+    f"""WITH RECURSIVE {GRID_SQL}, cells AS (SELECT pred, gt, count(*) AS n FROM grid GROUP BY 1, 2), best AS (
+  SELECT pred, gt, row_number() OVER (ORDER BY n DESC, pred, gt) AS nth, n FROM cells), steps AS (
+  SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS preds, CAST([] AS BIGINT[]) AS gts, CAST(0 AS BIGINT) AS hits
+  UNION ALL
+  SELECT b.nth, CASE WHEN free THEN list_append(preds, b.pred) ELSE preds END, CASE WHEN free THEN list_append(gts, b.gt) ELSE gts END, CAST(hits + CASE WHEN free THEN b.n ELSE 0 END AS BIGINT)
+  FROM (SELECT b.*, s.preds, s.gts, s.hits, NOT list_contains(s.preds, b.pred) AND NOT list_contains(s.gts, b.gt) AS free FROM steps s JOIN best b ON b.nth = s.nth + 1) b)
+SELECT round(max(hits) / (SELECT count(*) FROM grid), 6) AS tracking_accuracy FROM steps""",
+)
 def greedy_tracking(spark, sf):
     return rounded(identity.tracking_accuracy(event_grid(spark, sf)))
 

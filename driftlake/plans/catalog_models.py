@@ -10,7 +10,7 @@ from driftlake.operators import budget, federation, fingerprint, posterior, rout
 from driftlake.plans import rounds
 from driftlake.plans.catalog import register, rounded
 from driftlake.sources import generators
-from driftlake.sources.views import PARAMS_SQL, SAMPLES_SQL, table, vector_params, vector_samples
+from driftlake.sources.views import GRID_SQL, PARAMS_SQL, SAMPLES_SQL, event_grid, table, vector_params, vector_samples
 from driftlake.streaming import detectors, tracking
 
 # ---------------------------------------------------------------- fingerprints
@@ -773,3 +773,115 @@ def parsed_lists(spark, sf):
     text = F.concat_ws(", ", F.col("s_nationkey").cast("string"), F.format_string("%.2f", "s_acctbal"), F.when(F.col("s_suppkey") % 3 == 0, "inf"))
     rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), S.parse_floats(text).alias("v"))
     return rows.select("id", F.size("v").cast("long").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+
+
+# ---------------------------------------------------------------- more scalars, vectors, joins
+
+
+@register("normal_status", "SELECT o_orderkey, replace(replace(lower(trim(o_orderpriority)), '-', '_'), ' ', '_') AS status FROM orders")
+def normal_status(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", S.normal_status(F.col("o_orderpriority")).alias("status"))
+
+
+@register(
+    "has_evidence",
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '  ' WHEN o_orderstatus = 'P' THEN o_orderpriority END AS text, CASE WHEN o_orderkey % 3 = 0 THEN ['', ' '] WHEN o_orderkey % 3 = 1 THEN ['', 'x'] END AS items FROM orders)
+SELECT o_orderkey, coalesce(trim(text) <> '', false) OR coalesce(len(list_filter(items, lambda v: trim(v) <> '')) > 0, false) AS evidence FROM r""",
+)
+def has_evidence(spark, sf):
+    text = F.when(F.col("o_orderstatus") == "F", "  ").when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
+    items = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit(""), F.lit(" "))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit(""), F.lit("x")))
+    return table(spark, sf, "orders").select("o_orderkey", S.has_evidence([text], [items]).alias("evidence"))
+
+
+@register(
+    "crossover_snr",
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN CAST('nan' AS DOUBLE) ELSE round(20 * (p_size // 2) * ((p_size - 1) / (p_size * p_size) * 0.5 * 0.5) / (power(p_size % 5, 2) * 64), 6) END AS snr FROM part""",
+)
+def crossover_snr(spark, sf):
+    size = F.col("p_size")
+    return rounded(table(spark, sf, "part").select("p_partkey", S.crossover_snr(F.lit(20), size, size, F.lit(0.5), size % 5, F.lit(64)).alias("snr")))
+
+
+@register(
+    "prototype_similarities",
+    VECTORS_SQL
+    + """ SELECT vec_id, round(0.5 * greatest(0.0, least(1.0, (list_inner_product(x, y) / sqrt(list_inner_product(x, x)) / sqrt(list_inner_product(y, y)) + 1) / 2))
+  + 0.5 * exp(-list_sum(list_transform(list_zip(x, y), lambda z: power(z[1] - z[2], 2))) / 64), 6) AS similarity, round(list_sum(list_transform(x, lambda z: z / sqrt(list_inner_product(x, x)))), 6) + 0.0 AS unit_sum FROM p""",
+)
+def prototype_similarities(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return rounded(p.select("vec_id", V.prototype_similarity("x", "y").alias("similarity"), V.total(V.l2_normalise("x")).alias("unit_sum")))
+
+
+@register(
+    "normalised_mass",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS x FROM embeddings) SELECT vec_id, round(x[1] / list_sum(x), 6) AS first, round(list_max(x) / list_sum(x), 6) AS most FROM e""",
+)
+def normalised_mass(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", V.checked_mass(F.transform("embedding", lambda v: F.abs(v.cast("double")))).alias("m"))
+    return rounded(e.select("vec_id", F.element_at("m", 1).alias("first"), F.array_max("m").alias("most")))
+
+
+@register(
+    "routed_weights",
+    """WITH e AS (SELECT vec_id, unnest(range(64)) AS slot, unnest(list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)))) AS w FROM embeddings),
+n AS (SELECT vec_id, slot, w / sum(w) OVER (PARTITION BY vec_id) AS w FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, slot) AS nth FROM n WHERE w > 0.01),
+t AS (SELECT vec_id, slot, w / sum(w) OVER (PARTITION BY vec_id) AS w FROM r WHERE nth <= 3)
+SELECT vec_id, slot, round(w, 6) AS w, round(power(w, 2) / sum(power(w, 2)) OVER (PARTITION BY vec_id), 6) AS sharp FROM t""",
+)
+def routed_weights(spark, sf):
+    shares = V.normalise(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    weights = F.map_from_entries(F.transform(shares, lambda w, i: F.struct(i.cast("long"), w)))
+    e = table(spark, sf, "embeddings").select("vec_id", V.top_weights(weights, 3).alias("top"))
+    e = e.select("vec_id", "top", V.sharpen("top", 0.5).alias("sharp"))
+    return rounded(e.select("vec_id", F.explode("top").alias("slot", "w"), "sharp").select("vec_id", "slot", "w", F.element_at("sharp", F.col("slot")).alias("sharp")))
+
+
+@register(
+    "evaluation_rows",
+    f"""WITH {SAMPLES_SQL}, test AS (SELECT * FROM samples WHERE row_id % 3 = 0 AND client % 2 = 0), train AS (SELECT * FROM samples WHERE row_id % 3 > 0)
+SELECT client, t, row_id FROM test UNION ALL SELECT client, t, row_id FROM train WHERE (client, t) NOT IN (SELECT (client, t) FROM test)""",
+)
+def evaluation_rows(spark, sf):
+    from driftlake.sources import files
+
+    rows = vector_samples(spark, sf).select("client", "t", "row_id")
+    return files.with_held_out(rows.where("row_id % 3 > 0"), rows.where("row_id % 3 = 0 and client % 2 = 0"))
+
+
+@register("switched_clients", f"WITH {GRID_SQL} SELECT a.client, a.pred AS new, b.pred AS old FROM grid a JOIN grid b ON a.client = b.client AND a.t = 1 AND b.t = 0 WHERE a.pred <> b.pred")
+def switched_clients(spark, sf):
+    grid = event_grid(spark, sf).withColumnRenamed("pred", "concept")
+    return federation.switched_clients(grid.where("t = 1"), grid.where("t = 0")).select("client", "new", "old")
+
+
+@register(
+    "audited_findings",
+    """WITH r AS (SELECT 'n' || s_nationkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END AS title FROM supplier), f AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'finding' ELSE 'file' END AS kind, 'c' || c_custkey AS id, 'n' || (c_nationkey + c_custkey % 3) AS target FROM customer),
+k AS (SELECT 'n' || n_nationkey AS path FROM nation WHERE n_regionkey > 0)
+SELECT 'repeated id' AS issue, id FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'no title', id FROM r WHERE trim(title) = ''
+UNION ALL SELECT 'unknown id', id FROM f WHERE kind = 'finding' AND target NOT IN (SELECT id FROM r) UNION ALL SELECT 'missing file', id FROM f WHERE kind = 'file' AND target NOT IN (SELECT path FROM k)""",
+)
+def audited_findings(spark, sf):
+    from driftlake.sources import files
+
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    rows = table(spark, sf, "supplier").select(named("n", F.col("s_nationkey")).alias("id"), F.when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.col("s_name")).alias("title"))
+    refs = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "finding").otherwise("file").alias("kind"), named("c", F.col("c_custkey")).alias("id"), named("n", F.col("c_nationkey") + F.col("c_custkey") % 3).alias("target"))
+    known = table(spark, sf, "nation").where("n_regionkey > 0").select(named("n", F.col("n_nationkey")).alias("path"))
+    return files.audit_findings(rows, known, refs)
+
+
+@register(
+    "permuted_labels",
+    """WITH r AS (SELECT vec_id % 50 AS concept, CAST(label AS BIGINT) AS y FROM embeddings) SELECT concept, count(DISTINCT y) AS labels, count(*) AS n, true AS whole, true AS one_to_one FROM r GROUP BY concept""",
+)
+def permuted_labels(spark, sf):
+    """Whether each concept renames its labels one to one within the classes, and concept 0 not at all."""
+    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("concept"), F.col("label").cast("long").alias("y"), F.col("label").cast("long").alias("old"))
+    found = generators.permute_labels(rows, "y", "concept", 10)
+    whole = F.min(((F.col("y") >= 0) & (F.col("y") < 10) & ((F.col("concept") > 0) | (F.col("y") == F.col("old")))).cast("int")) == 1
+    pairs = F.countDistinct("old", "y")
+    return found.groupBy("concept").agg(F.countDistinct("y").alias("labels"), F.count("*").alias("n"), whole.alias("whole"), ((pairs == F.countDistinct("old")) & (pairs == F.countDistinct("y"))).alias("one_to_one"))
