@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.functions import vectors as V
+from driftlake.operators.products import second_moments
 
 
 def features(samples: DataFrame) -> DataFrame:
@@ -61,19 +62,55 @@ def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def covariance(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j, cov) for i <= j, as sums of products of each row's own pairs."""
-    x = F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    pairs = F.flatten(F.transform(x, lambda a: F.transform(F.filter(x, lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["v"].alias("a"), b["v"].alias("b")))))
-    long = samples.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.i", "p.j", "p.a", "p.b")
-    return long.groupBy(*keys, "i", "j").agg(F.covar_samp("a", "b").alias("cov"))
+    """(keys, i, j, cov) for i <= j; the identity for a single row."""
+    m = second_moments(samples, keys)
+    d = F.size("mean")
+    long = m.select(*keys, "n", d.alias("d"), F.posexplode("m2").alias("at", "s"))
+    long = long.select(*keys, "n", F.floor(F.col("at") / F.col("d")).cast("int").alias("i"), (F.col("at") % F.col("d")).alias("j"), "s").where("i <= j")
+    return long.select(*keys, "i", "j", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise((F.col("i") == F.col("j")).cast("double")).alias("cov"))
 
 
 def effective_rank(samples: DataFrame, keys: list[str]) -> DataFrame:
     """trace^2 / squared Frobenius norm of the covariance: no decomposition is needed."""
-    c = covariance(samples, keys)
-    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(0.0))
-    frob = F.sum(F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * F.col("cov") * F.col("cov"))
-    return c.groupBy(*keys).agg(F.when(frob > 0, trace * trace / frob).otherwise(0.0).alias("effective_rank"))
+    m = second_moments(samples, keys)
+    trace, square = _trace("m2"), V.total(F.transform("m2", lambda v: v * v))
+    return m.select(*keys, F.when(square > 0, trace * trace / square).otherwise(0.0).alias("effective_rank"))
+
+
+def _trace(flat: Column | str) -> Column:
+    """The trace of a flat d x d matrix beside the mean of length d."""
+    return V.total(F.transform("mean", lambda _, i: F.get(V.col(flat), i * F.size("mean") + i)))
+
+
+def dense_prototypes(samples: DataFrame, keys: list[str], classes: int) -> DataFrame:
+    """(keys, y, n, mean) for every class: 0 rows and a mean of zeros where a class is absent."""
+    proto = prototypes(samples, keys).where((F.col("y") >= 0) & (F.col("y") < classes))
+    whole = moments(samples, keys).select(*keys, F.transform("mean", lambda _: F.lit(0.0)).alias("zeros"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(classes - 1).cast("long"))).alias("y"))
+    both = whole.join(proto, [*keys, "y"], "left")
+    return both.select(*keys, "y", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("mean", "zeros").alias("mean"))
+
+
+#: Names of the features that fingerprints can be made of.
+SOURCES = (
+    "raw_input", "model_embed", "pre_adapter_embed", "hybrid_raw_pre_adapter", "weighted_hybrid_raw_pre_adapter", "centered_hybrid_raw_pre_adapter",
+    "attenuated_hybrid_raw_pre_adapter", "double_raw_hybrid_pre_adapter", "bootstrap_raw_hybrid_pre_adapter",
+)
+
+
+def source_features(samples: DataFrame, source: str, keys: list[str], bootstrap: int | None = None) -> DataFrame:
+    """Samples (keys, x, pre, post) with ``x`` made of the raw features and a model's, by the name of the source.
+
+    ``bootstrap``: zeros of that length stand for a model that isn't there yet."""
+    if source not in SOURCES:
+        raise ValueError(f"source must be one of {', '.join(SOURCES)}")
+    if source.startswith("centered"):
+        # the batch mean is one row a batch
+        mean = moments(samples.withColumn("x", F.col("pre")), keys).select(*keys, F.col("mean").alias("_mean"))
+        return samples.join(mean, keys).withColumn("x", F.concat("x", F.zip_with("pre", "_mean", lambda v, m: v - m))).drop("_mean")
+    if source.startswith("bootstrap"):
+        return samples.withColumn("x", F.concat("x", F.col("pre") if bootstrap is None else F.array_repeat(F.lit(0.0), bootstrap)))
+    made = {"raw_input": F.col("x"), "model_embed": F.col("post"), "pre_adapter_embed": F.col("pre"), "attenuated_hybrid_raw_pre_adapter": F.concat("x", F.transform("pre", lambda v: v * 0.25)), "double_raw_hybrid_pre_adapter": F.concat("x", "x", "pre")}
+    return samples.withColumn("x", made.get(source, F.concat("x", "pre")))
 
 
 def similarity(pairs: DataFrame, least: int = 3, groups: list[tuple[int, int, float]] | None = None, weights: tuple[float, float, float] = (0.25, 0.30, 0.45)) -> DataFrame:
@@ -141,15 +178,12 @@ def subgroup_stats(prints: DataFrame, group: str) -> DataFrame:
 def participation_ratio(samples: DataFrame, keys: list[str], center: bool = True) -> DataFrame:
     """(keys, ratio): squared trace over squared Frobenius norm of the features' second moments, about the mean or about 0.
 
-    Null where all are 0. Products of a row are summed where the row is, d (d + 1) / 2 sums a group."""
-    x = F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    pairs = F.flatten(F.transform(x, lambda a: F.transform(F.filter(x, lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), a["v"].alias("a"), b["v"].alias("b")))))
-    long = samples.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.i", "p.j", "p.a", "p.b")
-    moment = F.covar_pop("a", "b") if center else F.avg(F.col("a") * F.col("b"))
-    by = long.groupBy(*keys, "i", "j").agg(moment.alias("m"))
-    same = F.col("i") == F.col("j")
-    trace, square = F.sum(F.when(same, F.col("m"))), F.sum(F.when(same, 1.0).otherwise(2.0) * F.col("m") * F.col("m"))
-    return by.groupBy(*keys).agg(F.when(square > 0, trace * trace / square).alias("ratio"))
+    Null where all are 0."""
+    m = second_moments(samples, keys)
+    flat = F.col("m2") if center else F.transform("m2", lambda v, at: v + F.col("n") * F.get("mean", F.floor(at / F.size("mean")).cast("int")) * F.get("mean", at % F.size("mean")))
+    m = m.withColumn("flat", flat)
+    trace, square = _trace("flat"), V.total(F.transform("flat", lambda v: v * v))
+    return m.select(*keys, F.when(square > 0, trace * trace / square).alias("ratio"))
 
 
 def all_pairs(prints: DataFrame, key: str, within: str) -> DataFrame:

@@ -100,6 +100,48 @@ def fingerprint_medoids(spark, sf):
     return rounded(posterior.medoids(pairs, "t"))
 
 
+@register(
+    "dense_prototypes",
+    MOMENTS_SQL
+    + """, g AS (SELECT DISTINCT client, t FROM samples), m AS (SELECT client, t, y, idx, count(*) AS n, avg(v) AS m FROM long GROUP BY 1, 2, 3, 4), s AS (SELECT client, t, y, max(n) AS n, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1, 2, 3)
+SELECT g.client, g.t, k.y, coalesce(n, 0) AS n, round(coalesce(norm, 0.0), 6) AS norm FROM g CROSS JOIN (SELECT unnest(range(10)) AS y) k LEFT JOIN s ON s.client = g.client AND s.t = g.t AND s.y = k.y""",
+)
+def dense_prototypes(spark, sf):
+    p = fingerprint.dense_prototypes(vector_samples(spark, sf), ["client", "t"], 10)
+    return rounded(p.select("client", "t", "y", "n", V.norm("mean").alias("norm")))
+
+
+@register(
+    "covariances",
+    f"""WITH {SAMPLES_SQL}, l AS (SELECT client, row_id, unnest(range(64)) AS i, unnest(x) AS v FROM samples) SELECT a.client, a.i, b.i AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM l a JOIN l b ON a.row_id = b.row_id AND a.i <= b.i GROUP BY 1, 2, 3""",
+)
+def covariances(spark, sf):
+    return rounded(fingerprint.covariance(vector_samples(spark, sf), ["client"]))
+
+
+@register(
+    "fingerprint_sources",
+    """WITH s AS (SELECT vec_id % 10 AS client, (vec_id // 10) % 5 AS t, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+p AS (SELECT client, t, vec_id, x[1:16] AS raw, x[17:32] AS pre, x[33:48] AS post FROM s), m AS (SELECT client, t, i, avg(v) AS m FROM (SELECT client, t, unnest(range(16)) AS i, unnest(pre) AS v FROM p) GROUP BY 1, 2, 3),
+c AS (SELECT p.client, p.t, vec_id, sum(power(v - m, 2)) AS q FROM (SELECT client, t, vec_id, unnest(range(16)) AS i, unnest(pre) AS v FROM p) p JOIN m ON m.client = p.client AND m.t = p.t AND m.i = p.i GROUP BY 1, 2, 3),
+q AS (SELECT client, t, vec_id, list_inner_product(raw, raw) AS r, list_inner_product(pre, pre) AS e, list_inner_product(post, post) AS o, c.q FROM p JOIN c USING (client, t, vec_id)),
+u AS (SELECT 'raw_input' AS source, client, t, 16 AS d, r AS s FROM q UNION ALL SELECT 'model_embed', client, t, 16, o FROM q UNION ALL SELECT 'pre_adapter_embed', client, t, 16, e FROM q UNION ALL SELECT 'hybrid_raw_pre_adapter', client, t, 32, r + e FROM q
+  UNION ALL SELECT 'weighted_hybrid_raw_pre_adapter', client, t, 32, r + e FROM q UNION ALL SELECT 'centered_hybrid_raw_pre_adapter', client, t, 32, r + q FROM q UNION ALL SELECT 'attenuated_hybrid_raw_pre_adapter', client, t, 32, r + e / 16 FROM q
+  UNION ALL SELECT 'double_raw_hybrid_pre_adapter', client, t, 48, 2 * r + e FROM q UNION ALL SELECT 'bootstrap_raw_hybrid_pre_adapter', client, t, 24, r FROM q)
+SELECT source, client, t, count(*) AS n, CAST(max(d) AS BIGINT) AS features, round(sum(s), 6) AS square FROM u GROUP BY 1, 2, 3""",
+)
+def fingerprint_sources(spark, sf):
+    """All nine feature sources: 16 components are raw, the next 16 before and the next 16 after the adapter."""
+    part = lambda lo: F.slice("x", lo, 16)
+    rows = vector_samples(spark, sf).select("client", "t", part(1).alias("x"), part(17).alias("pre"), part(33).alias("post"))
+    out = None
+    for source in fingerprint.SOURCES:
+        made = fingerprint.source_features(rows, source, ["client", "t"], 8 if source.startswith("bootstrap") else None)
+        own = made.groupBy("client", "t").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("features"), F.sum(V.dot("x", "x")).alias("square")).select(F.lit(source).alias("source"), "client", "t", "n", "features", "square")
+        out = own if out is None else out.unionByName(own)
+    return rounded(out)
+
+
 @register(
     "fingerprint_stability",
     MOMENTS_SQL
@@ -624,7 +666,8 @@ def simulated_methods(spark, sf):
 
 @register("simulated_on_samples")
 def simulated_on_samples(spark, sf):
-    samples = vector_samples(spark, sf).withColumn("run", F.lit("vectors"))
+    """A run is 500 vectors, however many runs there are."""
+    samples = vector_samples(spark, sf).withColumn("run", F.concat(F.lit("vectors"), F.floor(F.col("row_id") / 500).cast("string")))
     grid = samples.select("run", "client", "t").distinct().withColumn("gt", F.col("client") % 2)
     return rounded(rounds.simulate_on(samples, grid, "FedAvg").groupBy("method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes")))
 
@@ -633,7 +676,8 @@ def simulated_on_samples(spark, sf):
 
 
 def unit_vectors(spark, sf):
-    return table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("round"), F.col("vec_id").alias("client"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"), "label")
+    """A round is 25 clients, however many rounds there are."""
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("round"), F.col("vec_id").alias("client"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"), "label")
 
 
 @register("projected_signatures")
@@ -673,7 +717,7 @@ def spectral_clusters(spark, sf):
 
 @register(
     "largest_clusters",
-    """WITH c AS (SELECT vec_id % 20 AS round, CAST(label AS BIGINT) AS cluster, vec_id AS member, CAST(vec_id % 7 AS DOUBLE) AS gap FROM embeddings),
+    """WITH c AS (SELECT vec_id // 25 AS round, CAST(label AS BIGINT) AS cluster, vec_id AS member, CAST(vec_id % 7 AS DOUBLE) AS gap FROM embeddings),
 s AS (SELECT round, cluster, count(*) AS size, avg(gap) AS mean_gap, min(member) AS first FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY size DESC, mean_gap DESC, first) AS nth FROM s)
 SELECT round, cluster, size, round(mean_gap, 6) AS mean_gap, first FROM r WHERE nth <= 3""",
 )

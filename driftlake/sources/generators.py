@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftlake.operators.products import second_moments
+
 KINDS = ("sine", "sea", "circle", "gaussian_linear", "gaussian_anisotropic", "regression")
 # Thresholds of the SEA concepts, after Street and Kim (2001).
 SEA_THRESHOLDS = (8.0, 9.0, 7.0, 9.5)
@@ -269,18 +271,18 @@ def participants(cells: DataFrame, share: float, seed: int = 42) -> DataFrame:
 
 
 def ordinary_least_squares(samples_: DataFrame, keys: list[str], ridge: float = 1e-6) -> DataFrame:
-    """(keys, coef): normal equations from sums of products; only d^2 sums a group reach the solver."""
-    x = F.concat(F.col("x"), F.array(F.lit(1.0)))
-    rows = samples_.select(*keys, x.alias("x"), F.col("y").cast("double").alias("y"))
-    pairs = rows.select(*keys, "y", "x", F.posexplode("x").alias("i", "a")).select(*keys, "i", "a", "y", F.posexplode(F.concat("x", F.array("y"))).alias("j", "b"))
-    sums = pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        d = int(part["i"].max()) + 1
-        m = np.zeros((d, d + 1))
-        m[part["i"], part["j"]] = part["s"]
-        coef = np.linalg.solve(m[:, :d] + ridge * np.eye(d), m[:, d])
-        return pd.DataFrame([[*(part[k].iloc[0] for k in keys), coef.tolist()]], columns=[*keys, "coef"])
+    """(keys, coef): normal equations from second moments; only d^2 sums a group reach the solver."""
+    both = samples_.select(*keys, F.concat("x", F.array(F.lit(1.0), F.col("y").cast("double"))).alias("x"))
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            coef = []
+            for n, mean, m2 in zip(part["n"], part["mean"], part["m2"], strict=True):
+                mean = np.asarray(mean)
+                d = len(mean) - 1
+                m = np.asarray(m2).reshape(d + 1, d + 1) + n * np.outer(mean, mean)
+                coef.append(np.linalg.solve(m[:d, :d] + ridge * np.eye(d), m[:d, d]))
+            yield part[keys].assign(coef=coef)
 
     kinds = ", ".join(f"{k} {samples_.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.groupBy(*keys).applyInPandas(solve, f"{kinds}, coef array<double>")
+    return second_moments(both, keys).mapInPandas(solve, f"{kinds}, coef array<double>")
