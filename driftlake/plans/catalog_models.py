@@ -664,6 +664,23 @@ def simulated_methods(spark, sf):
     return rounded(grid.groupBy("method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes"), F.count("*").alias("cells")))
 
 
+BASE = {"K": 3, "T": 5, "n": 100, "rho": 5.0, "alpha": 0.5, "delta": 0.5, "kind": "sine"}
+
+
+@register("protocol_ablations")
+def protocol_ablations(spark, sf):
+    """The two-phase protocol with parts left out or changed, and over values of two of its settings."""
+    settings = rounds.ablation_settings(spark, BASE, sweeps={"omega": [0.5, 2.0], "kappa": [0.5, 0.9]})
+    grid = rounds.simulate(settings)
+    return rounded(grid.groupBy("run").agg(F.avg("acc").alias("accuracy"), F.countDistinct("pred").alias("concepts"), F.sum("bytes").alias("bytes")))
+
+
+@register("protocol_scalability")
+def protocol_scalability(spark, sf):
+    grid = rounds.simulate(rounds.scalability_settings(spark, BASE, [3, 6], [5, 10], ["TwoPhase", "FedAvg", "Oracle"]))
+    return rounded(grid.groupBy("run", "method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes"), F.count("*").alias("cells")))
+
+
 @register("simulated_on_samples")
 def simulated_on_samples(spark, sf):
     """A run is 500 vectors, however many runs there are."""

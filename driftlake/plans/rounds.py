@@ -10,6 +10,7 @@ one, exchange models and count their bytes."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlake.operators import solvers
+from driftlake.plans import protocol
 from driftlake.sources.generators import GeneratorConfig, draw, markov
 from driftlake.streaming.detectors import Adwin
-from driftlake.streaming.tracking import MemoryBank, PersistentIds
+from driftlake.streaming.tracking import PersistentIds
 
 OUT = "run string, method string, seed long, client long, t long, gt long, pred long, acc double, bytes double"
 
@@ -580,46 +582,37 @@ class FedGwc(Method):
 
 
 class TwoPhase(Method):
-    """Phase A addresses clients to slots of a shared memory by their descriptions, phase B averages
-    within slots and draws them to the overall mean by an estimated coefficient."""
-
-    novelty = 0.9
+    """Phase A addresses clients to concepts of a shared library by their batches' fingerprints, phase B
+    averages within concepts (by the posteriors, if soft) and draws the means to the overall one."""
 
     def __init__(self, *a):
         super().__init__(*a)
-        self.bank, self.slots = MemoryBank(), {}
-
-    def phase_a(self) -> list[int]:
-        out = [self.bank.assign(self.describe(i), self.o.get("novelty", self.novelty))[0] for i in range(self.k)]
-        moved, gone = self.bank.step()
-        out = [moved.get(s, s) for s in out]
-        # a slot that was dropped is addressed anew, so no client names one that is gone
-        return [self.bank.best(self.describe(i))[0] if s in gone else s for i, s in enumerate(out)]
-
-    def phase_b(self, slots: list[int]) -> None:
-        w = self.weights()
-        means, spread, count = {}, 0.0, 0
-        for s in sorted(set(slots)):
-            own = [i for i in range(self.k) if slots[i] == s]
-            means[s] = mean_of([self.models[i] for i in own], [w[i] for i in own])
-            if len(own) > 1:
-                spread += sum(((self.models[i] - means[s]) ** 2).sum() for i in own)
-                count += len(own) * self.size
-        sigma2 = spread / count if count else 1e-4
-        overall = np.mean(list(means.values()), 0)
-        between = np.var([m.ravel() for m in means.values()], axis=0, ddof=1).mean() if len(means) > 1 else 0.0
-        n = self.k / len(means)
-        between = max(0.0, between - sigma2 / n)
-        lam = (sigma2 / n) / (sigma2 / n + between) if sigma2 / n + between > 0 else 0.5
-        self.slots |= {s: (1 - lam) * m + lam * overall for s, m in means.items()}
+        own = {k: v for k, v in self.o.extra.items() if k in protocol.Settings.__dataclass_fields__}
+        self.protocol = protocol.Protocol(protocol.settings(self.o.extra.get("variant"), **own))
+
+    def phase_a(self) -> tuple[list[int], list[dict[int, float]]]:
+        prints = [protocol.Print.of(*self.batch[i], self.c) for i in range(self.k)]
+        return self.protocol.address(prints, [loss(self.models[i], *self.batch[i]) for i in range(self.k)])
+
+    def phase_b(self, concepts: list[int], posterior: list[dict[int, float]]) -> None:
+        w, soft = self.weights(), self.protocol.s.soft
+        share = posterior if soft else [{c: 1.0} for c in concepts]
+        means, members = {}, {}
+        for c in sorted({c for own in share for c, p in own.items() if p > 0.01} | set(concepts)):
+            part = [(i, w[i] * share[i].get(c, 0.0)) for i in range(self.k) if share[i].get(c, 0.0) > 0.01]
+            if part:
+                means[c] = mean_of([self.models[i] for i, _ in part], [v for _, v in part])
+                members[c] = [self.models[i] for i, _ in part]
+        means = self.protocol.shrink(means, members, mean_of(self.models, w))
         for i in range(self.k):
-            self.models[i] = self.slots[slots[i]].copy()
-        self.assigned = slots
+            own = {c: p for c, p in share[i].items() if c in means and p > 0.01} or {concepts[i]: 1.0}
+            self.models[i] = mean_of([means[c] for c in own], list(own.values()))
+        self.assigned = concepts
 
     def federate(self, t):
-        self.phase_b(self.phase_a())
+        self.phase_b(*self.phase_a())
         prints = self.k * (self.c + self.c * self.d) * 16 / 8
-        return self.round_trip() + prints
+        return self.round_trip() + prints + 4.0 * self.k
 
 
 class TwoPhaseSpectral(TwoPhase):
@@ -633,7 +626,8 @@ class TwoPhaseSpectral(TwoPhase):
         rows = np.stack([self.describe(i) for i in range(self.k)])
         own = solvers.spectral(rows, seed=self.o.seed)
         names = self.ids.match({int(c): rows[own == c].mean(0) for c in set(own)})
-        return [names[int(c)] for c in own]
+        concepts = [names[int(c)] for c in own]
+        return concepts, [{c: 1.0} for c in concepts]
 
 
 METHODS: dict[str, type[Method]] = {
@@ -664,7 +658,9 @@ def simulate_run(batches: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]],
 
 
 def simulate(settings: DataFrame) -> DataFrame:
-    """Runs every row of (run, method, seed, K, T, n, rho, alpha, delta, kind, every)."""
+    """Runs every row of (run, method, seed, K, T, n, rho, alpha, delta, kind, every[, config]).
+
+    ``config``, where it is a column, holds further settings of the method as a JSON object."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -678,7 +674,7 @@ def simulate(settings: DataFrame) -> DataFrame:
                     use = rng.random(c.steps) < c.alpha if 0 < c.alpha < 1 else np.full(c.steps, c.alpha == 1)
                     gt[i] = np.where(use, own, shared)
                 batches = {(i, t): draw(c.kind, int(gt[i, t]), c.n_samples, c.delta, [c.seed, 2, i, t], c.n_features) for i in range(c.clients) for t in range(c.steps)}
-                rows = simulate_run(batches, gt, s.method, Options(every=int(s.every), seed=c.seed, clusters=c.concepts))
+                rows = simulate_run(batches, gt, s.method, Options(every=int(s.every), seed=c.seed, clusters=c.concepts, extra=json.loads(getattr(s, "config", None) or "{}")))
                 yield pd.DataFrame([(s.run, s.method, c.seed, *r) for r in rows], columns=[x.split()[0] for x in OUT.split(", ")])
 
     # settings are long-running and few: one task each
@@ -711,3 +707,19 @@ def simulate_on(samples: DataFrame, grid: DataFrame, method: str, options: Optio
     left = samples.select(*[F.col(c).alias(c) for c in ("run", "client", "t", "row_id", "x", "y")])
     right = grid.select(*[F.col(c).alias(c) for c in ("run", "client", "t", "gt")])
     return left.groupBy("run").cogroup(right.groupBy("run")).applyInPandas(run, OUT)
+
+
+def ablation_settings(spark, base: dict, seeds: tuple[int, ...] = (42,), sweeps: dict[str, list[float]] | None = None) -> DataFrame:
+    """Settings of the two-phase protocol, one row a seed for each ablation by name, and for each value of each sweep."""
+    arms = {name: change for name, change in protocol.ABLATIONS.items()}
+    for key, values in (sweeps or {}).items():
+        arms |= {f"{key}={v:g}": {key: v} for v in values}
+    rows = [(arm, "TwoPhase", seed, base["K"], base["T"], base["n"], float(base["rho"]), float(base["alpha"]), float(base["delta"]), base["kind"], base.get("every", 1), json.dumps(change)) for arm, change in arms.items() for seed in seeds]
+    return spark.createDataFrame(rows, "run string, method string, seed long, K long, T long, n long, rho double, alpha double, delta double, kind string, every long, config string")
+
+
+def scalability_settings(spark, base: dict, clients: list[int], steps: list[int], methods: list[str], seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """Settings that vary the number of clients, and those that vary the number of steps, for several methods."""
+    points = [(f"K={k}", k, base["T"]) for k in clients] + [(f"T={t}", base["K"], t) for t in steps]
+    rows = [(name, m, seed, k, t, base["n"], float(base["rho"]), float(base["alpha"]), float(base["delta"]), base["kind"], base.get("every", 1)) for name, k, t in points for m in methods for seed in seeds]
+    return spark.createDataFrame(rows, "run string, method string, seed long, K long, T long, n long, rho double, alpha double, delta double, kind string, every long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions import scalars, vectors
 from driftlake.operators import budget, federation, fingerprint, identity, posterior, solvers, sweep
-from driftlake.plans import rounds
+from driftlake.plans import protocol, rounds
 from driftlake.sources import files, generators
 
 
@@ -391,3 +391,85 @@ def test_logs_diagrams_and_conditions(spark, tmp_path):
     rows = spark.createDataFrame([("f/1", "Title", "Body"), ("f2", "Other", "Text")], "id string, title string, body string")
     assert files.promote_findings(rows, f"{tmp_path}/notes", ["f/1"]) == 1
     assert "# Title" in next(tmp_path.joinpath("notes", "name=f-1").glob("*.txt")).read_text()
+
+
+def test_sticky_posterior():
+    zero = np.zeros(3)
+    p = protocol.sticky_posterior(zero, 0, 1.0, 0.9)
+    assert np.log(p) == pytest.approx([math.log(0.9), math.log(0.05), math.log(0.05)])
+    assert protocol.sticky_posterior(np.array([0.7]), 0, 1.0, 0.9) == pytest.approx([1.0])
+    assert protocol.sticky_posterior(np.zeros(4), 1, 1.0, 0.7).sum() == pytest.approx(1.0)
+    assert protocol.sticky_posterior(np.zeros(4), None, 1.0, 0.7) == pytest.approx([0.25] * 4)
+
+
+def prints_of(shifts, seed=0, n=30):
+    rng = np.random.default_rng(seed)
+    return [protocol.Print.of(rng.normal(size=(n, 2)) + s, np.arange(n) % 2, 2) for s in shifts]
+
+
+def test_prints_merge_and_compare():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
+    whole, parts = protocol.Print.of(x, y, 2), protocol.Print.of(x[:20], y[:20], 2).plus(protocol.Print.of(x[20:], y[20:], 2))
+    for name in ("n", "mean", "squares", "counts", "class_means"):
+        assert getattr(whole, name) == pytest.approx(getattr(parts, name))
+    assert whole.similarity(whole) == pytest.approx(1.0) and protocol.Print.of(x[:1], y[:1], 2).similarity(whole) == 0.0
+
+
+def test_two_phase_addressing():
+    p = protocol.Protocol(protocol.settings("legacy", merge_threshold=0.7, loss_novelty=0.4))
+    far = [0, 0, 8, 8, -8]
+    concepts, weights = p.address(prints_of(far))
+    assert concepts[0] == concepts[1] and concepts[2] == concepts[3] and len(set(concepts)) == 3
+    assert all(sum(w.values()) == pytest.approx(1.0) for w in weights)
+    again, _ = p.address(prints_of(far, seed=5))
+    assert again == concepts  # the same concepts are known again
+    moved, _ = p.address(prints_of([8, 0, 8, 0, -8], seed=6))
+    assert moved[0] == concepts[2] and moved[3] == concepts[0] and len(p.library.prints) == 3
+
+
+def test_two_phase_bounds_and_freezes():
+    full = protocol.Protocol(protocol.settings("legacy", max_concepts=2, loss_novelty=0.4, merge_threshold=0.9))
+    full.address(prints_of([0, 9, 18, 27]))
+    assert len(full.library.prints) <= 2
+    few = protocol.Protocol(protocol.settings("legacy", most_new=1, loss_novelty=0.4, merge_threshold=0.7))
+    few.address(prints_of([0]))
+    concepts, _ = few.address(prints_of([0, 9, 9, -9], seed=2))
+    assert len(few.library.prints) == 2 and concepts[1] == concepts[2] and concepts[3] == concepts[0]
+    slow = protocol.Protocol(protocol.settings("legacy", hysteresis=2, loss_novelty=0.4, merge_threshold=0.7))
+    slow.address(prints_of([0, 0]))
+    assert len(set(slow.address(prints_of([0, 9], seed=3))[0])) == 1 and len(set(slow.address(prints_of([0, 9], seed=4))[0])) == 2
+    still = protocol.Protocol(protocol.settings("plan_c_linear", drift_threshold=1.0))
+    first, _ = still.address(prints_of([0, 0]))
+    assert still.address(prints_of([9, 9], seed=8)) == (first, [{c: 1.0} for c in first])
+    with pytest.raises(ValueError):
+        protocol.settings("other")
+
+
+def test_two_phase_shrinkage():
+    p = protocol.Protocol(protocol.settings(snr_gate=False))
+    p.round = 1
+    rng = np.random.default_rng(0)
+    members = {c: [np.full((2, 3), 1.0 * c) + rng.normal(size=(2, 3)) * 0.1 for _ in range(4)] for c in range(3)}
+    means = {c: np.mean(m, 0) for c, m in members.items()}
+    overall = np.mean(list(means.values()), 0)
+    out = p.shrink(means, members, overall)
+    lam = [np.linalg.norm(out[c] - means[c]) / np.linalg.norm(overall - means[c]) for c in (0, 2)]
+    assert 0 < lam[0] < 0.1 and lam[0] == pytest.approx(lam[1])
+    gated = protocol.Protocol(protocol.settings(snr_threshold=1e9))
+    gated.round = 1
+    assert gated.shrink(means, members, overall) is means
+    warm = protocol.Protocol(protocol.settings(warm_up=3))
+    assert all((m == overall).all() for m in warm.shrink(means, members, overall).values())
+    assert p.shrink({0: means[0]}, members, overall) == {0: means[0]}
+
+
+def test_two_phase_simulation_and_ablations(spark):
+    base = {"K": 3, "T": 5, "n": 100, "rho": 5.0, "alpha": 0.5, "delta": 0.5, "kind": "sine"}
+    found = rounds.simulate(rounds.ablation_settings(spark, base, sweeps={"omega": [0.5]})).collect()
+    assert {r.run for r in found} == {*protocol.ABLATIONS, "omega=0.5"} and len(found) == 15 * len({r.run for r in found})
+    assert all(0 <= r.acc <= 1 for r in found)
+    by = lambda run: len({r.pred for r in found if r.run == run})
+    assert by("no spawn or merge") == 1 and by("full") >= 1
+    grid = rounds.simulate(rounds.scalability_settings(spark, base, [2, 4], [6], ["TwoPhase", "FedAvg"])).collect()
+    assert {(r.run, r.method) for r in grid} == {(x, m) for x in ("K=2", "K=4", "T=6") for m in ("TwoPhase", "FedAvg")}
