@@ -13,7 +13,9 @@ from driftlake.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from driftlake.llm.language_id import op1_language_id
 from driftlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from driftlake.llm.quality import op7_quality
+from driftlake.llm.sentence_pieces import op13_sentencepiece
 from driftlake.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from driftlake.llm.token_alignment import op12_token_alignment
 from driftlake.llm.topk import OP10_SQL, op10_topk
 from driftlake.llm.warc import OP8_SQL, op8_warc
 
@@ -36,6 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_sentencepiece": op13_sentencepiece,
     "pipeline": pipeline,
 }
 
