@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm.bpe import op5_bpe
+from driftlake.llm.collocations import OP11_SQL, op11_collocations
 from driftlake.llm.decontaminate import OP9_SQL, op9_decontaminate
 from driftlake.llm.html_text import op6_html_text
 from driftlake.llm.jaccard_join import OP3_SQL, op3_jaccard_join
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
+    "op11_collocations": op11_collocations,
     "op12_token_alignment": op12_token_alignment,
     "op13_sentencepiece": op13_sentencepiece,
     "pipeline": pipeline,
@@ -51,4 +53,5 @@ SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_topk": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
