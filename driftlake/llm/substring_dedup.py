@@ -11,7 +11,8 @@ also starts in a document with a smaller id.
    document that holds it and whether all its pieces are the same.
 3. Automata. The recurring phrases of the whole corpus are dealt out in shards of at
    most about ``SHARD`` phrases; each is compiled once, by a task of its own, into an
-   Aho-Corasick automaton over two symbols a word and kept in the shared folder. All
+   Aho-Corasick automaton over two symbols a word, with all phrases that share a string
+   there, and kept in the shared folder. All
    documents are streamed through every shard, which locates every occurrence; an
    occurrence that is a piece's anchor tells that the piece may recur. The passes over
    the words therefore grow with the number of recurring phrases over ``SHARD``.
@@ -23,7 +24,8 @@ also starts in a document with a smaller id.
 Only hashes and positions are shuffled, besides two shuffles of the texts by id;
 hot phrases, windows and copies are one row for each map task after partial
 aggregation, and the joins that follow can be split by AQE. Windows are told
-apart by 128 bits (the anchor's hash and the window's).
+apart by 128 bits (the anchor's hash and the window's); phrases that look alike to an
+automaton are told apart by their hash.
 
 Defined cases: null or empty text has no words; rows with null id keep all words
 and count for no one; rows that share an id, and repeated rows, don't remove words
@@ -118,23 +120,44 @@ def phrase_rows(ids: DataFrame, window: int) -> DataFrame:
 
 
 class Shard:
-    """An automaton of recurring phrases; by a phrase's number: its hash, its smallest document, whether all pieces are the same."""
+    """An automaton of recurring phrases; by a phrase's number: its hash, its smallest document, whether all pieces are the same.
+
+    A word has 12 bits in the automaton, so different phrases can have one string there. They lie
+    behind one another, sorted by hash; the automaton gives the first one's number, ``named`` the right one's."""
 
     _kept: tuple[str, Shard] | None = None
 
     def __init__(self, phrases: list[bytes], fp: np.ndarray, lo: np.ndarray, same: np.ndarray):
-        self.fp, self.lo, self.same = fp, lo, same
+        groups: dict[bytes, int] = {}
+        group = np.array([groups.setdefault(p, len(groups)) for p in phrases], np.int64)
+        order = np.lexsort((fp, group))
+        self.fp, self.lo, self.same = fp[order], lo[order], same[order]
+        first = np.searchsorted(group[order], np.arange(len(groups) + 1))
+        self.stop = np.repeat(first[1:], np.diff(first))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, phrase in enumerate(phrases):
+        for phrase, i in zip(groups, first.tolist(), strict=False):
             self.automaton.add_word(phrase.decode("latin-1"), i)
+        if len(self.automaton) != len(groups):
+            raise RuntimeError("the automaton lost a phrase")
         self.wide = len(phrases[0]) if phrases else 0
         self.automaton.make_automaton()
 
     def locate(self, stream: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, phrase) of each occurrence in a stream of symbols."""
+        """(first word, first phrase with that string) of each occurrence in a stream of symbols."""
         found = np.array(list(self.automaton.iter(stream.decode("latin-1"))), np.int64).reshape(-1, 2)
         return (found[:, 0] + 1 - self.wide) // 2, found[:, 1]
 
+    def named(self, first: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        """Of the phrases that share a string with ``first``, the one with the given hash; -1 if there is none."""
+        lo, stop = first.copy(), self.stop[first]
+        hi = stop.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            less = open_ & (self.fp[np.minimum(mid, len(self.fp) - 1)] < fp)
+            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        at = np.minimum(lo, len(self.fp) - 1)
+        return np.where((lo < stop) & (self.fp[at] == fp), at, -1)
+
     @classmethod
     def load(cls, path: str) -> Shard:
         """Reads a shard from the shared folder; a worker process keeps the last one."""
@@ -183,10 +206,10 @@ def located_pieces(ids: DataFrame, shards: list[str], window: int, most_words: i
                 # a phrase ends at one word at most, as all are of one length
                 of = np.full(len(p.stream) // 2, -1, np.int64)
                 of[word] = phrase
-                number = of[p.anchor + p.first[p.text]]
-                use = np.flatnonzero(number >= 0)
-                number = number[use]
-                right = (shard.fp[number] == p.fp[use]) & (~shard.same[number] | (doc[p.text[use]] > shard.lo[number]))
+                first = of[p.anchor + p.first[p.text]]
+                use = np.flatnonzero(first >= 0)
+                number = shard.named(first[use], p.fp[use])
+                right = (number >= 0) & (~shard.same[number] | (doc[p.text[use]] > shard.lo[number]))
                 use, number = use[right], number[right]
                 text = p.text[use]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text], th[text], p.fp[use], p.ph[use], _pack(p.start[use], p.count[use]), shard.same[number])], ["doc", "th", "fp", "ph", "at", "same"])
@@ -234,7 +257,7 @@ def window_rows(held: DataFrame, window: int) -> DataFrame:
 
 def recurring_phrases(ids: DataFrame, window: int) -> DataFrame:
     """(fp, lo, same, phrase): anchors of two documents or more, of the whole corpus."""
-    known = phrase_rows(ids, window).groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("ph").alias("p0"), F.max("ph").alias("p1"), F.min("phrase").alias("phrase"))
+    known = phrase_rows(ids, window).groupBy("fp", "phrase").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("ph").alias("p0"), F.max("ph").alias("p1"))
     return known.where("lo < hi").select("fp", "lo", (F.col("p0") == F.col("p1")).alias("same"), "phrase")
 
 

@@ -78,6 +78,44 @@ def test_substring_shards_hold_every_phrase(spark):
         same(zip(word.tolist(), s.fp[phrase].tolist()), [(i, g) for i, g in enumerate(grams.tolist()) if g in set(s.fp.tolist())])
 
 
+def removed(spark, docs, **limits):
+    found, c = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), **limits)
+    return [(r[0], r[1].n_words, r[1].n_removed, r[1].kept) for r in found.select("doc_id", c).collect()]
+
+
+@pytest.mark.parametrize("shard", [1, 100, substring_dedup.SHARD])
+def test_substring_phrases_that_look_alike(spark, shard):
+    """Templated records that differ in one word: 4 of 5 automaton strings are shared, none is lost."""
+    n = 40 if shard == 1 else 700
+    frame_ = " ".join(["{0} opened the door of the {0} closed a window"] + [f"plain{j}" for j in range(44)])
+    docs = [(i + k * n, frame_.format(f"user{i}")) for i in range(n) for k in range(2)]
+    same(removed(spark, docs, shard=shard), substring_dedup.brute_force(docs))
+
+
+def test_substring_phrases_of_one_string(spark):
+    """Words chosen so that their 12 bits agree, in the middle of six frames."""
+    names = [f"order{i}" for i in range(3000)]
+    data, offsets = buffers(pa.array(names))
+    bits = substring_dedup.word_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(52)
+    by = {}
+    for name, b in zip(names, bits.tolist(), strict=True):
+        by.setdefault(b, []).append(name)
+    alike = [x[:2] for x in by.values() if len(x) > 1][:6]
+    rnd, docs = random.Random(9), []
+    for pair in alike:
+        ws = [f"v{rnd.randrange(10**6)}" for _ in range(60)]
+        for name in pair:
+            text = " ".join([*ws[:31], name, *ws[32:]])
+            docs += [(len(docs), text), (len(docs) + 1, text)]
+    want = substring_dedup.brute_force(docs)
+    assert sum(r[2] == 60 for r in want) == 12
+    same(removed(spark, docs), want)
+    ids = spark.createDataFrame([(d, 0, t) for d, t in docs], "doc long, th long, text string")
+    known = substring_dedup.recurring_phrases(ids, 50)
+    shards = [substring_dedup.Shard.load(p) for p in substring_dedup.compile_shards(known, 1000)]
+    assert sum(len(s.fp) for s in shards) == known.count()
+
+
 def test_substring_dedup_empty_table(spark):
     found, c = substring_dedup.remove_repeats(frame(spark, []))
     assert found.count() == 0
