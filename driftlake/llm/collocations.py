@@ -93,7 +93,10 @@ class Words:
             _, head, group = np.unique(np.stack(columns, 1), axis=0, return_index=True, return_inverse=True)
         parts = [self.table.take(pa.array(self.word[at[head] + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-        return self.langs.take(pa.array(self.lang[at[head]])), phrase, np.bincount(group.ravel(), minlength=len(head))
+        lang, n = self.langs.take(pa.array(self.lang[at[head]])), np.bincount(group.ravel(), minlength=len(head))
+        # in order, so that neighbouring rows begin alike and a shuffle's compression finds it
+        order = pc.sort_indices(pa.table({"lang": lang, "phrase": phrase}), [("lang", "ascending"), ("phrase", "ascending")])
+        return lang.take(order), phrase.take(order), n[order.to_numpy()]
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
