@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> None:
     d.add_argument("--row", default="rho")
     d.add_argument("--column", default="delta")
     s = command("sweep", run_sweep, data=True)
-    s.add_argument("--methods", nargs="+", choices=list(rounds.METHODS), default=["FedAvg", "TwoPhase"])
+    s.add_argument("--methods", nargs="+", choices=list(rounds.METHODS), default=["FedAvg", "Oracle"])
     s.add_argument("--rhos", nargs="+", default=["5"])
     s.add_argument("--seeds", nargs="+", type=int, default=[42])
     s.add_argument("--every", nargs="+", type=int, default=[1])

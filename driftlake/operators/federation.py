@@ -50,14 +50,6 @@ def within_variance(params: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(F.sum(F.col("v") * F.col("n")) / F.sum("n"), F.lit(1e-4)).alias("sigma2"))
 
 
-def between_variance(params: DataFrame) -> DataFrame:
-    """Spread of the concepts' means less what sampling explains; not below 0."""
-    mean = params.groupBy("concept", "idx").agg(F.avg("val").alias("m"), F.count("*").alias("n"), F.var_pop("val").alias("v"))
-    by = mean.groupBy("idx").agg(F.var_samp("m").alias("spread"), F.avg("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("inside"))
-    raw = F.avg("spread") - F.avg(F.col("inside") / F.col("n"))
-    return by.agg(F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0))).alias("between2"))
-
-
 def shrink(params: DataFrame, lam: Column | float) -> DataFrame:
     """Concept means drawn to the mean of all concepts: (1 - lambda) own + lambda overall."""
     own = params.groupBy("concept", "idx").agg(F.avg("val").alias("own"))

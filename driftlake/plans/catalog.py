@@ -584,4 +584,4 @@ def accepted(spark, sf):
     return points.join(base, "federation_every").select("method", "federation_every", sweep.accept_candidate(F.col("accuracy_auc"), F.col("total_bytes"), F.col("a"), F.col("b")).alias("accepted"))
 
 
-from driftlake.plans import catalog_models  # noqa: E402,F401  registers the rest
+from driftlake.plans import catalog_models, catalog_pools  # noqa: E402,F401  registers the rest

@@ -372,15 +372,6 @@ def within_variance(spark, sf):
     return rounded(federation.within_variance(vector_params(spark, sf)))
 
 
-@register(
-    "between_variance",
-    f"""WITH {PARAMS_SQL}, m AS (SELECT concept, idx, avg(val) AS m, count(*) AS n, var_pop(val) AS v FROM params GROUP BY 1, 2),
-b AS (SELECT idx, var_samp(m) AS s, avg(n) AS n, sum(v * n) / sum(n) AS i FROM m GROUP BY idx) SELECT round(greatest(0.0, avg(s) - avg(i / n)), 6) AS between2 FROM b""",
-)
-def between_variance(spark, sf):
-    return rounded(federation.between_variance(vector_params(spark, sf)))
-
-
 @register(
     "shrunk_models",
     f"""WITH {PARAMS_SQL}, o AS (SELECT concept, idx, avg(val) AS own FROM params GROUP BY 1, 2) SELECT concept, idx, round(0.7 * own + 0.3 * avg(own) OVER (PARTITION BY idx), 6) AS val FROM o""",
@@ -403,11 +394,12 @@ def shrinkage_grid(spark, sf):
 
 @register(
     "shrinkage_coefficient",
-    """SELECT k, round(v / (v + b), 6) AS lam FROM (SELECT k, 1.0 * 50 / (200.0 * k / 4) AS v, 10.0 / k AS b FROM (SELECT unnest(range(1, 21)) AS k))""",
+    """WITH s AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS k, var_pop(c_acctbal) AS sigma2 FROM customer GROUP BY 1)
+SELECT nation, round(sigma2 * 50 / (200.0 * k / 4) / (sigma2 * 50 / (200.0 * k / 4) + 1e5), 6) AS lam FROM s""",
 )
 def shrinkage_coefficient(spark, sf):
-    k = spark.range(1, 21).withColumnRenamed("id", "k")
-    return rounded(k.select("k", S.shrinkage_lambda(F.lit(1.0), 10.0 / F.col("k"), F.col("k"), F.lit(4), F.lit(200.0), F.lit(50)).alias("lam")))
+    s = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("k"), F.var_pop("c_acctbal").alias("sigma2"))
+    return rounded(s.select("nation", S.shrinkage_lambda(F.col("sigma2"), F.lit(1e5), F.col("k"), F.lit(4), F.lit(200.0), F.lit(50)).alias("lam")))
 
 
 @register("prototype_server", MOMENTS_SQL + " SELECT y, idx, round(avg(v), 6) AS val FROM long GROUP BY 1, 2")
@@ -480,12 +472,12 @@ def softmax(spark, sf):
 
 @register(
     "config_scalars",
-    """WITH c AS (SELECT r, CASE WHEN r = 12 THEN CAST('inf' AS DOUBLE) ELSE CAST(r AS DOUBLE) END AS rho, 30 AS t FROM (SELECT unnest(range(1, 13)) AS r))
+    """WITH c AS (SELECT p_partkey AS r, CASE WHEN p_size = 50 THEN CAST('inf' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS rho, 30 AS t FROM part)
 SELECT r, CASE WHEN isinf(rho) THEN t ELSE greatest(2, CAST(round_even(t / rho, 0) AS BIGINT)) END AS concepts,
-  'sine_rho' || CASE WHEN isinf(rho) THEN 'inf' ELSE CAST(r AS VARCHAR) END || '_alpha0.50_delta0.25_seed' || r AS name FROM c""",
+  'sine_rho' || CASE WHEN isinf(rho) THEN 'inf' ELSE CAST(CAST(rho AS BIGINT) AS VARCHAR) END || '_alpha0.50_delta0.25_seed' || r AS name FROM c""",
 )
 def config_scalars(spark, sf):
-    c = spark.range(1, 13).withColumnRenamed("id", "r").withColumn("rho", F.when(F.col("r") == 12, F.lit(float("inf"))).otherwise(F.col("r").cast("double")))
+    c = table(spark, sf, "part").select(F.col("p_partkey").alias("r"), F.when(F.col("p_size") == 50, F.lit(float("inf"))).otherwise(F.col("p_size").cast("double")).alias("rho"))
     return c.select("r", S.concept_count(F.col("rho"), F.lit(30)).alias("concepts"), S.run_name(F.lit("sine"), F.col("rho"), F.lit(0.5), F.lit(0.25), F.col("r")).alias("name"))
 
 
@@ -574,12 +566,14 @@ def tracked(spark, sf):
 
 @register("generated_grid")
 def generated_grid(spark, sf):
-    return generators.concept_grid(spark, generators.GeneratorConfig(clients=20, steps=40, rho=8))
+    """A client for each supplier."""
+    return generators.concept_grid(spark, generators.GeneratorConfig(clients=table(spark, sf, "supplier").count(), steps=40, rho=8))
 
 
 @register("generated_samples")
 def generated_samples(spark, sf):
-    c = generators.GeneratorConfig(clients=4, steps=5, n_samples=20)
+    """A client for each supplier."""
+    c = generators.GeneratorConfig(clients=table(spark, sf, "supplier").count(), steps=5, n_samples=20)
     return generators.samples(generators.concept_grid(spark, c), c)
 
 
@@ -596,7 +590,7 @@ def concept_specs(spark, sf):
 
 @register("balanced_groups")
 def balanced_groups(spark, sf):
-    return generators.balance_groups(generators.concept_grid(spark, generators.GeneratorConfig(clients=12, steps=20, rho=5, alpha=1.0)), 2)
+    return generators.balance_groups(generators.concept_grid(spark, generators.GeneratorConfig(clients=table(spark, sf, "supplier").count(), steps=20, rho=5, alpha=1.0)), 2)
 
 
 @register(
@@ -652,35 +646,6 @@ def least_squares(spark, sf):
     return rounded(generators.ordinary_least_squares(rows, ["client"]).select("client", F.posexplode("coef").alias("i", "coef")))
 
 
-def small_settings(spark, methods):
-    rows = [(f"run{s}", m, s, 4, 6, 40, 3.0, 0.5, 0.5, "sine", 1) for m in methods for s in (42, 43)]
-    return spark.createDataFrame(rows, "run string, method string, seed long, K long, T long, n long, rho double, alpha double, delta double, kind string, every long")
-
-
-@register("simulated_methods")
-def simulated_methods(spark, sf):
-    """Every method on two small settings: final mean accuracy and bytes."""
-    grid = rounds.simulate(small_settings(spark, list(rounds.METHODS)))
-    return rounded(grid.groupBy("method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes"), F.count("*").alias("cells")))
-
-
-BASE = {"K": 3, "T": 5, "n": 100, "rho": 5.0, "alpha": 0.5, "delta": 0.5, "kind": "sine"}
-
-
-@register("protocol_ablations")
-def protocol_ablations(spark, sf):
-    """The two-phase protocol with parts left out or changed, and over values of two of its settings."""
-    settings = rounds.ablation_settings(spark, BASE, sweeps={"omega": [0.5, 2.0], "kappa": [0.5, 0.9]})
-    grid = rounds.simulate(settings)
-    return rounded(grid.groupBy("run").agg(F.avg("acc").alias("accuracy"), F.countDistinct("pred").alias("concepts"), F.sum("bytes").alias("bytes")))
-
-
-@register("protocol_scalability")
-def protocol_scalability(spark, sf):
-    grid = rounds.simulate(rounds.scalability_settings(spark, BASE, [3, 6], [5, 10], ["TwoPhase", "FedAvg", "Oracle"]))
-    return rounded(grid.groupBy("run", "method").agg(F.avg("acc").alias("accuracy"), F.sum("bytes").alias("bytes"), F.count("*").alias("cells")))
-
-
 @register("simulated_on_samples")
 def simulated_on_samples(spark, sf):
     """A run is 500 vectors, however many runs there are."""

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlake.operators import solvers
-from driftlake.plans import protocol
 from driftlake.sources.generators import GeneratorConfig, draw, markov
 from driftlake.streaming.detectors import Adwin
 from driftlake.streaming.tracking import PersistentIds
@@ -581,57 +580,8 @@ class FedGwc(Method):
         return self.round_trip()
 
 
-class TwoPhase(Method):
-    """Phase A addresses clients to concepts of a shared library by their batches' fingerprints, phase B
-    averages within concepts (by the posteriors, if soft) and draws the means to the overall one."""
-
-    def __init__(self, *a):
-        super().__init__(*a)
-        own = {k: v for k, v in self.o.extra.items() if k in protocol.Settings.__dataclass_fields__}
-        self.protocol = protocol.Protocol(protocol.settings(self.o.extra.get("variant"), **own))
-
-    def phase_a(self) -> tuple[list[int], list[dict[int, float]]]:
-        prints = [protocol.Print.of(*self.batch[i], self.c) for i in range(self.k)]
-        return self.protocol.address(prints, [loss(self.models[i], *self.batch[i]) for i in range(self.k)])
-
-    def phase_b(self, concepts: list[int], posterior: list[dict[int, float]]) -> None:
-        w, soft = self.weights(), self.protocol.s.soft
-        share = posterior if soft else [{c: 1.0} for c in concepts]
-        means, members = {}, {}
-        for c in sorted({c for own in share for c, p in own.items() if p > 0.01} | set(concepts)):
-            part = [(i, w[i] * share[i].get(c, 0.0)) for i in range(self.k) if share[i].get(c, 0.0) > 0.01]
-            if part:
-                means[c] = mean_of([self.models[i] for i, _ in part], [v for _, v in part])
-                members[c] = [self.models[i] for i, _ in part]
-        means = self.protocol.shrink(means, members, mean_of(self.models, w))
-        for i in range(self.k):
-            own = {c: p for c, p in share[i].items() if c in means and p > 0.01} or {concepts[i]: 1.0}
-            self.models[i] = mean_of([means[c] for c in own], list(own.values()))
-        self.assigned = concepts
-
-    def federate(self, t):
-        self.phase_b(*self.phase_a())
-        prints = self.k * (self.c + self.c * self.d) * 16 / 8
-        return self.round_trip() + prints + 4.0 * self.k
-
-
-class TwoPhaseSpectral(TwoPhase):
-    """Phase A by spectral clustering of the round's descriptions, with ids carried over rounds."""
-
-    def __init__(self, *a):
-        super().__init__(*a)
-        self.ids = PersistentIds()
-
-    def phase_a(self):
-        rows = np.stack([self.describe(i) for i in range(self.k)])
-        own = solvers.spectral(rows, seed=self.o.seed)
-        names = self.ids.match({int(c): rows[own == c].mean(0) for c in set(own)})
-        concepts = [names[int(c)] for c in own]
-        return concepts, [{c: 1.0} for c in concepts]
-
-
 METHODS: dict[str, type[Method]] = {
-    "LocalOnly": Method, "FedAvg": FedAvg, "Oracle": Oracle, "TwoPhase": TwoPhase, "TwoPhase-spectral": TwoPhaseSpectral, "FedProx": FedProx,
+    "LocalOnly": Method, "FedAvg": FedAvg, "Oracle": Oracle, "FedProx": FedProx,
     "SCAFFOLD": Scaffold, "Adaptive-FedAvg": AdaptiveFedAvg, "CompressedFedAvg": CompressedFedAvg, "Flash": Flash, "FedProto": FedProto, "Ditto": Ditto,
     "pFedMe": PFedMe, "APFL": Apfl, "ATP": Atp, "FedEM": FedEm, "IFCA": Ifca, "FeSEM": Ifca, "FedRC": FedRc, "CFL": Cfl, "FedDrift": FedDrift,
     "TrackedSummary": TrackedSummary, "FLUX": Flux, "FLUX-prior": FluxPrior, "FedCCFA": FedCcfa, "FedCCFA-Impl": FedCcfaRows, "HCFL": Hcfl, "FedGWC": FedGwc,
@@ -707,19 +657,3 @@ def simulate_on(samples: DataFrame, grid: DataFrame, method: str, options: Optio
     left = samples.select(*[F.col(c).alias(c) for c in ("run", "client", "t", "row_id", "x", "y")])
     right = grid.select(*[F.col(c).alias(c) for c in ("run", "client", "t", "gt")])
     return left.groupBy("run").cogroup(right.groupBy("run")).applyInPandas(run, OUT)
-
-
-def ablation_settings(spark, base: dict, seeds: tuple[int, ...] = (42,), sweeps: dict[str, list[float]] | None = None) -> DataFrame:
-    """Settings of the two-phase protocol, one row a seed for each ablation by name, and for each value of each sweep."""
-    arms = {name: change for name, change in protocol.ABLATIONS.items()}
-    for key, values in (sweeps or {}).items():
-        arms |= {f"{key}={v:g}": {key: v} for v in values}
-    rows = [(arm, "TwoPhase", seed, base["K"], base["T"], base["n"], float(base["rho"]), float(base["alpha"]), float(base["delta"]), base["kind"], base.get("every", 1), json.dumps(change)) for arm, change in arms.items() for seed in seeds]
-    return spark.createDataFrame(rows, "run string, method string, seed long, K long, T long, n long, rho double, alpha double, delta double, kind string, every long, config string")
-
-
-def scalability_settings(spark, base: dict, clients: list[int], steps: list[int], methods: list[str], seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """Settings that vary the number of clients, and those that vary the number of steps, for several methods."""
-    points = [(f"K={k}", k, base["T"]) for k in clients] + [(f"T={t}", base["K"], t) for t in steps]
-    rows = [(name, m, seed, k, t, base["n"], float(base["rho"]), float(base["alpha"]), float(base["delta"]), base["kind"], base.get("every", 1)) for name, k, t in points for m in methods for seed in seeds]
-    return spark.createDataFrame(rows, "run string, method string, seed long, K long, T long, n long, rho double, alpha double, delta double, kind string, every long")
