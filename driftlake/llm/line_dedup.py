@@ -7,11 +7,12 @@ A run is a table in the shared directory with one row per line key: two 64-bit
 hashes, the number of documents that hold the key and the largest id among them;
 rows are bucketed by the hashes and sorted by them in each bucket, so that a run is
 read in place and in order. A new batch of documents is reduced to such rows, dealt
-out in the same buckets, and merge-anti-joined with the live runs one after another:
-keys that none of them has are fresh, the others update a known key. The batch is
-added as a run of level 0; when a level holds ``fanout`` runs, they are merged bucket
-by bucket into one run of the next level, so a row is rewritten once a level at most.
-A key is decided from the sum of its rows over all runs.
+out in the same buckets, and merge-anti-joined with the live runs one after another.
+Keys that none of them has are fresh and become a run of level 0; the others are
+*updates* of a key that some run has. When a level holds ``fanout`` runs, they are
+merged bucket by bucket into one run of the next level, so a row is rewritten once a
+level at most. As no key is in two runs, a key's total is its one row and the sum of
+its updates.
 
 A line's key is the line with white space ``[\\x20\\x09-\\x0D]`` stripped at both
 ends and A-Z lower-cased. The key of a hot line is one row per map task after partial
@@ -64,14 +65,20 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
 
 
 class LineRuns:
-    """The levelled runs; ``levels[i]`` lists the tables of level i."""
+    """The levelled runs: ``levels[i]`` lists the tables of level i, in which each key stands once.
+
+    Tables are written and read in a session of their own, so that no setting of the caller's changes."""
 
     #: Lets a bucketed scan say that its buckets are sorted, so that merge joins don't sort them again.
     ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.updates = spark.newSession(), fanout, [[]], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            self.spark.conf.set(key, spark.conf.get(key))
+        self.spark.conf.set(self.ORDERED, "true")
+        self._tables: set[str] = set()
 
     def runs(self) -> list[DataFrame]:
         return [self._rows(name) for level in self.levels for name in level]
@@ -82,44 +89,61 @@ class LineRuns:
         return self.spark.table(name).where("n > 0")
 
     def add(self, keys: DataFrame) -> str:
-        """Adds a batch of key rows (h1, h2, n, top); ids of batches must not overlap.
-
-        Returns the name of the run; its column ``fresh`` marks keys that no earlier run has."""
-        fresh = F.lit(True)
-        for i, held in enumerate(self.runs()):
-            mark = f"known{i}"
-            keys = keys.join(held.where("fresh").select(*KEY, F.lit(True).alias(mark)).hint("merge"), KEY, "left")
-            fresh = fresh & F.col(mark).isNull()
-        return self._store(keys.select(*KEY, "n", "top", fresh.alias("fresh")), 0)
-
-    def _store(self, run: DataFrame, level: int) -> str:
-        name = f"line_run_l{level}_{uuid.uuid4().hex}"
-        before = self.spark.conf.get(self.ORDERED)
-        self.spark.conf.set(self.ORDERED, "true")
-        try:
-            run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", fresh_path(self.spark, name)).saveAsTable(name)
-        finally:
-            self.spark.conf.set(self.ORDERED, before)
+        """Adds a batch of key rows (h1, h2, n, top), each key once; ids of batches must not overlap.
+
+        What no run has becomes a run of level 0, whose name is returned; the other keys are updates."""
+        batch = self._write(keys.select(*KEY, "n", "top"), "batch")
+        fresh = self._rows(batch)
+        for run in self.runs():
+            fresh = fresh.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        name = batch
+        if any(self.levels):
+            name = self._write(fresh, "run")
+            self.updates.append(self._write(self._rows(batch).join(self._rows(name).select(*KEY).hint("merge"), KEY, "left_anti"), "updates"))
+            self._forget([batch])
+            if len(self.updates) >= self.fanout:
+                old, self.updates = self.updates, []
+                self.updates = [self._write(_summed(self._union(old)), "updates")]
+                self._forget(old)
+        self._place(name, 0)
+        return name
+
+    def _place(self, name: str, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = _summed(reduce(DataFrame.unionByName, [self._rows(x) for x in self.levels[level]])).withColumn("fresh", F.lit(True))
+            # no key is in two runs, so a bucket's runs are only put together and sorted
             old, self.levels[level] = self.levels[level], []
-            self._store(merged, level + 1)
+            self._place(self._write(self._union(old), "run"), level + 1)
             self._forget(old)
+
+    def _union(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self._rows(x) for x in names])
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        name = f"line_{kind}_{uuid.uuid4().hex}"
+        self._tables.add(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", fresh_path(self.spark, name)).saveAsTable(name)
         return name
 
     def totals(self) -> DataFrame:
-        return _summed(reduce(DataFrame.unionByName, self.runs()))
+        """(h1, h2, n, top) of every key: the row of the run that has it, and what later batches added to it."""
+        held = self._union([name for level in self.levels for name in level])
+        if not self.updates:
+            return held
+        more = _summed(self._union(self.updates)).select(*KEY, F.col("n").alias("more"), F.col("top").alias("later"))
+        both = held.join(more.hint("merge"), KEY, "left")
+        return both.select(*KEY, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("top", "later").alias("top"))
 
     def _forget(self, names: list[str]) -> None:
-        """Takes runs out of the catalogue; their files stay in the shared folder."""
+        """Takes tables out of the catalogue; their files stay in the shared folder."""
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._tables.discard(name)
 
     def close(self) -> None:
-        self._forget([name for level in self.levels for name in level])
+        self._forget(list(self._tables))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -132,11 +156,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     runs = LineRuns(spark)
     held = materialize(line_rows(docs, id_col, text_col, least_chars), "line-hashes")
-    for b in range(batches):
-        keys = held.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
-        runs.add(keys.groupBy(*KEY).agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("top")))
-    common = materialize(runs.totals().where(F.col("n") >= least_docs), "common-lines")
-    runs.close()
+    try:
+        for b in range(batches):
+            keys = held.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
+            runs.add(keys.groupBy(*KEY).agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("top")))
+        path = fresh_path(spark, "common-lines")
+        runs.totals().where(F.col("n") >= least_docs).write.parquet(path)
+    finally:
+        runs.close()
+    common = spark.read.schema("h1 long, h2 long, n long, top long").parquet(path)
     # at most HOT keys have a HOT-th of all lines: the size of what is broadcast is bounded
     is_hot = F.col("n") * HOT >= held.count()
     hot, rest = common.where(is_hot).select(*KEY, "top"), common.where(~is_hot).select(*KEY, "top")

@@ -168,6 +168,31 @@ def test_line_runs_are_read_in_place(spark):
     runs.close()
 
 
+def test_line_anti_joins_decide(spark, monkeypatch):
+    """Without the anti-joins a key of several batches stands in several runs, and its total is lost."""
+    # a document in each of the four batches
+    ids = [r[0] for r in spark.range(99).groupBy(F.pmod(F.xxhash64("id"), F.lit(4))).agg(F.min("id")).select("min(id)").collect()]
+    rows = spark.createDataFrame([(i, f"a line that all documents hold, in every batch\nown line of document number {i}") for i in ids], "doc_id long, text string")
+    dropped = lambda: (lambda out, names: out.agg(F.sum(names["n_dropped"])).first()[0])(*line_dedup.dedup_lines(rows, batches=4))
+    tables = spark.catalog.listTables()
+    assert dropped() == 3 and spark.catalog.listTables() == tables
+    monkeypatch.setattr(line_dedup.LineRuns, "runs", lambda self: [])
+    assert dropped() == 0
+
+
+def test_line_runs_are_forgotten_after_a_failure(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "a line that all documents hold, in every batch") for i in range(9)], "doc_id long, text string")
+
+    def fails(self):
+        raise RuntimeError("lost")
+
+    tables = spark.catalog.listTables()
+    monkeypatch.setattr(line_dedup.LineRuns, "totals", fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        line_dedup.dedup_lines(rows)
+    assert spark.catalog.listTables() == tables
+
+
 def test_line_dedup_odd_tables(spark):
     line = "the same long line in every document"
     clash = spark.createDataFrame([(i, f"{line}\nown line number {i} of this text", 1, "x") for i in range(4)], "doc_id long, text string, line_hash_ long, line_text string")

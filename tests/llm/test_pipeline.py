@@ -78,5 +78,5 @@ def test_last_stage_on_an_empty_table(spark, tmp_path):
 
 
 def test_registry():
-    assert list(registry.QUERIES) == [*(f"op{n}_{x}" for n, x in enumerate("language_id substring_dedup jaccard_join line_dedup bpe html_text quality warc decontaminate topk".split(), 1)), "pipeline"]
+    assert list(registry.QUERIES) == [*(f"op{n}_{x}" for n, x in enumerate("language_id substring_dedup jaccard_join line_dedup bpe html_text quality warc decontaminate topk collocations token_alignment sentencepiece".split(), 1)), "pipeline"]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
