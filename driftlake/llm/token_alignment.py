@@ -5,7 +5,8 @@ text, to which it adds that space. Each token is an *event* at the byte offset w
 
 1. Events. Both tokenizers' ids of a document are cut at windows of ``WINDOW_BYTES`` of its
    bytes; a row holds the events of one side in one window, as ids in order from an offset on
-   (an id's length is its tokenizer's, so ids tell all ends). The rows of A and those of B are
+   (an id's length is its tokenizer's, so ids tell all ends). Each distinct word is encoded
+   once while a worker's table holds it (``WordTable``). The rows of A and those of B are
    one table. One event a row would be 40 times the input.
 2. Sweep. The rows are repartitioned by document, sorted by (document, window, side) within
    partitions and streamed through a state machine that holds the group which is open, at most
@@ -27,6 +28,7 @@ id and text are not carried on, so their names don't matter.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,48 +40,142 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.bpe import Encoder, token_bytes, vocabulary_path
+from driftlake.llm.bpe import Store, token_bytes, vocabulary_path
 from driftlake.llm.common import buffers, materialize, slices, table
-from driftlake.llm.sentence_pieces import SLICE_BYTES, PieceTable, piece_bytes, piece_model_path
+from driftlake.llm.sentence_pieces import MARKER, SLICE_BYTES, PieceTable, piece_bytes, piece_model_path
 
 WINDOW_BYTES = 1 << 15
-#: Bytes of each side's table of words in a worker.
-STORED_BYTES = 80 << 20
+#: Bytes of a worker's table of words, and characters of new words that are encoded at once.
+STORED_BYTES, LEARNED_CHARS = 180 << 20, 200_000
+#: Marks a word that a tokenizer doesn't give back.
+BAD = 0xFFFFFFFF
+#: Bytes that can begin a word behind its space: none of white space, and none that begins a wider white-space character.
+OPENS = np.ones(256, bool)
+OPENS[[*range(0x09, 0x0E), 0x20, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 #: Links that a task adds up at once.
 COUNTED = 1 << 20
 EVENTS = "key long, doc long, win int, side int, start long, n int, ids binary"
 SWEPT = "doc long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
 
-class TokenTable(Encoder):
+class TokenTable:
     """Tokenizer A in one worker process; special tokens' strings in a text are plain text."""
 
     _kept: dict[str, TokenTable] = {}
 
+    @classmethod
+    def get(cls, path: str) -> TokenTable:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
     def __init__(self, path: str):
-        super().__init__(path, words=STORED_BYTES, chunks=STORED_BYTES // 5)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
+        self.bytes_of, self.starts = token_bytes(self.tokenizer.get_vocab(with_added_tokens=True))
         self.sizes = np.diff(self.starts)
 
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin and one more)."""
-        lists = [np.frombuffer(x, np.uint32) for x in self.encode(data, offsets)]
-        return np.concatenate([np.zeros(0, np.uint32), *lists]), np.cumsum([0, *map(len, lists)])
 
+class WordTable:
+    """Both tokenizers' ids of the distinct words of one worker process.
+
+    A word begins with its space. Words are cut where a space stands behind a character that is
+    no space and before one that is no white space: A's pattern joins a space only to what
+    follows it, and none of B's pieces holds a marker behind another character, so neither
+    tokenizer's tokens cross such a place or depend on what is beyond it.
 
-def piece_table(path: str) -> PieceTable:
-    return PieceTable.get(path, STORED_BYTES)
+    A stored word is its number of A ids, these and its B ids; BAD alone marks one that a
+    tokenizer doesn't give back. The table is bounded by bytes."""
 
+    _kept: dict[tuple, WordTable] = {}
+
+    @classmethod
+    def get(cls, path_a: str, path_b: str) -> WordTable:
+        if (path_a, path_b) not in cls._kept:
+            cls._kept[path_a, path_b] = cls(path_a, path_b)
+        return cls._kept[path_a, path_b]
 
-def given_back(table_: TokenTable | PieceTable, ids: np.ndarray, edges: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text, whether its ids' bytes are those of ``data``."""
+    def __init__(self, path_a: str, path_b: str, words: int = STORED_BYTES):
+        self.a, self.b, self.words = TokenTable.get(path_a), PieceTable.get(path_b), Store(words)
+        self._lead = len(self.b.model.encode("x"))
+
+    def _learn(self, words: list[str]) -> None:
+        plain, odd, held = [], [], self.words.held
+        for w in words:
+            (odd if len(w) < 2 or w[1].isspace() or w[-1] == " " or MARKER in w else plain).append(w)
+        at = np.cumsum([0, *map(len, plain)]) // LEARNED_CHARS
+        for lo, hi in zip(edge := [*np.unique(at[:-1], return_index=True)[1].tolist(), len(plain)], edge[1:], strict=False):
+            part = plain[lo:hi]
+            text = "".join(part)
+            ids = np.array(self.a.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32), np.array(self.b.model.encode(text[1:]), np.uint32)
+            raw = text.encode()
+            ends = np.cumsum(list(map(len, part)) if text.isascii() else [len(w.encode()) for w in part])
+            cuts = [self._cuts(t, i, raw, ends) for t, i in zip((self.a, self.b), ids, strict=True)]
+            if any(c is None for c in cuts):
+                odd += part
+                continue
+            first, second = cuts[0], cuts[1]
+            numbers = [i.tobytes() for i in ids]
+            counts = np.diff(first).astype(np.uint32).tobytes()
+            for k, (w, i, j, p, q) in enumerate(zip(part, 4 * first[:-1], 4 * first[1:], 4 * second[:-1], 4 * second[1:], strict=True)):
+                held[w] = counts[4 * k : 4 * k + 4] + numbers[0][i:j] + numbers[1][p:q]
+        for w in odd:
+            ids = np.array(self.a.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids, np.uint32), np.array(self.b.model.encode("x" + w)[self._lead :], np.uint32)
+            good = all(token_text(t, i) == w.encode() for t, i in zip((self.a, self.b), ids, strict=True))
+            held[w] = b"".join(x.tobytes() for x in (np.array([len(ids[0])], np.uint32), *ids)) if good else np.array([BAD], np.uint32).tobytes()
+        self.words.added(words)
+
+    @staticmethod
+    def _cuts(table_: TokenTable | PieceTable, ids: np.ndarray, raw: bytes, ends: np.ndarray) -> np.ndarray | None:
+        """How many ids lie before each word and behind the last; null if the ids don't give the words back."""
+        stops = np.append(0, np.cumsum(table_.sizes[ids]))
+        at = np.searchsorted(stops, np.append(0, ends))
+        right = at[-1] == len(ids) and (stops[at] == np.append(0, ends)).all() and token_text(table_, ids) == raw
+        return at if right else None
+
+    def encode(self, texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """(ids of all texts and where each text's begin, for A and B; for each text whether both give it back).
+
+        A space is put in front of each text that isn't empty."""
+        self.words.trim()
+        data, offsets = buffers(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise("", texts, " ")))
+        if not len(data):
+            none = np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return [none, none], np.ones(len(texts), bool)
+        begins, space = np.zeros(len(data), bool), data == 32
+        begins[1:-1] = space[1:-1] & ~space[:-2] & OPENS[data[2:]]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        at = np.flatnonzero(begins)
+        coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        words, word, held = coded.dictionary.to_pylist(), coded.indices.to_numpy(), self.words.held
+        self._learn([w for w in words if w not in held])
+        own = [held[w] for w in words]
+        flat = np.frombuffer(b"".join(own), np.uint32)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start = np.cumsum(size) - size
+        bad = flat[start] == BAD
+        n_a = np.where(bad, 0, flat[start]).astype(np.int64)
+        of = np.searchsorted(at, offsets)
+        sides = []
+        for first, count in ((start + 1, n_a), (start + 1 + n_a, size - 1 - n_a)):
+            each = count[word]
+            ends = np.cumsum(each)
+            place = np.repeat(first[word] - (ends - each), each) + np.arange(ends[-1])
+            sides.append((flat[place], np.append(0, ends)[of]))
+        lost = np.append(0, np.cumsum(bad[word]))[of]
+        return sides, lost[1:] == lost[:-1]
+
+
+def token_text(table_: TokenTable | PieceTable, ids: np.ndarray) -> bytes:
+    """The bytes that ids stand for."""
     size = table_.sizes[ids]
     ends = np.cumsum(size)
-    raw = table_.bytes_of[np.repeat(table_.starts[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    at = np.append(0, ends)[edges]
-    if len(raw) == len(data) and (at == offsets).all() and (raw == data).all():
-        return np.ones(len(edges) - 1, bool)
-    return np.array([np.array_equal(raw[a:b], data[c:d]) for a, b, c, d in zip(at, at[1:], offsets, offsets[1:], strict=False)], bool)
+    return table_.bytes_of[np.repeat(table_.starts[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
 
 
 def number_type(n: int) -> type:
@@ -94,19 +190,15 @@ def event_rows(keyed: DataFrame, path_a: str, path_b: str, window: int = WINDOW_
     """Rows of EVENTS for rows (key, doc, text); each key has one row at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, codec = TokenTable.get(path_a), piece_table(path_b), zstd()
+        words, codec = WordTable.get(path_a, path_b), zstd()
         for batch in batches:
             column = pc.fill_null(batch.column(2).cast(pa.string()), "")
             keys, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             _, offsets = buffers(column)
             for lo, hi in slices(offsets, SLICE_BYTES):
-                text = column.slice(lo, hi - lo)
-                spaced = pc.if_else(pc.equal(pc.binary_length(text), 0), "", pc.binary_join_element_wise("", text, " "))
-                own = buffers(spaced)
-                coded = [a.ids(*own), b.encode(text)]
-                good = given_back(a, *coded[0], *own) & given_back(b, *coded[1], *own)
+                coded, good = words.encode(column.slice(lo, hi - lo))
                 rows: list[tuple] = []
-                for side, (table_, (ids, edges)) in enumerate(zip((a, b), coded, strict=True)):
+                for side, (table_, (ids, edges)) in enumerate(zip((words.a, words.b), coded, strict=True)):
                     stored = ids.astype(number_type(len(table_.sizes)))
                     ends = np.cumsum(table_.sizes[ids])
                     for d in range(hi - lo):
@@ -214,7 +306,7 @@ class Pairs:
     @classmethod
     def get(cls, path_a: str, path_b: str) -> Pairs:
         if (path_a, path_b) not in cls._kept:
-            cls._kept[path_a, path_b] = cls(TokenTable.get(path_a), piece_table(path_b))
+            cls._kept[path_a, path_b] = cls(TokenTable.get(path_a), PieceTable.get(path_b))
         return cls._kept[path_a, path_b]
 
     def __init__(self, a: TokenTable, b: PieceTable):
@@ -253,7 +345,7 @@ def swept_documents(events: DataFrame, path_a: str, path_b: str) -> DataFrame:
     ``links`` holds the numbers of the linked pairs, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, pairs, codec = TokenTable.get(path_a), piece_table(path_b), Pairs.get(path_a, path_b), zstd()
+        a, b, pairs, codec = TokenTable.get(path_a), PieceTable.get(path_b), Pairs.get(path_a, path_b), zstd()
         n = max(len(a.sizes), len(b.sizes))
         key, rows = None, []
 
@@ -355,7 +447,7 @@ def aligned_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path_a, path_b = path_a or vocabulary_path(), path_b or piece_model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sizes = None, [TokenTable.get(path_a).sizes, piece_table(path_b).sizes]
+        key, sizes = None, [TokenTable.get(path_a).sizes, PieceTable.get(path_b).sizes]
         for own, doc, *sides in windows(batches, sizes):
             if own != key:
                 key, sweep = own, Sweep()

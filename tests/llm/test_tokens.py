@@ -75,6 +75,21 @@ def test_alignment(spark, window):
     same([tuple(r) for r in found.select(COLUMNS).collect()], token_alignment.brute_force(docs))
 
 
+def test_word_table_gives_way():
+    """A table too small for its words gives the same ids of both tokenizers."""
+    docs = [t or "" for _, t in odd_texts(300, seed=4)]
+    paths = token_alignment.vocabulary_path(), token_alignment.piece_model_path()
+    small, large = token_alignment.WordTable(*paths, 5_000), token_alignment.WordTable(*paths)
+    for lo in range(0, len(docs), 30):
+        part = pa.array(docs[lo : lo + 30], pa.string())
+        (a, good), (b, fine) = small.encode(part), large.encode(part)
+        assert good.tolist() == fine.tolist()
+        for x, y in zip(a, b, strict=True):
+            assert x[0].tolist() == y[0].tolist() and x[1].tolist() == y[1].tolist()
+        small.words.trim()
+        assert small.words.size <= 5_000
+
+
 def test_aligned_groups(spark):
     """Groups of a document tile it, and end where both tokenizers end."""
     docs = [(i, t) for i, t in enumerate(t for _, t in odd_texts(60, seed=2))]
@@ -95,6 +110,6 @@ def test_alignment_of_nothing(spark):
 
 def test_pairs_are_bounded_by_the_vocabularies():
     pairs = token_alignment.Pairs.get(token_alignment.vocabulary_path(), token_alignment.piece_model_path())
-    a, b = token_alignment.TokenTable.get(token_alignment.vocabulary_path()), token_alignment.piece_table(token_alignment.piece_model_path())
+    a, b = token_alignment.TokenTable.get(token_alignment.vocabulary_path()), sentence_pieces.PieceTable.get(token_alignment.piece_model_path())
     # each id's suffixes that are ids of the other side; a byte can be two ids of B
     assert len(pairs.codes) <= 2 * (a.sizes.sum() + b.sizes.sum())
