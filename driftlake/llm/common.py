@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Hadoop's names of stores and pyarrow's.
 STORES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "abfs": "abfss"}
@@ -98,12 +99,16 @@ def different_texts(rows: DataFrame, text_col: str, most: int, by: list[str], co
         counts = {tuple(r[:-1]): r[-1] for r in hashed.groupBy(*by).agg(F.approx_count_distinct("hash")).collect()}
     if not counts:
         return hashed.select(*by, "text").limit(0)
+    share = {value: int(min(1.0, most / max(n, 1)) * (1 << 20)) for value, n in counts.items()}
     rate = F.lit(0)
-    for value, n in counts.items():
+    if len(by) == 1 and len(share) > 16 and (None,) not in share:
+        rates = rows.sparkSession.createDataFrame([(*value, r) for value, r in share.items()], T.StructType([hashed.schema[by[0]], T.StructField("rate", T.IntegerType())]))
+        hashed, rate, share = hashed.join(rates, by), F.col("rate"), {}
+    for value, r in share.items():
         here = F.lit(True)
         for c, v in zip(by, value, strict=True):
             here = here & (F.col(c) == F.lit(v))
-        rate = F.when(here, F.lit(int(min(1.0, most / max(n, 1)) * (1 << 20)))).otherwise(rate)
+        rate = F.when(here, F.lit(r)).otherwise(rate)
     chosen = hashed.where(F.pmod("hash", F.lit(1 << 20)) < rate)
     return chosen.groupBy(*by, "hash").agg(F.first("text").alias("text")).select(*by, "text")
 

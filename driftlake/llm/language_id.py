@@ -13,8 +13,15 @@ letters, its score that language's share of all letters.
 
 Training uses a bounded sample: about ``per_lang`` different labelled texts for each
 language, chosen by a hash (all where there are fewer; a text that is copied many
-times counts once), for at most ``most_langs`` languages; the collected model is at
-most 2**``BITS`` counts for each. Everything else covers all rows.
+times counts once), and about ``most_rows`` of all languages together; the collected
+model is at most 2**``BITS`` counts for each language and ``COUNTS`` of all. Every language that has a
+labelled text is learned, and everything else covers all rows.
+
+A change of language costs the same between any two, so one maximum a word is enough:
+with more than ``DENSE`` languages all texts of a slice advance word by word, in time
+and memory linear in languages; what is kept of a word is a bit for each. With fewer,
+texts advance in segments, whose tables have a row for each pair of languages; the
+labels are the same.
 
 Defined cases: null text, or text without a letter (marks are none): ``und`` with
 score 0; if no row can be learned from (an empty table), all texts are ``und``, and
@@ -43,10 +50,18 @@ BITS = 16
 PER_LANG = 3000
 SWITCH = 12.0
 SEGMENT = 32
-#: At most so many languages are learned, those with most different texts (ties by name).
-MOST_LANGS = 128
-#: Texts of more code points are taken in pieces of about this many.
+#: Labelled texts that are learned from at most, about; at least ten of each language.
+MOST_ROWS = 400_000
+#: Languages up to which texts advance in segments.
+DENSE = 16
+#: Texts of more code points are taken in pieces of about this many, fewer with many languages.
 PIECE = 1 << 18
+#: Counts of the model at most: features times languages; with over 1,024 languages features have fewer bits.
+COUNTS = 1 << 26
+#: Languages whose counts a task holds.
+HELD = 128
+#: Code points times languages of a slice, with many languages.
+CELLS = 1 << 23
 _SPACE = re.compile(r"\s")
 UNKNOWN = "und"
 
@@ -129,7 +144,9 @@ class Words:
         """Sum of a (features x languages) table over each word."""
         if not len(self.starts):
             return np.zeros((0, table_.shape[1]), np.float32)
-        each = table_[self.features[0]] + table_[self.features[1]]
+        # features are the first bits of a hash, so a smaller table takes fewer of them
+        fewer = BITS - (len(table_) - 1).bit_length()
+        each = table_[self.features[0] >> fewer] + table_[self.features[1] >> fewer]
         return np.add.reduceat(each, np.searchsorted(self.at, self.starts), axis=0)
 
 
@@ -197,6 +214,49 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, segment: int =
     return out
 
 
+class Trellis:
+    """The best label of each word of several texts that advance together, linear in labels.
+
+    Of each word the label is kept that a change before it would come from, and a bit for each
+    label that is better reached by staying. The scores can come in parts."""
+
+    def __init__(self, texts: int, labels: int, switch: float):
+        self.v, self.switch = np.zeros((texts, labels)), switch
+        self.tops: list[np.ndarray] = []
+        self.stays: list[np.ndarray] = []
+
+    def advance(self, scores: np.ndarray, first: np.ndarray) -> None:
+        """Takes the next words of each text; ``first`` bounds them."""
+        length = np.diff(first)
+        order = np.argsort(-length, kind="stable")
+        begin, live = first[:-1][order], len(order) - np.searchsorted(np.sort(length), np.arange(int(length.max(initial=0))), side="right")
+        v = self.v[order]
+        tops, stays = np.zeros(len(scores), np.int32), np.zeros((len(scores), -(-v.shape[1] // 8)), np.uint8)
+        for j, m in enumerate(live.tolist()):
+            rows, own = begin[:m] + j, v[:m]
+            top = own.argmax(1)
+            best = (own[np.arange(m), top] - self.switch)[:, None]
+            tops[rows], stays[rows] = top, np.packbits(own >= best, axis=1)
+            np.maximum(own, best, out=own)
+            own += scores[rows]
+        v -= v.max(1, keepdims=True)
+        self.v[order] = v
+        self.tops.append(tops)
+        self.stays.append(stays)
+
+    def labels(self, first: np.ndarray) -> np.ndarray:
+        """The labels of all words of the parts behind one another; ``first`` bounds each text's."""
+        tops, stays = np.concatenate(self.tops), np.concatenate(self.stays)
+        wide, stays, tops = stays.shape[1], stays.tobytes(), tops.tolist()
+        out = np.zeros(len(tops), np.int64)
+        for d, label in enumerate(self.v.argmax(1).tolist()):
+            for i in range(int(first[d + 1]) - 1, int(first[d]) - 1, -1):
+                out[i] = label
+                if not stays[i * wide + (label >> 3)] >> (7 - (label & 7)) & 1:
+                    label = tops[i]
+        return out
+
+
 def _pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """Cuts a text after white space, into pieces of about ``size`` code points."""
     at = 0
@@ -221,34 +281,50 @@ class Model:
         allowed[~allowed.any(1)] = True
         self.bar = np.where(allowed, 0, -1e4).astype(np.float32)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word of each text, scores and letters of each word, whether a text has a letter).
+    @property
+    def piece(self) -> int:
+        """Code points that are scored at once."""
+        return PIECE if len(self.langs) <= DENSE else min(PIECE, max(1 << 12, CELLS // len(self.langs)))
+
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of each text, labels and letters of each word, whether a text has a letter).
 
         Very long texts are taken in pieces, so that only their words are held together, not
-        the arrays by code point."""
-        pieces = [list(_pieces(t)) for t in texts]
+        the arrays by code point; with many languages, not even their words' scores."""
+        n, dense = len(self.langs), len(self.langs) <= DENSE
+        pieces = [list(_pieces(t, self.piece)) for t in texts]
         if all(len(p) == 1 for p in pieces):
             w = Words(texts)
-            return w.first, w.scores(self.table) + self.bar[w.script], w.letters, w.has_letter
-        counts, scores, letters, has_letter = [], [], [], []
+            scores = w.scores(self.table) + self.bar[w.script]
+            if dense:
+                return w.first, viterbi(scores, w.first, self.switch), w.letters, w.has_letter
+            trellis = Trellis(len(texts), n, self.switch)
+            trellis.advance(scores, w.first)
+            return w.first, trellis.labels(w.first), w.letters, w.has_letter
+        counts, labels, letters, has_letter = [], [], [], []
         for own in pieces:
-            n, found = 0, False
+            trellis, scores, size, found = Trellis(1, n, self.switch), [], 0, False
             for p in own:
                 w = Words([p])
-                n, found = n + len(w.letters), found or bool(w.has_letter[0])
-                scores.append(w.scores(self.table) + self.bar[w.script])
+                size, found = size + len(w.letters), found or bool(w.has_letter[0])
+                scored = w.scores(self.table) + self.bar[w.script]
+                if dense:
+                    scores.append(scored)
+                else:
+                    trellis.advance(scored, w.first)
                 letters.append(w.letters)
-            counts.append(n)
+            first = np.array([0, size])
+            labels.append(viterbi(np.concatenate(scores), first, self.switch) if dense else trellis.labels(first))
+            counts.append(size)
             has_letter.append(found)
-        return np.concatenate([[0], np.cumsum(counts)]), np.concatenate(scores), np.concatenate(letters), np.array(has_letter)
+        return np.concatenate([[0], np.cumsum(counts)]), np.concatenate(labels), np.concatenate(letters), np.array(has_letter)
 
     def label(self, texts: list[str]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
         """(language, score, spans) of each text; spans are (language, first word, end)."""
         if not self.langs:
             yield from ((UNKNOWN, 0.0, []) for _ in texts)
             return
-        first, scores, letters_, has_letter = self.words(texts)
-        best = viterbi(scores, first, self.switch)
+        first, best, letters_, has_letter = self.best(texts)
         for d in range(len(texts)):
             lo, hi = first[d], first[d + 1]
             if not has_letter[d]:
@@ -262,36 +338,44 @@ class Model:
             yield self.langs[top], float(share[top]), spans
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
-    """Fits a model on about ``per_lang`` different texts of each of the ``most_langs`` most frequent languages."""
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most_rows: int = MOST_ROWS) -> Model:
+    """Fits a model on about ``per_lang`` different texts of each language, and about ``most_rows`` of all, at least ten of each."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(11))).alias("n"))
-    n = {r["lang"]: r["n"] for r in found.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    n = {r["lang"]: r["n"] for r in found.collect()}
     langs = sorted(n)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros((N_SCRIPTS + 1, 0)))
-    chosen = different_texts(rows, "text", per_lang, ["lang"], {(x,): n[x] for x in langs})
+    chosen = different_texts(rows, "text", min(per_lang, max(10, most_rows // len(langs))), ["lang"], {(x,): n[x] for x in langs})
     number = {x: i for i, x in enumerate(langs)}
+    bits = max(8, min(BITS, (COUNTS // len(langs)).bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # features first, scripts after them; only languages that occur are held
+        # features first, scripts after them; only languages that occur are held, HELD at most
         got: dict[int, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, own in got.items():
+                key = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang), pa.int32()), pa.array(key, pa.int32()), pa.array(own[key], pa.int64())], ["lang", "key", "n"])
+            got.clear()
+
         for batch in batches:
             text = batch.column(1)
             for i, lang in enumerate(batch.column(0).to_pylist()):
-                own = got.setdefault(number[lang], np.zeros((1 << BITS) + N_SCRIPTS + 1, np.int64))
+                if len(got) >= HELD:
+                    yield from counted()
+                own = got.setdefault(number[lang], np.zeros((1 << bits) + N_SCRIPTS + 1, np.int64))
                 for piece in _pieces(text[i].as_py()):
                     w = Words([piece])
-                    np.add.at(own, w.features.ravel(), 1)
-                    np.add.at(own, (1 << BITS) + w.script.astype(np.int64), w.letters)
-        for lang, own in got.items():
-            key = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang), pa.int32()), pa.array(key, pa.int32()), pa.array(own[key], pa.int64())], ["lang", "key", "n"])
+                    np.add.at(own, w.features.ravel() >> (BITS - bits), 1)
+                    np.add.at(own, (1 << bits) + w.script.astype(np.int64), w.letters)
+        yield from counted()
 
     found = chosen.mapInArrow(count, "lang int, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(((1 << BITS) + N_SCRIPTS + 1, len(langs)))
+    counts = np.zeros(((1 << bits) + N_SCRIPTS + 1, len(langs)), np.float32)
     counts[found["key"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
-    return Model(langs, counts[: 1 << BITS], counts[1 << BITS :])
+    return Model(langs, counts[: 1 << bits], counts[1 << bits :])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -308,7 +392,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
         m = shared.value
         for batch in batches:
             _, offsets = buffers(batch.column(at))
-            for lo, hi in slices(offsets, SLICE_BYTES // 2):
+            for lo, hi in slices(offsets, min(SLICE_BYTES // 2, m.piece)):
                 part = batch.slice(lo, hi - lo)
                 found = list(m.label([t or "" for t in part.column(at).to_pylist()]))
                 spans = [[{"lang": a, "first": b, "end": c} for a, b, c in s] for _, _, s in found]

@@ -531,6 +531,51 @@ def slow_viterbi(scores, first, switch):
     return out
 
 
+def test_trellis_as_viterbi():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 40):
+        lengths = rng.integers(0, 40, 7)
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        scores = np.round(rng.normal(size=(first[-1], n)) * 6)  # with ties
+        want = slow_viterbi(scores, first, 9.0)
+        trellis = language_id.Trellis(7, n, 9.0)
+        trellis.advance(scores, first)
+        assert (trellis.labels(first) == want).all() and (language_id.viterbi(scores, first, 9.0) == want).all()
+        # one long text, in parts
+        parts, whole = language_id.Trellis(1, n, 9.0), np.array([0, first[-1]])
+        for lo in range(0, first[-1], 11):
+            part = scores[lo : lo + 11]
+            parts.advance(part, np.array([0, len(part)]))
+        assert (parts.labels(whole) == slow_viterbi(scores, whole, 9.0)).all()
+
+
+def test_many_languages(spark):
+    """All of 500 languages are learned; repeated rows get equal results."""
+    word = lambda k, j: "".join(chr(97 + (k * 31 + j * 17 + i * i * (k % 7 + 1)) % 26) for i in range(3 + (k + j) % 5))
+    text = lambda k, s: " ".join(word(k, (s + j * 3) % 11) + chr(97 + k % 26) + chr(97 + k // 26) for j in range(30))
+    rows = [(k * 4 + s, text(k, s), f"l{k:03}") for k in range(500) for s in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.where("doc_id % 4 < 3"))
+    assert len(model.langs) == 500
+    found, c = language_id.identify(docs.where("doc_id % 4 = 3").union(docs.where("doc_id = 7")), model)
+    got = found.select("lang", f"{c}.lang", f"{c}.score").collect()
+    assert {r[1] for r in got} == set(model.langs) and all(r[0] == r[1] for r in got)
+    assert len({tuple(r) for r in got if r[0] == "l001"}) == 1
+
+
+def test_long_text_of_many_languages_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    model = language_id.Model([f"l{i:03}" for i in range(128)], rng.integers(0, 50, (1 << language_id.BITS, 128)).astype(np.float32), np.ones((language_id.N_SCRIPTS + 1, 128)))
+    text = " ".join(f"{'abcdefgh'[i % 8]}{'klmnopq'[i % 7]}" for i in range(100_000))
+    tracemalloc.start()
+    lang, score, spans = next(model.label([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lang in model.langs and spans[-1][2] == 100_000 and peak < 250e6
+
+
 def test_viterbi():
     rng = np.random.default_rng(0)
     for _ in range(10):
@@ -602,15 +647,16 @@ def test_language_id_against_brute_force(spark):
 def test_language_id_pieces_and_labels(spark):
     text = "the cat and the dog were in the house with that other thing " * 60
     rows = [(i, text[: 50 + i], "en") for i in range(9)] + [(i, "der hund und die katze waren nicht da", "de") for i in range(9)]
-    rows += [(i, "stray words", f"x{i}") for i in range(5000)] + [(i, text, "en") for i in range(100)]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=2, per_lang=50)
-    assert len(model.langs) == 2 and "en" in model.langs
+    rows += [(i, "stray words", f"x{i}") for i in range(2000)] + [(i, text, "en") for i in range(100)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50)
+    assert len(model.langs) == 2002 and len(model.table) == 1 << 15
     assert "".join(language_id._pieces(text, 100)) == text and len(list(language_id._pieces(text, 100))) > 10
     whole = list(model.label([text, "x"]))
-    old, language_id.PIECE = language_id.PIECE, 100
+    old, cells = language_id.PIECE, language_id.CELLS
+    language_id.PIECE = language_id.CELLS = 100
     language_id._pieces.__defaults__ = (100,)
     assert list(model.label([text, "x"])) == whole
-    language_id.PIECE = old
+    language_id.PIECE, language_id.CELLS = old, cells
     language_id._pieces.__defaults__ = (old,)
 
 
