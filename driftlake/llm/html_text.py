@@ -3,8 +3,11 @@
 The page is cut into blocks at block-level tags; character references are decoded
 and white space inside a block becomes one space. Containers that never hold the
 article (menus, headers, footers, sidebars, forms, adverts, notices, comments) are
-known by tag or by the head words of class, id and role; if nothing else would be
-left of a page, the latter are not believed.
+known by tag, or by the words of class, id and role of a container or a paragraph.
+Every word of a value is evidence: one that names what isn't the article speaks against
+it, one that names the article for it, and the values are added up. That evidence is
+overruled by density and neighbours: if nothing else would be left of a page, it isn't
+believed.
 
 First pass: a block is judged by its length, its density of stop words and its density
 of links, and may stay undecided. Where the page marks its article, what stands
@@ -55,8 +58,9 @@ STOP_WORDS = frozenset(
     " le la les de et un une des que est pas pour dans ce il sur qui au par plus avec se son sont ne elle aux du en"
     " el los las que y en un una por con no se su para es al lo como más o pero sus le ya este sí porque".split()
 )
-#: Words after which the word before them says what a container is for, and those that deny what follows.
-HOLDERS = frozenset("list box bar wrap wrapper container section area block links items item panel group inner outer content".split())
+#: Words that name the article, words that don't speak against it beside one of these, and those that deny what follows.
+GOOD = frozenset("article entry post story main content".split())
+WEAK = frozenset("header masthead banner".split())
 DENIALS = frozenset("has with no without is".split())
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CJK = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
@@ -75,6 +79,7 @@ class Block:
     hinted: bool = False  # out only by the words of a class, id or role
     label: int = 0  # 1 in, -1 out, 0 undecided
     heading: bool = False
+    links: int = 0
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -83,16 +88,20 @@ def _tag_end(page: str, at: int) -> int:
     return rest.end() - 1 if rest else len(page)
 
 
+def _evidence(token: str) -> int:
+    """-1 if a word of one value of class, id or role names what isn't the article, 1 if one names the article, else 0."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    good = not GOOD.isdisjoint(parts)
+    for i, p in enumerate(parts):
+        if p in HINTS and DENIALS.isdisjoint(parts[:i]) and not (good and p in WEAK):
+            return -1
+    return int(good and HINTS.isdisjoint(parts))
+
+
 def _hinted(attributes: str) -> bool:
-    """Whether a class, id or role names what isn't the article, by the head word of one of its values."""
-    for _, value in _ATTRIBUTE.findall(attributes):
-        for token in value.strip("\"'").split():
-            parts = [p.lower() for p in _PART.findall(token)]
-            while len(parts) > 1 and parts[-1] in HOLDERS:
-                parts.pop()
-            if parts and parts[-1] in HINTS and not (len(parts) > 1 and parts[0] in DENIALS):
-                return True
-    return False
+    """Whether class, id and role together speak against an element."""
+    found = _ATTRIBUTE.findall(attributes) if "=" in attributes else ()
+    return sum(_evidence(token) for _, value in found for token in value.strip("\"'").split()) < 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -101,16 +110,16 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     # (name, out, inside an article, out by a hint) of each open container
     stack: list[tuple[str, bool, bool, bool]] = []
-    linked, link_chars, heading = False, 0, False
+    linked, link_chars, links, heading, against = False, 0, 0, False, False
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, links
         joined = " ".join("".join(text).split())
         if joined:
             _, out, inside, hinted = stack[-1] if stack else ("", False, False, False)
-            found.append(Block(joined, link_chars, out, inside, hinted, heading=heading))
+            found.append(Block(joined, link_chars, out, inside, hinted or against, heading=heading, links=links))
         text.clear()
-        link_chars = 0
+        link_chars, links = 0, int(linked)
 
     def add(raw: str) -> None:
         nonlocal link_chars
@@ -155,12 +164,17 @@ def blocks(page: str) -> list[Block]:
             continue
         if element == "a":
             linked = not closing
+            links += linked
             continue
         if element not in BLOCK:
             continue
         flush()
+        if element in VOID:
+            continue
         heading = not closing and len(element) == 2 and element[0] == "h" and element[1].isdigit()
-        if element in VOID or element not in CONTAINER:
+        # a paragraph's own class holds until the next block
+        against = not closing and element not in CONTAINER and _hinted(attributes)
+        if element not in CONTAINER:
             continue
         linked = False
         if closing:
@@ -186,7 +200,9 @@ def _judge(b: Block, known: bool) -> int:
     # bars inside a marked article, and where nothing is marked
     most_links, enough, dense, long = (0.7, 6, 0.08, 20) if b.inside else (0.4, 12, 0.15, 40)
     if links > most_links:
-        return -1
+        # a paragraph that is one link reads like prose, a list of links doesn't
+        prose = b.links == 1 and length >= max(enough, 12) and (density >= dense if known else length >= 1.5 * enough)
+        return 0 if prose else -1
     if length >= enough and links <= most_links / 2 and (density >= dense if known else length >= 1.5 * enough):
         return 1
     if length >= long and links <= most_links / 4:

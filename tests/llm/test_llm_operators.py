@@ -494,6 +494,37 @@ def test_html_rules_decide_inside_and_outside():
     assert html_text.main_text(f"<nav><a href=x>a</a></nav><p>{other}</p>") == other
 
 
+def test_html_evidence_of_classes():
+    """Every word of a class counts, for containers and paragraphs; words that name the article speak for it."""
+    other = "We had not seen the river that was behind the house, and it is as wide as they said to us."
+    for name in "comment-body comment-text cookie-message sidebar-left ad-slot ad-unit footer-bottom newsletter-form promo-text relatedPosts share_bar".split():
+        assert html_text.main_text(f"<div><p>{PROSE}</p></div><div class='{name}'><p>{other}</p></div>") == PROSE, name
+        assert html_text.main_text(f"<article><p>{PROSE}</p><p class='{name}'>{other}</p><p>{PROSE}</p></article>") == f"{PROSE} {PROSE}", name
+        # nothing else is left: the class isn't believed
+        assert html_text.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == PROSE, name
+    assert html_text.main_text(f"<article><p class='advert'>{other}</p><p>{PROSE}</p></article>") == PROSE
+    for name in "article-header entry-header postHeader has-sidebar content-with-sidebar".split():
+        assert html_text.main_text(f"<div class='{name}'><h1>The title</h1></div><p>{PROSE}</p>") == f"The title {PROSE}", name
+    assert html_text.main_text(f"<div class='post comments-open'><p>{PROSE}</p></div><p>{other}</p>") == f"{PROSE} {other}"
+    assert html_text.main_text(f"<p>{PROSE}</p><p><a href=x>{other}</a></p><p>{PROSE}</p>") == f"{PROSE} {other} {PROSE}"
+    assert html_text.main_text(f"<p>{PROSE}</p><ul><li><a href=x>{PROSE}</a> <a href=y>{other}</a></li></ul>") == PROSE
+
+
+def test_html_distances_and_ties():
+    """An undecided block takes the closer decided neighbour's label; on a tie the one before."""
+    decide = lambda *rows: [b.label for b in rows]
+
+    def labelled(*kinds):
+        rows = [html_text.Block(t, len(t) if kind == "links" else 0, False, False) for kind, t in kinds]
+        html_text._passes(rows, [False] * len(rows))
+        return decide(*rows)
+
+    prose, links, short = ("prose", PROSE), ("links", "Home About Us Contact"), ("short", "Short one")
+    assert labelled(prose, short, links) == [1, 1, -1] and labelled(links, short, prose) == [-1, -1, 1]
+    assert labelled(prose, ("short", "Of four short words"), short, links) == [1, 1, -1, -1]
+    assert labelled(short, prose) == [1, 1] and labelled(links, short) == [-1, -1]
+
+
 def plain_html(blocks):
     return "".join(f"<{k} class='{c}'>{t}</{k}>" if c else f"<{k}>{t}</{k}>" for k, c, t in blocks)
 
