@@ -281,3 +281,81 @@ def prototype_transport(spark, sf):
     side = lambda s, i, w, m: own.where(F.col("side") == s).select("g", F.col("y").alias(i), F.col("w").alias(w), F.col("m").alias(m))
     costs = side(0, "i", "a", "p").join(side(1, "j", "b", "q"), "g").select("g", "i", "j", F.sqrt(V.square_distance("p", "q")).alias("cost"), "a", "b")
     return rounded(transport.transport_costs(costs, ["g"], 0.2, 6))
+
+
+# ---------------------------------------------------------------- nested results
+
+#: Each event as a result document: a run, its metrics, and a curve of two places.
+NESTED_SQL = """
+WITH e AS (SELECT event_id, event_type, user_id, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+p AS (
+  SELECT event_type, '$.run' AS path, CAST(user_id AS DOUBLE) AS x FROM e UNION ALL SELECT event_type, '$.metrics.value', value FROM e
+  UNION ALL SELECT event_type, '$.metrics.k', k FROM e UNION ALL SELECT event_type, '$.curve[]', value FROM e UNION ALL SELECT event_type, '$.curve[]', k FROM e
+), n AS (
+  SELECT event_type, path AS node, CASE path WHEN '$.run' THEN 2 ELSE 3 END AS depth, x FROM p UNION ALL SELECT event_type, '$', 1, x FROM p
+  UNION ALL SELECT event_type, '$.metrics', 2, x FROM p WHERE path LIKE '$.metrics%' UNION ALL SELECT event_type, '$.curve', 2, x FROM p WHERE path LIKE '$.curve%'
+)
+SELECT event_type, node, CAST(depth AS BIGINT) AS depth, count(*) AS n, round(avg(x), 6) AS mean, round(min(x), 6) AS low, round(max(x), 6) AS high FROM n GROUP BY 1, 2, 3
+"""
+
+
+@register("nested_results", NESTED_SQL)
+def nested_results(spark, sf):
+    """Events as nested documents, flattened by path and rolled up along the paths."""
+    from driftlake.operators import nested
+
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    value = F.col("value").cast("string")
+    text = F.concat(F.lit('{"run": '), F.col("user_id").cast("string"), F.lit(', "metrics": {"value": '), value, F.lit(', "k": '), F.col("k").cast("string"), F.lit('}, "curve": ['), value, F.lit(", "), F.col("k").cast("string"), F.lit("]}"))
+    return rounded(nested.roll_up(nested.flatten(e.select("event_id", "event_type", text.alias("json")), ["event_id", "event_type"], "json"), ["event_type"]))
+
+
+@register(
+    "root_causes",
+    """WITH r AS (SELECT l_suppkey % 5 AS seed, CASE l_linestatus WHEN 'O' THEN 'baseline' ELSE 'candidate' END AS side, l_quantity AS final, l_discount AS reuse, l_tax AS switches, l_extendedprice AS bytes FROM lineitem),
+m AS (SELECT avg(final) FILTER (WHERE side = 'candidate') < avg(final) FILTER (WHERE side = 'baseline') - 1e-6 AS fell FROM r),
+s AS (SELECT 'reuse' AS signal, 1 AS d, avg(reuse) FILTER (WHERE side = 'baseline') AS a, avg(reuse) FILTER (WHERE side = 'candidate') AS b FROM r UNION ALL SELECT 'switches', -1, avg(switches) FILTER (WHERE side = 'baseline'), avg(switches) FILTER (WHERE side = 'candidate') FROM r
+  UNION ALL SELECT 'bytes', -1, avg(bytes) FILTER (WHERE side = 'baseline'), avg(bytes) FILTER (WHERE side = 'candidate') FROM r),
+q AS (SELECT seed, avg(final) FILTER (WHERE side = 'baseline') AS a, avg(final) FILTER (WHERE side = 'candidate') AS b FROM r GROUP BY 1),
+v AS (SELECT s.*, CASE WHEN abs(b - a) <= 1e-6 THEN 'same' WHEN (b - a) * d > 0 THEN 'better' WHEN fell THEN 'worse' ELSE 'tolerated' END AS verdict FROM s, m)
+SELECT signal, round(a, 6) AS baseline, round(b, 6) AS candidate, round(b - a, 6) AS change, (SELECT count(*) FROM q WHERE b < a - 1e-6) AS seeds_worse, (SELECT count(*) FROM q) AS seeds, verdict,
+  row_number() OVER (ORDER BY verdict <> 'worse', abs(b - a) / greatest(abs(a), 1e-12) DESC, signal) AS nth FROM v""",
+)
+def root_causes(spark, sf):
+    from driftlake.operators import nested
+
+    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 5).alias("seed"), F.when(F.col("l_linestatus") == "O", "baseline").otherwise("candidate").alias("side"), F.col("l_quantity").alias("final"), F.col("l_discount").alias("reuse"), F.col("l_tax").alias("switches"), F.col("l_extendedprice").alias("bytes"))
+    return rounded(nested.root_causes(rows, "final", {"reuse": 1, "switches": -1, "bytes": -1}))
+
+
+# ---------------------------------------------------------------- regression
+
+REGRESSION_SQL = """
+WITH s AS (SELECT vec_id % 10 AS client, (vec_id // 10) % 5 AS t, vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, vec_id % 2 AS concept FROM embeddings),
+h AS (SELECT *, row_number() OVER (PARTITION BY client, t ORDER BY row_id) <= count(*) OVER (PARTITION BY client, t) // 2 AS test FROM s),
+m AS (SELECT client, t, concept, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) + 1e-6 AS xx, sum(x * y) AS xy FROM h WHERE NOT test GROUP BY 1, 2, 3),
+f AS (SELECT client, t, concept, ((n + 1e-6) * xy - sx * sy) / ((n + 1e-6) * xx - sx * sx) AS w, (xx * sy - sx * xy) / ((n + 1e-6) * xx - sx * sx) AS b FROM m),
+g AS (SELECT concept, t, avg(w) AS w, avg(b) AS b FROM f WHERE (t + 1) % 2 = 0 AND t < 4 GROUP BY 1, 2),
+e AS (SELECT h.client, h.t, h.y, h.y - coalesce(g.w * h.x + g.b, 0) AS e FROM h LEFT JOIN g ON g.concept = h.concept AND g.t = (SELECT max(t) FROM g k WHERE k.concept = h.concept AND k.t < h.t) WHERE test)
+SELECT client, t, round(avg(e * e), 6) AS mse, round(greatest(0.0, 1 - avg(e * e) / greatest(var_pop(y), 1e-12)), 6) AS r2 FROM e GROUP BY 1, 2
+"""
+
+
+@register("concept_regression", REGRESSION_SQL)
+def concept_regression(spark, sf):
+    """The second component of a vector from the first, one line a concept, averaged every second step."""
+    from driftlake.operators import regression
+
+    rows = vector_samples(spark, sf).select("client", "t", "row_id", F.slice("x", 1, 1).alias("x"), F.element_at("x", 2).alias("y"), (F.col("row_id") % 2).alias("concept"))
+    return rounded(regression.prequential_regression(rows, 2, "concept"))
+
+
+@register("mixture_lines")
+def mixture_lines(spark, sf):
+    """Each label's vectors are a client whose target is one of three planted lines; the lines found."""
+    from driftlake.operators import regression
+
+    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    rows = table(spark, sf, "embeddings").select((F.col("label") * 100 + F.col("vec_id") % 7).alias("client"), x.alias("x"), (F.col("label") % 3).alias("kind"))
+    y = F.element_at("x", 1) * (F.col("kind") + 1) - F.element_at("x", 2) * F.col("kind") + F.col("kind")
+    return rounded(regression.mixture_of_regressions(rows.select("client", "x", y.alias("y")), "client", 3)[1].select("line", F.posexplode("coef").alias("i", "coef")))
