@@ -359,3 +359,15 @@ def mixture_lines(spark, sf):
     rows = table(spark, sf, "embeddings").select((F.col("label") * 100 + F.col("vec_id") % 7).alias("client"), x.alias("x"), (F.col("label") % 3).alias("kind"))
     y = F.element_at("x", 1) * (F.col("kind") + 1) - F.element_at("x", 2) * F.col("kind") + F.col("kind")
     return rounded(regression.mixture_of_regressions(rows.select("client", "x", y.alias("y")), "client", 3)[1].select("line", F.posexplode("coef").alias("i", "coef")))
+
+
+# ---------------------------------------------------------------- spectral clusters
+
+
+@register("spectral_groups")
+def spectral_groups(spark, sf):
+    """All vectors as two groups, whatever their number."""
+    from driftlake.operators import spectral
+
+    rows = doubles(spark, sf).select((F.col("vec_id") % 2).alias("g"), F.col("vec_id").alias("id"), "x")
+    return rounded(spectral.spectral_groups(rows, most=5, rounds=10))
