@@ -95,6 +95,12 @@ def average_but(params: DataFrame, private: str) -> DataFrame:
     return both.select("client", "name", "idx", F.coalesce("mean", "val").alias("val"))
 
 
+def all_switches(grid: DataFrame) -> DataFrame:
+    """(client, t, new, old) wherever a client's concept differs from that of its step before."""
+    before = F.lag("concept").over(Window.partitionBy("client").orderBy("t"))
+    return grid.select("client", "t", F.col("concept").alias("new"), before.alias("old")).where("new <> old")
+
+
 def switched_clients(now: DataFrame, before: DataFrame) -> DataFrame:
     both = now.select("client", F.col("concept").alias("new")).join(before.select("client", F.col("concept").alias("old")), "client")
     return both.where("new <> old")

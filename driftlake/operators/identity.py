@@ -177,15 +177,14 @@ def routing_consistency(soft: DataFrame) -> DataFrame:
 
     Sparse cells are compared without making them dense: |p - q| sums to
     sum(p) + sum(q) - 2 sum(min(p, q)), and only concepts in both steps have a minimum."""
-    mass = soft.groupBy("client", "t").agg(F.sum("p").alias("mass"))
+    # dealt out by client once; a step's cells are one row, its predecessor's are beside it
+    cells = soft.repartition("client").groupBy("client", "t").agg(F.sum("p").alias("mass"), F.collect_list(F.struct("concept", "p")).alias("cells"))
     w = Window.partitionBy("client").orderBy("t")
-    pairs = mass.select("client", "t", "mass", F.lag("t").over(w).alias("t0"), F.lag("mass").over(w).alias("mass0")).where("t0 is not null")
-    c = Window.partitionBy("client", "concept").orderBy("t")
-    common = soft.select("client", "t", F.lag("t").over(c).alias("t0"), F.least("p", F.lag("p").over(c)).alias("least")).where("t0 is not null")
-    common = common.groupBy("client", "t", "t0").agg(F.sum("least").alias("least"))
-    tv = (F.col("mass") + F.col("mass0") - 2 * F.coalesce("least", F.lit(0.0))) / 2
-    both = pairs.join(common, ["client", "t", "t0"], "left").select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tv)).alias("tv"))
-    return both.agg((1 - F.coalesce(F.avg("tv"), F.lit(0.0))).alias("routing_consistency"))
+    pairs = cells.select("mass", "cells", F.lag("mass").over(w).alias("mass0"), F.lag("cells").over(w).alias("cells0")).where("cells0 is not null")
+    was = lambda c: F.coalesce(F.get(F.filter("cells0", lambda o: o["concept"] == c["concept"]), F.lit(0))["p"], F.lit(0.0))
+    least = F.aggregate("cells", F.lit(0.0), lambda s, c: s + F.least(c["p"].cast("double"), was(c).cast("double")))
+    tv = (F.col("mass") + F.col("mass0") - 2 * least) / 2
+    return pairs.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tv)).alias("tv")).agg((1 - F.coalesce(F.avg("tv"), F.lit(0.0))).alias("routing_consistency"))
 
 
 def carry_forward(grid: DataFrame, every: int) -> DataFrame:
@@ -221,7 +220,10 @@ def running_accuracy(grid: DataFrame, fading: float = 1.0) -> DataFrame:
 def all_metrics(grid: DataFrame, total_bytes: float | None = None, identity_capable: bool = True) -> DataFrame:
     """All metrics of a run in one row; a method that infers no identities has null for those that need them."""
     from driftlake.operators import budget
+    from driftlake.sources.shared import stored
 
+    # every part reads the grid again; it is made once
+    grid = stored(grid.select("client", "t", "gt", "pred", "acc"), "metrics-grid")
     names = ("re_id", "assignment_entropy", "switch_rate", "clients_per_concept", "singleton_groups", "reuse_rate", "routing_consistency", "wrong_reuse")
     last = grid.agg(F.max("t").alias("last"))
     final = grid.join(F.broadcast(last), F.col("t") == F.col("last")).agg(F.avg("acc").alias("final_accuracy"))  # one row

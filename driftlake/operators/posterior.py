@@ -37,9 +37,11 @@ def decide(posterior: DataFrame, keys: list[str], novelty: float = 0.5) -> DataF
     return by.select(*keys, F.col("best.concept").alias("concept"), (-F.col("best.minus")).alias("p"), (-F.col("best.minus") < novelty).alias("is_novel"), "entropy")
 
 
-def top_candidates(posterior: DataFrame, keys: list[str], k: int) -> DataFrame:
+def top_candidates(posterior: DataFrame, keys: list[str], k: int, current: str | None = None) -> DataFrame:
+    """The k most probable concepts of each key and, if named, its current one, whatever its rank."""
     w = Window.partitionBy(*keys).orderBy(F.desc("p"), "concept")
-    return posterior.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    also = F.lit(False) if current is None else F.coalesce(F.col("concept") == F.col(current), F.lit(False))
+    return posterior.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) | also)
 
 
 def nearest_slot(items: DataFrame, slots: DataFrame, key: str, vector: str = "mean", slot_key: str = "slot", most_slots: int = 4096) -> DataFrame:

@@ -76,9 +76,12 @@ def win_conditions(sweep: DataFrame, axis: str, method: str, rivals: list[str] |
     return others.join(own, axis).where(F.abs(gap) > least).select(axis, F.col("method").alias("rival"), gap.alias("gap"))
 
 
-def pairs(sweep: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Values of two methods at the same keys. One aggregation instead of a self join."""
-    pick = lambda m: F.max_by(F.when(F.col("method") == m, F.col("value")), F.when(F.col("method") == m, F.col("value")))
+def pairs(sweep: DataFrame, a: str, b: str, keys: list[str], order: str = "value") -> DataFrame:
+    """Values of two methods at the same keys; of a method's several rows at one key the last by ``order`` counts.
+
+    One aggregation instead of a self join. Rows of a table have no order of their own, so without a
+    column that tells it the largest value counts."""
+    pick = lambda m: F.max_by(F.when(F.col("method") == m, F.col("value")), F.when(F.col("method") == m, F.col(order)))
     two = sweep.where(F.col("method").isin(a, b)).groupBy(*keys).agg(pick(a).alias("a"), pick(b).alias("b"))
     return two.where("a is not null and b is not null")
 
@@ -136,6 +139,13 @@ def advantage(sweep: DataFrame, a: str, b: str, row: str, column: str, digits: i
     return sweep.where(F.col("method").isin(a, b)).groupBy(*keys).agg((of(a) - of(b)).alias("advantage")).where("advantage is not null")
 
 
+def curve_summary(curves: DataFrame, status: str | None = None) -> DataFrame:
+    """(method, t, mean, std, n) over seeds of curves (method, seed, t, value[, status]); runs that aren't ok are left out."""
+    rows = curves if status is None else curves.where(F.lower(F.trim(F.col(status))).isin("ok", "success", "completed"))
+    by = rows.groupBy("method", "seed", "t").agg(F.avg("value").alias("value"))
+    return by.groupBy("method", "t").agg(F.avg("value").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("value")).alias("std"), F.count("*").alias("n"))
+
+
 def seed_summary(sweep: DataFrame) -> DataFrame:
     """Mean over seeds; a sample deviation only where there are several."""
     by = sweep.groupBy("method", "seed").agg(F.avg("value").alias("value"))

@@ -877,10 +877,10 @@ def evaluation_rows(spark, sf):
     return files.with_held_out(rows.where("row_id % 3 > 0"), rows.where("row_id % 3 = 0 and client % 2 = 0"))
 
 
-@register("switched_clients", f"WITH {GRID_SQL} SELECT a.client, a.pred AS new, b.pred AS old FROM grid a JOIN grid b ON a.client = b.client AND a.t = 1 AND b.t = 0 WHERE a.pred <> b.pred")
+@register("switched_clients", f"WITH {GRID_SQL} SELECT a.client, a.t, a.pred AS new, b.pred AS old FROM grid a JOIN grid b ON a.client = b.client AND a.t = b.t + 1 WHERE a.pred <> b.pred")
 def switched_clients(spark, sf):
-    grid = event_grid(spark, sf).withColumnRenamed("pred", "concept")
-    return federation.switched_clients(grid.where("t = 1"), grid.where("t = 0")).select("client", "new", "old")
+    """All switches of all clients; a client's steps have no gaps here."""
+    return federation.all_switches(event_grid(spark, sf).withColumnRenamed("pred", "concept"))
 
 
 @register(

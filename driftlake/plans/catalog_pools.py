@@ -371,3 +371,35 @@ def spectral_groups(spark, sf):
 
     rows = doubles(spark, sf).select((F.col("vec_id") % 2).alias("g"), F.col("vec_id").alias("id"), "x")
     return rounded(spectral.spectral_groups(rows, most=5, rounds=10))
+
+
+# ---------------------------------------------------------------- curves and candidates
+
+
+@register(
+    "seed_curves",
+    f"""WITH {GRID_SQL}, s AS (SELECT pred AS method, client % 3 AS seed, t, avg(acc) AS v FROM grid WHERE gt <> 4 GROUP BY 1, 2, 3)
+SELECT method, t, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n FROM s GROUP BY 1, 2""",
+)
+def seed_curves(spark, sf):
+    """Mean curves over seeds of the runs that are ok."""
+    from driftlake.operators import sweep
+
+    grid = event_grid(spark, sf)
+    rows = grid.select(F.col("pred").alias("method"), (F.col("client") % 3).alias("seed"), "t", F.col("acc").alias("value"), F.when(F.col("gt") == 4, "failed").otherwise(" OK ").alias("status"))
+    return rounded(sweep.curve_summary(rows, "status"))
+
+
+@register(
+    "candidates_with_current",
+    f"""WITH {GRID_SQL}, p AS (SELECT client, t, unnest(range(5)) AS concept, gt, pred FROM grid), q AS (SELECT client, t, concept, pred, ((client * 7 + t * 3 + concept * 11) % 13 + 1) / 20.0 AS p FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY client, t ORDER BY p DESC, concept) AS rank FROM q) SELECT client, t, concept, rank FROM r WHERE rank <= 2 OR concept = pred""",
+)
+def candidates_with_current(spark, sf):
+    """The two most probable concepts of each step and the one that is assigned."""
+    from driftlake.operators import posterior
+
+    concept = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("concept")
+    rows = event_grid(spark, sf).select("client", "t", "pred", concept)
+    rows = rows.withColumn("p", ((F.col("client") * 7 + F.col("t") * 3 + F.col("concept") * 11) % 13 + 1) / 20.0)
+    return rounded(posterior.top_candidates(rows, ["client", "t"], 2, "pred").select("client", "t", "concept", "rank"))
