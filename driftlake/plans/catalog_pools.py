@@ -403,3 +403,16 @@ def candidates_with_current(spark, sf):
     rows = event_grid(spark, sf).select("client", "t", "pred", concept)
     rows = rows.withColumn("p", ((F.col("client") * 7 + F.col("t") * 3 + F.col("concept") * 11) % 13 + 1) / 20.0)
     return rounded(posterior.top_candidates(rows, ["client", "t"], 2, "pred").select("client", "t", "concept", "rank"))
+
+
+# ---------------------------------------------------------------- the source by its name
+
+
+@register("source_cells", "SELECT s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS client, t, CAST(20 AS BIGINT) AS n, CAST(0 AS BIGINT) AS first, CAST(19 AS BIGINT) AS last FROM supplier, (SELECT unnest(range(4)) AS t)")
+def source_cells(spark, sf):
+    """A dataset of the format drift with a client for each supplier: its cells."""
+    from driftlake.sources import datasource
+
+    datasource.register(spark)
+    rows = spark.read.format("drift").option("clients", table(spark, sf, "supplier").count()).option("steps", 4).option("samples", 20).load()
+    return rows.groupBy("client", "t").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
