@@ -49,14 +49,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Removes all that was written to the shared folder so far; call it when results are stored elsewhere.
+def written() -> list[str]:
+    """The folders that are still there."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, keep: list[str] | None = None) -> int:
+    """Removes what was written to the shared folder so far, but the folders to ``keep``; call it when results are stored elsewhere.
 
     Returns the number of folders that were there."""
-    jvm, n = spark._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    jvm, n, kept = spark._jvm, 0, set(keep or [])
+    for name in [x for x in _WRITTEN if x not in kept]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        _WRITTEN.remove(name)
     return n
 
 

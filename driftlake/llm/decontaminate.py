@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlake.llm.common import LOWER, PLAIN_WORDS, buffers, fresh_name, gram_hashes, mix, slices, table, word_hashes, words
+from driftlake.llm.common import LOWER, PLAIN_WORDS, buffers, fresh_name, gram_hashes, materialize, mix, slices, table, word_hashes, words
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -154,13 +154,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     spark = docs.sparkSession
     name = fresh_name(docs, "contamination")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.LongType()))])
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(items, item_col, item_text_col, block_bytes)] or [spark.sparkContext.broadcast([])]
     at = docs.columns.index(text_col)
 
-    out = docs
+    out, shared = docs, None
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-    for i, block in enumerate(blocks):
-        out = out.mapInArrow(_pass(block, at, window, name, later=i > 0), schema)
+    for block in benchmark_blocks(items, item_col, item_text_col, block_bytes):
+        if shared is not None:
+            # a pass is written before the next block is shared, so that one block is held at a time
+            out = materialize(out, "decontamination-pass")
+            shared.destroy()
+        later, shared = shared is not None, spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(_pass(shared, at, window, name, later), schema)
+    if shared is None:
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast([]), at, window, name, False), schema)
     return out, name
 
 

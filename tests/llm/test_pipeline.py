@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from driftlake.llm import bpe, decontaminate, jaccard_join, language_id, registry
+from driftlake.llm import bpe, common, decontaminate, jaccard_join, language_id, registry
 
 
 def build(spark, tmp_path):
@@ -80,3 +80,10 @@ def test_last_stage_on_an_empty_table(spark, tmp_path):
 def test_registry():
     assert list(registry.QUERIES) == [*(f"op{n}_{x}" for n, x in enumerate("language_id substring_dedup jaccard_join line_dedup bpe html_text quality warc decontaminate topk collocations token_alignment sentencepiece".split(), 1)), "pipeline"]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_run_leaves_only_the_result(spark, sf_dir):
+    before = common.written()
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = [x for x in common.written() if x not in before]
+    assert len(left) == 1 and "pipeline-bpe" in left[0] and out.count() > 0
