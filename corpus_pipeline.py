@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.llm.bpe import encode
-from driftlake.llm.common import fresh_name, materialize, table, text_key
+from driftlake.llm.common import fresh_name, materialize, release, table, text_key, written
 from driftlake.llm.decontaminate import decontaminate
 from driftlake.llm.jaccard_join import jaccard_classes
 from driftlake.llm.language_id import UNKNOWN, held_out, identify, train
@@ -76,7 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what stages have written is removed as soon as the next one's rows are stored."""
+    docs, others = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, [*others, written()[-1]])
     return docs
