@@ -416,3 +416,13 @@ def source_cells(spark, sf):
     datasource.register(spark)
     rows = spark.read.format("drift").option("clients", table(spark, sf, "supplier").count()).option("steps", 4).option("samples", 20).load()
     return rows.groupBy("client", "t").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+
+
+@register("cached_moments", "WITH l AS (SELECT CAST(label AS BIGINT) AS label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT label, i, round(avg(v), 6) AS mean FROM l GROUP BY 1, 2")
+def cached_moments(spark, sf):
+    """Class means of vectors, from the cache in the shared folder once they are stored there."""
+    from driftlake.sources.cache import cached
+    from driftlake.sources.shared import shared_folder
+
+    long = doubles(spark, sf).select("label", F.posexplode("x").alias("i", "v"))
+    return rounded(cached(long.groupBy("label", "i").agg(F.avg("v").alias("mean")), f"{shared_folder(spark)}/results"))
