@@ -426,3 +426,14 @@ def cached_moments(spark, sf):
 
     long = doubles(spark, sf).select("label", F.posexplode("x").alias("i", "v"))
     return rounded(cached(long.groupBy("label", "i").agg(F.avg("v").alias("mean")), f"{shared_folder(spark)}/results"))
+
+
+@register(
+    "fitted_shrinkage",
+    SHRINKAGE_SQL
+    + """, e AS (SELECT s, n * 20 AS own, greatest(0.0, s - 0.5 / (n * 20)) AS b FROM spread), k AS (SELECT count(DISTINCT client) AS clients, count(DISTINCT concept) AS concepts, count(DISTINCT idx) AS dimensions FROM params)
+SELECT clients, concepts, dimensions, round(b, 6) AS between2, round(0.5 * dimensions / own / (0.5 * dimensions / own + b), 6) AS lam_iso, round(0.5 * 12 / own / (0.5 * 12 / own + b), 6) AS lam_aniso FROM e, k""",
+)
+def fitted_shrinkage(spark, sf):
+    """The estimator with noise 0.5, 20 samples a client and 12 effective dimensions."""
+    return rounded(shrinkage.fitted(shrinkage.concept_models(vector_params(spark, sf)), 0.5, 20, 12.0))

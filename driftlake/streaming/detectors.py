@@ -51,10 +51,12 @@ class Never(Detector):
 
 
 class Adwin(Detector):
-    """Cuts the window where two parts' means differ by more than chance allows at ``delta``."""
+    """Cuts the window where two parts' means differ by more than chance allows at ``delta`` (Bifet and Gavalda, 2007).
 
-    def __init__(self, delta: float = 0.002, per_row: int = 5, every: int = 32, least: int = 10):
-        super().__init__(delta=delta, per_row=per_row, every=every, least=least)
+    Every ``every``-th value the window is looked at, if it holds more than ``grace``; neither part may be shorter than ``least``."""
+
+    def __init__(self, delta: float = 0.002, per_row: int = 5, every: int = 32, least: int = 5, grace: int = 10):
+        super().__init__(delta=delta, per_row=per_row, every=every, least=least, grace=grace)
 
     def reset(self) -> None:
         # rows[i] holds (sum, variance sum) of buckets of 2**i values, oldest first
@@ -87,7 +89,7 @@ class Adwin(Detector):
                 self.rows.append(deque())
             size = 1 << i
             self.rows[i + 1].append((s1 + s2, v1 + v2 + (s1 - s2) ** 2 / (2 * size)))
-        if self.seen % self.settings["every"] or self.n < 2 * self.settings["least"]:
+        if self.seen % self.settings["every"] or self.n <= self.settings["grace"]:
             return False
         found = False
         while self._shrink():
@@ -96,8 +98,8 @@ class Adwin(Detector):
 
     def _shrink(self) -> bool:
         total, spread = self._total()
-        n = self.n
-        if n < 2 * self.settings["least"]:
+        n, least = self.n, self.settings["least"]
+        if n < 2 * least:
             return False
         variance = spread / n
         log = math.log(2 * math.log(n) / self.settings["delta"])
@@ -106,12 +108,12 @@ class Adwin(Detector):
             for bs, _ in self.rows[i]:
                 n0, s0 = n0 + (1 << i), s0 + bs
                 n1 = n - n0
-                if n1 < self.settings["least"]:
+                if n1 < least:
                     return False
-                if n0 < self.settings["least"]:
+                if n0 < least:
                     continue
-                m = 1 / (1 / n0 + 1 / n1)
-                limit = math.sqrt(2 / m * variance * log) + 2 / (3 * m) * log
+                part = 1 / (n0 - least + 1) + 1 / (n1 - least + 1)
+                limit = math.sqrt(2 * part * variance * log) + 2 / 3 * part * log
                 if abs(s0 / n0 - (total - s0) / n1) > limit:
                     oldest = max(j for j, row in enumerate(self.rows) if row)
                     self.rows[oldest].popleft()

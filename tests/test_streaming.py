@@ -17,6 +17,36 @@ def test_adwin():
     assert not any(noisy.update(v) for v in rng.random(3000))
 
 
+def plain_adwin(values, delta, every, least, grace):
+    """The window itself with every cut tried, buckets of one value: an upper bound on what buckets can find."""
+    window, fired = [], []
+    for i, v in enumerate(values):
+        window.append(v)
+        if (i + 1) % every or len(window) <= grace:
+            continue
+        cut = True
+        while cut and len(window) >= 2 * least:
+            n, cut = len(window), False
+            log = np.log(2 * np.log(n) / delta)
+            for k in range(least, n - least + 1):
+                part = 1 / (k - least + 1) + 1 / (n - k - least + 1)
+                if abs(np.mean(window[:k]) - np.mean(window[k:])) > np.sqrt(2 * part * np.var(window) * log) + 2 / 3 * part * log:
+                    window, cut = window[1:], True
+                    fired.append(i)
+                    break
+    return sorted(set(fired))
+
+
+def test_adwin_value_by_value():
+    """With rows of buckets so long that none is merged, ADWIN is the plain window."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 0.3, 90), rng.normal(1, 0.3, 60), rng.normal(-1, 0.3, 70)])
+    for least, grace, every in ((5, 10, 8), (3, 40, 16), (9, 1, 4)):
+        d = detectors.Adwin(delta=0.05, per_row=10_000, every=every, least=least, grace=grace)
+        fired = [i for i, v in enumerate(values) if d.update(v)]
+        assert fired == plain_adwin(values, 0.05, every, least, grace) and fired
+
+
 def test_reset_and_clone():
     d = detectors.Adwin(delta=0.01)
     d.update(1.0)
