@@ -526,7 +526,19 @@ def adwin(spark, sf):
     return detectors.detect(event_values(spark, sf), "adwin", delta=0.2)
 
 
-@register("page_hinkley_detections")
+#: The detector value by value: both cumulative deviations, restarted where one passes 20.
+PAGE_HINKLEY_SQL = VALUES_SQL.replace("WITH v", "WITH RECURSIVE v") + """, s AS (
+  SELECT DISTINCT client, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS down, CAST(0 AS DOUBLE) AS high, false AS fired FROM v
+  UNION ALL
+  SELECT client, seq, CASE WHEN f THEN 0 ELSE n1 END, CASE WHEN f THEN 0 ELSE m1 END, CASE WHEN f THEN 0 ELSE u1 END, CASE WHEN f THEN 0 ELSE l1 END, CASE WHEN f THEN 0 ELSE d1 END, CASE WHEN f THEN 0 ELSE h1 END, f
+  FROM (SELECT *, n1 >= 30 AND (u1 - l1 > 20 OR h1 - d1 > 20) AS f FROM (
+    SELECT *, least(low, u1) AS l1, greatest(high, d1) AS h1 FROM (
+      SELECT *, up + value - m1 - 0.005 AS u1, down + value - m1 + 0.005 AS d1 FROM (
+        SELECT s.client, v.seq, v.value, s.n + 1 AS n1, s.mean + (v.value - s.mean) / (s.n + 1) AS m1, s.up, s.low, s.down, s.high FROM s JOIN v ON v.client = s.client AND v.seq = s.seq + 1))))
+) SELECT client, seq FROM s WHERE fired"""
+
+
+@register("page_hinkley_detections", PAGE_HINKLEY_SQL)
 def page_hinkley(spark, sf):
     return detectors.detect(event_values(spark, sf), "page_hinkley", threshold=20.0)
 
@@ -662,7 +674,16 @@ def unit_vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("round"), F.col("vec_id").alias("client"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"), "label")
 
 
-@register("projected_signatures")
+#: The seeded matrix of the signatures, as SQL lists.
+MATRIX_SQL = "[" + ", ".join("[" + ", ".join(repr(x) for x in row) + "]" for row in routing.projection(64, 8, 7)) + "]"
+
+
+@register(
+    "projected_signatures",
+    f"""WITH v AS (SELECT vec_id AS client, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), m AS (SELECT CAST(unnest({MATRIX_SQL}) AS DOUBLE[]) AS r, unnest(range(8)) AS i),
+p AS (SELECT client, i, list_inner_product(x, r) AS p FROM v, m), n AS (SELECT client, sqrt(sum(p * p)) AS n FROM p GROUP BY 1)
+SELECT client, CAST(1 AS DOUBLE) AS norm, round(p / n, 6) + 0.0 AS first FROM p JOIN n USING (client) WHERE i = 0""",
+)
 def projected_signatures(spark, sf):
     matrix = routing.projection(64, 8, 7)
     s = unit_vectors(spark, sf).select("client", routing.signature("vector", matrix).alias("s"))
@@ -682,7 +703,13 @@ def routing_losses(spark, sf):
     return rounded(p.select("vec_id", routing.routing_loss({"cosine": (V.cosine("x", "y"), 0.7), "kernel": (kernel, 0.3)}).alias("loss")))
 
 
-@register("two_way_splits")
+@register(
+    "two_way_splits",
+    """WITH v AS (SELECT vec_id // 25 AS round, vec_id AS client, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+p AS (SELECT a.round, a.client AS a, b.client AS b, list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.round = b.round),
+f AS (SELECT round, a, b, s FROM p WHERE a < b QUALIFY row_number() OVER (PARTITION BY round ORDER BY s, a, b) = 1)
+SELECT v.round, v.client, CAST(coalesce(f.s < 1 AND j.s > i.s, false) AS BIGINT) AS cluster FROM v LEFT JOIN f ON f.round = v.round LEFT JOIN p i ON i.a = v.client AND i.b = f.a LEFT JOIN p j ON j.a = v.client AND j.b = f.b""",
+)
 def two_way_splits(spark, sf):
     return routing.two_way_split(unit_vectors(spark, sf), "round", "client")
 
