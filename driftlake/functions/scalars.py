@@ -89,6 +89,19 @@ def canonical_method(name: Column, aliases: dict[str, str], prefixes: tuple[str,
     return out
 
 
+def identity_valid(name: Column, capable: list[str], aliases: dict[str, str], prefixes: tuple[str, ...] = ()) -> Column:
+    """Whether a method, by its canonical name, infers concept identities, so that metrics of identity mean something."""
+    return F.coalesce(canonical_method(name, aliases, prefixes).isin(capable), F.lit(False))
+
+
+def deduped_methods(methods: DataFrame, name: str, order: str, aliases: dict[str, str], prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Of methods with one canonical name the first, but never an alias where the canonical name itself is asked for."""
+    named = methods.withColumn("_canonical", canonical_method(F.col(name), aliases, prefixes)).withColumn("_alias", (F.col("_canonical") != F.col(name)) & F.col(name).isin(list(aliases)))
+    w = Window.partitionBy("_canonical")
+    rows = named.withColumn("_asked", F.max((~F.col("_alias")).cast("int")).over(w)).where(~F.col("_alias") | (F.col("_asked") == 0))
+    return rows.withColumn("_nth", F.row_number().over(w.orderBy(order))).where("_nth = 1").drop("_nth", "_asked", "_alias", "_canonical")
+
+
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     """Ordered dedupe: of each key the row that comes first."""
     w = Window.partitionBy(key).orderBy(order)

@@ -22,6 +22,35 @@ def signature(vector: Column | str, matrix: list[list[float]]) -> Column:
     return V.l2_normalise(rows)
 
 
+def row_signatures(rows: Column | str, matrix: list[list[float]]) -> Column:
+    """Signatures of an array of vectors (a classifier's rows), one each."""
+    return F.transform(V.col(rows), lambda r: signature(r, matrix))
+
+
+def delta_signatures(now: Column | str, before: Column | str, matrix: list[list[float]]) -> Column:
+    """Signatures of what has changed between two classifiers' rows."""
+    gaps = F.zip_with(V.col(now), V.col(before), lambda a, b: F.zip_with(a, b, lambda x, y: x - y))
+    return row_signatures(gaps, matrix)
+
+
+def prototype_signatures(means: Column | str, counts: Column | str, matrix: list[list[float]]) -> Column:
+    """Signatures of class means, each with its share of all rows as a last component; classes without rows have mean 0."""
+    all_ = F.greatest(F.lit(1.0), V.total(F.transform(V.col(counts), lambda n: n.cast("double"))))
+    rows = F.zip_with(V.col(means), V.col(counts), lambda m, n: F.concat(m, F.array(n.cast("double") / all_)))
+    return row_signatures(rows, matrix)
+
+
+def hybrid_loss(fingerprint_loss: Column, parts: dict[str, tuple[Column, float]]) -> Column:
+    """The fingerprint's loss and 1 - similarity of the parts that are known (not null), by weight.
+
+    The fingerprint takes what weight the known parts leave of 1; where they leave none, its weight is 1."""
+    known = {k: (s, float(w)) for k, (s, w) in parts.items() if w > 0}
+    taken = sum((F.when(s.isNotNull(), F.lit(w)).otherwise(0.0) for s, w in known.values()), F.lit(0.0))
+    lost = sum((F.coalesce((1 - s) * w, F.lit(0.0)) for s, w in known.values()), F.lit(0.0))
+    own = F.when(taken < 1, 1 - taken).otherwise(1.0)
+    return (lost + own * fingerprint_loss) / (taken + own)
+
+
 def routing_loss(parts: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of 1 - similarity over the parts that are known (not null); 1 where none is."""
     weight = sum((F.when(s.isNotNull(), F.lit(float(w))).otherwise(0.0) for s, w in parts.values()), F.lit(0.0))

@@ -437,3 +437,77 @@ SELECT clients, concepts, dimensions, round(b, 6) AS between2, round(0.5 * dimen
 def fitted_shrinkage(spark, sf):
     """The estimator with noise 0.5, 20 samples a client and 12 effective dimensions."""
     return rounded(shrinkage.fitted(shrinkage.concept_models(vector_params(spark, sf)), 0.5, 20, 12.0))
+
+
+# ---------------------------------------------------------------- signatures and losses
+
+
+def _matrix_sql(d: int, out: int, seed: int) -> str:
+    from driftlake.operators import routing
+
+    return "CAST([" + ", ".join("[" + ", ".join(repr(x) for x in row) + "]" for row in routing.projection(d, out, seed)) + "] AS DOUBLE[][])"
+
+
+#: A vector's first 32 components are four rows of a classifier, its last 32 the rows before.
+SIGNATURES_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), r AS (SELECT vec_id, x, unnest(range(4)) AS row FROM v),
+n AS (SELECT vec_id, row, x[row * 8 + 1 : row * 8 + 8] AS now, x[row * 8 + 33 : row * 8 + 40] AS was FROM r), m AS (SELECT unnest({_matrix_sql(8, 3, 5)}) AS w, unnest(range(3)) AS j),
+p AS (SELECT vec_id, row, j, list_inner_product(now, w) AS own, list_inner_product(now, w) - list_inner_product(was, w) AS delta FROM n, m)
+SELECT vec_id, row, round(sum(own) FILTER (WHERE j = 0) / sqrt(sum(own * own)), 6) + 0.0 AS own, round(sum(delta) FILTER (WHERE j = 0) / sqrt(sum(delta * delta)), 6) + 0.0 AS delta FROM p GROUP BY 1, 2
+"""
+
+
+@register("classifier_signatures", SIGNATURES_SQL)
+def classifier_signatures(spark, sf):
+    """Signatures of classifiers' rows and of their changes: the first component of each."""
+    from driftlake.operators import routing
+
+    matrix = routing.projection(8, 3, 5)
+    rows = lambda lo: F.array(*[F.slice("x", lo + 8 * i, 8) for i in range(4)])
+    made = doubles(spark, sf).select("vec_id", F.posexplode(F.arrays_zip(routing.row_signatures(rows(1), matrix).alias("own"), routing.delta_signatures(rows(1), rows(33), matrix).alias("delta"))).alias("row", "s"))
+    return rounded(made.select("vec_id", "row", F.element_at("s.own", 1).alias("own"), F.element_at("s.delta", 1).alias("delta")))
+
+
+@register(
+    "batch_signatures",
+    f"""WITH {SAMPLES_SQL}, l AS (SELECT client, y, unnest(range(64)) AS i, unnest(x) AS v FROM samples), c AS (SELECT client, y, i, avg(v) AS m, count(*) AS n FROM l GROUP BY 1, 2, 3), t AS (SELECT client, count(*) AS n FROM samples GROUP BY 1),
+r AS (SELECT client, y, i, m FROM c UNION ALL SELECT DISTINCT c.client, y, 64, c.n / t.n FROM c JOIN t USING (client)), w AS (SELECT j, i, w[i + 1] AS w FROM (SELECT w, j, unnest(range(65)) AS i FROM (SELECT unnest({_matrix_sql(65, 3, 6)}) AS w, unnest(range(3)) AS j))),
+p AS (SELECT client, y, j, sum(m * w) AS p FROM r JOIN w USING (i) GROUP BY 1, 2, 3)
+SELECT client, y, round(sum(p) FILTER (WHERE j = 0) / sqrt(sum(p * p)), 6) + 0.0 AS first FROM p GROUP BY 1, 2""",
+)
+def batch_signatures(spark, sf):
+    """Signatures of clients' class means with the classes' shares."""
+    from driftlake.operators import fingerprint, routing
+
+    by = fingerprint.prototypes(vector_samples(spark, sf), ["client"]).groupBy("client").agg(F.array_sort(F.collect_list(F.struct("y", "mean", "n"))).alias("c"))
+    made = routing.prototype_signatures(F.transform("c", lambda c: c["mean"]), F.transform("c", lambda c: c["n"]), routing.projection(65, 3, 6))
+    return rounded(by.select("client", F.explode(F.arrays_zip(F.transform("c", lambda c: c["y"]).alias("y"), made.alias("s"))).alias("z")).select("client", F.col("z.y").alias("y"), F.element_at("z.s", 1).alias("first")))
+
+
+@register(
+    "hybrid_losses",
+    """WITH p AS (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS l, l_quantity / 50.0 AS f, CASE WHEN l_linestatus = 'O' THEN l_discount * 10 END AS a, CASE WHEN l_returnflag <> 'N' THEN l_tax * 10 END AS b FROM lineitem),
+w AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE 0.6 END + CASE WHEN b IS NULL THEN 0 ELSE 0.4 END AS t FROM p)
+SELECT o, l, round((coalesce((1 - a) * 0.6, 0) + coalesce((1 - b) * 0.4, 0) + CASE WHEN t < 1 THEN 1 - t ELSE 1 END * f) / (t + CASE WHEN t < 1 THEN 1 - t ELSE 1 END), 6) AS loss FROM w""",
+)
+def hybrid_losses(spark, sf):
+    """A fingerprint's loss mixed with the similarities that are known."""
+    from driftlake.operators import routing
+
+    rows = table(spark, sf, "lineitem")
+    parts = {"signature": (F.when(F.col("l_linestatus") == "O", F.col("l_discount") * 10), 0.6), "update": (F.when(F.col("l_returnflag") != "N", F.col("l_tax") * 10), 0.4), "unused": (F.lit(None).cast("double"), 0.0)}
+    return rounded(rows.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), routing.hybrid_loss(F.col("l_quantity") / 50.0, parts).alias("loss")))
+
+
+@register(
+    "identity_validity",
+    """WITH m AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'FeSEM' WHEN 1 THEN 'IFCA' WHEN 2 THEN 'FedAvg' WHEN 3 THEN 'Own-' || o_orderpriority ELSE 'Other' END AS method FROM orders)
+SELECT method, count(*) AS n, method IN ('FeSEM', 'IFCA') OR method LIKE 'Own-%' AS valid FROM m GROUP BY 1""",
+)
+def identity_validity(spark, sf):
+    from driftlake.functions import scalars
+
+    k = F.col("o_orderkey") % 5
+    name = F.when(k == 0, "FeSEM").when(k == 1, "IFCA").when(k == 2, "FedAvg").when(k == 3, F.concat(F.lit("Own-"), "o_orderpriority")).otherwise("Other")
+    rows = table(spark, sf, "orders").select(name.alias("method")).groupBy("method").agg(F.count("*").alias("n"))
+    return rows.select("method", "n", scalars.identity_valid(F.col("method"), ["IFCA", "Own"], {"FeSEM": "IFCA"}, ("Own",)).alias("valid"))

@@ -239,3 +239,16 @@ def test_transport_as_the_dense_solver(spark):
     want = solvers.sinkhorn(cost, a, b, reg=0.2, rounds=2000)
     assert plan == pytest.approx({(i, j): want[i, j] for i in range(4) for j in range(6)}, abs=1e-5)
     assert transport.transport_costs(table, ["key"], 0.2, 40).first().cost == pytest.approx((want * cost).sum(), abs=1e-4)
+
+
+# ---------------------------------------------------------------- methods and losses
+
+
+def test_deduped_methods(spark):
+    from driftlake.functions import scalars
+
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(["FeSEM", "FedAvg", "IFCA", "Own-a", "Own-b", "FedAvg"])], "at long, method string")
+    got = [r.method for r in scalars.deduped_methods(rows, "method", "at", {"FeSEM": "IFCA"}, ("Own",)).orderBy("at").collect()]
+    assert got == ["FedAvg", "IFCA", "Own-a"]
+    alone = scalars.deduped_methods(rows.where("method <> 'IFCA'"), "method", "at", {"FeSEM": "IFCA"}, ("Own",))
+    assert [r.method for r in alone.orderBy("at").collect()] == ["FeSEM", "FedAvg", "Own-a"]
