@@ -6,6 +6,7 @@ batch is never gathered in a task; dense vectors are assembled at the end."""
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,11 +137,30 @@ def key_vector(prints: DataFrame, classes: int) -> DataFrame:
     return prints.withColumn("key", F.concat("mean", "labels", means))
 
 
+def faded_sums(rows: DataFrame, keys: list[str], nth: str, value: Column, decay: float, name: str) -> DataFrame:
+    """Adds ``name``: each row's value and, times ``decay``, that of the row before; ``nth`` numbers a key's rows from 1.
+
+    A running sum of value / decay^k, times decay^k, in blocks in which the powers stay in range; of
+    the blocks before, one row each is kept and fades on as a whole."""
+    if not 0 < decay < 1:
+        raise ValueError("decay must lie between 0 and 1")
+    size = max(1, min(1024, int(-200 / math.log10(decay))))
+    power = lambda c: F.pow(F.lit(decay), c)
+    rows = rows.withColumn("_block", F.floor((F.col(nth) - 1) / size)).withColumn("_k", (F.col(nth) - 1) % size)
+    inside = Window.partitionBy(*keys, "_block").orderBy(nth).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(value / power(F.col("_k"))).over(inside) * power(F.col("_k")))
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_own", nth).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.aggregate(F.collect_list("_end").over(earlier), F.lit(0.0), lambda a, v: a * decay**size + v)
+    rows = rows.join(ends.select(*keys, "_block", carried.alias("_before")), [*keys, "_block"])
+    return rows.withColumn(name, F.col("_own") + F.col("_before") * power(F.col("_k") + 1)).drop("_block", "_k", "_own", "_before")
+
+
 def retrieval_keys(prints: DataFrame, classes: int, decay: float = 0.0, order: str = "t", by: str = "client") -> DataFrame:
     """(by, order, style, semantic, prototype): a client's keys, each faded into the one before by ``decay``.
 
     The faded mean of a history is a weighted sum over it: decay^0 (1 - decay) of the latest, and so
-    on, with decay^(n - 1) of the first; it is a fold of a client's fingerprints in their order."""
+    on, with decay^(n - 1) of the first; it is made in blocks of a client's history."""
     zeros = F.transform("mean", lambda _: F.lit(0.0))
     means = F.flatten(F.array(*[F.coalesce(F.try_element_at("class_mean", F.lit(c).cast("long")), zeros) for c in range(classes)]))
     rows = prints.select(by, order, F.concat("mean", "labels", means).alias("v"), F.size("mean").alias("d"))
@@ -148,8 +168,7 @@ def retrieval_keys(prints: DataFrame, classes: int, decay: float = 0.0, order: s
     rows = rows.withColumn("nth", F.row_number().over(w)).select(by, order, "d", "nth", F.posexplode("v").alias("i", "x"))
     if decay:
         step = F.when(F.col("nth") == 1, F.col("x")).otherwise((1 - decay) * F.col("x"))
-        seen = F.collect_list(step).over(Window.partitionBy(by, "i").orderBy(order))
-        rows = rows.withColumn("x", F.aggregate(seen, F.lit(0.0), lambda a, v: a * decay + v))
+        rows = faded_sums(rows, [by, "i"], "nth", step, decay, "_faded").withColumn("x", F.col("_faded")).drop("_faded")
     back = rows.groupBy(by, order, "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     part = lambda lo, n: F.slice("v", lo, n)
     d, k = F.col("d"), F.lit(classes)

@@ -252,3 +252,20 @@ def test_deduped_methods(spark):
     assert got == ["FedAvg", "IFCA", "Own-a"]
     alone = scalars.deduped_methods(rows.where("method <> 'IFCA'"), "method", "at", {"FeSEM": "IFCA"}, ("Own",))
     assert [r.method for r in alone.orderBy("at").collect()] == ["FeSEM", "FedAvg", "Own-a"]
+
+
+def test_faded_sums_over_several_blocks(spark):
+    from driftlake.operators import fingerprint
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2, 2500))
+    rows = spark.createDataFrame([(c, i + 1, float(x[c, i])) for c in range(2) for i in range(2500 if c else 40)], "c long, nth long, x double")
+    for decay in (0.6, 0.999, 1e-3):
+        got = {(r.c, r.nth): r.y for r in fingerprint.faded_sums(rows, ["c"], "nth", F.col("x"), decay, "y").collect()}
+        for c, n in ((0, 40), (1, 2500)):
+            y = 0.0
+            for i in range(n):
+                y = y * decay + x[c, i]
+                assert got[c, i + 1] == pytest.approx(y, abs=1e-9)
+    with pytest.raises(ValueError):
+        fingerprint.faded_sums(rows, ["c"], "nth", F.col("x"), 1.0, "y")
