@@ -511,3 +511,36 @@ def identity_validity(spark, sf):
     name = F.when(k == 0, "FeSEM").when(k == 1, "IFCA").when(k == 2, "FedAvg").when(k == 3, F.concat(F.lit("Own-"), "o_orderpriority")).otherwise("Other")
     rows = table(spark, sf, "orders").select(name.alias("method")).groupBy("method").agg(F.count("*").alias("n"))
     return rows.select("method", "n", scalars.identity_valid(F.col("method"), ["IFCA", "Own"], {"FeSEM": "IFCA"}, ("Own",)).alias("valid"))
+
+
+# ---------------------------------------------------------------- draws from shares
+
+#: Nations are clients with four steps; their customers' shares of ten labels are drawn from vectors of these labels.
+SHARES_SQL = f"""
+WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS client, c_custkey % 10 AS label, count(*) AS n FROM customer GROUP BY 1, 2), p AS (SELECT client, label, n / sum(n) OVER (PARTITION BY client) * 20 AS e FROM c),
+r AS (SELECT client, label, CAST(floor(e) AS BIGINT) AS f, 20 - sum(CAST(floor(e) AS BIGINT)) OVER (PARTITION BY client) AS rest, row_number() OVER (PARTITION BY client ORDER BY e - floor(e) DESC, label) AS nth FROM p),
+counts AS (SELECT client, label, CAST(f + CASE WHEN nth <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM r),
+wanted AS (SELECT client, t, label, n FROM counts, (SELECT unnest(range(4)) AS t) WHERE n > 0),
+serves AS (SELECT label, max(n) AS most, size // max(n) AS slots, CAST(ceil(count(*) / (size // max(n))) AS BIGINT) AS epochs FROM wanted JOIN (SELECT CAST(label AS BIGINT) AS label, count(*) AS size FROM embeddings GROUP BY 1) USING (label) GROUP BY label, size),
+cells AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {unit_sql("'42|' || client || '|' || t")}, client, t) - 1 AS nth FROM wanted),
+places AS (SELECT client, t, label, nth // slots AS epoch, nth % slots * most + unnest(range(n)) AS nth FROM cells JOIN serves USING (label)),
+ordered AS (SELECT label, epoch, row_id, row_number() OVER (PARTITION BY label, epoch ORDER BY {unit_sql("'42|' || epoch || '|' || row_id")}, row_id) - 1 AS nth
+  FROM (SELECT CAST(e.label AS BIGINT) AS label, vec_id AS row_id, unnest(range(epochs)) AS epoch FROM embeddings e JOIN serves s ON s.label = e.label))
+SELECT client, t, label, row_id FROM places JOIN ordered USING (label, epoch, nth)
+"""
+
+
+@register("share_draws", SHARES_SQL)
+def share_draws(spark, sf):
+    """Twenty rows a cell by the client's own shares of labels."""
+    from pyspark.sql import Window
+
+    from driftlake.sources import generators
+
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("client"), (F.col("c_custkey") % 10).alias("label")).agg(F.count("*").alias("c"))
+    shares = c.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("client")))
+    counts = generators.largest_remainder(shares, ["client"], "share", 20, "label").select("client", "label", "n")
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("t")
+    grid = counts.select("client").distinct().select("client", steps, F.lit(0).cast("long").alias("concept"))
+    pool = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("label"))
+    return pools.pool_recurrence(pool, grid, counts).select("client", "t", "label", "row_id")

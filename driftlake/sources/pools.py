@@ -38,10 +38,14 @@ def class_counts(concepts: DataFrame, n: int) -> DataFrame:
 
 
 def pool_recurrence(pool: DataFrame, grid: DataFrame, counts: DataFrame, seed: int = 42, weight: str | None = None) -> DataFrame:
-    """(client, t, concept, label, row_id) for a grid (client, t, concept) and counts (concept, label, n).
+    """(client, t, concept, label, row_id) for a grid (client, t, concept) and counts (label, n and any of client, t, concept).
 
-    Rows with n = 0 draw nothing; a class with fewer rows than a cell wants is an error."""
-    wanted = grid.join(counts.where("n > 0"), "concept")
+    Counts of concepts make balanced draws; counts of clients or cells, as ``generators.largest_remainder``
+    makes them of Dirichlet shares, make draws from these shares. Rows with n = 0 draw nothing; a class with fewer rows than a cell wants is an error."""
+    keys = [c for c in ("client", "t", "concept") if c in counts.columns]
+    if not keys:
+        raise ValueError("counts need a client, t or concept")
+    wanted = grid.join(counts.where("n > 0").select(*keys, "label", "n"), keys)
     pool = pool if weight is None else pool.where(F.col(weight) > 0)
     sizes = pool.groupBy("label").agg(F.count("*").alias("rows"))
     # how many cells one epoch of a class serves

@@ -44,6 +44,16 @@ def test_pool_too_small_and_empty(spark):
     assert pools.pool_recurrence(pool, grid, counts.withColumn("n", F.lit(0).cast("long"))).count() == 0
 
 
+def test_counts_of_clients_and_cells(spark):
+    pool = spark.createDataFrame([(i, i % 2) for i in range(40)], "row_id long, label long")
+    counts = spark.createDataFrame([(0, 0, 7), (0, 1, 1), (1, 1, 8)], "client long, label long, n long")
+    drawn = pools.pool_recurrence(pool, cells_of(spark, clients=2, steps=3), counts)
+    got = {(r.client, r.t, r.label): r["count"] for r in drawn.groupBy("client", "t", "label").count().collect()}
+    assert got == {(c, t, y): n for t in range(3) for c, y, n in ((0, 0, 7), (0, 1, 1), (1, 1, 8))}
+    with pytest.raises(ValueError, match="counts need"):
+        pools.pool_recurrence(pool, cells_of(spark), counts.drop("client"))
+
+
 def test_weighted_draw_prefers_heavy_rows(spark):
     pool = spark.createDataFrame([(i, 0, 9.0 if i < 10 else 1.0 if i < 90 else 0.0) for i in range(100)], "row_id long, label long, w double")
     grid = spark.createDataFrame([(k, 0, 0) for k in range(200)], "client long, t long, concept long")
