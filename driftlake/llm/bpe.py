@@ -46,7 +46,7 @@ ROLL = 16
 MARK = " "
 CHUNK_BITS = 9
 #: Bytes that the stores of a worker process hold.
-WORD_BYTES, CHUNK_BYTES = 120 << 20, 24 << 20
+WORD_BYTES, CHUNK_BYTES = 72 << 20, 12 << 20
 _ROLL_BASE = 0xA0761D6478BD642F
 _ROLL_INV = pow(_ROLL_BASE, -1, 1 << 64)
 _SAFE = re.compile(r" (?=\S)")
