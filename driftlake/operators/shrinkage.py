@@ -86,19 +86,20 @@ def coefficients(models: DataFrame, d_eff: DataFrame | float, least_concepts: in
     return own.crossJoin(F.broadcast(one)).select("concept", "clients", "sigma2", "between2", "d_eff", lam.alias("lam"))
 
 
-def fitted(models: DataFrame, sigma2: float, n: int, r_eff: float | None = None) -> DataFrame:
+def fitted(params: DataFrame, sigma2: float, n: int, r_eff: float | None = None) -> DataFrame:
     """One row (clients, concepts, dimensions, between2, lam_iso, lam_aniso): the estimator with known noise.
 
-    Each of the clients has ``n`` samples, so a concept's model rests on n * clients / concepts;
-    ``lam_iso`` takes all dimensions for the effective ones, ``lam_aniso`` ``r_eff`` of them."""
-    one = variances(models).crossJoin(models.agg(F.countDistinct("idx").alias("dimensions")))
+    Each of the clients has ``n`` samples, so a concept's model rests on n times the mean number of
+    its clients; ``lam_iso`` takes all dimensions for the effective ones, ``lam_aniso`` ``r_eff`` of them."""
+    models = concept_models(params)
+    one = variances(models).crossJoin(params.agg(F.countDistinct("client").alias("clients"), F.countDistinct("idx").alias("dimensions")))
     own = F.col("clients_mean") * n  # samples of a concept
     by = models.groupBy("idx").agg((F.var_pop("val") * F.count("*")).alias("apart"), F.count("*").alias("c")).agg(F.try_divide(F.sum("apart"), (F.max("c") - 1) * F.count("*")).alias("apart"))
     between2 = F.when(F.col("concepts") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("apart") - sigma2 / own))
     lam = lambda d: F.when(sigma2 * d / own + F.col("between2") > 0, F.least(F.lit(1.0), sigma2 * d / own / (sigma2 * d / own + F.col("between2")))).otherwise(0.5)
     rows = one.drop("between2").crossJoin(by).withColumn("between2", between2)
     aniso = F.col("dimensions") if r_eff is None else F.lit(float(r_eff))
-    return rows.select((F.col("clients_mean") * F.col("concepts")).cast("long").alias("clients"), "concepts", "dimensions", "between2", lam(F.col("dimensions")).alias("lam_iso"), lam(aniso).alias("lam_aniso"))
+    return rows.select("clients", "concepts", "dimensions", "between2", lam(F.col("dimensions")).alias("lam_iso"), lam(aniso).alias("lam_aniso"))
 
 
 def shrunken_models(params: DataFrame, models: DataFrame, lam: DataFrame) -> DataFrame:

@@ -436,7 +436,7 @@ SELECT clients, concepts, dimensions, round(b, 6) AS between2, round(0.5 * dimen
 )
 def fitted_shrinkage(spark, sf):
     """The estimator with noise 0.5, 20 samples a client and 12 effective dimensions."""
-    return rounded(shrinkage.fitted(shrinkage.concept_models(vector_params(spark, sf)), 0.5, 20, 12.0))
+    return rounded(shrinkage.fitted(vector_params(spark, sf), 0.5, 20, 12.0))
 
 
 # ---------------------------------------------------------------- signatures and losses

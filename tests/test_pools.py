@@ -279,3 +279,13 @@ def test_faded_sums_over_several_blocks(spark):
                 assert got[c, i + 1] == pytest.approx(y, abs=1e-9)
     with pytest.raises(ValueError):
         fingerprint.faded_sums(rows, ["c"], "nth", F.col("x"), 1.0, "y")
+
+
+def test_fitted_shrinkage_counts_clients(spark):
+    """Seven clients of five concepts: the mean number times the concepts is just under seven; clients of two concepts count once."""
+    rows = [(c, c % 5, 1.0, i, float((c * 7 + i * 3) % 11)) for c in range(7) for i in range(3)]
+    schema = "client long, concept long, weight double, idx long, val double"
+    one = shrinkage.fitted(spark.createDataFrame(rows, schema), 0.5, 20, 2.0).first()
+    assert (one.clients, one.concepts, one.dimensions) == (7, 5, 3)
+    again = [(0, 1, 1.0, i, 2.0) for i in range(3)]
+    assert shrinkage.fitted(spark.createDataFrame(rows + again, schema), 0.5, 20, 2.0).first().clients == 7
