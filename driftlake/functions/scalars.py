@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +52,32 @@ def crossover_snr(clients: Column, n: Column, concepts: Column, delta: Column, s
     return F.when((sigma == 0) | (d == 0), F.lit(math.nan)).otherwise(clients * F.floor(n / 2) * between / (sigma * sigma * d))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, as C's printf gives it: its exact binary value rounded, halves to the even digit.
+
+    Java's formatter rounds the shortest decimal form and takes halves up: 106.5 has no decimals as 107."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(f"%.{digits}f".__mod__)
+
+    return F.when(value.isNotNull(), run(value.cast("double")))
+
+
 def shown(value: Column, digits: int = 3) -> Column:
-    return F.when(value.isNull() | F.isnan(value), F.lit("--")).otherwise(F.format_string(f"%.{digits}f", value))
+    return F.when(value.isNull() | F.isnan(value), F.lit("--")).otherwise(fixed(value, digits))
 
 
 def shown_pm(mean: Column, std: Column, digits: int = 3) -> Column:
     return F.when(mean.isNull() | F.isnan(mean), F.lit("--")).otherwise(F.concat(shown(mean, digits), F.lit("±"), shown(F.coalesce(std, F.lit(0.0)), digits)))
 
 
-def shown_bytes(n: Column) -> Column:
-    return F.when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(F.format_string("%.0f", n))
+def shown_bytes(n: Column, units: dict[str, float] | None = None) -> Column:
+    """A size in the largest of the units (M and K by default) that it reaches."""
+    out = fixed(n, 0)
+    for unit, least in sorted((units or {"M": 1e6, "K": 1e3}).items(), key=lambda u: u[1]):
+        out = F.when(n >= least, F.concat(fixed(n / least, 1), F.lit(unit))).otherwise(out)
+    return out
 
 
 def or_nan(value: Column) -> Column:
