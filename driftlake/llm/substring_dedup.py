@@ -9,19 +9,19 @@ also starts in a document with a smaller id.
 2. Recurring phrases. Anchors are counted by hash, with partial aggregation; a
    phrase recurs if it is an anchor in two documents at least. With it go the smallest
    document that holds it and whether all its pieces are the same.
-3. Automata. The recurring phrases of the whole corpus are dealt out in shards of at
-   most about ``SHARD`` phrases; each is compiled once, by a task of its own, into an
+3. Automata. The recurring phrases of the whole corpus are dealt out by hash in shards of
+   about ``SHARD`` phrases; each is compiled once, by a task of its own, into an
    Aho-Corasick automaton over two symbols a word, with all phrases that share a string
-   there, and kept in the shared folder. All
-   documents are streamed through every shard, which locates every occurrence; an
-   occurrence that is a piece's anchor tells that the piece may recur. The passes over
-   the words therefore grow with the number of recurring phrases over ``SHARD``.
+   there, and kept in the shared folder. Only an occurrence that is a piece's anchor tells
+   that the piece may recur, and an anchor's hash names the one shard that may hold it. So
+   of all documents the anchors' words are dealt to the shards and streamed through, each
+   once however many shards there are; the tasks of one shard share its anchors evenly.
 4. Confirmed passages. Of pieces that are the same, word for word, all go but the
    first document's. Around occurrences in differing surroundings, each window is
    confirmed by its own hash, reduced with partial aggregation to the smallest id.
 5. Ranges of windows to remove are gathered by document and applied to its words.
 
-Only hashes and positions are shuffled, besides two shuffles of the texts by id;
+Only hashes, positions and the anchors' symbols are shuffled, besides two shuffles of the texts by id;
 hot phrases, windows and copies are one row for each map task after partial
 aggregation, and the joins that follow can be split by AQE. Windows are told
 apart by 128 bits (the anchor's hash and the window's); phrases that look alike to an
@@ -53,7 +53,7 @@ from driftlake.llm.common import _GRAM_INV, SPACE_WORDS, buffers, fresh_name, fr
 WINDOW = 50
 PHRASE = 8
 PACK = 1 << 20
-#: Phrases of one automaton, and words that are streamed through a shard at once.
+#: Phrases of one automaton, and words that are streamed through a shard at once at most.
 SHARD = 200_000
 BUFFER_WORDS = 8_000_000
 
@@ -103,9 +103,16 @@ def _pack(start, count):
     return start * PACK + count
 
 
+def phrases(p: Pieces, window: int, use: np.ndarray | slice = slice(None)) -> pa.Array:
+    """The anchors of pieces in symbols."""
+    wide = 2 * min(PHRASE, window)
+    at = 2 * (p.anchor + p.first[p.text])[use]
+    symbols = np.frombuffer(p.stream, np.uint8)[at[:, None] + np.arange(wide)]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * wide).astype(np.int32)), pa.py_buffer(symbols.tobytes())])
+
+
 def phrase_rows(ids: DataFrame, window: int) -> DataFrame:
     """(doc, fp, ph, phrase) of each piece, for rows (doc, th, text); ``phrase`` is the anchor in symbols."""
-    wide = 2 * min(PHRASE, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +120,7 @@ def phrase_rows(ids: DataFrame, window: int) -> DataFrame:
             data, offsets = buffers(batch.column(2))
             for lo, hi in slices(offsets):
                 p = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window)
-                at = (2 * (p.anchor + p.first[p.text])).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(doc[p.text + lo]), pa.array(p.fp), pa.array(p.ph), pa.array([p.stream[i : i + wide] for i in at], pa.binary())], ["doc", "fp", "ph", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p.text + lo]), pa.array(p.fp), pa.array(p.ph), phrases(p, window)], ["doc", "fp", "ph", "phrase"])
 
     return ids.mapInArrow(run, "doc long, fp long, ph long, phrase binary")
 
@@ -170,7 +176,9 @@ class Shard:
 
 
 def compile_shards(known: DataFrame, most: int) -> list[str]:
-    """Compiles the phrases of rows (fp, lo, same, phrase); returns the paths of the shards."""
+    """Compiles the phrases of rows (fp, lo, same, phrase); returns the paths of the shards.
+
+    Of n shards, number i has the phrases whose hash is i modulo n; the file names tell i and n."""
     spark = known.sparkSession
     folder = fresh_path(spark, "phrase-automata")
 
@@ -182,53 +190,68 @@ def compile_shards(known: DataFrame, most: int) -> list[str]:
             fp, lo, same = (table_.column(i).to_numpy() for i in range(3))
             system, at = open_uri(folder)
             system.create_dir(at, recursive=True)
-            name = f"{uuid.uuid4().hex}.automaton"  # a task that is run again writes under a new name
+            name = f"{fp[0] % parts}-{parts}-{uuid.uuid4().hex}.automaton"  # a task that is run again writes under a new name
             with system.open_output_stream(f"{at}/{name}", compression=None) as f:
                 f.write(pickle.dumps(Shard(table_.column(3).to_pylist(), fp, lo, same)))
             paths.append(f"{folder}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-    n = known.count()
-    dealt = known.select("fp", "lo", "same", "phrase").repartition(max(1, -(-n // most)))
+    parts = max(1, -(-known.count() // most))
+    dealt = known.select("fp", "lo", "same", "phrase").repartitionById(parts, F.pmod("fp", F.lit(parts)).cast("int"))
     return sorted(r.path for r in materialize(dealt.mapInArrow(run, "path string"), "phrase-shards").collect())
 
 
+def streamed(batches: Iterator[pa.RecordBatch], shards: dict[int, str], parts: int, most_words: int) -> Iterator[pa.RecordBatch]:
+    """Streams anchors, rows (doc, th, fp, ph, at, phrase), through their shards: those that are located."""
+    for batch in batches:
+        of_shard = batch.column(2).to_numpy() % parts
+        # a task has one shard's rows; it is read once for all of them
+        for number in np.unique(of_shard).tolist():
+            shard = Shard.load(shards[number])
+            own = batch.filter(pa.array(of_shard == number))
+            k = shard.wide // 2
+            step = max(1, most_words // k)
+            for lo in range(0, own.num_rows, step):
+                rows = own.slice(lo, step)
+                word, phrase = shard.locate(buffers(rows.column(5))[0].tobytes())
+                # a phrase ends at one word at most, as all are of one length; one that lies across two anchors is none
+                first = np.full(rows.num_rows, -1, np.int64)
+                whole = word % k == 0
+                first[word[whole] // k] = phrase[whole]
+                doc, th, fp, ph, at = (rows.column(i).to_numpy() for i in range(5))
+                use = np.flatnonzero(first >= 0)
+                named = shard.named(first[use], fp[use])
+                right = (named >= 0) & (~shard.same[named] | (doc[use] > shard.lo[named]))
+                use, named = use[right], named[right]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[use], th[use], fp[use], ph[use], at[use], shard.same[named])], ["doc", "th", "fp", "ph", "at", "same"])
+
+
 def located_pieces(ids: DataFrame, shards: list[str], window: int, most_words: int) -> DataFrame:
     """(doc, th, fp, ph, at, same): pieces whose anchor a shard locates, but those that are surely the first of their kind.
 
     ``at`` packs a piece's first word and its number of windows."""
-
-    def stream(held: list[tuple[np.ndarray, np.ndarray, Pieces]]) -> Iterator[pa.RecordBatch]:
-        for path in shards:
-            shard = Shard.load(path)
-            for doc, th, p in held:
-                word, phrase = shard.locate(p.stream)
-                # a phrase ends at one word at most, as all are of one length
-                of = np.full(len(p.stream) // 2, -1, np.int64)
-                of[word] = phrase
-                first = of[p.anchor + p.first[p.text]]
-                use = np.flatnonzero(first >= 0)
-                number = shard.named(first[use], p.fp[use])
-                right = (number >= 0) & (~shard.same[number] | (doc[p.text[use]] > shard.lo[number]))
-                use, number = use[right], number[right]
-                text = p.text[use]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text], th[text], p.fp[use], p.ph[use], _pack(p.start[use], p.count[use]), shard.same[number])], ["doc", "th", "fp", "ph", "at", "same"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    spark, kind = ids.sparkSession, "doc long, th long, fp long, ph long, at long, same boolean"
+    if not shards:
+        return spark.createDataFrame([], kind)
+    numbers = [[int(x) for x in path.rpartition("/")[2].split("-")[:2]] for path in shards]
+    parts, paths = numbers[0][1], {number: path for (number, _), path in zip(numbers, shards, strict=True)}
+    # tasks of one shard stand side by side, so a worker that goes on to the next often has it
+    tasks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.isin(np.arange(parts), list(paths))
         for batch in batches:
             doc, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = buffers(batch.column(2))
             for lo, hi in slices(offsets):
                 p = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window)
-                held.append((doc[lo:hi], th[lo:hi], p))
-                n += len(p.stream) // 2
-                if n > most_words or len(shards) == 1:
-                    yield from stream(held)
-                    held, n = [], 0
-        yield from stream(held)
-
-    return ids.mapInArrow(run, "doc long, th long, fp long, ph long, at long, same boolean")
+                use = np.flatnonzero(held[p.fp % parts])
+                text, fp = p.text[use] + lo, p.fp[use]
+                task = fp % parts * tasks + (mix(doc[text].astype(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[text], th[text], fp, p.ph[use], _pack(p.start[use], p.count[use]))), phrases(p, window, use), pa.array(task.astype(np.int32))], ["doc", "th", "fp", "ph", "at", "phrase", "task"])
+
+    dealt = ids.mapInArrow(deal, "doc long, th long, fp long, ph long, at long, phrase binary, task int").repartitionById(parts * tasks, "task").drop("task")
+    return dealt.mapInArrow(lambda batches: streamed(batches, paths, parts, most_words), kind)
 
 
 def window_rows(held: DataFrame, window: int) -> DataFrame:

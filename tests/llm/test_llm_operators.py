@@ -116,6 +116,30 @@ def test_substring_phrases_of_one_string(spark):
     assert sum(len(s.fp) for s in shards) == known.count()
 
 
+@pytest.mark.parametrize("most", [1, 5, 1 << 20])
+def test_substring_anchors_are_streamed_once(spark, monkeypatch, most):
+    """However many shards there are, an anchor goes through one of them."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(d, " ".join([f"own{d}", *words[d * 5 : d * 5 + 200]])) for d in range(30)]
+    ids = spark.createDataFrame([(d, 0, t) for d, t in docs], "doc long, th long, text string")
+    paths = substring_dedup.compile_shards(substring_dedup.recurring_phrases(ids, 50), most)
+    parts = int(paths[0].rpartition("/")[2].split("-")[1])
+    assert (parts == 1) == (most > 30)
+    data, offsets = buffers(pa.array([t for _, t in docs]))
+    p = substring_dedup.pieces(data, offsets, 50)
+    by_number = {int(x.rpartition("/")[2].split("-")[0]): x for x in paths}
+    use = np.flatnonzero(np.isin(p.fp % parts, list(by_number)))
+    columns = [p.text[use], 0 * use, p.fp[use], p.ph[use], substring_dedup._pack(p.start, p.count)[use]]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), substring_dedup.phrases(p, 50, use)], ["doc", "th", "fp", "ph", "at", "phrase"])
+    sizes, locate = [], substring_dedup.Shard.locate
+    monkeypatch.setattr(substring_dedup.Shard, "locate", lambda self, stream: sizes.append(len(stream)) or locate(self, stream))
+    found = pa.Table.from_batches(substring_dedup.streamed(iter([batch]), by_number, parts, 100))
+    assert sum(sizes) == 16 * len(use) and max(sizes) <= 200
+    got = [tuple(r.values()) for r in found.to_pylist()]
+    same(got, map(tuple, substring_dedup.located_pieces(ids, paths, 50, 1 << 20).collect()))
+    assert len({r[2] for r in got}) > 10
+
+
 def test_substring_dedup_empty_table(spark):
     found, c = substring_dedup.remove_repeats(frame(spark, []))
     assert found.count() == 0
